@@ -1,8 +1,62 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return docs' columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graftline.llm import bpe, exact_dedup, mixing, quality, simhash
+from graftline.staging import stage
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier selects."""
+    return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id, null included, is among ids."""
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
+    return docs.join(ids.select(key(F.col("doc_id")).alias("_kept")).distinct(), key(docs["doc_id"]) == F.col("_kept"), "left_semi")
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return _rows_of(docs, exact_dedup.dedup_corpus(docs).filter("kept"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component, the row with the smallest doc_id."""
+    return _rows_of(docs, simhash.near_duplicates(docs).filter("doc_id <=> component_id"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mixture has them."""
+    return mixing.realise(docs).drop("mix")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    return bpe.encode(docs, digests=True)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
+
+#: Hashed models, SimHash and BPE are not for SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
