@@ -26,11 +26,20 @@ def staging_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: With this, Spark removes a query's shuffle files when the query ends instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return the written table."""
-    path = f"{staging_root(df.sparkSession)}/graftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once and return the written table; the shuffle files of the write are not needed any more."""
+    spark = df.sparkSession
+    path, before = f"{staging_root(spark)}/graftline-{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
