@@ -18,13 +18,13 @@ is an id like any other; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers
@@ -34,15 +34,17 @@ from graftline.staging import stage
 #: Words that executors hold, at most; the others are joined.
 HEAD_WORDS = 250_000
 #: Distinct words that a task counts before it passes them on.
-COUNT_AT_ONCE = 200_000
+COUNT_AT_ONCE = 500_000
 
 # The special tokens and the word pattern of the tokenizer's file.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_WORDS = regex.compile(WORD_PATTERN)
-_PLAIN = regex.compile(r"[\x00-\x1b\x20-ɏ]*+")
-_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
+#: Letters and numbers below U+0250, lower-cased; the pattern above in these terms, its most frequent case first.
+_LETTER, _NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+_WORDS = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ]*")
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 
 
 def default_path() -> str:
@@ -106,25 +108,27 @@ def _counter(path: str):
 def _encoder(path: str):
     def encode(word: pa.Array) -> pa.Array:
         found = _word_tokenizer(path).encode_batch(word.to_pylist(), add_special_tokens=False)
-        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
+        return pa.array([" ".join(map(str, e.ids)) for e in found], pa.string())
 
     encode.__annotations__ = {"word": pa.Array, "return": pa.Array}
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
+    return F.arrow_udf(encode, T.StringType())
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The id-to-piece table: as long as the vocabulary."""
+def pieces(path: str) -> list[str]:
+    """The id-to-piece table: as long as the vocabulary, so that every executor holds it."""
     tok = _tokenizer(path)
-    return spark.createDataFrame(pa.table({"id": pa.array(range(tok.get_vocab_size()), pa.int32()), "piece": pa.array([tok.id_to_token(i) for i in range(tok.get_vocab_size())])}))
+    return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+
+
+@cache
+def _piece_of(path: str) -> dict[str, str]:
+    return {str(i): piece for i, piece in enumerate(pieces(path))}
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n (occurrences), ids and pieces (both joined by one space): a row for each distinct word."""
+    """word, n (occurrences), ids (joined by one space): a row for each distinct word."""
     words = docs.select("text").mapInArrow(_counter(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = words.withColumn("ids", _encoder(path)(F.col("word")))
-    each = encoded.select("word", "n", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(docs.sparkSession, path)), "id")
-    whole = each.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
-    return stage(whole.select("word", "n", F.concat_ws(" ", F.col("x.id").cast("array<string>")).alias("ids"), F.concat_ws(" ", F.col("x.piece")).alias("pieces")), "words")
+    return stage(words.select("word", "n", _encoder(path)(F.col("word")).alias("ids")), "words")
 
 
 def head_count(words: DataFrame, most: int) -> int:
@@ -148,15 +152,15 @@ _DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField(
 
 
 def _assembler(head, path: str, digests: bool):
-    """Ids and pieces of a text's words, from the head and from the document's own words in tail."""
+    """Joins ids by word, from the head and from the document's own words in tail, and pieces by id."""
 
     def assemble(text: pa.Array, tail: pa.Array) -> pa.Array:
-        known, rows = head.value, []
+        known, piece, rows = head.value, _piece_of(path), []
         for t, own in zip(text.to_pylist(), tail.to_pylist(), strict=True):
-            rest = {x["word"]: (x["ids"], x["pieces"]) for x in own or ()}
-            found = [known.get(w) or rest[w] for w in split_words(t, path)]
-            ids, decoded = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-            n = ids.count(" ") + 1 if ids else 0
+            rest = {x["word"]: x["ids"] for x in own or ()}
+            ids = " ".join([known.get(w) or rest[w] for w in split_words(t, path)])
+            each = ids.split()
+            decoded, n = " ".join(map(piece.__getitem__, each)), len(each)
             rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) if digests else (n, ids, decoded))
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names)
@@ -171,11 +175,11 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head
     spark = docs.sparkSession
     words = word_table(docs, path)
     least = head_count(words, head_words)
-    held = words.filter(F.col("n") >= least).select("word", "ids", "pieces").toArrow()
-    head = spark.sparkContext.broadcast(dict(zip(held["word"].to_pylist(), zip(held["ids"].to_pylist(), held["pieces"].to_pylist(), strict=True), strict=True)))
+    held = words.filter(F.col("n") >= least).select("word", "ids").toArrow()
+    head = spark.sparkContext.broadcast(dict(zip(held["word"].to_pylist(), held["ids"].to_pylist(), strict=True)))
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
     used = keyed.select("k", "h", F.explode(F.array_distinct(_tail_words(head, path)(F.col("text")))).alias("word"))
-    rest = words.filter(F.col("n") < least).select("word", "ids", "pieces")
-    tails = used.join(rest, "word").groupBy("k", "h").agg(F.collect_set(F.struct("word", "ids", "pieces")).alias("tail"))
+    rest = words.filter(F.col("n") < least).select("word", "ids")
+    tails = stage(used.join(rest, "word").groupBy("k", "h").agg(F.collect_set(F.struct("word", "ids")).alias("tail")), "tails")
     whole = keyed.join(tails, ["k", "h"], "left").withColumn("out", _assembler(head, path, digests)(F.col("text"), F.col("tail")))
     return whole.select("doc_id", "out.*")
