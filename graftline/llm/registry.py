@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import bpe, exact_dedup, media, mixing, pii, quality, simhash, toxicity, url_filter
+from graftline.llm import bpe, exact_dedup, html_text, media, mixing, pii, quality, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(_table(spark, sf_dir, "documents")))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_media": op7_media,
+    "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
