@@ -32,12 +32,13 @@ def match_first(left: DataFrame, right: DataFrame, on: list[str], order: str, fo
 
 def match_loose(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], order: str, found: str, key: list[str]) -> DataFrame:
     """left with the first right row of which every right text contains its left text; both sides are small node tables."""
+    own = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(a).alias(f"_l{i}") for i, (a, _) in enumerate(pairs)])
+    other = right.select(F.col(order).alias("_order"), F.col(found).alias("_found"), *[F.col(b).alias(f"_r{i}") for i, (_, b) in enumerate(pairs)])
     cond = F.lit(True)
-    for a, b in pairs:
-        cond = cond & F.coalesce(F.contains(right[b], left[a]), F.lit(False))
-    met = left.join(right, cond, "left")
-    best = F.min_by(right[found], right[order])
-    return met.groupBy(*[left[c] for c in key]).agg(best.alias(found))
+    for i in range(len(pairs)):
+        cond = cond & F.coalesce(F.contains(F.col(f"_r{i}"), F.col(f"_l{i}")), F.lit(False))
+    met = own.join(other, cond, "left")
+    return met.groupBy(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)]).agg(F.min_by("_found", "_order").alias(found))
 
 
 def classify_versions(updates: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graftline.plans import scalar_queries
+from graftline.plans import domain_queries, graph_queries, scalar_queries
 
-QUERIES = {**scalar_queries.QUERIES}
-ORACLE = {**scalar_queries.ORACLE}
+QUERIES = {**scalar_queries.QUERIES, **graph_queries.QUERIES, **domain_queries.QUERIES}
+ORACLE = {**scalar_queries.ORACLE, **graph_queries.ORACLE, **domain_queries.ORACLE}
