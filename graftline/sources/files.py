@@ -59,7 +59,7 @@ def graph_files(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
     """folder and commit: the first line of every COMMIT file, trimmed, empty if there is none."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "COMMIT").text(root)
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "COMMIT").text(root, wholetext=True)
     path = F.split(F.col("_metadata.file_path"), "/")
     return t.select(F.element_at(path, -2).alias("folder"), F.trim(F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1)).alias("commit"))
 
