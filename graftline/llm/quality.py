@@ -31,6 +31,8 @@ from graftline.staging import stage
 
 BINS = 1 << 16
 LABEL_BOUND, CLEAN_LOSS, SMOOTHING, SEED = 20_000, 0.001, 0.5, 9
+#: The target model starts from so many n-grams of the raw model, so that few labels do not make rare n-grams look bad.
+PRIOR = 4096
 #: Bins of a pass that looks for the k-th key.
 KEY_BINS = 1024
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -70,13 +72,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     chosen = _bounded_labels(labels).filter("quality = 1 and fold = 0").select("doc_id", F.lit(True).alias("good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.full(BINS, SMOOTHING), np.full(BINS, SMOOTHING)
+    raw, target = np.full(BINS, SMOOTHING), np.zeros(BINS)
     at = counts["bin"].to_numpy()
     raw[at] += counts["raw"].to_numpy()
     target[at] += counts["target"].to_numpy()
-    if target.sum() <= BINS * SMOOTHING:
-        return np.zeros(BINS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    p_raw = raw / raw.sum()
+    return np.log((target + PRIOR * p_raw) / (target.sum() + PRIOR)) - np.log(p_raw)
 
 
 def log_weight(ratios: np.ndarray) -> Column:
