@@ -25,6 +25,8 @@ from graftline.staging import stage
 
 #: Documents of a block, on average.
 BLOCK_DOCS = 256
+#: A source's block keys are summed in so many ranges (as a power of two) before they are ordered.
+RANGE_BITS = 10
 #: The target entropy lies so far from the shares' entropy towards that of equal weights.
 ENTROPY_SHARE = 0.5
 MAX_REPEATS = 4.0
@@ -88,8 +90,13 @@ def cuts(units: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """sources with block_cut and doc_cut: the last epoch takes blocks before block_cut, and of that block documents up to doc_cut."""
     own = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", _block(F.col("key"), F.col("blocks"))).withColumn("block_key", _block_key(F.col("source"), F.col("block"), F.col("whole"), seed))
     blocks = own.groupBy("source", "block_key").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
-    before = F.sum("sum").over(Window.partitionBy("source").orderBy("block_key").rowsBetween(Window.unboundedPreceding, -1))
-    last = blocks.withColumn("before", F.coalesce(before, F.lit(0))).filter("before <= rest and before + sum > rest").groupBy("source").agg(F.max(F.struct("block_key", (F.col("rest") - F.col("before")).alias("room"))).alias("x")).select(F.col("source").alias("s"), F.col("x.block_key").alias("block_cut"), F.col("x.room").alias("room"))
+    # first the range of block keys in which the budget ends, then the block: no window holds all blocks of a source
+    part = F.shiftright("block_key", 64 - RANGE_BITS)
+    before = lambda order: F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))
+    ranges = blocks.groupBy("source", part.alias("part")).agg(F.sum("sum").alias("sum"), F.first("rest").alias("rest")).withColumn("before", before("part")).filter(ends).select(F.col("source").alias("s"), F.col("part").alias("p"), F.col("before").alias("base"))
+    near = blocks.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (part == F.col("p")))
+    last = near.withColumn("before", F.col("base") + before("block_key")).filter(ends).select(F.col("source").alias("s"), F.col("block_key").alias("block_cut"), (F.col("rest") - F.col("before")).alias("room"))
     inside = own.select("source", "block_key", "key", "tokens").join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block_key") == F.col("block_cut")))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     doc_cuts = inside.withColumn("upto", upto).filter("upto <= room").groupBy("source").agg(F.max("key").alias("doc_cut")).withColumnRenamed("source", "s")
