@@ -113,16 +113,16 @@ def _disclosure(joint: Column, term: Column, entity: Column, every: Column) -> C
 
 def disclosing_terms(found: DataFrame, counts: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """entity, term, general: the pairs over the threshold; general is the term's class, null if that discloses too."""
-    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
+    every = F.lit(float(counts.agg(F.sum("n")).first()[0] or 0))
     entities = found.select(F.explode("base").alias("b")).groupBy(F.concat(F.col("b.kind").cast("string"), F.lit(":"), F.lower("b.value")).alias("entity")).agg(F.count("*").alias("n_entity"))
     joint = stage(found.select(F.explode("beside").alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_joint")), "joint")
-    often = joint.filter(F.col("n_joint") >= min_support).join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(every))
-    over = often.filter(_disclosure(F.col("n_joint"), F.col("n"), F.col("n_entity"), F.col("every")) >= threshold)
+    often = joint.filter(F.col("n_joint") >= min_support).join(entities, "entity").join(counts, "term")
+    over = often.filter(_disclosure(F.col("n_joint"), F.col("n"), F.col("n_entity"), every) >= threshold)
     letters = lambda c: F.substring(c, 1, CLASS_LETTERS)
     classes = counts.groupBy(letters("term").alias("class")).agg(F.sum("n").alias("n_class"))
     joint_classes = joint.groupBy("entity", letters("term").alias("class")).agg(F.sum("n_joint").alias("n_joint_class"))
     full = over.withColumn("class", letters("term")).join(joint_classes, ["entity", "class"]).join(classes, "class")
-    hidden = _disclosure(F.col("n_joint_class"), F.col("n_class"), F.col("n_entity"), F.col("every")) < threshold
+    hidden = _disclosure(F.col("n_joint_class"), F.col("n_class"), F.col("n_entity"), every) < threshold
     return full.select("entity", "term", F.when(hidden, F.concat("class", F.lit("*"))).alias("general"))
 
 
