@@ -25,6 +25,10 @@ def _starts(e: DataFrame, every: int) -> DataFrame:
     return e.select(F.col("src").alias("start")).filter(F.col("start") % every == 0).distinct()
 
 
+def _shown(paths: DataFrame) -> DataFrame:
+    return paths.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
+
+
 @query("root_vertices", f"""
     WITH {edge_sql()}, r AS (SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e))
     SELECT node, node = (SELECT min(node) FROM r) AS is_first FROM r""")
@@ -93,10 +97,10 @@ def _paths(flag: str, every: int, depth: int) -> str:
         UNION ALL SELECT p.start, e.dst, p.len + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE p.len < {depth})"""
 
 
-@query("shortest_path", f"{_paths('R', 100, 4)} SELECT start, node, min(len)::INTEGER AS len, arg_min(path, row(len, path)) AS path FROM p GROUP BY start, node")
+@query("shortest_path", f"{_paths('R', 100, 4)} SELECT start, node, min(len)::INTEGER AS len, array_to_string(arg_min(path, row(len, path)), '>') AS path FROM p GROUP BY start, node")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, "R")
-    return graph.shortest_paths(e, _starts(e, 100), 4)
+    return _shown(graph.shortest_paths(e, _starts(e, 100), 4))
 
 
 @query("nearest_start", f"{_paths('R', 40, 3)}, m AS (SELECT start, node, min(len) AS len FROM p GROUP BY start, node) SELECT node, arg_min(start, row(len, start)) AS start, min(len)::INTEGER AS len FROM m GROUP BY node")
@@ -111,10 +115,10 @@ def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.bounded_paths(e, _starts(e, 100), 3).groupBy("start", "node", "len").agg(F.count("*").alias("n"))
 
 
-@query("neighbourhood", f"{_paths('A', 60, 3)}, k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len, path) AS r FROM p) SELECT start, node, len::INTEGER AS len, path FROM k WHERE r <= 10")
+@query("neighbourhood", f"{_paths('A', 60, 3)}, k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len, path) AS r FROM p) SELECT start, node, len::INTEGER AS len, array_to_string(path, '>') AS path FROM k WHERE r <= 10")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, "A")
-    return constraints.neighbourhood(e, _starts(e, 60))
+    return _shown(constraints.neighbourhood(e, _starts(e, 60)))
 
 
 _SINK = f"""{edge_sql()}, sink AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 3 <> 0), cut AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 5 < 3),
@@ -140,9 +144,9 @@ def contract_groups(spark: SparkSession, d: str) -> DataFrame:
     return graph.contract(edges(spark, d), _members(spark, d))[0]
 
 
-@query("family_nodes", "SELECT 'family:' || p_brand AS family, list_sort(list(DISTINCT p_type)) AS scopes, arg_min(p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR, p_partkey) AS version, count(*) AS n FROM part WHERE p_brand <> 'Brand#1' GROUP BY p_brand HAVING count(*) >= 2")
+@query("family_nodes", "SELECT 'family:' || p_brand AS family, array_to_string(list_sort(list(DISTINCT p_type)), ' ') AS scopes, arg_min(p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR, p_partkey) AS version, count(*) AS n FROM part WHERE p_brand <> 'Brand#1' GROUP BY p_brand HAVING count(*) >= 2")
 def family_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d).groupBy("family", "scopes", "version").agg(F.count("*").alias("n"))
+    return _members(spark, d).groupBy("family", F.concat_ws(" ", "scopes").alias("scopes"), "version").agg(F.count("*").alias("n"))
 
 
 @query("induced_subgraph", f"WITH {edge_sql()}, n AS (SELECT p_partkey AS node FROM part WHERE p_size < 25), u AS (SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)) SELECT src, dst, 1.0::DOUBLE AS weight FROM u UNION SELECT dst, src, 1.0 FROM u")
@@ -218,13 +222,13 @@ def violation_counts(spark: SparkSession, d: str) -> DataFrame:
     return compat.violation_counts(v, "l_orderkey")
 
 
-@query("violated_calls", "SELECT l_orderkey, list_sort(list('m' || l_partkey) FILTER (WHERE l_returnflag = 'R') || list('s' || l_suppkey) FILTER (WHERE l_linestatus = 'F')) AS calls FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND count(*) FILTER (WHERE l_linestatus = 'F') > 0")
+@query("violated_calls", "SELECT l_orderkey, array_to_string(list_sort(list('m' || l_partkey) FILTER (WHERE l_returnflag = 'R') || list('s' || l_suppkey) FILTER (WHERE l_linestatus = 'F')), ' ') AS calls FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND count(*) FILTER (WHERE l_linestatus = 'F') > 0")
 def violated_calls(spark: SparkSession, d: str) -> DataFrame:
     """Both kinds of violated calls of an order, duplicates kept."""
     a = F.collect_list(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("m"), F.col("l_partkey").cast("string"))))
     b = F.collect_list(F.when(F.col("l_linestatus") == "F", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))))
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(a.alias("a"), b.alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
-    return g.select("l_orderkey", F.sort_array(F.concat("a", "b")).alias("calls"))
+    return g.select("l_orderkey", F.concat_ws(" ", F.sort_array(F.concat("a", "b"))).alias("calls"))
 
 
 @query("queue_filter", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ORDER BY c_name")
@@ -303,11 +307,11 @@ def status_mapping(spark: SparkSession, d: str) -> DataFrame:
     return met.select("c_custkey", status.alias("status"), F.when(status == "SUCCESS", F.col("n")).otherwise(-1).cast("long").alias("nr"))
 
 
-@query("module_groups", "SELECT o_custkey, count(*) AS n, list_sort(list(DISTINCT o_orderpriority)) AS kinds, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+@query("module_groups", "SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS kinds, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
 def module_groups(spark: SparkSession, d: str) -> DataFrame:
     """Steps of modules, gathered from two halves."""
     o = table(spark, d, "orders")
-    return o.filter("o_orderkey % 2 = 0").unionByName(o.filter("o_orderkey % 2 <> 0")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("o_orderpriority")).alias("kinds"), F.min("o_orderkey").alias("first_order"))
+    return o.filter("o_orderkey % 2 = 0").unionByName(o.filter("o_orderkey % 2 <> 0")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.concat_ws(" ", F.array_sort(F.collect_set("o_orderpriority"))).alias("kinds"), F.min("o_orderkey").alias("first_order"))
 
 
 def _cut_edges(spark: SparkSession, d: str) -> DataFrame:

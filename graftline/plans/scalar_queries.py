@@ -68,13 +68,13 @@ def name_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("signature_parse", """
-    SELECT p_partkey, replace(p_name, ' ', '') AS name, 'java.' || p_type AS return_type, ['public', 'final'] AS qualifiers,
-        CASE p_size % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['int'] ELSE ['int', 'java.' || p_type] END AS params,
-        CASE p_size % 3 WHEN 0 THEN [''] WHEN 1 THEN ['int'] ELSE ['int', 'java.' || p_type] END AS literal_params FROM part""")
+    SELECT p_partkey, replace(p_name, ' ', '') AS name, 'java.' || p_type AS return_type, 'public|final' AS qualifiers,
+        CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'int' ELSE 'int|java.' || p_type END AS params, (p_size % 3)::INTEGER AS n_params,
+        greatest(1, p_size % 3)::INTEGER AS n_literal FROM part""")
 def signature_parse(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("public final java."), F.col("p_type"), F.lit(" com."), F.regexp_replace("p_brand", "#", ""), F.lit("."), F.replace(F.col("p_name"), F.lit(" "), F.lit("")), F.lit("("), F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "int").otherwise(F.concat(F.lit("int,java."), F.col("p_type"))), F.lit(")"))
     s = names.signature(text)
-    return table(spark, d, "part").select("p_partkey", s["name"].alias("name"), s["return_type"].alias("return_type"), s["qualifiers"].alias("qualifiers"), s["params"].alias("params"), names.signature(text, literal=True)["params"].alias("literal_params"))
+    return table(spark, d, "part").select("p_partkey", s["name"].alias("name"), s["return_type"].alias("return_type"), F.concat_ws("|", s["qualifiers"]).alias("qualifiers"), F.concat_ws("|", s["params"]).alias("params"), F.size(s["params"]).alias("n_params"), F.size(names.signature(text, literal=True)["params"]).alias("n_literal"))
 
 
 def order_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +168,10 @@ def weight_round(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", names.rounded_weight(F.col("l_quantity") / 4).alias("weight"))
 
 
-@query("url_parts", "SELECT page_id, string_split(replace(url, 'https://', ''), ':') AS parts, string_split(replace(url, 'https://', ''), ':')[1] AS host FROM pages")
+@query("url_parts", "SELECT page_id, array_to_string(string_split(replace(url, 'https://', ''), ':'), ' ') AS parts, string_split(replace(url, 'https://', ''), ':')[1] AS host FROM pages")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     parts = names.host_port(F.col("url"), "https://")
-    return table(spark, d, "pages").select("page_id", parts.alias("parts"), F.get(parts, F.lit(0)).alias("host"))
+    return table(spark, d, "pages").select("page_id", F.concat_ws(" ", parts).alias("parts"), F.get(parts, F.lit(0)).alias("host"))
 
 
 @query("var_names", "SELECT p_partkey, 'n' || regexp_replace(p_brand || ':' || p_name, '[^A-Za-z0-9]', '_', 'g') AS node_name, 'n' || p_partkey AS number_name, 'p' || p_brand || '_' || p_name AS path_name FROM part")
