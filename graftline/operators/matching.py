@@ -54,8 +54,3 @@ def filter_queue(projects: DataFrame, todo: DataFrame, done: DataFrame, key: str
     if not todo.isEmpty():
         return projects.join(todo.select(key), key, "left_semi")
     return projects.join(done.select(key), key, "left_anti")
-
-
-def expand_families(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    m = members.select(F.col("family").alias("node"), "member")
-    return nodes.join(m, "node", "left").select(F.coalesce("member", "node").alias("node")).distinct()
