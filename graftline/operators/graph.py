@@ -35,9 +35,14 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
+def _kept(edges: DataFrame) -> DataFrame:
+    """The distinct edges, written once: every round of a traversal reads them."""
+    return stage(edges.select("src", "dst").distinct(), "edges")
+
+
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """start, node, dist: the least number of edges from each start(start) to every node it reaches, itself included."""
-    edges = edges.select("src", "dst").distinct()
+    edges = _kept(edges)
     first = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
     found, frontier, depth = [stage(first, "front")], None, 0
     frontier = found[0]
@@ -55,7 +60,7 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node: what any of starts(start) reaches, starts included."""
     one = starts.select(F.lit(0).alias("start"), F.col("start").alias("node")).distinct()
-    edges = edges.select("src", "dst").distinct()
+    edges = _kept(edges)
     found, depth = [stage(one.withColumn("dist", F.lit(0)), "front")], 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -70,7 +75,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
 
 def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """start, node, len, path (nodes): every path of at most max_depth edges that repeats no edge, length zero included."""
-    edges = edges.select("src", "dst").distinct()
+    edges = _kept(edges)
     level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
     levels = [level]
     for depth in range(1, max_depth + 1):
