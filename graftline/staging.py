@@ -39,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path, before = f"{staging_root(spark)}/graftline-{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
