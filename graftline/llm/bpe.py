@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,6 +148,13 @@ def _tail_words(head, path: str):
     return F.arrow_udf(tail, T.ArrayType(T.StringType()))
 
 
+@F.arrow_udf(T.BinaryType())
+def _pack(text: pa.Array) -> pa.Array:
+    """Texts compressed, for the way to their own words."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([squeeze(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
 _RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
 _DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -154,9 +162,10 @@ _DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField(
 def _assembler(head, path: str, digests: bool):
     """Joins ids by word, from the head and from the document's own words in tail, and pieces by id."""
 
-    def assemble(text: pa.Array, tail: pa.Array) -> pa.Array:
-        known, piece, rows = head.value, _piece_of(path), []
-        for t, own in zip(text.to_pylist(), tail.to_pylist(), strict=True):
+    def assemble(packed: pa.Array, tail: pa.Array) -> pa.Array:
+        known, piece, rows, unpack = head.value, _piece_of(path), [], zstandard.ZstdDecompressor().decompress
+        for p, own in zip(packed.to_pylist(), tail.to_pylist(), strict=True):
+            t = unpack(p).decode()
             rest = {x["word"]: x["ids"] for x in own or ()}
             ids = " ".join([known.get(w) or rest[w] for w in split_words(t, path)])
             each = ids.split()
@@ -165,7 +174,7 @@ def _assembler(head, path: str, digests: bool):
         names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names)
 
-    assemble.__annotations__ = {"text": pa.Array, "tail": pa.Array, "return": pa.Array}
+    assemble.__annotations__ = {"packed": pa.Array, "tail": pa.Array, "return": pa.Array}
     return F.arrow_udf(assemble, _DIGESTS if digests else _RESULT)
 
 
@@ -181,5 +190,6 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head
     used = keyed.select("k", "h", F.explode(F.array_distinct(_tail_words(head, path)(F.col("text")))).alias("word"))
     rest = words.filter(F.col("n") < least).select("word", "ids")
     tails = stage(used.join(rest, "word").groupBy("k", "h").agg(F.collect_set(F.struct("word", "ids")).alias("tail")), "tails")
-    whole = keyed.join(tails, ["k", "h"], "left").withColumn("out", _assembler(head, path, digests)(F.col("text"), F.col("tail")))
+    packed = keyed.select("doc_id", "k", "h", _pack("text").alias("packed"))
+    whole = packed.join(tails, ["k", "h"], "left").withColumn("out", _assembler(head, path, digests)(F.col("packed"), F.col("tail")))
     return whole.select("doc_id", "out.*")
