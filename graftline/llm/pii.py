@@ -32,7 +32,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 _TERMS = r"(?<=\s)\p{L}{3,}+(?=[.,;:!?]*+\s)"
 

@@ -77,3 +77,14 @@ def test_counts_and_no_rows(spark):
     r = pii.report(spark.createDataFrame([(1, "a@b.cc 1.1.1.1 1.1.1.1 +12 345 678 901", "", 0, "")], SCHEMA)).collect()[0]
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 2, 0, 1)
     assert pii.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_addresses_with_parts_of_zero(spark):
+    good = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "000.0.00.1", "8.8.8.0"]
+    rows = [(i, f"host {a} is up") for i, a in enumerate([*good, "0.256.0.1", "0.0.0.0256"])]
+    df = spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert [got[i].n_ip for i in range(len(rows))] == [1] * len(good) + [0, 0]
+    assert sorted((str(r.doc_id), r.base_sha256, r.spans) for r in got.values()) == [(str(i), hashlib.sha256(b.encode()).hexdigest(), s) for i, b, s in brute(rows)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(clean[i] == "host [IP] is up" for i in range(len(good)))
