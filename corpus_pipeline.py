@@ -17,20 +17,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id, null included, is among ids."""
-    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    return docs.join(ids.select(key(F.col("doc_id")).alias("_kept")).distinct(), key(docs["doc_id"]) == F.col("_kept"), "left_semi")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with _id, and _hash of the whole row; nulls count in it by their place."""
+    names = docs.columns
+    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(*names, *[F.col(c).isNull() for c in names])})
+
+
+def _one_of_each(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of docs for each _group of candidates(_group, _id, _hash): that with the smallest _id and _hash, and one of its repetitions."""
+    counts = candidates.groupBy("_group", "_id", "_hash").agg(F.count("*").alias("n"))
+    chosen = stage(counts.groupBy("_group").agg(F.min(F.struct("_id", "_hash", "n")).alias("b")).select("b.*"), "chosen")
+    rows = _hashed(docs)
+
+    def met(of: DataFrame) -> DataFrame:
+        of = of.select(F.col("_id").alias("_kept"), F.col("_hash").alias("_kept_hash"))
+        return rows.join(of, (F.col("_hash") == F.col("_kept_hash")) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+
+    once, repeated = met(chosen.filter("n = 1")), chosen.filter("n > 1")
+    return once if repeated.isEmpty() else once.unionByName(met(repeated).distinct())
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _rows_of(docs, exact_dedup.dedup_corpus(docs).filter("kept"))
+    """Of equal texts, one row with the largest doc_id."""
+    kept = exact_dedup.dedup_corpus(docs).filter("kept").select(F.col("text_sha256").alias("_group"), F.col("doc_id").alias("_kept"))
+    rows = _hashed(docs).select(F.lower(F.hex(exact_dedup.text_digest("text"))).alias("_group"), "_id", "_hash")
+    return _one_of_each(docs, rows.join(kept, (rows["_group"] == kept["_group"]) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the row with the smallest doc_id."""
-    return _rows_of(docs, simhash.near_duplicates(docs).filter("doc_id <=> component_id"))
+    """Of each near-duplicate component, one row with the smallest doc_id."""
+    rows = simhash.components(_hashed(docs), carry=["_hash"]).filter("doc_id <=> component_id")
+    return _one_of_each(docs, rows.select(F.col("root").alias("_group"), F.col("doc_id").alias("_id"), "_hash"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

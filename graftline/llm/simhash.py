@@ -16,7 +16,7 @@ rows are one node; a null doc_id is ignored for component ids, unless its compon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -187,17 +187,22 @@ def links_within(fps: DataFrame, n: int, radius: int = RADIUS, shard_max: int =
     return met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key, "side", "fp").mapInArrow(_linker(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed), component_id: the smallest doc_id that links within the radius reach."""
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text").alias("fp")), "fingerprints")
+def components(docs: DataFrame, radius: int = RADIUS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (signed), the columns of carry, root (of the component: ids may repeat), component_id: the smallest doc_id that links within the radius reach."""
+    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text").alias("fp"), *carry), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     edges = stage(links_within(classes.select("fp"), classes.count(), radius), "links")
     roots = connected_components(edges)
     least = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     ids = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = least.join(ids, "root").select("fp", "component_id")
+    known = least.join(ids, "root").select("fp", "root", "component_id")
     return rows.join(known, "fp")
 
 
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed), component_id."""
+    return components(docs, radius).select("fp", "doc_id", "component_id")
+
+
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

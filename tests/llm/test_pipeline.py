@@ -97,3 +97,15 @@ def plain_near(spark, folder, rows):
 def test_run_is_the_stages_in_a_row(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
+
+
+def test_dedup_stages_keep_one_row_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e, f = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(6))
+    rows = [(1, a)] * 2 + [(None, b)] * 3 + [(None, c)] + [(7, d), (7, e), (9, d)] + [(8, "One text in two cases"), (8, "one Text in two cases")] + [(50, f)] * 500
+    rows = [(i, t, "en", None, 0) for i, t in rows] + [(60, "the same words again", None, "x", 0), (60, "the same words again", "x", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda found: sorted(str((r[0], r[1].lower())) for r in found)
+    for step, plain in ((corpus_pipeline.exact_dedup_stage, plain_exact), (corpus_pipeline.near_dedup_stage, plain_near)):
+        out = step(spark, docs, "")
+        assert out.columns == docs.columns and key(out.collect()) == key(plain(spark, "", rows))
