@@ -7,7 +7,9 @@ import re
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title xmp".split())
+#: Subtrees that are not shown; one that is never closed hides nothing.
+HIDDEN = frozenset("svg noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br head title".split())
 #: What an open element is closed by: a start tag of the other names.
 CLOSED_BY = {
@@ -26,6 +28,8 @@ _WALLS = frozenset(["table", "td", "th", "body", "html"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: The next start or end of elements whose content is raw as far as their end tag.
+_NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in ("iframe", "noscript")}
 #: White space inside a block; no-break spaces count.
 _SPACE = re.compile(r"\s+")
 
@@ -51,6 +55,13 @@ def parse(source: str) -> Node:
         if text:
             at.children.append(Node("#", parent=at, text=text))
 
+    def leave(node: Node, up: Node) -> None:
+        """Everything from node to below up ends without its end tag."""
+        while node is not up:
+            if node.tag in HIDDEN:
+                node.tag = "span"
+            node = node.parent
+
     while pos < n:
         m = _TOKEN.search(source, pos)
         if m is None:
@@ -66,11 +77,13 @@ def parse(source: str) -> Node:
             while up is not root and up.tag != tag and not (up.tag in _WALLS and tag not in ("body", "html", "table", "tr", "tbody")):
                 up = up.parent
             if up is not root and up.tag == tag:
+                leave(at, up)
                 at = up.parent
             continue
         up = at
-        while up is not root and up.tag not in _WALLS | BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "head"}:
+        while up is not root and (tag == "body" or up.tag not in HIDDEN) and up.tag not in _WALLS | BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "head"}:
             if tag in CLOSED_BY.get(up.tag, ()):
+                leave(at, up)
                 at = up.parent
                 break
             up = up.parent
@@ -81,7 +94,12 @@ def parse(source: str) -> Node:
             node.children.append(Node("#", parent=node, text=source[pos : end.start() if end else n]))
             pos = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            at = node
+            end = _NEXT[tag].search(source, pos) if tag in _NEXT else None
+            if end and end[1]:
+                pos = end.end()
+            else:
+                at = node
+    leave(at, root)
     return root
 
 

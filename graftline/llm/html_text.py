@@ -34,7 +34,7 @@ TRAINING_PAGES, SEED = 300, 8
 #: Pages of a prediction.
 AT_ONCE = 128
 #: Text nodes of a page that stay out of every block.
-_NEVER = dom.RAW - {"textarea"} | {"head", "button", "select", "input", "textarea"}
+_NEVER = dom.RAW - {"textarea"} | dom.HIDDEN | {"head", "button", "select", "input", "textarea"}
 
 GOOD = "article content post entry story body text main page blog news detail".split()
 BAD = "ad ads advert advertisement sponsor banner promo nav menu navbar breadcrumb header masthead footer sidebar aside widget related recommended share social comment comments reply respond cookie consent notice alert popup modal newsletter subscribe login search form pagination tags meta byline author copyright legal skip".split()

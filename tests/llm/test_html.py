@@ -53,3 +53,15 @@ def test_training_is_quick():
     html_text.model.cache_clear()
     html_text.model()
     assert time.process_time() - began < 60
+
+
+def test_svg_math_and_unclosed_hidden_elements(spark):
+    want = 'A & B First words of this text. Second "part" of it, with more words.'
+    nav = lambda x: PAGE.replace("<nav>", "<nav>" + x)
+    pages = [nav(x) for x in ('<svg class="x"/>', "<math/>", "<svg><path d='M0'/>", "<iframe src=a>", "<iframe src=a />", "<template>", "<noscript>", "<iframe><p></nav></iframe>", "<noscript>No</nav></noscript>", "<svg><title>i</title><text>icon</text></svg>")]
+    pages += [PAGE.replace("<nav>", x + "<nav>") for x in ("<svg>", "<iframe src=a>", "<template>", "<noscript>")] + [PAGE.replace("</head>", x) for x in ("<template>", "<svg>")]
+    pages += [PAGE.replace("<nav>", "<iframe src=a><nav>").replace("<footer>", "<iframe src=b></iframe><footer>"), PAGE.replace("First", "First <svg><foreignObject><div>hid</div></foreignObject></svg>")]
+    formula = PAGE.replace("First", "First <math><mi>x</mi><mo>=</mo><mn>1</mn></math>")
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame([(i, "u", p, "", 0) for i, p in enumerate([*pages, formula])], SCHEMA)).collect()}
+    assert [i for i in range(len(pages)) if got[i] != want] == []
+    assert got[len(pages)] == want.replace("First", "First x=1")
