@@ -1,7 +1,7 @@
 r"""Personal data: base kinds by pattern, and terms that reveal them by information theory.
 
-Every e-mail address, IP address, card number and phone number is a protected entity.  A term (a word of letters
-between white space) co-occurs with an entity if it stands within ``CONTEXT`` code points of it.  With
+Every e-mail address, IP address, card number and phone number is a protected entity.  A term (a run of at
+least three letters outside e-mail addresses, bounded by anything but letters) co-occurs with an entity if it stands whole within ``CONTEXT`` code points of it.  With
 counts over the whole corpus, a term's disclosure of an entity is PMI(entity; term) / IC(entity), which is 1
 for a term that is never seen without the entity; terms of at least ``MIN_SUPPORT`` joint occurrences whose disclosure reaches
 ``THRESHOLD`` are sanitised where they stand beside it: generalised to the class of words with the same first letters if
@@ -34,7 +34,7 @@ PATTERNS = {
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-_TERMS = r"(?<=\s)\p{L}{3,}+(?=[.,;:!?]*+\s)"
+_TERMS = r"(?<!\p{L})\p{L}{3,}+"
 
 
 def _starts(pieces: Column, values: Column) -> Column:
@@ -77,32 +77,37 @@ def _number(spans: Column, kind: int) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty) and base: array of (start, kind, end, value), kind an index of KINDS, in order."""
+    """doc_id, text (null as empty), masked (text with blanks for e-mail addresses) and base: array of (start, kind, end, value), kind an index of KINDS, in order."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns({f"m_{k}": F.regexp_extract_all("text", F.lit(p), 0) for k, p in PATTERNS.items()})
     df = df.withColumns({f"g_{k}": F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(F.array(F.lit(""))) for k, p in PATTERNS.items()})
     for n, k in enumerate(KINDS):
         df = df.withColumn(f"s_{k}", _spans(n, F.col(f"g_{k}"), F.col(f"m_{k}")))
-    return df.select("doc_id", "text", F.sort_array(F.concat(*[f"s_{k}" for k in KINDS])).alias("base"))
+    blank = lambda i: F.coalesce(F.repeat(F.lit(" "), F.length(F.get("m_email", i))), F.lit(""))
+    masked = F.when(F.size("m_email") > 0, F.array_join(F.transform("g_email", lambda p, i: F.concat(p, blank(i))), "")).otherwise(F.col("text"))
+    return df.select("doc_id", "text", masked.alias("masked"), F.sort_array(F.concat(*[f"s_{k}" for k in KINDS])).alias("base"))
 
 
-def _context_terms(text: Column, span: Column) -> Column:
+def _context_terms(masked: Column, span: Column) -> Column:
     """Terms beside a span: array of (entity, term, start, end)."""
     entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
-    left_from = F.greatest(span["start"] - CONTEXT, F.lit(0))
+    # one code point more than the context, so that words cut by its edge are told from whole ones
+    left_from = F.greatest(span["start"] - CONTEXT - 1, F.lit(0))
 
     def terms(part: Column, offset: Column) -> Column:
         found = _starts(F.split(part, _TERMS, -1), F.regexp_extract_all(part, F.lit(_TERMS), 0))
         return F.transform(found, lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (offset + x["at"]).alias("start"), (offset + x["at"] + F.length(x["value"])).alias("end")))
 
-    left = F.substring(text, left_from + 1, span["start"] - left_from)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    return F.concat(terms(left, left_from), terms(right, span["end"]))
+    left = F.substring(masked, left_from + 1, span["start"] - left_from)
+    right = F.substring(masked, span["end"] + 1, F.lit(CONTEXT + 1))
+    both = F.concat(terms(left, left_from), terms(right, span["end"]))
+    return F.filter(both, lambda x: (x["start"] >= span["start"] - CONTEXT) & (x["end"] <= span["end"] + CONTEXT))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """term, n: occurrences of every term in the corpus."""
-    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(_TERMS), 0)).alias("w")).groupBy(F.lower("w").alias("term")).agg(F.count("*").alias("n"))
+    masked = F.regexp_replace("text", PATTERNS["email"], " ")
+    return docs.select(F.explode(F.regexp_extract_all(masked, F.lit(_TERMS), 0)).alias("w")).groupBy(F.lower("w").alias("term")).agg(F.count("*").alias("n"))
 
 
 def _disclosure(joint: Column, term: Column, entity: Column, every: Column) -> Column:
@@ -133,8 +138,8 @@ def _keys(df: DataFrame) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, k, h (its key), spans: array of (start, kind, end, general) in order; kind TERM for disclosing terms."""
     spans = base_spans(docs)
-    text = F.col("text")
-    found = stage(_keys(spans.withColumn("beside", F.flatten(F.transform("base", lambda s: _context_terms(text, s))))).drop("text"), "found")
+    masked = F.col("masked")
+    found = stage(_keys(spans.withColumn("beside", F.flatten(F.transform("base", lambda s: _context_terms(masked, s))))).drop("text", "masked"), "found")
     counts = stage(term_counts(docs), "terms")
     over = disclosing_terms(found, counts)
     beside = found.filter(F.size("beside") > 0).select("k", "h", F.explode("beside").alias("x")).select("k", "h", "x.*")

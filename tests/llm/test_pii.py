@@ -88,3 +88,40 @@ def test_addresses_with_parts_of_zero(spark):
     assert sorted((str(r.doc_id), r.base_sha256, r.spans) for r in got.values()) == [(str(i), hashlib.sha256(b.encode()).hexdigest(), s) for i, b, s in brute(rows)]
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all(clean[i] == "host [IP] is up" for i in range(len(good)))
+
+
+WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def brute_words(rows, support=5, threshold=0.95):
+    """Terms of each row: whole words outside addresses, within 80 code points of an entity."""
+    masked = [re.sub(PLAIN["email"], lambda m: " " * len(m.group()), t) for _, t in rows]
+    words = [[(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(t)] for t in masked]
+    n_term = Counter(w for row in words for *_, w in row)
+    every, ents, joint, beside = sum(n_term.values()), Counter(), Counter(), []
+    for i, (_, t) in enumerate(rows):
+        for s, k, e, v in base(t):
+            ents[k, v.lower()] += 1
+            for a, b, w in words[i]:
+                if s - 80 <= a and b <= s or e <= a and b <= e + 80:
+                    joint[k, v.lower(), w] += 1
+                    beside.append((i, (k, v.lower()), a, b, w))
+    out = [set() for _ in rows]
+    for i, ent, a, b, w in beside:
+        n = joint[(*ent, w)]
+        if n >= support and 1 - math.log2(min(1, n / n_term[w])) / math.log2(ents[ent] / every) >= threshold:
+            out[i].add(f"term:{a}:{b}")
+    return out
+
+
+def test_terms_beside_punctuation_and_at_the_ends(spark):
+    mail = "gudrun.meyer@x.example"
+    shapes = [f'"Gudrun Meyer" <{mail}>', f"(Gudrun) {mail}", f"contact:Gudrun/{mail}", f"Gudrun {mail}", f"{mail} Gudrun", f"Anne-Marie's {mail}, +49 (30) 123.456-78", f"Anne-Marie {mail}!"]
+    rows = [(i, shapes[i % 7]) for i in range(42)] + [(100 + i, "the office about mail today, please ask the others or what about it. " * 9) for i in range(40)]
+    rows += [(200 + n, "é " + "Ottokar " + "- " * 30 + "-" * n + f" Zed{'a' * n} {mail} " + "-" * (70 + n) + " Ottokar") for n in range(16)]
+    rows += [(300 + n, "Kél" + f"{mail} Werner") for n in range(8)]
+    df = spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA)
+    got = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("term")} for r in pii.report(df).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute_words(rows), strict=True)}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert [clean[i] for i in (*range(42), 300) if any(w in clean[i] for w in ("Gudrun", "Meyer", "Anne", "Marie", "Werner", "@"))] == []
