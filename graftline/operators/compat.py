@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,19 @@ def deleted(methods: Column, fields: Column, interfaces: Column) -> Column:
     return n(methods) + n(fields) + n(interfaces) == 0
 
 
-def broken_calls(calls: DataFrame, incompatibilities: DataFrame) -> DataFrame:
-    """calls(call_id, tgt_class, name, return_type, params) with each incompatibility(inc_id, class_name, methods (parsed), fields, interfaces) that breaks them.
+def broken_calls(calls: DataFrame, incompatibilities: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """calls(by, call_id, tgt_class, name, return_type, params) with each incompatibility(by, inc_id, class_name, methods (parsed), fields, interfaces) that breaks them.
 
     A call breaks if its class is deleted, or a method of the list has its name, return type and parameters.
     """
     hit = F.exists("methods", lambda m: (m["name"] == F.col("name")) & (m["return_type"] == F.col("return_type")) & (m["params"] == F.col("params")))
-    met = calls.join(incompatibilities, calls.tgt_class == incompatibilities.class_name)
+    met = calls.join(incompatibilities.withColumnRenamed("class_name", "tgt_class"), [*by, "tgt_class"])
     return met.filter(deleted(F.col("methods"), F.col("fields"), F.col("interfaces")) | F.coalesce(hit, F.lit(False))).select("call_id", "inc_id")
 
 
-def semantic_calls(calls: DataFrame, semantic: DataFrame) -> DataFrame:
-    """calls(call_id, signature) whose signature starts a changed body; every matching entry counts."""
-    return calls.join(semantic, calls.signature == semantic.start_method).select("call_id", "changed_body_method")
+def semantic_calls(calls: DataFrame, semantic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """calls(by, call_id, signature) whose signature starts a changed body; every matching entry counts."""
+    return calls.join(semantic.withColumnRenamed("start_method", "signature"), [*by, "signature"]).select("call_id", "changed_body_method")
 
 
 def violation_counts(violations: DataFrame, key: str) -> DataFrame:

@@ -1,136 +1,165 @@
-"""Graph operators over edge tables (src, dst), for many graphs at once where a graph column is named (GR01-GR17).
+"""Graph operators over edge tables (src, dst), for many graphs at once where ``by`` names the columns of a graph's key (GR01-GR17).
 
-Traversals advance a frontier by joins; each round's new rows are staged, so that lineage stays short, and visited pairs
-are left out by anti-joins.  Path enumeration is bounded by its depth.
+Traversals advance a frontier by joins; each round's new rows are written once into one growing table, which is both what
+is visited (left out by an anti-join) and the result.  Shortest paths carry the path of the parent, so that no paths are
+enumerated for them; ``bounded_paths`` enumerates, for every path is its result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graftline.functions.names import cleared_group
-from graftline.staging import stage
+from graftline.staging import Rounds, release, stage
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, each once, with unit weight."""
-    return edges.select("src", "dst").unionByName(reversed_edges(edges)).distinct().withColumn("weight", F.lit(1.0))
+    return edges.select("src", "dst").unionByName(reversed_edges(edges.select("src", "dst"))).distinct().withColumn("weight", F.lit(1.0))
 
 
-def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends are among nodes(node)."""
-    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)
+def induced(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges whose two ends are among nodes(by, node)."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(*by, F.col("node").alias(end)), [*by, end], "left_semi").select(*edges.columns)
+    return edges
 
 
-def roots(edges: DataFrame) -> DataFrame:
-    """node: sources of edges that no edge enters."""
-    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+def roots(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, node: sources of edges that no edge enters."""
+    return edges.select(*by, F.col("src").alias("node")).distinct().join(edges.select(*by, F.col("dst").alias("node")), [*by, "node"], "left_anti")
 
 
-def _kept(edges: DataFrame) -> DataFrame:
-    """The distinct edges, written once: every round of a traversal reads them."""
-    return stage(edges.select("src", "dst").distinct(), "edges")
+def first_root(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, node, is_first: the roots, and whether a root is its graph's first."""
+    r = roots(edges, by)
+    least = r.groupBy(*by).agg(F.min("node").alias("first"))
+    met = r.join(least, list(by)) if by else r.crossJoin(F.broadcast(least))  # one row where there is one graph
+    return met.select(*by, "node", (F.col("node") == F.col("first")).alias("is_first"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """start, node, dist: the least number of edges from each start(start) to every node it reaches, itself included."""
-    edges = _kept(edges)
-    first = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
-    found, frontier, depth = [stage(first, "front")], None, 0
-    frontier = found[0]
+def _search(first: DataFrame, key: Sequence[str], advance, max_depth: int | None) -> DataFrame:
+    """first, and per round what advance(frontier, depth) gives and is not there by key yet."""
+    found, depth = Rounds(first.sparkSession, "found"), 0
+    frontier = found.add(first)
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.select("start", F.col("node").alias("src")).join(edges, "src").select("start", F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, found).select("start", "node")
-        frontier = stage(step.join(seen, ["start", "node"], "left_anti").withColumn("dist", F.lit(depth)), "front")
+        frontier = found.add(advance(frontier, depth).join(found.all().select(*key), list(key), "left_anti"))
         if frontier.isEmpty():
             break
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    return found.all()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node: what any of starts(start) reaches, starts included."""
-    one = starts.select(F.lit(0).alias("start"), F.col("start").alias("node")).distinct()
-    edges = _kept(edges)
-    found, depth = [stage(one.withColumn("dist", F.lit(0)), "front")], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = found[-1].select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, found).select("node")
-        new = stage(step.join(seen, "node", "left_anti").select(F.lit(0).alias("start"), "node", F.lit(depth).alias("dist")), "front")
-        if new.isEmpty():
-            break
-        found.append(new)
-    return reduce(DataFrame.unionByName, found).select("node")
+def _kept(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The distinct edges, written once: every round of a traversal reads them."""
+    return stage(edges.select(*by, "src", "dst").distinct(), "edges")
+
+
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, start, node, dist: the least number of edges from each start(by, start) to every node that it reaches, itself included.
+
+    The result has a row for each pair of a start and a node: use ``nearest`` or ``reachable`` where starts need not be told apart.
+    """
+    kept = _kept(edges, by)
+    first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
+
+    def advance(frontier: DataFrame, depth: int) -> DataFrame:
+        step = frontier.select(*by, "start", F.col("node").alias("src")).join(kept, [*by, "src"])
+        return step.select(*by, "start", F.col("dst").alias("node")).distinct().withColumn("dist", F.lit(depth))
+
+    found = _search(first, [*by, "start", "node"], advance, max_depth)
+    release(kept)
+    return found
 
 
-def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start, node, len, path (nodes): every path of at most max_depth edges that repeats no edge, length zero included."""
-    edges = _kept(edges)
-    level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
-    levels = [level]
+def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, node, start, len: for each node that is reached the nearest start, the first one on ties; one row for each node."""
+    kept = _kept(edges, by)
+    first = starts.select(*by, F.col("start").alias("node"), "start", F.lit(0).alias("len")).distinct()
+
+    def advance(frontier: DataFrame, depth: int) -> DataFrame:
+        step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
+        return step.groupBy(*by, F.col("dst").alias("node")).agg(F.min("start").alias("start")).withColumn("len", F.lit(depth))
+
+    found = _search(first, [*by, "node"], advance, max_depth)
+    release(kept)
+    return found
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, node: what any of starts(by, start) reaches, starts included."""
+    return nearest(edges, starts, max_depth, by).select(*by, "node")
+
+
+def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, start, node, len, path (nodes): every path of at most max_depth edges that repeats no edge, length zero included."""
+    kept, found = _kept(edges, by), Rounds(edges.sparkSession, "paths")
+    level = found.add(starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct())
+    hops = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path")).alias("b"))
+    again = F.exists(hops, lambda h: (h["a"] == F.col("src")) & (h["b"] == F.col("dst")))
     for depth in range(1, max_depth + 1):
-        p = levels[-1].withColumnRenamed("node", "src")
-        hops = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path")).alias("b"))
-        again = F.exists(hops, lambda h: (h["a"] == F.col("src")) & (h["b"] == F.col("dst")))
-        levels.append(p.join(edges, "src").filter(~again).select("start", F.col("dst").alias("node"), F.lit(depth).alias("len"), F.concat("path", F.array("dst")).alias("path")))
-    return reduce(DataFrame.unionByName, levels)
+        longer = level.withColumnRenamed("node", "src").join(kept, [*by, "src"]).filter(~again)
+        level = found.add(longer.select(*by, "start", F.col("dst").alias("node"), F.lit(depth).alias("len"), F.concat("path", F.array("dst")).alias("path")))
+    release(kept)
+    return found.all()
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start, node, len, path: of each pair the shortest path within the bound, ties by the nodes."""
-    found = bounded_paths(edges, starts, max_depth)
-    best = F.min(F.struct("len", "path"))
-    return found.groupBy("start", "node").agg(best.alias("b")).select("start", "node", "b.len", "b.path")
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, start, node, len, path: of each pair the shortest path, ties by the nodes; each round keeps a node's least path alone."""
+    kept = _kept(edges, by)
+    first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
 
+    def advance(frontier: DataFrame, depth: int) -> DataFrame:
+        step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
+        best = step.groupBy(*by, "start", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        return best.select(*by, "start", "node", F.lit(depth).alias("len"), F.concat("path", F.array("node")).alias("path"))
 
-def nearest_start(found: DataFrame) -> DataFrame:
-    """node, start, len: for each node the start with the shortest path, the first start on ties."""
-    return found.groupBy("node").agg(F.min(F.struct("len", "start")).alias("b")).select("node", "b.start", "b.len")
+    found = _search(first, [*by, "start", "node"], advance, max_depth)
+    release(kept)
+    return found
 
 
-def contract(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges between groups, and nodes(node, own): members(node, family) maps nodes to the group that stands for them.
+def contract(edges: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Edges between groups, and nodes(by, node, family): members(by, node, family) maps nodes to the group that stands for them.
 
     Ends in a group become the group; parallel edges collapse and loops stay.
     """
-    m = members.select("node", "family")
-    a, b = m.withColumnRenamed("node", "src").withColumnRenamed("family", "sf"), m.withColumnRenamed("node", "dst").withColumnRenamed("family", "df")
-    met = edges.select("src", "dst").join(a, "src", "left").join(b, "dst", "left")
-    return met.select(F.coalesce("sf", F.col("src").cast("string")).alias("src"), F.coalesce("df", F.col("dst").cast("string")).alias("dst")).distinct(), m
+    m = members.select(*by, "node", "family")
+    a, b = m.withColumnsRenamed({"node": "src", "family": "sf"}), m.withColumnsRenamed({"node": "dst", "family": "df"})
+    met = edges.select(*by, "src", "dst").join(a, [*by, "src"], "left").join(b, [*by, "dst"], "left")
+    return met.select(*by, F.coalesce("sf", F.col("src").cast("string")).alias("src"), F.coalesce("df", F.col("dst").cast("string")).alias("dst")).distinct(), m
 
 
-def families(nodes: DataFrame, own_group: Column | None = None) -> DataFrame:
-    """node, family, scopes, version: nodes(node, grp, scopes, version, ord) in cleared groups of two and more, without those of own_group."""
+def families(nodes: DataFrame, own_group: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, node, family, scopes, version: nodes(by, node, grp, scopes, version, ord) in cleared groups of two and more, without those of own_group."""
     if own_group is not None:
         nodes = nodes.filter(~F.col("grp").eqNullSafe(own_group))
-    w = Window.partitionBy("cleared")
-    g = nodes.withColumn("cleared", cleared_group(F.col("grp"))).withColumn("n", F.count("*").over(w)).filter("n >= 2")
-    first = F.first("version").over(w.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    scopes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("scopes").over(w))))
-    return g.select("node", F.concat(F.lit("family:"), F.col("cleared")).alias("family"), scopes.alias("scopes"), first.alias("version"))
+    g = nodes.filter("grp is not null").withColumn("cleared", cleared_group(F.col("grp")))
+    scopes = g.select(*by, "cleared", F.explode("scopes").alias("scope")).groupBy(*by, "cleared").agg(F.array_sort(F.collect_set("scope")).alias("scopes"))
+    groups = g.groupBy(*by, "cleared").agg(F.count("*").alias("n"), F.min_by("version", "ord").alias("version")).filter("n >= 2").drop("n")
+    full = groups.join(scopes, [*by, "cleared"], "left").withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
+    return g.select(*by, "node", "cleared").join(full, [*by, "cleared"]).select(*by, "node", F.concat(F.lit("family:"), F.col("cleared")).alias("family"), "scopes", "version")
 
 
-def expand(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """node: members of the families among nodes(node), other nodes as they are."""
-    m = members.select(F.col("family").alias("node"), F.col("node").cast("string").alias("member"))
-    return nodes.select(F.col("node").cast("string").alias("node")).join(m, "node", "left").select(F.coalesce("member", "node").alias("node")).distinct()
+def expand(nodes: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of nodes with node (text) replaced by the members of the families among them; other nodes stay as they are."""
+    m = members.select(*by, F.col("family").alias("node"), F.col("node").cast("string").alias("_member"))
+    text = nodes.withColumn("node", F.col("node").cast("string"))
+    return text.join(m, [*by, "node"], "left").withColumn("node", F.coalesce("_member", "node")).select(*nodes.columns).distinct()
 
 
-def sink_roots(edges: DataFrame, sink: DataFrame, cut: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, root: for each sink node the cut nodes without parents in the sink from which it is reached inside the sink."""
-    inside = induced(edges.select("src", "dst"), sink)
-    tops = sink.select("node").join(inside.select(F.col("dst").alias("node")), "node", "left_anti").join(cut, "node", "left_semi")
-    return distances(inside, tops.withColumnRenamed("node", "start"), max_depth).select("node", F.col("start").alias("root"))
+def sink_roots(edges: DataFrame, sink: DataFrame, cut: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, node, root: for each sink node the cut nodes without parents in the sink from which it is reached inside the sink."""
+    inside = induced(edges.select(*by, "src", "dst"), sink, by)
+    tops = sink.select(*by, "node").join(inside.select(*by, F.col("dst").alias("node")), [*by, "node"], "left_anti").join(cut.select(*by, "node"), [*by, "node"], "left_semi")
+    return distances(inside, tops.withColumnRenamed("node", "start"), max_depth, by).select(*by, "node", F.col("start").alias("root"))
 
 
 def degrees(calls: DataFrame) -> DataFrame:
@@ -139,3 +168,15 @@ def degrees(calls: DataFrame) -> DataFrame:
     into = calls.groupBy(F.col("tgt").alias("node")).agg(F.count("*").alias("in_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.join(into, "node", "full").select("node", zero("in_degree"), zero("out_degree"))
+
+
+def call_vertices(calls: DataFrame) -> DataFrame:
+    """node: the methods that call."""
+    return calls.select(F.col("src").alias("node")).distinct()
+
+
+def sizes(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, vertices, edges: the counters of each graph."""
+    ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy(*by).agg(F.count("*").alias("vertices"))
+    n = edges.groupBy(*by).agg(F.count("*").alias("edges"))
+    return ends.join(n, list(by)) if by else ends.crossJoin(n)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Loose matches are looked up by so many first characters.
+GRAM = 4
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """Of each key the first row in order."""
     return top_by(df, keys, 1, *order)
@@ -30,15 +36,27 @@ def match_first(left: DataFrame, right: DataFrame, on: list[str], order: str, fo
     return left.join(best, cond, "left").select(*[left[c] for c in left.columns], found)
 
 
-def match_loose(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], order: str, found: str, key: list[str]) -> DataFrame:
-    """left with the first right row of which every right text contains its left text; both sides are small node tables."""
-    own = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(a).alias(f"_l{i}") for i, (a, _) in enumerate(pairs)])
-    other = right.select(F.col(order).alias("_order"), F.col(found).alias("_found"), *[F.col(b).alias(f"_r{i}") for i, (_, b) in enumerate(pairs)])
-    cond = F.lit(True)
+def match_loose(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], order: str, found: str, key: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """left with the first right row of the same by of which every right text contains its left text.
+
+    Texts are short names.  A text of ``GRAM`` characters and more is contained only where its first ones are, so that the join is on
+    by and these characters of the first pair; shorter texts meet every distinct position's characters by a key of their own length.
+    """
+    own = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[F.col(a).alias(f"_l{i}") for i, (a, _) in enumerate(pairs)])
+    own = own.withColumn("_gram", F.substring("_l0", 1, GRAM))
+    other = right.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col(order).alias("_order"), F.col(found).alias("_found"), *[F.col(b).alias(f"_r{i}") for i, (_, b) in enumerate(pairs)])
+    at = F.sequence(F.lit(1), F.length("_r0") + 1)
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring("_r0", i, n)))))
+    other = other.filter("_r0 is not null").withColumn("_gram", F.explode(grams))
+    met = own.join(other, [*[f"_b{i}" for i in range(len(by))], "_gram"])
     for i in range(len(pairs)):
-        cond = cond & F.coalesce(F.contains(F.col(f"_r{i}"), F.col(f"_l{i}")), F.lit(False))
-    met = own.join(other, cond, "left")
-    return met.groupBy(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)]).agg(F.min_by("_found", "_order").alias(found))
+        met = met.filter(F.contains(F.col(f"_r{i}"), F.col(f"_l{i}")))
+    best = met.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min_by("_found", "_order").alias(found))
+    keys = left.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).distinct().alias("l")
+    same = F.lit(True)
+    for i in range(len(key)):
+        same = same & F.col(f"l._k{i}").eqNullSafe(F.col(f"r._k{i}"))
+    return keys.join(best.alias("r"), same, "left").select(*[F.col(f"l._k{i}").alias(c) for i, c in enumerate(key)], found)
 
 
 def classify_versions(updates: DataFrame, known: DataFrame) -> DataFrame:

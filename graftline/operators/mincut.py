@@ -47,27 +47,25 @@ def min_cut(edges: list[tuple[str, str]], weights: list[float], s: str, t: str)
 def all_cuts(edges: list[tuple[str, str]], s: str, t: str) -> list[tuple[float, list[int], set[str]]]:
     """The first cut and alternatives of at most the best weight, in the order in which they are found.
 
-    An edge of a known cut is made one dearer and the cut computed again; what is dearer than the best is undone, and
-    the increments of accepted cuts stay.
+    The work list holds edges to make one dearer before the cut is computed again; it begins with none.  A cut that is
+    dearer than the best puts its edge's weight back to 1; otherwise the increment stays, and a new cut puts its edges on the list.
     """
     if not edges or s == t:
         return []
-    weights, todo, best, found = [1.0] * len(edges), deque([0]), float("inf"), []
-    weights[0] -= 1
-    seen = set()
+    weights, todo, best, found, seen = [1.0] * len(edges), deque([None]), float("inf"), [], set()
     while todo:
         e = todo.popleft()
-        weights[e] += 1
+        if e is not None:
+            weights[e] += 1
         cut = min_cut(edges, weights, s, t)
         if cut[0] > best:
             weights[e] = 1.0
-            continue
-        best = cut[0]
-        key = tuple(cut[1])
-        if key not in seen:
-            seen.add(key)
-            found.append(cut)
-            todo.extend(cut[1])
+        else:
+            best = cut[0]
+            if tuple(cut[1]) not in seen:
+                seen.add(tuple(cut[1]))
+                found.append(cut)
+                todo.extend(cut[1])
     return found
 
 

@@ -1,145 +1,273 @@
-"""Update recommendations for many tasks at once (DOM01-DOM07, DOM10, DOM17-DOM20).
+"""Update recommendations for many tasks of many projects at once (DOM01-DOM07, DOM10, DOM17-DOM20).
 
-A task is a library (a node of the dependency graph) and a target version.  The phases are joins over all tasks; a
-task that fails becomes a row with a status, never a failed job.
+A task is a project's library (a node of its dependency graph) and a target version.  The phases are joins over all tasks; a
+task that fails becomes a row with a status or an error, never a failed job.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftline.functions.names import gav
+from graftline.functions.names import gav, rounded_weight, same_family
 from graftline.functions.versions import version_key
-from graftline.operators import mincut
-from graftline.operators.compat import NO_ENTRY, override_decision
+from graftline.operators import compat, constraints, mincut
+from graftline.operators.compat import override_decision, status_of
 from graftline.operators.constraints import NEIGHBOUR_DEPTH
-from graftline.operators.graph import distances
-from graftline.operators.matching import match_first, match_loose
+from graftline.operators.graph import contract, distances, expand, families, induced, nearest, shortest_paths, sink_roots
+from graftline.operators.matching import first_by, match_first, match_loose
 from graftline.staging import stage
 
+PROJECT = ["project"]
+
 
 @dataclass
 class Inputs:
-    """artifacts(node, grp, artifact, version, ord), deps(src, dst), eco_nodes(node, grp, artifact, version, pos), eco_edges(src, dst), calls(src, dst, n)."""
+    """The tables of a batch.
+
+    projects(project, root, has_calls); artifacts(project, node, grp, artifact, version, scopes, ord), the root among them;
+    deps(project, src, dst, included); versions(grp, artifact, version, pos) in the order of the search's response;
+    eco_nodes(node, grp, artifact, version); eco_edges(src, dst) of the compile scope;
+    calls(project, src, dst, tgt_class, name, return_type, params, signature) between libraries; docs(gav), checks(base, next),
+    incompatibilities(base, next, kind, class_name, methods, fields, interfaces), semantic(base, next, start_method, changed_body_method).
+    """
 
+    projects: DataFrame
     artifacts: DataFrame
     deps: DataFrame
+    versions: DataFrame
     eco_nodes: DataFrame
     eco_edges: DataFrame
     calls: DataFrame
+    docs: DataFrame
+    checks: DataFrame
+    incompatibilities: DataFrame
+    semantic: DataFrame
+
+
+def is_compile(scopes: Column, artifact: Column, scope: str = "compile", test_mark: str = "junit") -> Column:
+    return F.coalesce(F.array_contains(scopes, scope), F.lit(False)) & ~F.coalesce(F.contains(artifact, F.lit(test_mark)), F.lit(False))
 
 
 def compile_only(artifacts: DataFrame, scope: str = "compile", test_mark: str = "junit") -> DataFrame:
     """Artifacts of the scope that are no test libraries."""
-    return artifacts.filter(F.array_contains("scopes", scope) & ~F.contains("artifact", F.lit(test_mark)))
+    return artifacts.filter(is_compile(F.col("scopes"), F.col("artifact"), scope, test_mark))
+
+
+def _gav() -> Column:
+    return gav(F.col("grp"), F.col("artifact"), F.col("version"))
+
+
+def validated(tasks: DataFrame, x: Inputs) -> DataFrame:
+    """tasks(task_id, project, org_gav, target_gav) with lib, target and problem, which is null for tasks that can be worked on.
+
+    INVALID_TARGET: the target has no version; UNKNOWN_LIBRARY: no artifact of the project has the GAV; WRONG_SCOPE: no compile dependency.
+    """
+    known = x.artifacts.withColumn("org_gav", _gav()).withColumn("ok", is_compile(F.col("scopes"), F.col("artifact")))
+    lib = known.groupBy("project", "org_gav").agg(F.min_by(F.struct(F.col("node").alias("lib"), "ok"), "ord").alias("l"))
+    target = F.get(F.split("target_gav", ":", -1), F.lit(2))
+    problem = F.when(F.coalesce(target, F.lit("")) == "", "INVALID_TARGET").when(F.col("l").isNull(), "UNKNOWN_LIBRARY").when(~F.col("l.ok"), "WRONG_SCOPE")
+    return tasks.join(lib, ["project", "org_gav"], "left").select("task_id", "project", "org_gav", "target_gav", F.col("l.lib").alias("lib"), target.alias("target"), problem.alias("problem"))
+
+
+def candidates(tasks: DataFrame, x: Inputs) -> DataFrame:
+    """task_id, project, lib, pos, version: the versions that are at least the target, in response order."""
+    lib = x.artifacts.select("project", F.col("node").alias("lib"), "grp", "artifact")
+    every = x.versions.select("grp", "artifact", "pos", "version", version_key(F.col("version")).alias("key"))
+    met = tasks.join(lib, ["project", "lib"]).join(every, ["grp", "artifact"]).filter(F.col("key") >= version_key(F.col("target")))
+    return met.select("task_id", "project", "lib", "grp", "artifact", "pos", "version")
 
 
 def pick_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
-    """task_id, lib, cand, cand_version: the first candidate in response order that is at least the target."""
-    lib = x.artifacts.select(F.col("node").alias("lib"), "grp", "artifact")
-    eco = x.eco_nodes.select("grp", "artifact", F.col("node").alias("cand"), F.col("version").alias("cand_version"), "pos", version_key(F.col("version")).alias("key"))
-    met = tasks.join(lib, "lib").join(eco, ["grp", "artifact"]).filter(F.col("key") >= version_key(F.col("target")))
-    best = met.groupBy("task_id").agg(F.min(F.struct("pos", "cand", "cand_version")).alias("b"))
-    return tasks.join(best, "task_id", "left").select("task_id", "lib", "target", "b.cand", "b.cand_version")
+    """task_id, project, lib, cand, cand_version: the first candidate, in response order, that the ecosystem has; null where there is none."""
+    eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
+    best = candidates(tasks, x).join(eco, ["grp", "artifact", "version"]).groupBy("task_id").agg(F.min(F.struct("pos", "cand", "version")).alias("b"))
+    return tasks.select("task_id", "project", "lib").join(best, "task_id", "left").select("task_id", "project", "lib", "b.cand", F.col("b.version").alias("cand_version"))
 
 
-def update_graphs(picked: DataFrame, x: Inputs) -> DataFrame:
-    """task_id, node, new_len, grp, artifact, version: what a task's candidate brings along."""
-    reach = distances(x.eco_edges, picked.filter("cand is not null").select(F.col("cand").alias("start")).distinct(), NEIGHBOUR_DEPTH)
-    eco = x.eco_nodes.select("node", "grp", "artifact", "version")
-    return picked.select("task_id", F.col("cand").alias("start")).join(reach, "start").select("task_id", "node", F.col("dist").alias("new_len")).join(eco, "node")
-
-
-def changed_nodes(graphs: DataFrame, x: Inputs) -> DataFrame:
-    """task_id, old, new_len: dependencies of which a task's update graph has another version."""
-    old = x.artifacts.select("grp", "artifact", F.struct("node", "version").alias("o"), "ord")
-    first = old.groupBy("grp", "artifact").agg(F.min_by("o", "ord").alias("o"))
-    met = graphs.join(first, (graphs.grp.eqNullSafe(first.grp)) & (graphs.artifact.eqNullSafe(first.artifact)))
-    return met.filter(~F.col("o.version").eqNullSafe(graphs.version)).select("task_id", F.col("o.node").alias("old"), "new_len").distinct()
-
-
-def violations(changed: DataFrame, updated: DataFrame, x: Inputs, old_len: DataFrame | None = None) -> DataFrame:
-    """task_id, old, decision, calls: updated(task_id, node); old_len(node, dist) is the distance from the project root."""
-    inside = updated.select("task_id", F.col("node").alias("old"), F.lit(True).alias("inside"))
-    met = changed.groupBy("task_id", "old").agg(F.min("new_len").alias("new_len")).join(inside, ["task_id", "old"], "left")
-    far = F.lit(None).cast("int")
-    if old_len is not None:
-        met, far = met.join(old_len.select(F.col("node").alias("old"), "dist"), "old", "left"), F.col("dist")
-    decided = met.withColumn("decision", override_decision(far, F.coalesce("inside", F.lit(False)), F.col("new_len")))
-    into = x.calls.select("src", F.col("dst").alias("old"), "n")
-    risky = decided.filter("decision = 'CHECK'").join(into, "old").join(updated.select("task_id", F.col("node").alias("src")), ["task_id", "src"], "left_anti")
-    checked = risky.groupBy("task_id", "old").agg(F.sum("n").alias("calls")).withColumn("decision", F.lit("CHECK"))
-    forward = decided.filter("decision = 'FORWARD'").select("task_id", "old", F.lit(1).cast("long").alias("calls"), "decision")
-    return checked.unionByName(forward)
-
-
-def suggestions(picked: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each task: status, number of violations and of violated calls (-1 where no candidate has an entry)."""
-    n = found.groupBy("task_id").agg(F.count_if(F.col("calls") > 0).alias("v"), F.sum("calls").alias("c"))
-    ok = F.col("cand").isNotNull()
+def changed_nodes(sub_nodes: DataFrame, x: Inputs) -> DataFrame:
+    """run, project, new, old, old_version: nodes(run, project, node) of sub-graphs whose artifact the project has in another version."""
+    eco = x.eco_nodes.select(F.col("node").alias("new"), "grp", "artifact", F.col("version").alias("new_version"))
+    old = x.artifacts.groupBy("project", "grp", "artifact").agg(F.min_by(F.struct(F.col("node").alias("old"), F.col("version").alias("old_version")), "ord").alias("o"))
+    met = sub_nodes.select("run", "project", F.col("node").alias("new")).join(eco, "new")
+    same = met["project"].eqNullSafe(old["project"]) & met["grp"].eqNullSafe(old["grp"]) & met["artifact"].eqNullSafe(old["artifact"])
+    both = met.join(old, same).filter(~F.col("o.old_version").eqNullSafe(F.col("new_version")))
+    return both.select("run", met["project"], "new", "o.old", gav(met["grp"], met["artifact"], F.col("o.old_version")).alias("base"), gav(met["grp"], met["artifact"], F.col("new_version")).alias("next"))
+
+
+def decisions(changed: DataFrame, root_paths: DataFrame, init: DataFrame, new_len: DataFrame) -> DataFrame:
+    """changed with decision: root_paths(project, node, len, path) from the project's root, init(run, node), new_len(run, new, new_len) over the updated nodes."""
+    old = root_paths.select("project", F.col("node").alias("old"), F.col("len").alias("old_len"), "path")
+    met = changed.join(old, ["project", "old"], "left").join(init.groupBy("run").agg(F.collect_set("node").alias("init")), "run", "left").join(new_len, ["run", "new"], "left")
+    through = F.coalesce(F.arrays_overlap("path", "init"), F.lit(False))
+    return met.select(*changed.columns, override_decision(F.col("old_len"), through, F.col("new_len")).alias("decision"))
+
+
+def violated(decided: DataFrame, unupdated: DataFrame, x: Inputs, skip_family: bool) -> DataFrame:
+    """run, old, new, problem, calls (number): a row for every change that is a violation, maybe without calls.
+
+    Calls into a changed library come from unupdated(run, node), with skip_family not from its own family.  Calls of the
+    project's root are checked for source, others for binary compatibility, all of them for changed bodies; problem is EMPTY_CG without calls of
+    the project, FAILED_SIGTEST where the pair of versions has no check.
+    """
+    root = x.projects.select("project", "root", "has_calls")
+    group = x.artifacts.select("project", "node", "grp")
+    check = decided.filter("decision = 'CHECK'").join(root, "project").select("run", "project", "old", "new", "base", "next", "root", "has_calls")
+    empty = check.filter("not has_calls").select("run", "old", "new", F.lit("EMPTY_CG").alias("problem"), F.lit(0).cast("long").alias("calls"))
+    into = check.filter("has_calls").join(x.calls.withColumnRenamed("dst", "old"), ["project", "old"])
+    risky = into.join(unupdated.select("run", F.col("node").alias("src")), ["run", "src"], "left_semi")
+    if skip_family:
+        groups = group.select("project", F.col("node").alias("src"), F.col("grp").alias("src_group")), group.select("project", F.col("node").alias("old"), F.col("grp").alias("tgt_group"))
+        risky = risky.join(groups[0], ["project", "src"]).join(groups[1], ["project", "old"]).filter(~same_family(F.col("src_group"), F.col("tgt_group")))
+    kind = F.when(F.col("src") == F.col("root"), "SRC").otherwise("BINARY")
+    risky = stage(risky.select("run", "old", "new", "base", "next", kind.alias("kind"), "tgt_class", "name", "return_type", "params", "signature"), "risky")
+    rows = risky.select("run", "old", "new", "base", "next").distinct()
+    status = compat.lookup(rows.select("base", "next").distinct(), x.docs, x.checks)
+    key = ["run", "old", "new"]
+    broken = compat.broken_calls(risky.withColumn("call_id", F.struct(*key)), x.incompatibilities, ["base", "next", "kind"]).select("call_id.*")
+    bodies = compat.semantic_calls(risky.withColumn("call_id", F.struct(*key)), x.semantic, ["base", "next"]).select("call_id.*")
+    n = broken.unionByName(bodies).groupBy(*key).agg(F.count("*").alias("calls"))
+    checked = rows.join(status, ["base", "next"]).join(n, key, "left")
+    checked = checked.select(*key, F.when(F.col("status") != "SUCCESS", F.col("status")).alias("problem"), F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
+    # a kept old version stands for one call that has to be forward compatible
+    forward = decided.filter("decision = 'FORWARD'").select(*key, F.lit(None).cast("string").alias("problem"), F.lit(1).cast("long").alias("calls"))
+    return empty.unionByName(checked).unionByName(forward)
+
+
+def outcome(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """runs(run, cand, ...) with status, nr_violations, nr_calls (-1 on failure) and is_perfect: no violation at all, or none that could be checked."""
+    n = found.groupBy("run").agg(F.count_if(F.col("calls") > 0).alias("v"), F.sum("calls").alias("c"), F.max(F.col("problem") == "EMPTY_CG").alias("no_cg"), F.max(F.col("problem") == "FAILED_SIGTEST").alias("no_check"), F.count("*").alias("rows"))
+    false = lambda c: F.coalesce(c, F.lit(False))
+    status = status_of(~false(F.col("no_cg")), F.col("cand").isNotNull(), ~false(F.col("no_check")))
+    ok = F.col("status") == "SUCCESS"
     count = lambda c: F.when(ok, F.coalesce(F.col(c), F.lit(0))).otherwise(-1).cast("long")
-    return picked.join(n, "task_id", "left").select("task_id", "lib", "cand", "cand_version", F.when(ok, "SUCCESS").otherwise(NO_ENTRY).alias("status"), count("v").alias("nr_violations"), count("c").alias("nr_calls"))
+    met = runs.join(n, "run", "left").withColumn("status", status)
+    perfect = F.when(F.col("cand").isNull(), False).otherwise(~ok | F.col("rows").isNull())
+    return met.select(*runs.columns, "status", count("v").alias("nr_violations"), count("c").alias("nr_calls"), perfect.alias("is_perfect"))
+
 
+def root_paths(x: Inputs, of: DataFrame) -> DataFrame:
+    """project, node, len, path from the project's root, for the projects of of."""
+    starts = x.projects.join(of.select("project").distinct(), "project", "left_semi").select("project", F.col("root").alias("start"))
+    return shortest_paths(x.deps, starts, by=PROJECT).drop("start")
 
-def simple_update(tasks: DataFrame, x: Inputs) -> DataFrame:
-    """Suggestions that update the library alone, for tasks(task_id, lib, target)."""
-    reach = stage(distances(x.deps, tasks.select(F.col("lib").alias("start")).distinct()), "reach")
-    updated = tasks.select("task_id", F.col("lib").alias("start")).join(reach, "start").select("task_id", "node")
+
+def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -> DataFrame:
+    """Suggestions that update the library alone, for tasks(task_id, project, lib, target)."""
+    paths = root_paths(x, tasks) if paths is None else paths
     picked = stage(pick_versions(tasks, x), "picked")
-    changed = changed_nodes(update_graphs(picked, x), x)
-    return suggestions(picked, violations(changed, updated, x)).withColumn("is_simple", F.lit(True))
+    hood = distances(x.eco_edges, picked.filter("cand is not null").select(F.col("cand").alias("start")).distinct(), NEIGHBOUR_DEPTH)
+    sub = picked.select(F.col("task_id").alias("run"), "project", F.col("cand").alias("start")).join(hood, "start")
+    own = compile_only(x.artifacts).select("project", "node")
+    included = induced(x.deps.filter("included").select("project", "src", "dst"), own, PROJECT)
+    reach = distances(included, tasks.select("project", F.col("lib").alias("start")).distinct(), by=PROJECT)
+    updated = tasks.select(F.col("task_id").alias("run"), "project", F.col("lib").alias("start")).join(reach, ["project", "start"]).select("run", "node")
+    rest = tasks.select(F.col("task_id").alias("run"), "project").join(own, "project").join(updated, ["run", "node"], "left_anti").select("run", "node")
+    changed = changed_nodes(sub, x)
+    decided = stage(decisions(changed, paths, tasks.select(F.col("task_id").alias("run"), F.col("lib").alias("node")), sub.select("run", F.col("node").alias("new"), F.col("dist").alias("new_len"))), "decided")
+    done = outcome(picked.withColumnRenamed("task_id", "run"), violated(decided, rest, x, skip_family=False))
+    return done.withColumnRenamed("run", "task_id").withColumn("is_simple", F.lit(True))
+
 
+def cut_tasks(tasks: DataFrame, x: Inputs, members: DataFrame) -> DataFrame:
+    """task_id, ord, src, dst, s, t: for every task its project's whole contracted graph of compile nodes, for the min-cut kernel."""
+    text = x.artifacts.select("project", F.col("node").cast("string").alias("node"), "scopes", "artifact")
+    single = text.join(members.select("project", F.col("node").cast("string").alias("node")), [*PROJECT, "node"], "left_anti").filter(is_compile(F.col("scopes"), F.col("artifact")))
+    group = members.filter(is_compile(F.col("scopes"), F.lit(None).cast("string"))).select("project", F.col("family").alias("node")).distinct()
+    edges = induced(contract(x.deps, members, PROJECT)[0], single.select("project", "node").unionByName(group), PROJECT)
+    t = members.select("project", F.col("node").alias("lib"), "family")
+    ends = tasks.join(x.projects.select("project", "root"), "project").join(t, ["project", "lib"], "left").select("task_id", "project", F.col("root").cast("string").alias("s"), F.coalesce("family", F.col("lib").cast("string")).alias("t"))
+    return ends.join(edges, "project").select("task_id", F.concat_ws(" ", "src", "dst").alias("ord"), "src", "dst", "s", "t")
 
-def cut_tasks(tasks: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """task_id, ord, src, dst, s, t: the surroundings of each task's library up to its project root, for the min-cut kernel.
 
-    tasks(task_id, lib, root); the graph of a task is what lies on the way between root and library, so that it stays small.
+def min_cut_updates(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -> DataFrame:
+    """Suggestions that update all libraries behind a minimum cut, in the order of the cuts up to the first perfect one, for tasks(task_id, project, lib, target).
+
+    task_id, cut_ix, cut_weight, cand_version, update_steps, status, nr_violations, nr_calls.
     """
-    down = distances(edges, tasks.select(F.col("root").alias("start")).distinct(), depth).withColumnRenamed("start", "root")
-    up = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), tasks.select(F.col("lib").alias("start")).distinct(), depth).withColumnRenamed("start", "lib")
-    between = tasks.join(down.select("root", "node"), "root").join(up.select("lib", "node"), ["lib", "node"]).select("task_id", "lib", "root", "node")
-    a = between.select("task_id", "lib", "root", F.col("node").alias("src")).join(edges, "src").join(between.select("task_id", F.col("node").alias("dst")), ["task_id", "dst"])
-    text = lambda c: F.col(c).cast("string")
-    return a.select("task_id", F.concat_ws("-", F.lpad(text("src"), 12, "0"), F.lpad(text("dst"), 12, "0")).alias("ord"), text("src").alias("src"), text("dst").alias("dst"), text("root").alias("s"), text("lib").alias("t"))
-
-
-def min_cut_updates(tasks: DataFrame, x: Inputs, depth: int = 4) -> DataFrame:
-    """Suggestions that update all libraries behind a minimum cut, one row for each cut: steps are the cut's nodes on the library's side."""
-    found = stage(mincut.cuts(cut_tasks(tasks, x.deps.select("src", "dst").distinct(), depth)), "cuts")
-    ends = found.select("task_id", "cut_ix", "sink", F.explode("edges").alias("e")).select("task_id", "cut_ix", F.explode(F.split("e", "->")).alias("node"), "sink").filter(F.array_contains("sink", F.col("node"))).select("task_id", "cut_ix", F.col("node").cast("long").alias("node")).distinct()
-    rows = ends.join(x.artifacts, "node").select("task_id", "cut_ix", "node", "version").withColumn("sub", F.concat_ws("/", "task_id", "cut_ix", "node"))
-    picked = stage(pick_versions(rows.select(F.col("sub").alias("task_id"), F.col("node").alias("lib"), F.col("version").alias("target")), x), "picked")
-    cut_id = lambda c: F.substring_index(c, "/", 2)
-    graphs = update_graphs(picked, x).withColumn("task_id", cut_id("task_id"))
-    changed = changed_nodes(graphs, x)
-    updated = found.select(F.concat_ws("/", "task_id", "cut_ix").alias("task_id"), F.explode("sink").alias("node")).withColumn("node", F.col("node").cast("long"))
-    n = violations(changed, updated, x).groupBy("task_id").agg(F.count_if(F.col("calls") > 0).alias("nr_violations"), F.sum("calls").alias("nr_calls"))
-    steps = picked.join(x.artifacts.select(F.col("node").alias("lib"), "grp", "artifact", "version"), "lib").groupBy(cut_id("task_id").alias("task_id")).agg(F.sort_array(F.collect_set(F.struct(gav(F.col("grp"), F.col("artifact"), F.col("version")).alias("from"), gav(F.col("grp"), F.col("artifact"), F.col("cand_version")).alias("to")))).alias("update_steps"), F.bool_and(F.col("cand").isNotNull()).alias("ok"))
-    out = found.withColumn("id", F.concat_ws("/", "task_id", "cut_ix")).drop("edges", "source", "sink").join(steps.withColumnRenamed("task_id", "id"), "id", "left").join(n.withColumnRenamed("task_id", "id"), "id", "left")
-    count = lambda c: F.when(F.col("ok"), F.coalesce(F.col(c), F.lit(0))).otherwise(-1).cast("long")
-    return out.select("task_id", "cut_ix", F.floor(F.col("weight") + 0.5).cast("int").alias("cut_weight"), "update_steps", F.when(F.col("ok"), "SUCCESS").otherwise(NO_ENTRY).alias("status"), count("nr_violations").alias("nr_violations"), count("nr_calls").alias("nr_calls"))
-
-
-def recommend(tasks: DataFrame, x: Inputs, depth: int = 4) -> DataFrame:
-    """Simple suggestions of all tasks(task_id, lib, target, root), and min-cut suggestions for those that are not solved by them."""
-    simple = stage(simple_update(tasks.select("task_id", "lib", "target"), x), "simple")
-    solved = simple.filter("status = 'SUCCESS' and nr_violations = 0").select("task_id")
-    open_tasks = tasks.join(solved, "task_id", "left_anti").select("task_id", "lib", "root")
-    cut = min_cut_updates(open_tasks, x, depth)
-    a = simple.select("task_id", F.lit("simple").alias("kind"), F.lit(None).cast("int").alias("cut_ix"), F.lit(1).alias("cut_weight"), "status", "nr_violations", "nr_calls")
-    return a.unionByName(cut.select("task_id", F.lit("min-cut").alias("kind"), "cut_ix", "cut_weight", "status", "nr_violations", "nr_calls"))
-
-
-def update_steps(roots: DataFrame, cut_nodes: DataFrame, updates: DataFrame, known: DataFrame) -> DataFrame:
-    """old_gav, new_gav: updated roots by (grp, artifact), and cut nodes matched exactly, else loosely; distinct."""
-    g = lambda p="": gav(F.col(f"{p}grp"), F.col(f"{p}artifact"), F.col(f"{p}version"))
-    new = updates.withColumn("new_gav", g())
-    a = match_first(roots.withColumn("new_gav", g()).drop("version"), known.withColumn("old_gav", g()), ["grp", "artifact"], "ord", "old_gav")
-    exact = match_first(cut_nodes.withColumn("old_gav", g()), new, ["grp", "artifact"], "ord", "new_gav")
-    missed = exact.filter("new_gav is null").select("grp", "artifact", "old_gav")
-    loose = match_loose(missed, new.select(F.col("grp").alias("ug"), F.col("artifact").alias("ua"), "ord", "new_gav"), [("grp", "ug"), ("artifact", "ua")], "ord", "new_gav", ["old_gav"])
-    both = [df.filter("old_gav is not null and new_gav is not null").select("old_gav", "new_gav") for df in (a, exact, loose)]
+    paths = root_paths(x, tasks) if paths is None else paths
+    root_group = x.projects.join(x.artifacts.select("project", F.col("node").alias("root"), F.col("grp").alias("own")), ["project", "root"]).select("project", "own")
+    wanted = tasks.select("project").distinct()
+    members = stage(families(x.artifacts.join(wanted, "project", "left_semi").join(root_group, "project").filter(~F.col("grp").eqNullSafe(F.col("own"))), by=PROJECT), "members")
+    run = F.concat_ws("/", F.col("task_id").cast("string"), F.col("cut_ix").cast("string"))
+    cuts = mincut.cuts(cut_tasks(tasks, x, members)).join(tasks.select("task_id", "project", "lib", "target"), "task_id").withColumn("run", run)
+    cuts = stage(cuts, "cuts")
+    side = lambda c: expand(cuts.select("run", "project", F.explode(c).alias("node")), members, PROJECT).withColumn("node", F.col("node").cast("long"))
+    sink, source = stage(side("sink"), "sink"), side("source")
+    # cut nodes are the ends on the library's side
+    pairs = cuts.select("run", "project", "sink", F.explode("edges").alias("e"))
+    ends = pairs.select("run", "project", "sink", F.explode(F.split("e", "->")).alias("node")).filter(F.array_contains("sink", F.col("node"))).select("run", "project", "node").distinct()
+    cut_nodes = stage(expand(ends, members, PROJECT).withColumn("node", F.col("node").cast("long")), "cut-nodes")
+    run_key = ["run", "project"]
+    deps = x.deps.select("project", "src", "dst")
+    inside = deps.join(cuts.select(*run_key), "project")
+    roots = stage(sink_roots(inside.select(*run_key, "src", "dst"), sink, cut_nodes, by=run_key).select("run", "node", "root"), "sink-roots")
+    family = roots.join(cuts.select(*run_key), "run").select("project", F.col("root").alias("node")).distinct().join(members.select("project", "node", "family"), ["project", "node"], "left")
+    starts = family.select("project", F.col("node").alias("start")).unionByName(family.select("project", "family").join(members.select("project", "family", "node"), ["project", "family"]).select("project", F.col("node").alias("start"))).distinct()
+    lengths = distances(deps, starts, by=PROJECT)
+    planned = constraints.plan(cuts.select("run", "project", "lib"), roots, x.artifacts, members, paths.select("project", "node", F.col("len").alias("dist")), lengths)
+    eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
+    options = candidates(tasks, x).join(eco, ["grp", "artifact", "version"]).join(cuts.select("run", "task_id"), "task_id")
+    tries = stage(options.select(F.concat_ws("/", "run", "pos").alias("try"), "run", "project", "lib", "pos", "version", "cand"), "tries")
+    solved, nodes, edges = constraints.solve(tries, planned, x.artifacts, x.eco_nodes, x.eco_edges)
+    first = stage(first_by(tries.join(solved, "try", "left_semi"), ["run"], "pos", "cand"), "first")
+    sub = first.select("try", "run", "project").join(nodes, "try").select("run", "project", "node")
+    sub_edges = first.select("try", "run").join(edges, "try").select("run", "src", "dst")
+    named = x.artifacts.select("project", "node", "grp", "artifact")
+    ours = sub.join(x.eco_nodes, "node").groupBy("run", "grp", "artifact").agg(F.min("node").alias("start"))
+    init = cut_nodes.join(named, ["project", "node"]).join(ours, ["run", "grp", "artifact"]).select("run", "start").distinct()
+    lens = nearest(sub_edges, init, by=["run"]).select("run", F.col("node").alias("new"), F.col("len").alias("new_len"))
+    decided = stage(decisions(changed_nodes(sub, x), paths, cut_nodes.select("run", "node"), lens), "decided")
+    found = violated(decided, source.select("run", "node"), x, skip_family=True)
+    runs = cuts.select("run", "task_id", "cut_ix", rounded_weight(F.col("weight")).alias("cut_weight")).join(first.select("run", "cand", F.col("version").alias("cand_version")), "run", "left")
+    done = stage(outcome(runs, found), "outcome")
+    stop = done.filter("is_perfect").groupBy("task_id").agg(F.min("cut_ix").alias("stop"))
+    kept = done.join(stop, "task_id", "left").filter("stop is null or cut_ix <= stop")
+    steps = cut_steps(sub, sub_edges, cut_nodes, x).groupBy("run").agg(F.sort_array(F.collect_set(F.struct(F.col("old_gav").alias("from"), F.col("new_gav").alias("to")))).alias("update_steps"))
+    # a cut without a solution keeps 0 violated calls
+    calls = F.when(F.col("status") == compat.NO_ENTRY, F.lit(0)).otherwise(F.col("nr_calls")).cast("long")
+    return kept.join(steps, "run", "left").select("task_id", "cut_ix", "cut_weight", "cand_version", "update_steps", "status", "nr_violations", calls.alias("nr_calls"), "is_perfect")
+
+
+def cut_steps(sub: DataFrame, sub_edges: DataFrame, cut_nodes: DataFrame, x: Inputs) -> DataFrame:
+    """run, old_gav, new_gav: roots of the sub-graphs and the cut nodes, as update_steps has it."""
+    eco = x.eco_nodes.select("node", "grp", "artifact", "version")
+    updates = sub.join(eco, "node").withColumn("ord", F.col("node"))
+    tops = updates.join(sub_edges.select("run", F.col("dst").alias("node")), ["run", "node"], "left_anti")
+    own = x.artifacts.select("project", "node", "grp", "artifact", "version", "ord")
+    cut = cut_nodes.join(own, ["project", "node"])
+    key = ["run", "project"]
+    known = own.join(sub.select(*key).distinct(), "project").drop("node")
+    return update_steps(tops.drop("node", "ord"), cut.drop("node", "ord"), updates.drop("node"), known, key).select("run", "old_gav", "new_gav")
+
+
+def recommend(tasks: DataFrame, x: Inputs) -> DataFrame:
+    """Simple suggestions of all tasks(task_id, project, org_gav, target_gav) that are valid, and min-cut suggestions for those that are not solved by them.
+
+    Tasks that are not valid become rows of kind error, whose status is the problem; those of another scope have no row, as there is nothing to do.
+    """
+    every = stage(validated(tasks, x), "tasks")
+    valid = every.filter("problem is null").select("task_id", "project", "lib", "target")
+    paths = root_paths(x, valid)
+    simple = stage(simple_update(valid, x, paths), "simple")
+    solved = simple.filter("status = 'SUCCESS' and is_perfect").select("task_id")
+    cut = min_cut_updates(valid.join(solved, "task_id", "left_anti"), x, paths)
+    a = simple.select("task_id", F.lit("simple").alias("kind"), F.lit(None).cast("int").alias("cut_ix"), F.lit(1).alias("cut_weight"), "cand_version", "status", "nr_violations", "nr_calls")
+    b = cut.select("task_id", F.lit("min-cut").alias("kind"), "cut_ix", "cut_weight", "cand_version", "status", "nr_violations", "nr_calls")
+    none = F.lit(-1).cast("long")
+    errors = every.filter("problem in ('INVALID_TARGET', 'UNKNOWN_LIBRARY')").select("task_id", F.lit("error").alias("kind"), F.lit(None).cast("int").alias("cut_ix"), F.lit(0).alias("cut_weight"), F.lit(None).cast("string").alias("cand_version"), F.col("problem").alias("status"), none.alias("nr_violations"), none.alias("nr_calls"))
+    return a.unionByName(b).unionByName(errors)
+
+
+def update_steps(roots: DataFrame, cut_nodes: DataFrame, updates: DataFrame, known: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, old_gav, new_gav: updated roots by (grp, artifact), and cut nodes matched exactly, else loosely; distinct."""
+    by = by or []
+    new = updates.withColumn("new_gav", _gav())
+    a = match_first(roots.withColumn("new_gav", _gav()).drop("version"), known.withColumn("old_gav", _gav()), [*by, "grp", "artifact"], "ord", "old_gav")
+    exact = match_first(cut_nodes.withColumn("old_gav", _gav()), new, [*by, "grp", "artifact"], "ord", "new_gav")
+    missed = exact.filter("new_gav is null").select(*by, "grp", "artifact", "old_gav")
+    loose = match_loose(missed, new.select(*by, F.col("grp").alias("ug"), F.col("artifact").alias("ua"), "ord", "new_gav"), [("grp", "ug"), ("artifact", "ua")], "ord", "new_gav", [*by, "old_gav"], by)
+    both = [df.filter("old_gav is not null and new_gav is not null").select(*by, "old_gav", "new_gav") for df in (a, exact, loose)]
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from graftline.operators.recommend import Inputs
+from graftline.staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,62 @@ def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s)
 
 
+#: The node that stands for a project itself.
+ROOT = -1
+
+
+def _project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, src, dst, n, flag, status, quantity: a customer is a project; an order's items hang on one another, the first on the project."""
+    by = ["l_orderkey", "l_linenumber", "l_partkey"]
+    item = table(spark, sf_dir, "lineitem").groupBy(*by).agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").cast("int").alias("quantity"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("project"))
+    before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return item.join(o, "l_orderkey").select("project", F.coalesce(before, F.lit(ROOT)).alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("n"), "flag", "status", "quantity")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts(spark, sf_dir).select("node", "grp", "artifact", "version")
+
+
+def batch_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Customers as projects, parts as artifacts, and checks between versions by rules on the keys of parts."""
+    items, part = stage(_project_items(spark, sf_dir), "items"), _versions(spark, sf_dir)
+    scope = F.when(F.col("flag") == "A", "test").otherwise("compile")
+    own = items.groupBy("project", F.col("dst").alias("node")).agg(F.array_sort(F.collect_set(scope)).alias("scopes")).join(part, "node")
+    projects = items.select("project").distinct().select("project", F.lit(ROOT).cast("long").alias("root"), (F.col("project") % 11 != 0).alias("has_calls"))
+    top = projects.select("project", F.col("root").alias("node"), F.lit("project").alias("grp"), F.concat(F.lit("p"), F.col("project").cast("string")).alias("artifact"), F.lit("1").alias("version"), F.array(F.lit("compile")).alias("scopes"))
+    arts = own.select(*top.columns).unionByName(top).withColumn("ord", F.col("node"))
+    edge = items.filter("src <> dst")
+    text = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    cls, name = text("c", F.col("n") % 3), text("m", F.col("quantity") % 5)
+    params = F.when(F.col("n") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("int")))
+    calls = edge.filter("project % 11 <> 0").select("project", "src", "dst", cls.alias("tgt_class"), name.alias("name"), F.lit("void").alias("return_type"), params.alias("params"), F.concat_ws(".", cls, name).alias("signature")).distinct()
+    gav = F.concat_ws(":", "grp", "artifact", "version")
+    a = part.select("grp", "artifact", F.col("node").alias("a"), F.col("version").alias("va"), gav.alias("base"))
+    b = part.select("grp", "artifact", F.col("node").alias("b"), F.col("version").alias("vb"), gav.alias("next"))
+    pairs = stage(a.join(b, ["grp", "artifact"]).filter("va <> vb and (a + b) % 5 <> 0").select("a", "b", "base", "next"), "pairs")
+    each = pairs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    method = lambda c, p: F.array(F.struct(text("m", F.col(c) % 5).alias("name"), F.lit("void").alias("return_type"), F.array(*p).cast("array<string>").alias("params")))
+    empty = F.array().cast("array<string>")
+    listed = each.filter("(a + b + k) % 3 = 0").withColumn("class_name", text("c", F.col("k")))
+    binary = listed.select("base", "next", F.lit("BINARY").alias("kind"), "class_name", F.when((F.col("a") + F.col("k")) % 4 != 0, method("b", [])).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
+    source = listed.select("base", "next", F.lit("SRC").alias("kind"), "class_name", method("a", [F.lit("int")]).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
+    bodies = each.filter("(a + b) % 4 = 0").select("base", "next", F.concat_ws(".", text("c", F.col("k")), text("m", (F.col("a") + F.col("b")) % 5)).alias("start_method"), F.lit("body").alias("changed_body_method"))
+    eco_edges = edges(spark, sf_dir, "N").filter("src % 7 <> 0 and dst % 7 <> 0 and (src + dst) % 3 = 0")
+    incompatible = binary.unionByName(source).withColumn("inc_id", F.monotonically_increasing_id())
+    return Inputs(projects, stage(arts, "artifacts"), stage(edge.groupBy("project", "src", "dst").agg(F.max(F.col("status") == "O").alias("included")), "deps"), part.select("grp", "artifact", "version", F.col("node").alias("pos")), part.filter("node % 7 <> 0"), stage(eco_edges, "eco-edges"), stage(calls, "calls"), part.filter("node % 29 <> 0").select(gav.alias("gav")), pairs.select("base", "next"), incompatible, bodies)
+
+
+def batch_tasks(x: Inputs) -> DataFrame:
+    """task_id, project, org_gav, target_gav: an update of one library in every project; some targets lack a version, some libraries are unknown."""
+    lib = x.artifacts.filter("node >= 0").filter((F.col("project") % 10 == 0) | F.array_contains("scopes", "compile"))
+    best = lib.groupBy("project").agg(F.max(F.struct("node", "grp", "artifact", "version")).alias("b")).select("project", "b.*")
+    name = F.concat_ws(":", "grp", "artifact")
+    version = F.when(F.col("project") % 89 == 0, "nothing").otherwise(F.col("version"))
+    target = F.when(F.col("project") % 97 == 0, name).otherwise(F.concat_ws(":", name, F.concat((F.col("project") % 50).cast("string"), F.lit(".0"))))
+    return best.select(F.col("project").alias("task_id"), "project", F.concat_ws(":", name, version).alias("org_gav"), target.alias("target_gav"))
+
+
 # The same relations in SQL.
 ART = "art AS (SELECT p_partkey AS node, p_brand AS grp, p_name AS artifact, p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR AS version, p_partkey AS ord, p_size, p_type FROM part)"
 
@@ -49,3 +109,15 @@ def edge_sql(name: str = "e", flag: str | None = None) -> str:
 
 
 CALLS = "calls AS (SELECT 'c' || o_custkey AS src_class, 's' || l_suppkey AS tgt_class, 'm' || l_linenumber AS call FROM lineitem JOIN orders ON l_orderkey = o_orderkey), cls AS (SELECT 'c' || c_custkey AS class_name, 'nation:' || c_nationkey AS gav FROM customer UNION ALL SELECT 's' || s_suppkey, 'nation:' || s_nationkey FROM supplier)"
+
+BATCH = """li AS (SELECT l_orderkey, l_linenumber, l_partkey, max(l_returnflag) AS f, max(l_linestatus) AS s, max(l_quantity)::INTEGER AS q FROM lineitem GROUP BY 1, 2, 3),
+    it AS (SELECT o_custkey AS project, coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey), -1) AS src, l_partkey AS dst, l_linenumber AS n, f, s, q FROM li JOIN orders ON o_orderkey = l_orderkey),
+    pt AS (SELECT p_partkey AS node, p_brand AS grp, p_name AS artifact, p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR AS version, p_size AS major, p_partkey % 13 AS minor, p_brand || ':' || p_name || ':' || p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR AS gav FROM part),
+    dep AS (SELECT project, src, dst, bool_or(s = 'O') AS included FROM it WHERE src <> dst GROUP BY 1, 2, 3),
+    art AS (SELECT project, node, grp, artifact, version, gav, bool_or(f <> 'A') AS compile FROM it JOIN pt ON node = dst GROUP BY ALL
+        UNION ALL SELECT DISTINCT project, -1, 'project', 'p' || project, '1', 'project:p' || project || ':1', true FROM it),
+    cal AS (SELECT DISTINCT project, src, dst, n % 3 AS c, q % 5 AS m, n % 2 AS p FROM it WHERE src <> dst AND project % 11 <> 0),
+    eco AS (SELECT * FROM pt WHERE node % 7 <> 0),
+    task AS (SELECT project, arg_max(gav, node) AS org, arg_max(grp, node) AS grp, arg_max(artifact, node) AS artifact, project % 50 AS major FROM art WHERE node >= 0 AND (project % 10 = 0 OR compile) GROUP BY project),
+    valid AS (SELECT t.project, min(a.node) AS lib, any_value(t.grp) AS grp, any_value(t.artifact) AS artifact, any_value(t.major) AS major FROM task t JOIN art a ON a.project = t.project AND a.gav = t.org
+        WHERE t.project % 89 <> 0 AND t.project % 97 <> 0 GROUP BY t.project HAVING arg_min(a.compile, a.node))"""

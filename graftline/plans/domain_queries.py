@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.operators import recommend
-from graftline.operators.graph import distances
-from graftline.plans.derived import ART, artifacts, edge_sql, edges, table
+from graftline.plans.derived import ART, BATCH, artifacts, batch_inputs, batch_tasks, edge_sql, edges, table
 from graftline.sources import files, sinks
-from graftline.staging import staging_root
+from graftline.staging import stage, staging_root
 from graftline.streaming import queue
 
 QUERIES, ORACLE = {}, {}
@@ -25,52 +24,62 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def inputs(spark: SparkSession, d: str) -> recommend.Inputs:
-    """Parts are both the project's artifacts and the ecosystem's; scopes of items part their edges."""
-    a = artifacts(spark, d)
-    e = edges(spark, d)
-    return recommend.Inputs(a.select("node", "grp", "artifact", "version", "ord"), edges(spark, d, "R"), a.select("node", "grp", "artifact", "version", F.col("ord").alias("pos")), edges(spark, d, "N"), e.withColumn("n", F.lit(1).cast("long")))
+def _valid(x: recommend.Inputs) -> DataFrame:
+    return recommend.validated(batch_tasks(x), x).filter("problem is null").select("task_id", "project", "lib", "target")
 
 
-def tasks(spark: SparkSession, d: str, every: int) -> DataFrame:
-    a = artifacts(spark, d).filter(F.col("node") % every == 0)
-    return a.select(F.col("node").alias("task_id"), F.col("node").alias("lib"), F.when(F.col("node") % (2 * every) == 0, F.col("version")).otherwise("99.1").alias("target"))
+@query("task_errors", f"""
+    WITH {BATCH} SELECT t.project AS task_id, CASE WHEN t.project % 97 = 0 THEN 'INVALID_TARGET' WHEN t.project % 89 = 0 THEN 'UNKNOWN_LIBRARY' WHEN v.lib IS NULL THEN 'WRONG_SCOPE' END AS problem FROM task t LEFT JOIN valid v USING (project)""")
+def task_errors(spark: SparkSession, d: str) -> DataFrame:
+    x = batch_inputs(spark, d)
+    return recommend.validated(batch_tasks(x), x).select("task_id", "problem")
 
 
+# From the rules of an update, not from the operators: pick, sub-graph, decision by root path and length, calls, checks, status.
 @query("simple_update", f"""
-    WITH RECURSIVE {ART}, {edge_sql('dep', 'R')}, {edge_sql('eco', 'N')}, {edge_sql('calls')},
-    task AS (SELECT node AS lib, grp, artifact, CASE WHEN node % 100 = 0 THEN p_size ELSE 99 END AS z, CASE WHEN node % 100 = 0 THEN node % 13 ELSE 1 END AS y FROM art WHERE node % 50 = 0),
-    pick AS (SELECT lib, min(a.node) AS cand FROM task t LEFT JOIN art a ON a.grp = t.grp AND a.artifact = t.artifact AND [a.p_size, a.node % 13] >= [z, y] GROUP BY lib),
-    upd(lib, node) AS (SELECT lib, lib FROM task UNION SELECT lib, dst FROM upd JOIN dep ON src = node),
-    usg(lib, node, d) AS (SELECT lib, cand, 0 FROM pick WHERE cand IS NOT NULL UNION SELECT lib, dst, d + 1 FROM usg JOIN eco ON src = node WHERE d < 3),
-    old AS (SELECT grp, artifact, min(node) AS old, arg_min(version, node) AS version FROM art GROUP BY grp, artifact),
-    chg AS (SELECT DISTINCT lib, old FROM usg JOIN art USING (node) JOIN old ON old.grp = art.grp AND old.artifact = art.artifact WHERE old.version <> art.version),
-    vio AS (SELECT lib, old, count(*) AS c FROM chg JOIN calls ON dst = old WHERE (lib, old) IN (SELECT lib, node FROM upd) AND (lib, src) NOT IN (SELECT lib, node FROM upd) GROUP BY lib, old
-        UNION ALL SELECT lib, old, 1 FROM chg WHERE (lib, old) NOT IN (SELECT lib, node FROM upd)),
-    n AS (SELECT lib, count(*) AS v, sum(c) AS c FROM vio GROUP BY lib)
-    SELECT lib AS task_id, lib, cand, version AS cand_version, CASE WHEN cand IS NULL THEN 'NO_NEO4J_ENTRY' ELSE 'SUCCESS' END AS status,
-        (CASE WHEN cand IS NULL THEN -1 ELSE coalesce(v, 0) END)::BIGINT AS nr_violations, (CASE WHEN cand IS NULL THEN -1 ELSE coalesce(c, 0) END)::BIGINT AS nr_calls, true AS is_simple
-    FROM pick LEFT JOIN n USING (lib) LEFT JOIN art ON art.node = cand""")
+    WITH RECURSIVE {BATCH}, {edge_sql('all_eco', 'N')},
+    ee AS (SELECT * FROM all_eco WHERE src % 7 <> 0 AND dst % 7 <> 0 AND (src + dst) % 3 = 0),
+    pick AS (SELECT v.project, arg_min(pt.version, pt.node) AS version, arg_min(e.cand, pt.node) AS cand FROM valid v JOIN pt ON pt.grp = v.grp AND pt.artifact = v.artifact AND [pt.major, pt.minor] >= [v.major, 0]
+        JOIN (SELECT gav, min(node) AS cand FROM eco GROUP BY gav) e USING (gav) GROUP BY v.project),
+    usg(project, node, d) AS (SELECT project, cand, 0 FROM pick UNION SELECT project, dst, d + 1 FROM usg JOIN ee ON src = node WHERE d < 3),
+    upd(project, node) AS (SELECT project, lib FROM valid UNION SELECT upd.project, dst FROM upd JOIN dep ON dep.project = upd.project AND src = node JOIN art a ON a.project = dep.project AND a.node = dst
+        JOIN art b ON b.project = dep.project AND b.node = src WHERE included AND a.compile AND b.compile),
+    sp(project, node, len, path) USING KEY (project, node) AS (SELECT DISTINCT project, -1::BIGINT, 0, [-1::BIGINT] FROM it
+        UNION SELECT sp.project, dst, any_value(sp.len) + 1, min(list_append(sp.path, dst)) FROM sp JOIN dep ON dep.project = sp.project AND src = sp.node
+            LEFT JOIN recurring.sp r ON r.project = dep.project AND r.node = dst WHERE r.node IS NULL GROUP BY sp.project, dst),
+    old AS (SELECT project, grp, artifact, arg_min(node, node) AS old, arg_min(version, node) AS version, arg_min(gav, node) AS base FROM art GROUP BY 1, 2, 3),
+    chg AS (SELECT u.project, u.node AS new, old.old, old.base, eco.gav AS next, min(u.d) AS new_len FROM usg u JOIN eco USING (node) JOIN old ON old.project = u.project AND old.grp = eco.grp AND old.artifact = eco.artifact WHERE old.version <> eco.version GROUP BY 1, 2, 3, 4, 5),
+    dec AS (SELECT chg.*, list_contains(sp.path, valid.lib) OR sp.len >= new_len + 1 AS chk FROM chg JOIN valid USING (project) JOIN sp ON sp.project = chg.project AND sp.node = old),
+    risk AS (SELECT dec.*, cal.src, cal.c, cal.m, cal.p FROM dec JOIN cal ON cal.project = dec.project AND cal.dst = old WHERE chk AND EXISTS (SELECT 1 FROM art WHERE art.project = dec.project AND art.node = cal.src AND compile)
+        AND NOT EXISTS (SELECT 1 FROM upd WHERE upd.project = dec.project AND upd.node = cal.src)),
+    prs AS (SELECT a.gav AS base, b.gav AS next, a.node AS a, b.node AS b FROM pt a JOIN pt b ON a.grp = b.grp AND a.artifact = b.artifact AND a.version <> b.version AND (a.node + b.node) % 5 <> 0),
+    doc AS (SELECT DISTINCT gav FROM pt WHERE node % 29 <> 0),
+    hits AS (SELECT r.project, r.old, r.new, count(*) FILTER (WHERE (a + b + r.c) % 3 = 0 AND (CASE WHEN src = -1 THEN a % 5 = m AND p = 1 ELSE (a + r.c) % 4 = 0 OR (b % 5 = m AND p = 0) END)) + count(*) FILTER (WHERE (a + b) % 4 = 0 AND (a + b) % 5 = m) AS n
+        FROM risk r JOIN prs USING (base, next) GROUP BY 1, 2, 3),
+    vio AS (SELECT DISTINCT d.project, d.old, d.new, 'EMPTY_CG' AS problem, 0 AS n FROM dec d WHERE chk AND project % 11 = 0
+        UNION ALL SELECT DISTINCT r.project, r.old, r.new, CASE WHEN r.base NOT IN (SELECT gav FROM doc) OR r.next NOT IN (SELECT gav FROM doc) OR (r.base, r.next) NOT IN (SELECT (base, next) FROM prs) THEN 'FAILED_SIGTEST' END, coalesce(h.n, 0) FROM risk r LEFT JOIN hits h ON h.project = r.project AND h.old = r.old AND h.new = r.new
+        UNION ALL SELECT project, old, new, NULL, 1 FROM dec WHERE NOT chk),
+    agg AS (SELECT project, count(*) FILTER (WHERE n > 0) AS v, sum(n) AS c, bool_or(problem = 'EMPTY_CG') AS cg, bool_or(problem = 'FAILED_SIGTEST') AS sig FROM vio GROUP BY project),
+    res AS (SELECT v.project, v.lib, pick.cand, pick.version, CASE WHEN coalesce(cg, false) THEN 'EMPTY_CG' WHEN cand IS NULL THEN 'NO_NEO4J_ENTRY' WHEN coalesce(sig, false) THEN 'FAILED_SIGTEST' ELSE 'SUCCESS' END AS status, agg.v, agg.c FROM valid v LEFT JOIN pick USING (project) LEFT JOIN agg USING (project))
+    SELECT project AS task_id, project, lib, cand, version AS cand_version, status, (CASE WHEN status = 'SUCCESS' THEN coalesce(v, 0) ELSE -1 END)::BIGINT AS nr_violations, (CASE WHEN status = 'SUCCESS' THEN coalesce(c, 0) ELSE -1 END)::BIGINT AS nr_calls,
+        cand IS NOT NULL AND (status <> 'SUCCESS' OR v IS NULL) AS is_perfect, true AS is_simple FROM res""")
 def simple_update(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.simple_update(tasks(spark, d, 50), inputs(spark, d))
-
-
-def _with_roots(spark: SparkSession, d: str, every: int) -> DataFrame:
-    """Tasks whose library lies below a root of the graph, with the nearest one."""
-    deps = edges(spark, d, "R")
-    up = distances(deps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), tasks(spark, d, every).select(F.col("lib").alias("start")), 3)
-    best = up.filter("dist > 0").groupBy(F.col("start").alias("lib")).agg(F.max(F.struct("dist", "node")).alias("b"))
-    return tasks(spark, d, every).join(best, "lib").select("task_id", "lib", "target", F.col("b.node").alias("root"))
+    x = batch_inputs(spark, d)
+    return recommend.simple_update(stage(_valid(x), "tasks"), x)
 
 
 @query("min_cut_update")
 def min_cut_update(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.min_cut_updates(_with_roots(spark, d, 50).drop("target"), inputs(spark, d), 3)
+    x = batch_inputs(spark, d)
+    found = recommend.min_cut_updates(stage(_valid(x), "tasks"), x)
+    steps = F.concat_ws(" ", F.transform("update_steps", lambda s: F.concat_ws("=>", s["from"], s["to"])))
+    return found.withColumn("update_steps", steps)
 
 
 @query("batch_recommend")
 def batch_recommend(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.recommend(_with_roots(spark, d, 100), inputs(spark, d), 3)
+    x = batch_inputs(spark, d)
+    return recommend.recommend(batch_tasks(x), x)
 
 
 @query("update_steps", f"""
