@@ -123,3 +123,13 @@ def archive_stamp(ts: Column) -> Column:
 
 def host_port(url: Column, scheme: str) -> Column:
     return F.split(F.replace(url, F.lit(scheme), F.lit("")), ":")
+
+
+def joined_messages(messages: Column) -> Column:
+    """struct(text, n): the messages in order, joined by ;, and how many there are."""
+    return F.struct(F.array_join(messages, ";").alias("text"), F.greatest(F.size(messages), F.lit(0)).alias("n"))
+
+
+def is_naive(target_gav: Column, picked_gav: Column) -> Column:
+    """Whether a suggestion picks the very target that was asked for."""
+    return target_gav.eqNullSafe(picked_gav)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from graftline.staging import shuffle_partitions, stage
 
 # Qualifiers in ascending order; a release ("" and its aliases) lies between snapshot and sp.
 QUALIFIERS = ["alpha", "beta", "milestone", "rc", "snapshot", "", "sp"]
@@ -46,3 +49,17 @@ def version_key(version: Column) -> Column:
 
 def maven_at_least(version: Column, bound: Column) -> Column:
     return version_key(version) >= version_key(bound)
+
+
+def ranks(df: DataFrame, version: str, out: str = "place") -> DataFrame:
+    """df with the dense rank of its versions: keys are sorted in ranges, and a range's ranks begin behind those of the ranges before it."""
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", version_key(F.col(version)))
+    apart = keyed.select("_key").distinct().repartitionByRange(shuffle_partitions(spark), "_key").withColumn("_range", F.spark_partition_id())
+    apart = stage(apart, "ranges")
+    inside = apart.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
+    # one row for each range: as many as there are partitions
+    sizes = sorted(map(tuple, apart.groupBy("_range").count().collect()))
+    before = [(r, sum(n for _, n in sizes[:i])) for i, (r, _) in enumerate(sizes)]
+    first = F.create_map(*[F.lit(v) for pair in before for v in pair])[F.col("_range")] if before else F.lit(0)
+    return keyed.join(inside.select("_key", (F.col("_rank") + first).cast("int").alias(out)), "_key").drop("_key")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftline.functions.names import same_family
+from graftline.staging import stage
 
 
 # Fixed value: the status of a task without a sub-graph.
@@ -26,6 +27,14 @@ def shrink_calls(calls: DataFrame, index: DataFrame) -> DataFrame:
     return calls.join(a, "src_class").join(b, "tgt_class").groupBy("src_gav", "tgt_gav").agg(F.sort_array(F.collect_list("call")).alias("calls"))
 
 
+def call_graph(calls: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices(gav): every class-path entry, with calls or without; edges(src_gav, tgt_gav, n): how many calls there are between two."""
+    owner = class_owner(index)
+    a, b = (owner.select(F.col("class_name").alias(f"{s}_class"), F.col("gav").alias(f"{s}_gav")) for s in ("src", "tgt"))
+    edges = calls.join(a, "src_class").join(b, "tgt_class").groupBy("src_gav", "tgt_gav").agg(F.count("*").alias("n"))
+    return index.select("gav").distinct(), edges
+
+
 def edges_at_risk(library_calls: DataFrame, updated: DataFrame, kept: DataFrame, skip_family: bool = False) -> DataFrame:
     """Library edges into updated(gav) from kept(gav); with skip_family not those within one family (needs src_group, tgt_group)."""
     edges = library_calls.filter(~same_family(F.col("src_group"), F.col("tgt_group"))) if skip_family else library_calls
@@ -59,18 +68,33 @@ def violation_counts(violations: DataFrame, key: str) -> DataFrame:
     return violations.groupBy(key).agg(F.count_if(n > 0).alias("nr_violations"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("nr_calls"))
 
 
-def lookup(pairs: DataFrame, docs: DataFrame, checks: DataFrame) -> DataFrame:
-    """pairs(base, next) with status: FAILED_SIGTEST unless both are known documents(gav) and the pair has a check(base, next)."""
+def lookup(pairs: DataFrame, docs: DataFrame, checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """pairs(base, next, by) with status: FAILED_SIGTEST unless both are known documents(gav) and the pair has a check(base, next, by); by: the kind of check."""
     known = docs.select("gav").distinct().withColumn("k", F.lit(True))
     a, b = known.select(F.col("gav").alias("base"), F.col("k").alias("kb")), known.select(F.col("gav").alias("next"), F.col("k").alias("kn"))
-    c = checks.select("base", "next").distinct().withColumn("kc", F.lit(True))
-    met = pairs.join(a, "base", "left").join(b, "next", "left").join(c, ["base", "next"], "left")
-    return met.select("base", "next", F.when(F.col("kb") & F.col("kn") & F.col("kc"), "SUCCESS").otherwise("FAILED_SIGTEST").alias("status"))
+    key = ["base", "next", *by]
+    c = checks.select(*key).distinct().withColumn("kc", F.lit(True))
+    met = pairs.join(a, "base", "left").join(b, "next", "left").join(c, key, "left")
+    return met.select(*key, F.when(F.col("kb") & F.col("kn") & F.col("kc"), "SUCCESS").otherwise("FAILED_SIGTEST").alias("status"))
 
 
-def missing_pairs(looked_up: DataFrame) -> DataFrame:
+def lookup_again(pairs: DataFrame, docs: DataFrame, checks: DataFrame, generate: Callable[[DataFrame], tuple[DataFrame, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
+    """lookup, and for what it misses a second one, after generate(missing pairs) has given more docs and checks."""
+    first = lookup(pairs, docs, checks, by)
+    missing = stage(missing_pairs(first, by), "missing")
+    more_docs, more_checks = generate(missing)
+    second = lookup(missing, docs.select("gav").unionByName(more_docs.select("gav")), checks.select("base", "next", *by).unionByName(more_checks.select("base", "next", *by)), by)
+    return first.filter("status = 'SUCCESS'").unionByName(second)
+
+
+def missing_pairs(looked_up: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The requests for what a lookup missed."""
-    return looked_up.filter("status = 'FAILED_SIGTEST'").select("base", "next")
+    return looked_up.filter("status = 'FAILED_SIGTEST'").select("base", "next", *by)
+
+
+def all_calls(semantic: Column, other: Column) -> Column:
+    """The violated calls of both kinds of check, repeated ones kept; nulls count as none."""
+    return F.concat(F.coalesce(semantic, F.array().cast("array<string>")), F.coalesce(other, F.array().cast("array<string>")))
 
 
 def override_decision(old_len: Column, through_updated: Column, new_len: Column) -> Column:

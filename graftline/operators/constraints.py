@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graftline.functions.names import cleared_group, gav
-from graftline.functions.versions import text_at_least
 from graftline.operators.graph import bounded_paths, distances
-from graftline.operators.matching import first_by, top_by
+from graftline.operators.matching import first_by, fits, top_by
 from graftline.staging import Rounds, release, stage
 
 # Least bound of a path, length where none is known, depth and number of neighbourhood paths.
@@ -103,8 +102,8 @@ def solve(tries: DataFrame, planned: DataFrame, nodes: DataFrame, eco_nodes: Dat
         return held.filter("held is not null").withColumn("eco", F.col("held")).select(*wanted.columns, "eco").unionByName(free.select(*wanted.columns, "eco"))
 
     same = F.col("cleared").eqNullSafe(F.col("lib_cleared"))
-    root_rule = F.when(same, F.col("eco_version") == F.col("target")).otherwise(text_at_least(F.col("eco_version"), F.col("version")))
-    node_rule = ~same | (F.col("eco_version") == F.col("target"))
+    root_rule = fits(same, F.col("eco_version"), F.col("target"), F.col("version"))
+    node_rule = fits(same, F.col("eco_version"), F.col("target"))
     bound, paths, around = Rounds(tries.sparkSession, "bound"), Rounds(tries.sparkSession, "chosen"), []
     bound.add(alive.select("try", F.col("lib").alias("node"), F.col("cand").alias("eco")))
     paths.add(alive.select("try", F.array("cand").alias("path")))

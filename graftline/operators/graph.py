@@ -98,6 +98,11 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     return nearest(edges, starts, max_depth, by).select(*by, "node")
 
 
+def unreached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """nodes(by, node) that no start reaches."""
+    return nodes.join(reachable(edges, starts, by=by), [*by, "node"], "left_anti")
+
+
 def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int, by: Sequence[str] = ()) -> DataFrame:
     """by, start, node, len, path (nodes): every path of at most max_depth edges that repeats no edge, length zero included."""
     kept, found = _kept(edges, by), Rounds(edges.sparkSession, "paths")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graftline.functions.names import gav_parts
+from graftline.functions.versions import text_at_least
+
 
 #: Loose matches are looked up by so many first characters.
 GRAM = 4
@@ -59,6 +62,28 @@ def match_loose(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]],
     return keys.join(best.alias("r"), same, "left").select(*[F.col(f"l._k{i}").alias(c) for i, c in enumerate(key)], found)
 
 
+def lateral_first(left: DataFrame, right: DataFrame, on: list[str], order: list[Column | str], take: list[str]) -> DataFrame:
+    """left with the columns take of the first right row of its key; rows without one go, as with a sub-query that is limited to one row."""
+    order = [F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)]
+    best = right.groupBy(*on).agg(F.min(F.struct(*order, F.struct(*take).alias("_row"))).alias("_b")).select(*on, "_b._row.*")
+    return left.join(best, on)
+
+
+def by_gav(wanted: DataFrame, nodes: DataFrame, gav: str = "gav", with_version: bool = True) -> DataFrame:
+    """wanted with node: the first of nodes(node, grp, artifact, version, ord) that its GAV text names, with or without the version; null where there is none."""
+    parts = gav_parts(F.col(gav))
+    keys = ["grp", "artifact", *(["version"] if with_version else [])]
+    of = {"grp": "group", "artifact": "artifact", "version": "version"}
+    asked = wanted.withColumns({f"_{k}": parts[of[k]] for k in keys})
+    first = nodes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by("node", "ord").alias("node"))
+    return asked.join(first, [f"_{k}" for k in keys], "left").select(*wanted.columns, "node")
+
+
+def fits(same_family: Column, version: Column, target: Column, least: Column | None = None) -> Column:
+    """Whether a version can stand for a node: the target's in the library's family; elsewhere any, or one of at least least in text order."""
+    return F.when(same_family, version == target).otherwise(F.lit(True) if least is None else text_at_least(version, least))
+
+
 def classify_versions(updates: DataFrame, known: DataFrame) -> DataFrame:
     """updates(grp, artifact, version) with status NEW, UNCHANGED or CHANGED against known(grp, artifact, version, ord)."""
     old = known.withColumn("hit", F.struct(F.col("version").alias("version"), F.lit(True).alias("is")))

@@ -1,4 +1,4 @@
-"""Minimum (s, t)-cuts of many small graphs, and their alternatives, as a grouped-map kernel (GR09-GR11, GR17, SET03).
+"""Minimum (s, t)-cuts of many small graphs, and their alternatives, as a kernel over the tasks of a partition (GR09-GR11, GR17, SET03).
 
 A group is one task's contracted graph, which is small; the tasks are what is distributed.
 """
@@ -6,11 +6,17 @@ A group is one task's contracted graph, which is small; the tasks are what is di
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCHEMA = "task_id long, cut_ix int, weight double, edges array<string>, source array<string>, sink array<string>"
+_TEXTS = T.ArrayType(T.StringType())
+_FIELDS = [T.StructField("task_id", T.LongType()), T.StructField("cut_ix", T.IntegerType()), T.StructField("weight", T.DoubleType()), *[T.StructField(n, _TEXTS) for n in ("edges", "source", "sink")]]
+SCHEMA = T.StructType(_FIELDS)
+_TYPES = [pa.int64(), pa.int32(), pa.float64(), *[pa.list_(pa.string())] * 3]
 
 
 def min_cut(edges: list[tuple[str, str]], weights: list[float], s: str, t: str) -> tuple[float, list[int], set[str]]:
@@ -69,18 +75,41 @@ def all_cuts(edges: list[tuple[str, str]], s: str, t: str) -> list[tuple[float,
     return found
 
 
+def _rows_of(task: int, rows: list[tuple[str, str, str, str]], first_only: bool) -> list[tuple]:
+    """The result rows of one task's (src, dst, s, t)."""
+    pairs, (*_, s, t) = [(a, b) for a, b, *_ in rows], rows[0]
+    nodes = {x for p in pairs for x in p} | {s, t}
+    found = [min_cut(pairs, [1.0] * len(pairs), s, t)] if first_only else all_cuts(pairs, s, t)
+    return [(task, i, w, sorted(f"{pairs[e][0]}->{pairs[e][1]}" for e in es), sorted(side), sorted(nodes - side)) for i, (w, es, side) in enumerate(found)]
+
+
 def cuts(edges: DataFrame, first_only: bool = False) -> DataFrame:
-    """task_id, cut_ix, weight, edges ("src->dst"), source, sink for edges(task_id, ord, src, dst, s, t); arrays are sorted."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        pairs = list(zip(rows.src, rows.dst, strict=True))
-        s, t = rows.s.iloc[0], rows.t.iloc[0]
-        nodes = {x for p in pairs for x in p} | {s, t}
-        found = [min_cut(pairs, [1.0] * len(pairs), s, t)] if first_only else all_cuts(pairs, s, t)
-        return pd.DataFrame(
-            [(rows.task_id.iloc[0], i, w, sorted(f"{pairs[e][0]}->{pairs[e][1]}" for e in es), sorted(side), sorted(nodes - side)) for i, (w, es, side) in enumerate(found)],
-            columns=["task_id", "cut_ix", "weight", "edges", "source", "sink"],
-        )
-
-    return edges.select("task_id", "ord", "src", "dst", "s", "t").groupBy("task_id").applyInPandas(run, SCHEMA)
+    """task_id, cut_ix, weight, edges ("src->dst"), source, sink for edges(task_id, ord, src, dst, s, t); arrays are sorted.
+
+    Tasks are dealt to partitions and come one behind the other, so that a worker holds one task's graph: that of one
+    project's contracted libraries.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES)], [f.name for f in _FIELDS])
+            out.clear()
+            return batch
+
+        for b in batches:
+            for t, *row in zip(*(b[c].to_pylist() for c in ("task_id", "src", "dst", "s", "t")), strict=True):
+                if t != task:
+                    if rows:
+                        out.extend(_rows_of(task, rows, first_only))
+                    task, rows = t, []
+                rows.append(tuple(row))
+            if len(out) > 1000:
+                yield made()
+        if rows:
+            out.extend(_rows_of(task, rows, first_only))
+        yield made()
+
+    dealt = edges.select(F.col("task_id").cast("long").alias("task_id"), "ord", "src", "dst", "s", "t").repartition("task_id").sortWithinPartitions("task_id", "ord")
+    return dealt.mapInArrow(run, SCHEMA)

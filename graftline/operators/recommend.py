@@ -30,7 +30,7 @@ class Inputs:
     projects(project, root, has_calls); artifacts(project, node, grp, artifact, version, scopes, ord), the root among them;
     deps(project, src, dst, included); versions(grp, artifact, version, pos) in the order of the search's response;
     eco_nodes(node, grp, artifact, version); eco_edges(src, dst) of the compile scope;
-    calls(project, src, dst, tgt_class, name, return_type, params, signature) between libraries; docs(gav), checks(base, next),
+    calls(project, src, dst, tgt_class, name, return_type, params, signature) between libraries; docs(gav), checks(base, next, kind),
     incompatibilities(base, next, kind, class_name, methods, fields, interfaces), semantic(base, next, start_method, changed_body_method).
     """
 
@@ -109,8 +109,8 @@ def violated(decided: DataFrame, unupdated: DataFrame, x: Inputs, skip_family: b
     """run, old, new, problem, calls (number): a row for every change that is a violation, maybe without calls.
 
     Calls into a changed library come from unupdated(run, node), with skip_family not from its own family.  Calls of the
-    project's root are checked for source, others for binary compatibility, all of them for changed bodies; problem is EMPTY_CG without calls of
-    the project, FAILED_SIGTEST where the pair of versions has no check.
+    project's root are checked for source, others for binary compatibility, all of them for changed bodies where that is known; problem is
+    EMPTY_CG without calls of the project, FAILED_SIGTEST where the pair of versions has no check of a kind that is needed.
     """
     root = x.projects.select("project", "root", "has_calls")
     group = x.artifacts.select("project", "node", "grp")
@@ -123,14 +123,14 @@ def violated(decided: DataFrame, unupdated: DataFrame, x: Inputs, skip_family: b
         risky = risky.join(groups[0], ["project", "src"]).join(groups[1], ["project", "old"]).filter(~same_family(F.col("src_group"), F.col("tgt_group")))
     kind = F.when(F.col("src") == F.col("root"), "SRC").otherwise("BINARY")
     risky = stage(risky.select("run", "old", "new", "base", "next", kind.alias("kind"), "tgt_class", "name", "return_type", "params", "signature"), "risky")
-    rows = risky.select("run", "old", "new", "base", "next").distinct()
-    status = compat.lookup(rows.select("base", "next").distinct(), x.docs, x.checks)
-    key = ["run", "old", "new"]
-    broken = compat.broken_calls(risky.withColumn("call_id", F.struct(*key)), x.incompatibilities, ["base", "next", "kind"]).select("call_id.*")
+    key, kinds = ["run", "old", "new"], ["base", "next", "kind"]
+    asked = risky.select(*key, *kinds).distinct()
+    status = compat.lookup(asked.select(*kinds).distinct(), x.docs, x.checks, ["kind"])
+    rows = asked.join(status, kinds).groupBy(*key).agg(F.max(F.when(F.col("status") != "SUCCESS", F.col("status"))).alias("problem"))
+    broken = compat.broken_calls(risky.withColumn("call_id", F.struct(*key)), x.incompatibilities, kinds).select("call_id.*")
     bodies = compat.semantic_calls(risky.withColumn("call_id", F.struct(*key)), x.semantic, ["base", "next"]).select("call_id.*")
     n = broken.unionByName(bodies).groupBy(*key).agg(F.count("*").alias("calls"))
-    checked = rows.join(status, ["base", "next"]).join(n, key, "left")
-    checked = checked.select(*key, F.when(F.col("status") != "SUCCESS", F.col("status")).alias("problem"), F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
+    checked = rows.join(n, key, "left").select(*key, "problem", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
     # a kept old version stands for one call that has to be forward compatible
     forward = decided.filter("decision = 'FORWARD'").select(*key, F.lit(None).cast("string").alias("problem"), F.lit(1).cast("long").alias("calls"))
     return empty.unionByName(checked).unionByName(forward)

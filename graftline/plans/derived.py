@@ -84,9 +84,10 @@ def batch_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     binary = listed.select("base", "next", F.lit("BINARY").alias("kind"), "class_name", F.when((F.col("a") + F.col("k")) % 4 != 0, method("b", [])).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
     source = listed.select("base", "next", F.lit("SRC").alias("kind"), "class_name", method("a", [F.lit("int")]).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
     bodies = each.filter("(a + b) % 4 = 0").select("base", "next", F.concat_ws(".", text("c", F.col("k")), text("m", (F.col("a") + F.col("b")) % 5)).alias("start_method"), F.lit("body").alias("changed_body_method"))
+    checks = pairs.select("base", "next", F.explode(F.when((F.col("a") + F.col("b")) % 7 != 0, F.array(F.lit("BINARY"), F.lit("SRC"))).otherwise(F.array(F.lit("BINARY")))).alias("kind")).distinct()
     eco_edges = edges(spark, sf_dir, "N").filter("src % 7 <> 0 and dst % 7 <> 0 and (src + dst) % 3 = 0")
     incompatible = binary.unionByName(source).withColumn("inc_id", F.monotonically_increasing_id())
-    return Inputs(projects, stage(arts, "artifacts"), stage(edge.groupBy("project", "src", "dst").agg(F.max(F.col("status") == "O").alias("included")), "deps"), part.select("grp", "artifact", "version", F.col("node").alias("pos")), part.filter("node % 7 <> 0"), stage(eco_edges, "eco-edges"), stage(calls, "calls"), part.filter("node % 29 <> 0").select(gav.alias("gav")), pairs.select("base", "next"), incompatible, bodies)
+    return Inputs(projects, stage(arts, "artifacts"), stage(edge.groupBy("project", "src", "dst").agg(F.max(F.col("status") == "O").alias("included")), "deps"), part.select("grp", "artifact", "version", F.col("node").alias("pos")), part.filter("node % 7 <> 0"), stage(eco_edges, "eco-edges"), stage(calls, "calls"), part.filter("node % 29 <> 0").select(gav.alias("gav")), checks, incompatible, bodies)
 
 
 def batch_tasks(x: Inputs) -> DataFrame:

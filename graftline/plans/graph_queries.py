@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.operators import compat, constraints, graph, matching, mincut
-from graftline.plans.derived import ART, CALLS, artifacts, calls, class_index, edge_sql, edges, table
+from graftline.functions.names import cleared_group
+from graftline.operators import compat, constraints, graph, matching, mincut, modules, recommend
+from graftline.plans.derived import ART, BATCH, CALLS, ROOT, artifacts, batch_inputs, batch_tasks, calls, class_index, edge_sql, edges, table
+from graftline.staging import stage
 
 QUERIES, ORACLE = {}, {}
 
@@ -21,8 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _starts(e: DataFrame, every: int) -> DataFrame:
-    return e.select(F.col("src").alias("start")).filter(F.col("start") % every == 0).distinct()
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    """start: the versions of one family's large libraries."""
+    return table(spark, d, "part").filter("p_brand = 'Brand#2' and p_type = 'LARGE'").select(F.col("p_partkey").alias("start"))
+
+
+_LIBRARY = "lib AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#2' AND p_type = 'LARGE')"
 
 
 def _shown(paths: DataFrame) -> DataFrame:
@@ -33,8 +39,7 @@ def _shown(paths: DataFrame) -> DataFrame:
     WITH {edge_sql()}, r AS (SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e))
     SELECT node, node = (SELECT min(node) FROM r) AS is_first FROM r""")
 def root_vertices(spark: SparkSession, d: str) -> DataFrame:
-    r = graph.roots(edges(spark, d))
-    return r.crossJoin(F.broadcast(r.agg(F.min("node").alias("first")))).select("node", (F.col("node") == F.col("first")).alias("is_first"))
+    return graph.first_root(edges(spark, d))
 
 
 @query("compile_filter", """
@@ -50,13 +55,24 @@ def compile_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select_nodes", f"""
     WITH {ART} SELECT node, version, CASE WHEN grp = 'Brand#2' THEN 'EXACT' ELSE 'AT_LEAST' END AS rule FROM art
-    WHERE (grp = 'Brand#2' AND version = '11.0') OR (grp = 'Brand#3' AND artifact = 'red widget' AND version >= '2') OR (grp = 'Brand#2' AND version >= '40' AND artifact = 'small ring' AND version = '11.0')""")
+    WHERE (grp = 'Brand#2' AND version = '11.0') OR (grp <> 'Brand#2' AND version >= '2')""")
 def select_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Exact nodes in the library's family, nodes from a bound on elsewhere."""
     a = artifacts(spark, d)
-    own = F.col("grp") == "Brand#2"
-    rule = F.when(own, F.col("version") == "11.0").otherwise((F.col("grp") == "Brand#3") & (F.col("artifact") == "red widget") & (F.col("version") >= "2"))
-    return a.filter(rule).select("node", "version", F.when(own, "EXACT").otherwise("AT_LEAST").alias("rule"))
+    own = cleared_group(F.col("grp")) == "Brand#2"
+    return a.filter(matching.fits(own, F.col("version"), F.lit("11.0"), F.lit("2"))).select("node", "version", F.when(own, "EXACT").otherwise("AT_LEAST").alias("rule"))
+
+
+@query("gav_lookup", f"""
+    WITH {ART}, w AS (SELECT p_partkey AS id, p_brand || ':' || p_name || ':' || CASE WHEN p_partkey % 4 = 0 THEN '0' ELSE p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR END AS gav, p_brand, p_name FROM part),
+    a AS (SELECT grp || ':' || artifact || ':' || version AS gav, min(node) AS exact FROM art GROUP BY 1), b AS (SELECT grp, artifact, min(node) AS any_version FROM art GROUP BY 1, 2)
+    SELECT id, exact, any_version FROM w LEFT JOIN a USING (gav) LEFT JOIN b ON grp = p_brand AND artifact = p_name""")
+def gav_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """GAV texts to nodes, with and without their version."""
+    a = artifacts(spark, d)
+    w = a.select(F.col("node").alias("id"), F.concat_ws(":", "grp", "artifact", F.when(F.col("node") % 4 == 0, "0").otherwise(F.col("version"))).alias("gav"))
+    exact = matching.by_gav(w, a).withColumnRenamed("node", "exact")
+    return matching.by_gav(exact, a, with_version=False).select("id", "exact", F.col("node").alias("any_version"))
 
 
 @query("node_match_first", f"""
@@ -75,61 +91,76 @@ def loose_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_loose(left, right, [("a", "b")], "n_nationkey", "n_nationkey", ["nation"]).select("nation", F.col("n_nationkey").alias("found"))
 
 
-_REACH = f"""WITH RECURSIVE {edge_sql('e', 'R')}, s AS (SELECT DISTINCT src AS node FROM e WHERE src % 50 = 0),
-    r(node) AS (SELECT node FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
+_REACH = f"""WITH RECURSIVE {edge_sql('e', 'R')}, {_LIBRARY},
+    r(node) AS (SELECT node FROM lib UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
 
 
 @query("reachable", f"{_REACH} SELECT node FROM r")
 def reachable(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, "R")
-    return graph.reachable(e, _starts(e, 50))
+    return graph.reachable(edges(spark, d, "R"), _library(spark, d))
 
 
 @query("unupdated", f"{_REACH} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
 def unupdated(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, "R")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("node")).join(graph.reachable(e, _starts(e, 50)), "node", "left_anti")
-
+    return graph.unreached(table(spark, d, "part").select(F.col("p_partkey").alias("node")), edges(spark, d, "R"), _library(spark, d))
 
-def _paths(flag: str, every: int, depth: int) -> str:
-    return f"""WITH RECURSIVE {edge_sql('e', flag)}, p(start, node, len, path) AS (
-        SELECT DISTINCT src, src, 0, [src] FROM e WHERE src % {every} = 0
-        UNION ALL SELECT p.start, e.dst, p.len + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE p.len < {depth})"""
 
-
-@query("shortest_path", f"{_paths('R', 100, 4)} SELECT start, node, min(len)::INTEGER AS len, array_to_string(arg_min(path, row(len, path)), '>') AS path FROM p GROUP BY start, node")
+@query("shortest_path", f"""
+    WITH RECURSIVE {BATCH}, sp(project, node, len, path) USING KEY (project, node) AS (SELECT DISTINCT project, -1::BIGINT, 0, [-1::BIGINT] FROM it
+        UNION SELECT sp.project, dst, any_value(sp.len) + 1, min(list_append(sp.path, dst)) FROM sp JOIN dep ON dep.project = sp.project AND src = sp.node
+            LEFT JOIN recurring.sp r ON r.project = dep.project AND r.node = dst WHERE r.node IS NULL GROUP BY sp.project, dst)
+    SELECT project, node, len, array_to_string(path, '>') AS path FROM sp""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, "R")
-    return _shown(graph.shortest_paths(e, _starts(e, 100), 4))
+    """From every project's root to all of its libraries, side by side."""
+    x = batch_inputs(spark, d)
+    return _shown(recommend.root_paths(x, x.projects)).select("project", "node", "len", "path")
 
 
-@query("nearest_start", f"{_paths('R', 40, 3)}, m AS (SELECT start, node, min(len) AS len FROM p GROUP BY start, node) SELECT node, arg_min(start, row(len, start)) AS start, min(len)::INTEGER AS len FROM m GROUP BY node")
+@query("nearest_start", f"""
+    WITH RECURSIVE {edge_sql('e', 'R')}, {_LIBRARY}, n(node, start, len) USING KEY (node) AS (SELECT node, node, 0 FROM lib
+        UNION SELECT dst, min(n.start), any_value(n.len) + 1 FROM n JOIN e ON src = n.node LEFT JOIN recurring.n r ON r.node = dst WHERE r.node IS NULL GROUP BY dst)
+    SELECT node, start, len FROM n""")
 def nearest_start(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, "R")
-    return graph.nearest_start(graph.distances(e, _starts(e, 40), 3).withColumnRenamed("dist", "len"))
+    return graph.nearest(edges(spark, d, "R"), _library(spark, d))
+
+
+_PATHS = f"""WITH RECURSIVE {edge_sql('e', 'A')}, p(start, node, len, path) AS (
+        SELECT DISTINCT src, src, 0, [src] FROM e
+        UNION ALL SELECT p.start, e.dst, p.len + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE p.len < 3)"""
+
+
+def _sources(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("start")).distinct()
 
 
-@query("bounded_paths", f"{_paths('A', 100, 3)} SELECT start, node, len::INTEGER AS len, count(*) AS n FROM p GROUP BY start, node, len")
+@query("bounded_paths", f"{_PATHS} SELECT start, node, len::INTEGER AS len, count(*) AS n FROM p GROUP BY start, node, len")
 def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, "A")
-    return graph.bounded_paths(e, _starts(e, 100), 3).groupBy("start", "node", "len").agg(F.count("*").alias("n"))
+    return graph.bounded_paths(e, _sources(e), 3).groupBy("start", "node", "len").agg(F.count("*").alias("n"))
 
 
-@query("neighbourhood", f"{_paths('A', 60, 3)}, k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len, path) AS r FROM p) SELECT start, node, len::INTEGER AS len, array_to_string(path, '>') AS path FROM k WHERE r <= 10")
+@query("neighbourhood", f"{_PATHS}, k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len, path) AS r FROM p) SELECT start, node, len::INTEGER AS len, array_to_string(path, '>') AS path FROM k WHERE r <= 10")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, "A")
-    return _shown(constraints.neighbourhood(e, _starts(e, 60)))
+    return _shown(constraints.neighbourhood(e, _sources(e)))
 
 
-_SINK = f"""{edge_sql()}, sink AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 3 <> 0), cut AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 5 < 3),
-    i AS (SELECT * FROM e WHERE src IN (SELECT node FROM sink) AND dst IN (SELECT node FROM sink)),
-    tops AS (SELECT node FROM sink WHERE node IN (SELECT node FROM cut) AND node NOT IN (SELECT dst FROM i))"""
+_SINK = """sink AS (SELECT project, node FROM art WHERE node % 3 <> 0 AND node >= 0), cut AS (SELECT project, node FROM art WHERE node % 5 < 3),
+    i AS (SELECT dep.project, src, dst FROM dep JOIN sink a ON a.project = dep.project AND a.node = src JOIN sink b ON b.project = dep.project AND b.node = dst),
+    tops AS (SELECT project, node FROM sink JOIN cut USING (project, node) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.project = sink.project AND i.dst = sink.node)),
+    r(project, node, root) AS (SELECT project, node, node FROM tops UNION SELECT i.project, i.dst, r.root FROM r JOIN i ON i.project = r.project AND i.src = r.node)"""
 
 
-@query("sink_roots", f"WITH RECURSIVE {_SINK}, r(node, root, d) AS (SELECT node, node, 0 FROM tops UNION SELECT i.dst, r.root, r.d + 1 FROM r JOIN i ON i.src = r.node WHERE r.d < 3) SELECT DISTINCT node, root FROM r")
+def _sides(spark: SparkSession, d: str) -> tuple[recommend.Inputs, DataFrame]:
+    """A side and a cut in every project, and the roots of the side's nodes."""
+    x = batch_inputs(spark, d)
+    a = x.artifacts.select("project", "node")
+    return x, graph.sink_roots(x.deps, a.filter("node % 3 <> 0 and node >= 0"), a.filter("node % 5 < 3"), by=["project"])
+
+
+@query("sink_roots", f"WITH RECURSIVE {BATCH}, {_SINK} SELECT project, node, root FROM r")
 def sink_roots(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return graph.sink_roots(edges(spark, d), p.filter("node % 3 <> 0"), p.filter("node % 5 < 3"), 3)
+    return _sides(spark, d)[1]
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -160,9 +191,43 @@ def call_shrink(spark: SparkSession, d: str) -> DataFrame:
     return s.select("src_gav", "tgt_gav", F.size("calls").alias("n"), F.get("calls", F.lit(0)).alias("first_call"))
 
 
-@query("class_sets", f"WITH {CALLS} SELECT gav, count(DISTINCT class_name) AS n, min(class_name) AS first_class FROM cls GROUP BY gav")
+@query("call_graph", f"WITH {CALLS}, l AS (SELECT a.gav AS src_gav, b.gav AS tgt_gav, count(*) AS n FROM calls JOIN cls a ON a.class_name = src_class JOIN cls b ON b.class_name = tgt_class GROUP BY a.gav, b.gav) SELECT v.gav, coalesce(sum(l.n), 0)::BIGINT AS n FROM (SELECT DISTINCT gav FROM cls UNION SELECT 'no:calls:1') v LEFT JOIN l ON l.src_gav = v.gav GROUP BY v.gav")
+def call_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices with their calls; an entry of the class path without calls is one too."""
+    index = class_index(spark, d)
+    idle = spark.range(1).select(F.lit("idle").alias("class_name"), F.lit("no:calls:1").alias("gav"), F.lit(3).alias("cp_ord"))
+    vertices, lines = compat.call_graph(calls(spark, d), index.unionByName(idle))
+    n = lines.groupBy(F.col("src_gav").alias("gav")).agg(F.sum("n").alias("n"))
+    return vertices.join(n, "gav", "left").select("gav", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("call_vertices", f"WITH {CALLS} SELECT DISTINCT src_class AS node FROM calls")
+def call_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return graph.call_vertices(calls(spark, d).select(F.col("src_class").alias("src")))
+
+
+@query("graph_sizes", f"WITH {BATCH}, v AS (SELECT project, src AS node FROM dep UNION SELECT project, dst FROM dep) SELECT project, count(*) AS vertices, any_value(n) AS edges FROM v JOIN (SELECT project, count(*) AS n FROM dep GROUP BY project) USING (project) GROUP BY project")
+def graph_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.sizes(batch_inputs(spark, d).deps, ["project"])
+
+
+@query("queue_counters", "SELECT 'queued' AS name, count(*) AS n FROM customer UNION ALL SELECT 'done', count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'todo', 0")
+def queue_counters(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey")
+    return modules.counters(c, table(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey").distinct(), c.filter("false"))
+
+
+@query("class_packages", "SELECT DISTINCT regexp_replace(url, '\\.[^.]*$', '') AS package FROM pages WHERE regexp_matches(url, '^.+\\.')")
+def class_packages(spark: SparkSession, d: str) -> DataFrame:
+    return modules.packages(table(spark, d, "pages").select(F.col("url").alias("class_name")))
+
+
+@query("class_sets", f"WITH {CALLS}, o AS (SELECT class_name, gav, 1 AS ord FROM cls UNION ALL SELECT 's' || s_suppkey, 'late:1:1', 5 FROM supplier WHERE s_nationkey < 5), w AS (SELECT class_name, arg_max(gav, ord) AS gav FROM o GROUP BY class_name) SELECT gav, count(*) AS n, min(class_name) AS first_class FROM w GROUP BY gav")
 def class_sets(spark: SparkSession, d: str) -> DataFrame:
-    return compat.class_owner(class_index(spark, d)).groupBy("gav").agg(F.count("*").alias("n"), F.min("class_name").alias("first_class"))
+    """The last entry of the class path owns a class: some suppliers' classes stand in a later one again."""
+    late = table(spark, d, "supplier").filter("s_nationkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("class_name"), F.lit("late:1:1").alias("gav"), F.lit(5).alias("cp_ord"))
+    owners = compat.class_owner(class_index(spark, d).unionByName(late))
+    return owners.groupBy("gav").agg(F.count("*").alias("n"), F.min("class_name").alias("first_class"))
 
 
 @query("call_degrees", f"WITH {CALLS}, o AS (SELECT src_class AS node, count(*) AS n FROM calls GROUP BY 1), i AS (SELECT tgt_class AS node, count(*) AS n FROM calls GROUP BY 1) SELECT coalesce(o.node, i.node) AS node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM o FULL JOIN i ON o.node = i.node")
@@ -182,38 +247,45 @@ def edges_at_risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("call_incompatible", """
-    WITH i AS (SELECT p_partkey AS inc_id, p_brand AS class_name, p_size, p_type, p_name FROM part WHERE p_partkey % 40 = 0),
-    c AS (SELECT p_partkey AS call_id, p_brand AS class_name, p_name, p_type, p_size % 3 AS k FROM part)
-    SELECT call_id, inc_id FROM c JOIN i USING (class_name) WHERE i.p_size % 7 = 0 OR (c.p_name = i.p_name AND c.p_type = i.p_type AND k = i.p_size % 3)""")
+    WITH i AS (SELECT p_partkey AS inc_id, p_brand || '.' || p_name AS class_name, p_size, p_type FROM part),
+    c AS (SELECT p_partkey AS call_id, p_brand || '.' || p_name AS class_name, p_type, p_size % 3 AS k FROM part)
+    SELECT call_id, inc_id FROM c JOIN i USING (class_name) WHERE i.p_size % 7 = 0 OR (c.p_type = i.p_type AND k = i.p_size % 3)""")
 def call_incompatible(spark: SparkSession, d: str) -> DataFrame:
     """Calls of part methods against incompatible parts; every seventh size stands for a deleted class."""
     p = table(spark, d, "part")
     params = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.array(F.lit("int"))).otherwise(F.array(F.lit("int"), F.lit("long")))
-    c = p.select(F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("tgt_class"), F.col("p_name").alias("name"), F.col("p_type").alias("return_type"), params.alias("params"))
-    method = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("return_type"), params.alias("params"))
+    cls = F.concat_ws(".", "p_brand", "p_name")
+    c = p.select(F.col("p_partkey").alias("call_id"), cls.alias("tgt_class"), F.lit("run").alias("name"), F.col("p_type").alias("return_type"), params.alias("params"))
+    method = F.struct(F.lit("run").alias("name"), F.col("p_type").alias("return_type"), params.alias("params"))
     empty = F.array().cast("array<string>")
-    i = p.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("inc_id"), F.col("p_brand").alias("class_name"), F.when(F.col("p_size") % 7 != 0, F.array(method)).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
+    i = p.select(F.col("p_partkey").alias("inc_id"), cls.alias("class_name"), F.when(F.col("p_size") % 7 != 0, F.array(method)).alias("methods"), empty.alias("fields"), empty.alias("interfaces"))
     return compat.broken_calls(c, i)
 
 
-@query("call_semantic", "WITH s AS (SELECT p_name AS start_method, 'b' || p_partkey AS changed_body_method FROM part WHERE p_partkey % 50 = 0) SELECT p_partkey AS call_id, changed_body_method FROM part JOIN s ON p_name = start_method")
+@query("call_semantic", "WITH s AS (SELECT p_brand || '.' || p_name || '.' || p_type AS m, p_partkey FROM part) SELECT a.p_partkey AS call_id, 'b' || b.p_partkey AS changed_body_method FROM s a JOIN s b USING (m)")
 def call_semantic(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    s = p.filter("p_partkey % 50 = 0").select(F.col("p_name").alias("start_method"), F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("changed_body_method"))
-    return compat.semantic_calls(p.select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("signature")), s)
+    p = table(spark, d, "part").withColumn("m", F.concat_ws(".", "p_brand", "p_name", "p_type"))
+    s = p.select(F.col("m").alias("start_method"), F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("changed_body_method"))
+    return compat.semantic_calls(p.select(F.col("p_partkey").alias("call_id"), F.col("m").alias("signature")), s)
+
+
+def _levels(name: str, only: str) -> str:
+    """Distances from every project's root, in SQL."""
+    return f"""{name}(project, node, len) USING KEY (project, node) AS (SELECT DISTINCT project, -1::BIGINT, 0 FROM it
+        UNION SELECT w.project, dst, any_value(w.len) + 1 FROM {name} w JOIN dep ON dep.project = w.project AND src = w.node
+            LEFT JOIN recurring.{name} r ON r.project = dep.project AND r.node = dst WHERE r.node IS NULL AND {only} GROUP BY w.project, dst)"""
 
 
 @query("override_decision", f"""
-    WITH RECURSIVE {edge_sql('e1', 'R')}, {edge_sql('e2', 'A')},
-    o(node, d) AS (SELECT DISTINCT src, 0 FROM e1 WHERE src % 100 = 0 UNION SELECT e1.dst, d + 1 FROM o JOIN e1 ON src = node WHERE d < 4),
-    n(node, d) AS (SELECT DISTINCT src, 0 FROM e2 WHERE src % 70 = 0 UNION SELECT e2.dst, d + 1 FROM n JOIN e2 ON src = node WHERE d < 4),
-    om AS (SELECT node, min(d) AS old_len FROM o GROUP BY node), nm AS (SELECT node, min(d) AS new_len FROM n GROUP BY node)
-    SELECT node, CASE WHEN node % 9 = 0 THEN 'CHECK' WHEN new_len IS NULL THEN 'SKIP' WHEN old_len >= new_len + 1 THEN 'CHECK' ELSE 'FORWARD' END AS decision FROM om LEFT JOIN nm USING (node)""")
+    WITH RECURSIVE {BATCH}, {_levels('o', 'true')}, {_levels('n', 'src % 4 <> 1')}
+    SELECT o.project, o.node, CASE WHEN o.node % 9 = 0 THEN 'CHECK' WHEN n.len IS NULL THEN 'SKIP' WHEN o.len >= n.len + 1 THEN 'CHECK' ELSE 'FORWARD' END AS decision FROM o LEFT JOIN n ON n.project = o.project AND n.node = o.node""")
 def override_decision(spark: SparkSession, d: str) -> DataFrame:
-    e1, e2 = edges(spark, d, "R"), edges(spark, d, "A")
-    least = lambda e, every, name: graph.distances(e, _starts(e, every), 4).groupBy("node").agg(F.min("dist").alias(name))
-    met = least(e1, 100, "old_len").join(least(e2, 70, "new_len"), "node", "left")
-    return met.select("node", compat.override_decision(F.col("old_len"), F.col("node") % 9 == 0, F.col("new_len")).alias("decision"))
+    """Distances in every project's graph, and with some edges gone, without a bound."""
+    x = batch_inputs(spark, d)
+    starts = x.projects.select("project", F.col("root").alias("start"))
+    least = lambda e, name: graph.nearest(e, starts, by=["project"]).select("project", "node", F.col("len").alias(name))
+    met = least(x.deps, "old_len").join(least(x.deps.filter("src % 4 <> 1"), "new_len"), ["project", "node"], "left")
+    return met.select("project", "node", compat.override_decision(F.col("old_len"), F.col("node") % 9 == 0, F.col("new_len")).alias("decision"))
 
 
 @query("violation_counts", "SELECT l_orderkey, count(*) FILTER (WHERE n > 0) AS nr_violations, sum(n)::BIGINT AS nr_calls FROM (SELECT l_orderkey, l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -228,7 +300,7 @@ def violated_calls(spark: SparkSession, d: str) -> DataFrame:
     a = F.collect_list(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("m"), F.col("l_partkey").cast("string"))))
     b = F.collect_list(F.when(F.col("l_linestatus") == "F", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))))
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(a.alias("a"), b.alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
-    return g.select("l_orderkey", F.concat_ws(" ", F.sort_array(F.concat("a", "b"))).alias("calls"))
+    return g.select("l_orderkey", F.concat_ws(" ", F.sort_array(compat.all_calls(F.col("a"), F.col("b")))).alias("calls"))
 
 
 @query("queue_filter", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ORDER BY c_name")
@@ -241,62 +313,66 @@ def queue_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("lateral_first", "SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderstatus = 'F', o_totalprice, o_orderkey) AS r FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1995-01-01') WHERE r = 1")
 def lateral_first(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's first order, finished ones last."""
-    o = table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
-    best = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.struct((F.col("o_orderstatus") == "F").alias("f"), "o_totalprice", "o_orderkey")).alias("b"))
-    return table(spark, d, "customer").select("c_custkey").join(best, "c_custkey").select("c_custkey", "b.o_orderkey", "b.o_totalprice")
+    o = table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).withColumnRenamed("o_custkey", "c_custkey")
+    return matching.lateral_first(table(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], [F.col("o_orderstatus") == "F", "o_totalprice", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
 @query("multi_path_constraint", f"""
     WITH RECURSIVE {edge_sql('e', 'R')}, p(start, node, len, hops) AS (
-        SELECT DISTINCT src, src, 0, CAST([] AS VARCHAR[]) FROM e WHERE src % 10 = 0
+        SELECT DISTINCT src, src, 0, CAST([] AS VARCHAR[]) FROM e
         UNION ALL SELECT p.start, e.dst, p.len + 1, list_append(p.hops, e.src || '>' || e.dst) FROM p JOIN e ON e.src = p.node WHERE p.len < 2)
     SELECT DISTINCT a.start AS first, b.start AS second, a.node FROM p a JOIN p b ON a.node = b.node AND a.start < b.start AND a.len > 0 AND b.len > 0 AND NOT list_has_any(a.hops, b.hops)""")
 def multi_path_constraint(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d, "R")
-    return constraints.shared_nodes(e, _starts(e, 10), 2)
+    return constraints.shared_nodes(e, _sources(e), 2)
 
 
 @query("dedupe_constraints", f"""
-    WITH {edge_sql()}, c AS (SELECT b.p_brand AS target, a.p_brand AS source, dst AS node, abs(a.p_size - b.p_size) AS dist, b.p_brand = 'Brand#2' AS own FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst),
+    WITH {edge_sql()}, c AS (SELECT b.p_brand AS target, a.p_brand AS source, dst AS node, abs(a.p_size - b.p_size) AS dist FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst),
     r AS (SELECT *, row_number() OVER (PARTITION BY target, source ORDER BY dist, node) AS r FROM c)
     SELECT target, source, node, dist::INTEGER AS dist FROM r WHERE r = 1""")
 def dedupe_constraints(spark: SparkSession, d: str) -> DataFrame:
     a = artifacts(spark, d).select("node", "grp", "p_size")
     s, t = a.select(F.col("node").alias("src"), F.col("grp").alias("source"), F.col("p_size").alias("z")), a.select(F.col("node").alias("dst"), F.col("grp").alias("target"), "p_size")
     c = edges(spark, d).join(s, "src").join(t, "dst").select("target", "source", F.col("dst").alias("node"), F.abs(F.col("z") - F.col("p_size")).alias("dist"))
-    return c.groupBy("target", "source").agg(F.min(F.struct("dist", "node")).alias("b")).select("target", "source", "b.node", "b.dist")
+    return constraints.dedupe(c, [], "target", "source", ["dist", "node"])
 
 
 @query("first_solution", f"""
-    WITH {ART}, {edge_sql('e', 'R')}, t AS (SELECT node AS task, grp, artifact, p_size FROM art WHERE node % 20 = 0)
-    SELECT t.task, min(a.node) AS solution FROM t LEFT JOIN art a ON a.grp = t.grp AND a.artifact = t.artifact AND a.p_size >= t.p_size AND a.node IN (SELECT src FROM e) GROUP BY t.task""")
+    WITH {BATCH}, e AS (SELECT gav, min(node) AS cand FROM eco GROUP BY gav)
+    SELECT v.project AS task, s.cand, s.version FROM valid v LEFT JOIN (SELECT v.project, arg_min(e.cand, pt.node) AS cand, arg_min(pt.version, pt.node) AS version FROM valid v JOIN pt ON pt.grp = v.grp AND pt.artifact = v.artifact AND [pt.major, pt.minor] >= [v.major, 0] JOIN e USING (gav) GROUP BY v.project) s USING (project)""")
 def first_solution(spark: SparkSession, d: str) -> DataFrame:
-    """For each task the first version, in order, whose sub-graph has an edge."""
-    a = artifacts(spark, d)
-    alive = a.join(edges(spark, d, "R").select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("grp", "artifact", F.col("node").alias("cand"), F.col("p_size").alias("z"))
-    t = a.filter("node % 20 = 0").select(F.col("node").alias("task"), "grp", "artifact", "p_size")
-    met = t.join(alive, ["grp", "artifact"]).filter("z >= p_size").groupBy("task").agg(F.min("cand").alias("solution"))
-    return t.select("task").join(met, "task", "left")
+    """For each task the first version, in response order, that the ecosystem has; later ones are tried where it has not."""
+    x = batch_inputs(spark, d)
+    tasks = recommend.validated(batch_tasks(x), x).filter("problem is null").select("task_id", "project", "lib", "target")
+    return recommend.pick_versions(tasks, x).select(F.col("task_id").alias("task"), "cand", F.col("cand_version").alias("version"))
 
 
 @query("compat_lookup", """
-    WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS next FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_partkey <= a.p_partkey + 60)
+    WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS next FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND b.p_partkey > a.p_partkey)
     SELECT base, next, CASE WHEN base % 3 <> 0 AND next % 3 <> 0 AND (base + next) % 2 = 0 THEN 'SUCCESS' ELSE 'FAILED_SIGTEST' END AS status FROM p""")
 def compat_lookup(spark: SparkSession, d: str) -> DataFrame:
     return compat.lookup(*_lookup_inputs(spark, d))
 
 
 def _lookup_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("base"), "p_brand")
-    pairs = p.join(p.withColumnRenamed("base", "next"), "p_brand").filter("next > base and next <= base + 60").select("base", "next")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("base"), "p_brand", "p_name")
+    pairs = p.join(p.withColumnRenamed("base", "next"), ["p_brand", "p_name"]).filter("next > base").select("base", "next")
     return pairs, p.filter("base % 3 <> 0").select(F.col("base").alias("gav")), pairs.filter("(base + next) % 2 = 0")
 
 
-@query("missing_pairs", "WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS next FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_partkey <= a.p_partkey + 60) SELECT base, next FROM p WHERE base % 3 = 0 OR next % 3 = 0 OR (base + next) % 2 = 1")
+@query("missing_pairs", "WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS next FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND b.p_partkey > a.p_partkey) SELECT base, next FROM p WHERE base % 3 = 0 OR next % 3 = 0 OR (base + next) % 2 = 1")
 def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
     return compat.missing_pairs(compat.lookup(*_lookup_inputs(spark, d)))
 
 
+@query("lookup_again", "WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS next FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND b.p_partkey > a.p_partkey) SELECT base, next, CASE WHEN base % 3 <> 0 AND next % 3 <> 0 AND ((base + next) % 2 = 0 OR base % 5 = 0) THEN 'SUCCESS' ELSE 'FAILED_SIGTEST' END AS status FROM p")
+def lookup_again(spark: SparkSession, d: str) -> DataFrame:
+    """A second reading after a generator has answered some of the requests."""
+    pairs, docs, checks = _lookup_inputs(spark, d)
+    return compat.lookup_again(pairs, docs, checks, lambda missing: (docs.filter("false"), missing.filter("base % 5 = 0")))
+
+
 @query("status_mapping", """
     SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'EMPTY_CG' WHEN c_custkey % 5 = 0 THEN 'NO_NEO4J_ENTRY' WHEN max(o_totalprice) > 450000 THEN 'FAILED_SIGTEST' ELSE 'SUCCESS' END AS status,
         (CASE WHEN count(o_orderkey) = 0 OR c_custkey % 5 = 0 OR max(o_totalprice) > 450000 THEN -1 ELSE count(o_orderkey) END)::BIGINT AS nr FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
@@ -307,36 +383,71 @@ def status_mapping(spark: SparkSession, d: str) -> DataFrame:
     return met.select("c_custkey", status.alias("status"), F.when(status == "SUCCESS", F.col("n")).otherwise(-1).cast("long").alias("nr"))
 
 
-@query("module_groups", "SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS kinds, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+@query("module_groups", "SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' ') AS kinds, min(o_orderkey) AS first_order, any_value(c_acctbal) IS NULL OR any_value(c_acctbal) < 0 AS skipped FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey")
 def module_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of modules, gathered from two halves."""
+    """Steps of modules, gathered from two halves, with the builds that there are."""
     o = table(spark, d, "orders")
-    return o.filter("o_orderkey % 2 = 0").unionByName(o.filter("o_orderkey % 2 <> 0")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.concat_ws(" ", F.array_sort(F.collect_set("o_orderpriority"))).alias("kinds"), F.min("o_orderkey").alias("first_order"))
+    steps = modules.gather([o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 <> 0")])
+    groups = modules.by_module(steps, "o_custkey", kinds=F.concat_ws(" ", F.array_sort(F.collect_set("o_orderpriority"))), first_order=F.min("o_orderkey"))
+    builds = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    return modules.with_builds(groups, builds, "o_custkey").select("o_custkey", "n", "kinds", "first_order", "skipped")
 
 
 def _cut_edges(spark: SparkSession, d: str) -> DataFrame:
     """Small graphs between a start and an end: paths of an order's items, tied together by part."""
-    i = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0")
-    a = i.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("p"), (F.col("l_partkey") % 6).cast("string")).alias("v"), F.concat(F.lit("q"), (F.col("l_suppkey") % 4).cast("string")).alias("w"))
+    i = table(spark, d, "lineitem")
+    a = i.select(F.col("l_orderkey").alias("task_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 6).cast("string")).alias("v"), F.concat(F.lit("q"), (F.col("l_suppkey") % 4).cast("string")).alias("w"))
     e = a.select("task_id", F.explode(F.array(F.struct(F.lit("s").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("w").alias("dst")), F.struct(F.col("w").alias("src"), F.lit("t").alias("dst")))).alias("x")).select("task_id", "x.src", "x.dst").distinct()
     return e.withColumn("ord", F.concat_ws(">", "src", "dst")).withColumn("s", F.lit("s")).withColumn("t", F.lit("t"))
 
 
-@query("min_cut")
+def _cut_text(found: DataFrame) -> DataFrame:
+    return found.select("task_id", "cut_ix", "weight", *[F.concat_ws(" ", c).alias(c) for c in ("edges", "source", "sink")])
+
+
+# All sides of a cut by enumeration; of the lightest the smallest is the one that flow finds first.
+@query("min_cut", """
+    WITH a AS (SELECT DISTINCT l_orderkey AS task_id, 'p' || (l_partkey % 6) AS v, 'q' || (l_suppkey % 4) AS w FROM lineitem),
+    e AS (SELECT task_id, 's' AS s, v AS d FROM a UNION SELECT task_id, v, w FROM a UNION SELECT task_id, w, 't' FROM a),
+    n AS (SELECT task_id, list_sort(list_distinct(list(x))) AS mid FROM (SELECT task_id, v AS x FROM a UNION SELECT task_id, w FROM a) GROUP BY task_id),
+    g AS (SELECT n.task_id, any_value(n.mid) AS mid, list_sort(list(e.s || '->' || e.d)) AS edges FROM n JOIN e USING (task_id) GROUP BY n.task_id),
+    c AS (SELECT task_id, mid, edges, list_filter(mid, lambda x, i: (mask >> (i - 1)) & 1 = 1) || ['s'] AS side FROM g, unnest(range(1 << len(mid))) m(mask)),
+    k AS (SELECT task_id, side, mid, list_filter(edges, lambda x: list_contains(side, split_part(x, '->', 1)) <> list_contains(side, split_part(x, '->', 2))) AS cut FROM c),
+    b AS (SELECT task_id, arg_min(struct_pack(side, mid, cut), row(len(cut), len(side))) AS b FROM k GROUP BY task_id)
+    SELECT task_id, 0 AS cut_ix, len(b.cut)::DOUBLE AS weight, array_to_string(b.cut, ' ') AS edges, array_to_string(list_sort(b.side), ' ') AS source, array_to_string(list_sort(list_filter(b.mid || ['t'], lambda x: NOT list_contains(b.side, x))), ' ') AS sink FROM b""")
 def min_cut(spark: SparkSession, d: str) -> DataFrame:
-    return mincut.cuts(_cut_edges(spark, d), first_only=True)
+    return _cut_text(mincut.cuts(_cut_edges(spark, d), first_only=True))
 
 
 @query("min_cut_all")
 def min_cut_all(spark: SparkSession, d: str) -> DataFrame:
-    return mincut.cuts(_cut_edges(spark, d))
-
-
-@query("plan_constraints")
+    return _cut_text(mincut.cuts(_cut_edges(spark, d)))
+
+
+# One project is a run; its library is the greatest node of the side, and families are groups of two and more.
+@query("plan_constraints", f"""
+    WITH RECURSIVE {BATCH}, {_SINK}, {_levels('o', 'true')},
+    fam AS (SELECT project, node, 'family:' || grp AS family FROM art WHERE node >= 0 AND (project, grp) IN (SELECT (project, grp) FROM art WHERE node >= 0 GROUP BY 1 HAVING count(*) >= 2)),
+    inf AS (SELECT art.project, art.node, art.grp, art.gav, coalesce(family, art.node::VARCHAR) AS own, family IS NOT NULL AS isf FROM art LEFT JOIN fam ON fam.project = art.project AND fam.node = art.node),
+    run AS (SELECT project, max(node) AS lib FROM sink GROUP BY project),
+    rows AS (SELECT r.project, r.node, lib, r.node = lib AS is_lib, a.own AS nown, a.grp AS ngrp, b.own AS rown, b.isf, b.grp AS rgrp, min(b.gav) AS gav, min(r.root) AS root FROM r JOIN run USING (project) JOIN inf a ON a.project = r.project AND a.node = r.node JOIN inf b ON b.project = r.project AND b.node = r.root GROUP BY ALL),
+    dis AS (SELECT rows.*, o.len AS d, row_number() OVER (PARTITION BY rows.project, nown, rown, is_lib ORDER BY o.len, rows.node) AS k FROM rows JOIN o ON o.project = rows.project AND o.node = rows.node),
+    kept AS (SELECT *, count(*) OVER (PARTITION BY project, node) AS n FROM dis WHERE k = 1 OR is_lib),
+    many AS (SELECT *, row_number() OVER (PARTITION BY project, node, rgrp ORDER BY gav, root) AS first FROM kept WHERE n > 1),
+    cons AS (SELECT project, node, is_lib, d, rown, isf, root, CASE WHEN rgrp = ngrp OR root = lib THEN 'AROUND' ELSE 'FROM_ROOT' END AS kind FROM kept WHERE n = 1 AND is_lib
+        UNION ALL SELECT project, node, is_lib, d, rown, isf, root, 'SHARED' FROM many WHERE first = 1 AND rgrp <> ngrp),
+    mem AS (SELECT c.*, coalesce(fam.node, root) AS member FROM cons c LEFT JOIN fam ON fam.project = c.project AND fam.family = c.rown),
+    far(project, start, node, len) USING KEY (project, start, node) AS (SELECT DISTINCT project, member, member, 0 FROM mem
+        UNION SELECT f.project, f.start, dst, any_value(f.len) + 1 FROM far f JOIN dep ON dep.project = f.project AND src = f.node LEFT JOIN recurring.far q ON q.project = dep.project AND q.start = f.start AND q.node = dst WHERE q.node IS NULL GROUP BY f.project, f.start, dst),
+    best AS (SELECT m.*, far.len, row_number() OVER (PARTITION BY m.project, m.node, rown ORDER BY far.len NULLS LAST, member) AS b FROM mem m LEFT JOIN far ON far.project = m.project AND far.start = member AND far.node = m.node),
+    grp AS (SELECT project, node, kind, is_lib, d, CASE WHEN kind = 'AROUND' THEN '' ELSE string_agg(member || '<=' || greatest(5, CASE WHEN len IS NULL OR (kind = 'FROM_ROOT' AND NOT isf) THEN 3 ELSE len END), ' ' ORDER BY member) END AS roots FROM best WHERE b = 1 GROUP BY project, node, kind, is_lib, d)
+    SELECT project, node, kind, row_number() OVER (PARTITION BY project ORDER BY is_lib, d, node)::INTEGER AS place, roots FROM grp""")
 def plan_constraints(spark: SparkSession, d: str) -> DataFrame:
-    e, a = edges(spark, d), artifacts(spark, d)
-    p = a.select("node")
-    tops = graph.sink_roots(e, p.filter("node % 3 <> 0"), p.filter("node % 5 < 3"), 2)
-    members = a.select("node", F.concat(F.lit("family:"), F.col("grp")).alias("family"), F.concat_ws(":", "grp", "artifact", "version").alias("gav"))
-    dist = graph.distances(e, graph.roots(e).select(F.col("node").alias("start")).filter("start % 20 = 0"), 4)
-    return constraints.plan(tops, members, p.filter("node = 7"), dist)
+    x, tops = _sides(spark, d)
+    tops = stage(tops, "tops")
+    runs = x.artifacts.filter("node % 3 <> 0 and node >= 0").groupBy("project").agg(F.max("node").alias("lib")).select(F.col("project").alias("run"), "project", "lib")
+    members = graph.families(x.artifacts.filter(F.col("node") != ROOT), by=["project"])
+    dist = graph.nearest(x.deps, x.projects.select("project", F.col("root").alias("start")), by=["project"]).select("project", "node", F.col("len").alias("dist"))
+    lengths = graph.distances(x.deps, tops.select("project", F.col("root").alias("start")).unionByName(members.select("project", F.col("node").alias("start"))).distinct(), by=["project"])
+    planned = constraints.plan(runs, tops.withColumnRenamed("project", "run"), x.artifacts, members, dist, lengths)
+    return planned.select("project", "node", "kind", "place", F.concat_ws(" ", F.transform("roots", lambda r: F.concat_ws("<=", r["root"], r["bound"]))).alias("roots"))

@@ -30,7 +30,7 @@ def gav_projection(spark: SparkSession, d: str) -> DataFrame:
     gav = names.gav(F.col("p_brand"), F.col("p_name"), F.col("p_size"))
     target = names.gav(F.col("p_brand"), F.col("p_name"), F.col("p_size") + F.col("p_size") % 2)
     parts = names.gav_parts(gav)
-    return p.select(F.col("p_partkey").alias("node"), gav.alias("gav"), parts["group"].alias("grp"), parts["artifact"].alias("artifact"), parts["version"].alias("version"), names.target_version(gav).alias("target_version"), gav.eqNullSafe(target).alias("is_naive"))
+    return p.select(F.col("p_partkey").alias("node"), gav.alias("gav"), parts["group"].alias("grp"), parts["artifact"].alias("artifact"), parts["version"].alias("version"), names.target_version(gav).alias("target_version"), names.is_naive(target, gav).alias("is_naive"))
 
 
 @query("path_to_gav", """
@@ -128,12 +128,8 @@ def version_text_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("version_maven_order", "SELECT p_partkey, p_size::VARCHAR || '.' || (p_partkey % 13)::VARCHAR AS version, dense_rank() OVER (ORDER BY p_size, p_partkey % 13)::INTEGER AS place FROM part WHERE [p_size, p_partkey % 13] >= [4, 9]")
 def version_maven_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    a = artifacts(spark, d).filter(versions.maven_at_least(F.col("version"), F.lit("4.9"))).withColumn("key", versions.version_key(F.col("version")))
-    # versions are few beside artifacts: ranks are taken over the distinct ones
-    ranks = a.select("key").distinct().withColumn("place", F.row_number().over(Window.orderBy("key")))
-    return a.join(F.broadcast(ranks), "key").select(F.col("node").alias("p_partkey"), "version", "place")
+    a = artifacts(spark, d).filter(versions.maven_at_least(F.col("version"), F.lit("4.9"))).select(F.col("node").alias("p_partkey"), "version")
+    return versions.ranks(a, "version").select("p_partkey", "version", "place")
 
 
 @query("json_versions", "SELECT event_id, json_extract_string(props, '$.k') AS v, ('{\"response\":{\"docs\":[{\"v\":\"' || json_extract_string(props, '$.k') || '\"},{\"v\":\"1.' || user_id || '\"}]}}') IS NOT NULL AS ok, '1.' || user_id AS last_version, 2::INTEGER AS n FROM events")
@@ -154,8 +150,8 @@ def mode_bitmask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("message_join", "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS messages, count(DISTINCT event_type)::INTEGER AS n FROM events GROUP BY user_id")
 def message_join(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.array_sort(F.collect_set("event_type"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(kinds, ";").alias("messages"), F.size(kinds).alias("n"))
+    kinds = names.joined_messages(F.array_sort(F.collect_set("event_type")))
+    return table(spark, d, "events").groupBy("user_id").agg(kinds.alias("m")).select("user_id", F.col("m.text").alias("messages"), "m.n")
 
 
 @query("archive_stamp", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M') AS stamp FROM orders")
@@ -186,8 +182,11 @@ def semantic_explode(spark: SparkSession, d: str) -> DataFrame:
     return reports.explode_semantic(i, "l_orderkey", "broken")
 
 
-@query("report_codec")
+@query("report_codec", """
+    WITH i AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'F' THEN 'F' ELSE 'O' END AS half, '  "E1.2 - API type removed" : ' || CASE WHEN l_returnflag = 'R' THEN 'field' ELSE 'method' END || ' public int p' || l_partkey || '.m' || l_linenumber AS entry FROM lineitem),
+    b AS (SELECT l_orderkey, count(*) AS n, length('Class org.' || half || l_orderkey) + 1 + sum(length(entry) + 1) + length('  warn : method none x') + 2 AS size FROM i GROUP BY l_orderkey, half)
+    SELECT l_orderkey AS report_id, (length('Classes: 2Base version: 1STATUS:Failed. errors') + 6 + sum(size) + length((sum(n) + (l_orderkey % 7 = 0)::INTEGER)::VARCHAR))::INTEGER AS chars, true AS same FROM b GROUP BY l_orderkey""")
 def report_codec(spark: SparkSession, d: str) -> DataFrame:
     """Reports through the codec and back."""
-    r = order_reports(spark, d).withColumn("b64", reports.encode_report("text"))
-    return r.select("report_id", F.length("b64").alias("size"), (reports.decode_report("b64") == F.col("text")).alias("same"))
+    r = order_reports(spark, d).withColumn("back", reports.decode_report(reports.encode_report("text")))
+    return r.select("report_id", F.length("back").alias("chars"), (F.col("back") == F.col("text")).alias("same"))

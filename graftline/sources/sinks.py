@@ -46,9 +46,15 @@ def errors(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(": ", "module", "message")).write.mode("overwrite").text(path)
 
 
-def dot(edges: DataFrame, path: str) -> None:
-    """Edge lines of a graph drawing."""
-    edges.select(F.concat(F.lit('  "'), F.col("src").cast("string"), F.lit('" -> "'), F.col("dst").cast("string"), F.lit('";'))).write.mode("overwrite").text(path)
+def dot(edges: DataFrame, path: str, labels: DataFrame | None = None) -> None:
+    """A drawing of one graph: head, nodes with labels(node, label), edges, and end, as one file in this order."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    spark = edges.sparkSession
+    row = lambda place, text: spark.range(1).select(F.lit(place).alias("place"), F.lit(text).alias("line"))
+    lines = row(0, "strict digraph G {").unionByName(row(3, "}")).unionByName(edges.select(F.lit(2).alias("place"), F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(";")).alias("line")))
+    if labels is not None:
+        lines = lines.unionByName(labels.select(F.lit(1).alias("place"), F.concat(F.lit("  "), quoted("node"), F.lit(" [ label="), quoted("label"), F.lit(" ];")).alias("line")))
+    lines.coalesce(1).sortWithinPartitions("place", "line").select("line").write.mode("overwrite").text(path)
 
 
 def requests(pairs: DataFrame, path: str) -> None:
@@ -63,3 +69,33 @@ def jobs(df: DataFrame, path: str) -> None:
 
 def results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def packed(files: DataFrame, stamp: str) -> DataFrame:
+    """archive, content: files(project, name, content) of each project as one zip archive, named by project and stamp."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(group: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in sorted(zip(group["name"].to_pylist(), group["content"].to_pylist(), strict=True)):
+                z.writestr(zipfile.ZipInfo(name), content)
+        return pa.table({"archive": [f"{group['project'][0].as_py()}_{stamp}.zip"], "content": [out.getvalue()]})
+
+    return files.select("project", "name", "content").groupBy("project").applyInArrow(pack, "archive string, content binary")
+
+
+def put(df: DataFrame, folder: str) -> None:
+    """Every row of df(archive, content) as a file of its own, on whatever file system the folder is on; the rows come one by one."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in df.toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.archive}")
+        with_stream = at.getFileSystem(conf).create(at, True)
+        try:
+            with_stream.write(bytearray(row.content))
+        finally:
+            with_stream.close()

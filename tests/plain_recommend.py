@@ -43,7 +43,7 @@ class Plain:
         self.eco_edges = defaultdict(set)
         for r in t["eco_edges"]:
             self.eco_edges[r["src"]].add(r["dst"])
-        self.docs, self.checks = {r["gav"] for r in t["docs"]}, {(r["base"], r["next"]) for r in t["checks"]}
+        self.docs, self.checks = {r["gav"] for r in t["docs"]}, {(r["base"], r["next"], r["kind"]) for r in t["checks"]}
         self.known, self.bodies = defaultdict(list), defaultdict(list)
         for r in t["incompatibilities"]:
             self.known[r["base"], r["next"], r["kind"]].append(r)
@@ -101,7 +101,8 @@ class Plain:
             if not risky:
                 continue
             pair = self.gav(self.art[old]), self.gav(new)
-            if pair not in self.checks or not set(pair) <= self.docs:
+            kinds = {"SRC" if c["src"] == self.root else "BINARY" for c in risky}
+            if any((*pair, k) not in self.checks for k in kinds) or not set(pair) <= self.docs:
                 out.append(("FAILED_SIGTEST", 0))
                 continue
             n_calls = 0

@@ -86,7 +86,31 @@ def test_matching(spark):
 @pytest.mark.parametrize("roots, kind", [([(7, 7)], "AROUND"), ([(7, 1)], "FROM_ROOT"), ([(8, 1)], None), ([(8, 1), (8, 2)], "SHARED")])
 def test_constraints_by_number_of_roots(spark, roots, kind):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
-    got = constraints.plan(df(roots, "node long, root long"), df([(1, "f1", "g1"), (2, "f2", "g2"), (7, "f7", "g7"), (8, "f8", "g8")], "node long, family string, gav string"), df([(7,)], "node long"), df([(8, 9), (1, 1)], "node long, dist int")).collect()
+    nodes = df([(0, n, f"g{n}", "a", "1") for n in (1, 2, 7, 8)], "project long, node long, grp string, artifact string, version string")
+    dist = "project long, node long, dist int"
+    lengths = df([(0, 1, 8, 9)], "project long, start long, node long, dist int")
+    planned = constraints.plan(df([(1, 0, 7)], "run long, project long, lib long"), df([(1, *r) for r in roots], "run long, node long, root long"), nodes, nodes.select("project", "node", nodes.grp.alias("family")).limit(0), df([(0, 8, 3), (0, 1, 1)], dist), lengths)
+    got = planned.collect()
     assert [r.kind for r in got] == ([kind] if kind else [])
     if kind == "SHARED":
-        assert got[0].roots == [1, 2] and got[0].bound == 9
+        assert [(r.root, r.bound) for r in got[0].roots] == [(1, 9), (2, 5)]
+
+
+def test_paths_of_a_constraint_share_no_edge(spark):
+    """The only way of the first root leads over the second one's only edge, until another edge is there."""
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    nodes = df([(0, n, f"g{n}", "a", "1") for n in (1, 2, 7, 8)], "project long, node long, grp string, artifact string, version string")
+    eco = df([(n, f"g{n}", "a", "1") for n in (1, 2, 7, 8)] + [(20, "g2", "a", "0"), (9, "x", "x", "1")], "node long, grp string, artifact string, version string")
+    plan = df([("r", 0, 8, "SHARED", 1, [(1, 5), (2, 5)])], "run string, project long, node long, kind string, place int, roots array<struct<root:long,bound:int>>")
+    tries = df([("t", "r", 0, 7, "1", 7)], "try string, run string, project long, lib long, version string, cand long")
+    edges = [(1, 2), (2, 8), (7, 9)]
+    assert constraints.solve(tries, plan, nodes, eco, df(edges, "src long, dst long"))[0].count() == 0
+    solved, sub, found = constraints.solve(tries, plan, nodes, eco, df([*edges, (1, 9), (9, 8)], "src long, dst long"))
+    assert solved.count() == 1 and {r.node for r in sub.collect()} == {1, 2, 7, 8, 9}
+    assert {(r.src, r.dst) for r in found.collect()} == {(1, 9), (9, 8), (2, 8), (1, 2)}
+
+
+def test_loose_matches_need_no_first_characters(spark):
+    left = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, "f"), (4, "xyz")], "id int, g string")
+    right = spark.createDataFrame([("--abcdefg", 1, "one"), ("f", 2, "two")], "g string, ord int, v string")
+    assert {r.id: r.v for r in matching.match_loose(left, right, [("g", "g")], "ord", "v", ["id"]).collect()} == {1: "one", 2: "one", 3: "one", 4: None}
