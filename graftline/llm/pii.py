@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from graftline.staging import stage
 
 CONTEXT, MIN_SUPPORT, THRESHOLD, CLASS_LETTERS = 80, 5, 0.95, 3
+#: Values whose lengths are summed together, and code points of a text's block.
+GROUP, BLOCK = 128, 512
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -37,10 +39,40 @@ _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 _TERMS = r"(?<!\p{L})\p{L}{3,}+"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _starts(pieces: Column, values: Column) -> Column:
-    """struct(at, value) for each value, given the pieces between the values."""
-    length = lambda a, n: F.aggregate(F.transform(F.slice(a, 1, n), F.length), F.lit(0), lambda s, x: s + x)
-    return F.transform(values, lambda v, i: F.struct((length(pieces, i + 1) + length(values, i)).alias("at"), v.alias("value")))
+    """struct(at, value) for each value, given the pieces between the values.
+
+    Lengths are summed in groups of ``GROUP``, so that a value's place needs the groups before it and its own group only.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    lengths = F.transform(values, lambda v, i: F.length(F.get(pieces, i)) + F.length(v))
+    groups = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / GROUP).cast("int")), lambda j: total(F.slice(n, j * GROUP + 1, GROUP)))
+    before = lambda g: F.transform(g, lambda _, j: total(F.slice(g, F.lit(1), j)))
+
+    def places(n: Column, base: Column) -> Column:
+        def place(v: Column, i: Column) -> Column:
+            group = F.floor(i / GROUP).cast("int")
+            return F.struct((F.get(base, group) + total(F.slice(n, group * GROUP + 1, i % GROUP)) + F.length(F.get(pieces, i))).alias("at"), v.alias("value"))
+
+        return F.transform(values, place)
+
+    return _let(lengths, lambda n: _let(groups(n), lambda g: _let(before(g), lambda base: places(n, base))))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points, from which short parts are cut without going through all of it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to below end."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(F.greatest(end - 1, start) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
 
 
 def _digits(value: Column) -> Column:
@@ -89,7 +121,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _context_terms(masked: Column, span: Column) -> Column:
-    """Terms beside a span: array of (entity, term, start, end)."""
+    """Terms beside a span, of a masked text in blocks: array of (entity, term, start, end)."""
     entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
     # one code point more than the context, so that words cut by its edge are told from whole ones
     left_from = F.greatest(span["start"] - CONTEXT - 1, F.lit(0))
@@ -98,8 +130,8 @@ def _context_terms(masked: Column, span: Column) -> Column:
         found = _starts(F.split(part, _TERMS, -1), F.regexp_extract_all(part, F.lit(_TERMS), 0))
         return F.transform(found, lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (offset + x["at"]).alias("start"), (offset + x["at"] + F.length(x["value"])).alias("end")))
 
-    left = F.substring(masked, left_from + 1, span["start"] - left_from)
-    right = F.substring(masked, span["end"] + 1, F.lit(CONTEXT + 1))
+    left = _between(masked, left_from, span["start"])
+    right = _between(masked, span["end"], span["end"] + CONTEXT + 1)
     both = F.concat(terms(left, left_from), terms(right, span["end"]))
     return F.filter(both, lambda x: (x["start"] >= span["start"] - CONTEXT) & (x["end"] <= span["end"] + CONTEXT))
 
@@ -135,19 +167,60 @@ def _keys(df: DataFrame) -> DataFrame:
     return df.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, k, h (its key), spans: array of (start, kind, end, general) in order; kind TERM for disclosing terms."""
-    spans = base_spans(docs)
-    masked = F.col("masked")
-    found = stage(_keys(spans.withColumn("beside", F.flatten(F.transform("base", lambda s: _context_terms(masked, s))))).drop("text", "masked"), "found")
+def _replaced(blocks: Column, length: Column, spans: Column) -> Column:
+    """The text with base spans replaced by their kind's name, and terms generalised or removed; an overlapped span goes with the first."""
+    label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    kept_type = "array<struct<start:int,end:int,put:string>>"
+    # spans are gone through in groups, so that no long array grows by single spans
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / GROUP).cast("int")), lambda j: F.slice(spans, j * GROUP + 1, GROUP))
+
+    def keep(acc: Column, s: Column) -> Column:
+        put = F.when(s["kind"] == TERM, F.coalesce(s["general"], F.lit(""))).otherwise(F.get(label, s["kind"]))
+        more = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), put.alias("put")))
+        return F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["kept"], more).alias("kept"), s["end"].alias("at"))).otherwise(acc)
+
+    def keep_group(acc: Column, group: Column) -> Column:
+        own = F.aggregate(group, F.struct(F.array().cast(kept_type).alias("kept"), acc["at"].alias("at")), keep)
+        return _let(own, lambda o: F.struct(F.concat(acc["kept"], F.array(o["kept"])).alias("kept"), o["at"].alias("at")))
+
+    def text(kept: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(kept, i)["end"], F.lit(0))
+        parts = F.transform(kept, lambda s, i: F.concat(_between(blocks, end(i - 1), s["start"]), s["put"]))
+        return F.concat(F.array_join(parts, ""), _between(blocks, end(F.size(kept) - 1), length))
+
+    none = F.struct(F.array().cast(f"array<{kept_type}>").alias("kept"), F.lit(0).alias("at"))
+    return _let(F.aggregate(groups, none, keep_group, lambda acc: F.flatten(acc["kept"])), text)
+
+
+def _clean(text: str, spans: str, digest: bool) -> Column:
+    """What is left of the text, or its SHA-256."""
+    blocks = lambda whole: F.when(F.size(spans) > 0, _let(_blocks(whole), lambda b: _replaced(b, F.length(whole), F.col(spans)))).otherwise(whole)
+    out = blocks(F.col(text))
+    return F.sha2(out, 256) if digest else out
+
+
+def detect(docs: DataFrame, digest: bool = True) -> DataFrame:
+    """doc_id, spans: array of (start, kind, end, general) in order, kind TERM for disclosing terms; clean: the sanitised text's SHA-256, or with digest False the text.
+
+    Only texts with terms beside an entity are carried to the corpus-wide decision; all others are done in the first pass.
+    """
+    spans = base_spans(docs).withColumn("blocks", _blocks(F.col("masked")))
+    spans = spans.withColumn("beside", F.flatten(F.transform("base", lambda s: _context_terms(F.col("blocks"), s))))
+    spans = _keys(spans).withColumn("base", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("general"), s["value"].alias("value"))))
+    undecided = F.size("beside") > 0
+    # no name of a column that a lambda reads is given again in the same projection: it would be taken for the new one
+    found = stage(spans.select("doc_id", "k", "h", "base", "beside", F.when(undecided, F.col("text")).alias("whole"), F.when(~undecided, _clean("text", "base", digest)).alias("clean")), "found")
     counts = stage(term_counts(docs), "terms")
     over = disclosing_terms(found, counts)
-    beside = found.filter(F.size("beside") > 0).select("k", "h", F.explode("beside").alias("x")).select("k", "h", "x.*")
+    base = F.transform("base", lambda s: s.dropFields("value")).alias("spans")
+    done = found.filter(~undecided).select("doc_id", base, "clean")
+    left = found.filter(undecided)
+    beside = left.select("k", "h", F.explode("beside").alias("x")).select("k", "h", "x.*")
     own = beside.join(over, ["entity", "term"]).groupBy("k", "h", "start", "end").agg(F.min("general").alias("general"))
     terms = own.groupBy("k", "h").agg(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", "general")).alias("terms"))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("general")))
-    both = found.join(terms, ["k", "h"], "left").withColumn("base", base)
-    return both.select("doc_id", "k", "h", F.sort_array(F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms"))).alias("spans"))
+    both = left.select("doc_id", "k", "h", "whole", base).join(terms, ["k", "h"], "left")
+    both = both.withColumn("spans", F.sort_array(F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "terms"))))
+    return done.unionByName(both.select("doc_id", "spans", _clean("whole", "spans", digest).alias("clean")))
 
 
 def _shown(spans: Column) -> Column:
@@ -156,24 +229,15 @@ def _shown(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256 and spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, n_general and n_removed (terms by what becomes of them), clean_sha256."""
     d = detect(docs)
     counts = [_number(F.col("spans"), n).alias(f"n_{k}") for n, k in enumerate((*KINDS, "term"))]
     base = F.filter("spans", lambda s: s["kind"] < TERM)
-    return d.select("doc_id", *counts, F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
+    general = F.size(F.filter("spans", lambda s: s["general"].isNotNull())).cast("long")
+    gone = F.size(F.filter("spans", lambda s: (s["kind"] == TERM) & s["general"].isNull())).cast("long")
+    return d.select("doc_id", *counts, F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"), general.alias("n_general"), gone.alias("n_removed"), F.col("clean").alias("clean_sha256"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id and text with base spans replaced by their kind's name and disclosing terms generalised or removed; an overlapped span is replaced by the first."""
-    found = detect(docs).dropDuplicates(["k", "h"]).drop("doc_id")
-    text = F.coalesce("text", F.lit(""))
-    met = _keys(docs.select("doc_id", text.alias("text"))).join(found, ["k", "h"])
-    label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def put(acc: Column, s: Column) -> Column:
-        new = F.when(s["kind"] == TERM, F.coalesce(s["general"], F.lit(""))).otherwise(label[s["kind"]])
-        step = F.struct(F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), new).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], step).otherwise(acc)
-
-    return met.select("doc_id", F.aggregate("spans", init, put, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))).alias("text"))
+    return detect(docs, digest=False).select("doc_id", F.col("clean").alias("text"))

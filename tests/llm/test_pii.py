@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 from graftline.llm import pii
@@ -125,3 +126,32 @@ def test_terms_beside_punctuation_and_at_the_ends(spark):
     assert got == {i: w for (i, _), w in zip(rows, brute_words(rows), strict=True)}
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert [clean[i] for i in (*range(42), 300) if any(w in clean[i] for w in ("Gudrun", "Meyer", "Anne", "Marie", "Werner", "@"))] == []
+
+
+def cleaned(text, spans):
+    """The plain replacement: first spans win, kinds get their name, terms go."""
+    out, at = "", 0
+    for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)), key=lambda x: (x[1], [*PLAIN, "term"].index(x[0]), x[2])):
+        if a >= at:
+            out, at = out + text[at:a] + ("" if kind == "term" else f"[{kind.upper()}]"), b
+    return out + text[at:]
+
+
+def test_report_has_the_sanitised_text(spark):
+    df = spark.createDataFrame([(i, t, "", 0, "") for i, t in ROWS if i is not None], SCHEMA)
+    texts, n = dict(pair for pair in ROWS if pair[0] is not None), 0
+    for r in pii.report(df).collect():
+        assert r.n_term == r.n_general + r.n_removed
+        if not r.n_general and texts[r.doc_id]:
+            n += 1
+            assert r.clean_sha256 == hashlib.sha256(cleaned(texts[r.doc_id], r.spans).encode()).hexdigest(), r.doc_id
+    assert n > 60
+
+
+def test_a_long_text_with_many_matches_takes_seconds(spark):
+    text = " ".join(f"n{i}@ex.am, jo" for i in range(50_000))
+    df = spark.createDataFrame([(1, text, "", 0, "")], SCHEMA)
+    began = time.perf_counter()
+    r = pii.report(df).collect()[0]
+    assert r.n_email == 50_000 and r.base_sha256 == hashlib.sha256(",".join(f"email:{a}:{b}" for a, _, b, _ in base(text)).encode()).hexdigest()
+    assert time.perf_counter() - began < 60
