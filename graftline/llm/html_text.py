@@ -2,7 +2,7 @@
 
 A page's elements become blocks: block-level elements, and runs of bare text between them.  Two sets of boosted trees give each block the
 log odds that it is main text throughout, and that it has none, from its text and tag density, link density, depth, place among its siblings, tag, enclosing
-landmark, and the tokens of its own and its ancestors' class, id and role.  Decoding walks the tree upwards: a block is
+landmark, the tokens of its own and its ancestors' class, id and role, and the share of its text below such tokens of bad repute.  Decoding walks the tree upwards: a block is
 kept whole, dropped whole, or left to its children as mixed, whichever is likeliest for its subtree, so that nothing is kept
 inside a dropped block or dropped inside a kept one.
 
@@ -20,7 +20,7 @@ import html as entities
 import math
 import random
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,26 +41,26 @@ BAD = "ad ads advert advertisement sponsor banner promo nav menu navbar breadcru
 TOKENS = {t: i for i, t in enumerate(GOOD + BAD)}
 TAGS = {t: i for i, t in enumerate("#run article main section div nav header footer aside form ul ol li dl p h1 h2 h3 h4 blockquote pre table tr td figure figcaption body details address center".split())}
 LANDMARKS = {t: i for i, t in enumerate("article main nav header footer aside form section table ul".split())}
-_NUMBERS = 21
+_NUMBERS = 23
 WIDTH = _NUMBERS + len(TAGS) + 1 + len(LANDMARKS) + 2 * len(TOKENS)
 
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[0-9]+|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("tag", "tokens", "landmark", "outer", "children", "raw", "text", "length", "links", "marks", "tags", "paragraphs", "controls", "depth", "start")
+    __slots__ = ("tag", "tokens", "landmark", "outer", "children", "raw", "text", "length", "links", "marks", "tags", "paragraphs", "controls", "depth", "start", "shady")
 
     def __init__(self, tag: str, attrs: str, up: Block | None):
         self.tag, self.children, self.raw = tag, [], []
-        self.length = self.links = self.marks = self.tags = self.paragraphs = self.controls = self.start = 0
+        self.length = self.links = self.marks = self.tags = self.paragraphs = self.controls = self.start = self.shady = 0
         self.text = ""
         self.depth = up.depth + 1 if up else 0
         self.outer = up.outer | up.tokens if up else frozenset()
         self.landmark = up.tag if up and up.tag in LANDMARKS else up.landmark if up else None
-        self.tokens = _tokens(attrs) if attrs else frozenset()
+        self.tokens = frozenset() if not attrs else _tokens(attrs) if len(attrs) <= 200 else _tokens.__wrapped__(attrs)
 
 
-@cache
+@lru_cache(maxsize=1 << 14)
 def _tokens(attrs: str) -> frozenset[int]:
     found = dom.Node("x", attrs).attributes()
     return frozenset(TOKENS[p.lower()] for k in ("class", "id", "role") for p in _PARTS.findall(found.get(k, "")) if p.lower() in TOKENS)
@@ -114,6 +114,9 @@ def blocks_of(source: str) -> Block:
             b.tags += c.tags + (c.tag != "#run")
             b.paragraphs += c.paragraphs + (c.length if c.tag == "p" else 0)
             b.controls += c.controls
+            b.shady += c.shady
+        if any(t >= len(GOOD) for t in b.tokens):
+            b.shady = b.length
     return root
 
 
@@ -132,7 +135,7 @@ def _features(root: Block) -> tuple[list[Block], np.ndarray]:
     for r, (b, up, i) in enumerate(rows):
         n, sib = b.length, up.children
         before, after = (sib[i - 1].length if i else 0), (sib[i + 1].length if i + 1 < len(sib) else 0)
-        x[r, :_NUMBERS] = (b.depth, math.log1p(n), min(1.0, b.links / n), math.log1p(n / (1 + b.tags)), math.log1p(len(b.children)), i / len(sib), math.log1p(len(sib)), n / up.length, n / page, 100 * b.marks / n, before / page, after / page, b.start / page, (b.start + n) / page, b.paragraphs / n, math.log1p(b.controls), b.text.startswith(("©", "(c)")), *(sum((t < len(GOOD)) == good for t in ts) for ts in (b.tokens, b.outer) for good in (True, False)))
+        x[r, :_NUMBERS] = (b.depth, math.log1p(n), min(1.0, b.links / n), math.log1p(n / (1 + b.tags)), math.log1p(len(b.children)), i / len(sib), math.log1p(len(sib)), n / up.length, n / page, 100 * b.marks / n, before / page, after / page, b.start / page, (b.start + n) / page, b.paragraphs / n, math.log1p(b.controls), b.text.startswith(("©", "(c)")), b.shady / n, 0 < b.shady < n, *(sum((t < len(GOOD)) == good for t in ts) for ts in (b.tokens, b.outer) for good in (True, False)))
         x[r, tags0 + TAGS.get(b.tag, len(TAGS))] = 1
         if b.landmark:
             x[r, land0 + LANDMARKS[b.landmark]] = 1
