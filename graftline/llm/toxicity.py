@@ -1,16 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon turns words into symbols (insult, threat, target, negation, reporting verb, other).  Transducers
-rewrite the symbols of a clause one after the other: negation marks insults and threats in its scope, reported
-speech marks those after a reporting verb, and the target transducer joins what addresses somebody.  Their
-composition runs as one machine over a clause and adds the weights of the clause's matches by kind of match.
-A document's score is a logistic function of these sums, so that single words do not decide by themselves.
+A lexicon turns words into symbols (insult, threat verb, modal, copula, target, negation, reporting verb, other).  Five weighted
+transducers rewrite the symbols of a clause one after the other:
+
+* insults: an insult right behind another one counts half;
+* targets: an insult that a target addresses within three words (a copula keeps it going) becomes addressed, and a target
+  within two words behind an insult addresses it back, at half weight;
+* threats: a threat verb behind a modal, completed by a target before or behind it, is a threat; without a modal, at half weight;
+* negation: what is addressed, insulted or threatened within three words of a negation is negated;
+* reported speech: the same behind a reporting verb is reported.
+
+Their composition runs as one machine over a clause: each word's weight is multiplied by the weights of the arcs that it takes, and
+the clause adds its matches by kind.  A document's score is a logistic function of these sums, so that single words do not decide by themselves.
 
 The lexicon's insults, whole words and stems, are learned from labelled documents: forms that toxic documents have in at least
 ``MIN_SHARE`` as many different contexts as there are toxic documents (contexts, so that copies do not count again) and that other
 documents have next to never.  At most ``LABEL_BOUND`` labelled documents are used, those with the smallest hash of
-doc_id outside the held-out fold, and at most ``LEXICON_BOUND`` forms; three quarters of these documents give the lexicon and
-the rest the weights.  Every document is scored over its whole text.
+doc_id outside the held-out fold; they alone bound the lexicon.  Each of four parts of these documents is scored by a lexicon of the others for
+the weights, and the lexicon of all scores the corpus.  Every document is scored over its whole text.
 
 Defined results: null and empty texts get the score of a text without matches; a null doc_id is held out; rows
 that repeat a doc_id are scored one by one (for learning, the smallest label and text count); without toxic labels every
@@ -32,92 +39,130 @@ from pyspark.sql import types as T
 
 from graftline.staging import stage
 
-LABEL_BOUND, LEXICON_BOUND = 20_000, 20_000
+LABEL_BOUND = 20_000
 MIN_SHARE, MIN_CONTEXTS, PURITY = 0.004, 4, 0.97
 STEMS = range(4, 8)
+FOLDS = 4
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Insults and threats that are negated or reported are symbols of their own.
-NEGATED, REPORTED = 6, 7
+#: Symbols of words, and those that the grammar makes of them.
+OTHER, INSULT, VERB, MODAL, COPULA, TARGET, NEGATION, REPORT = range(8)
+ADDRESSED, BACK, THREAT, NEGATED, REPORTED = range(8, 13)
 
 CUES = {
     TARGET: "you your yours u he she they him her them his their du dich dir ihr euch sie er tu toi te vous vos votre ton il elle eux tú usted ustedes vosotros él ella ellos",
-    NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nobody nicht kein keine keinen nie niemals pas jamais aucun ni nunca jamás ningún",
+    COPULA: "are is was were be being bist ist seid sind war es est êtes sont était eres son era",
+    MODAL: "will shall would gonna going must want i'll we'll werde werden wird will'n wollen muss vais va allons veux voy vamos quiero debo",
+    NEGATION: "not no never isn't aren't wasn't won't don't doesn't didn't nobody nicht kein keine keinen nie niemals pas jamais aucun ni nunca jamás ningún",
     REPORT: "said says say wrote writes called calls quoted claimed told sagte sagt schrieb nannte behauptet dit disait écrit appelle dijo dice escribió llamó",
-    THREAT: "kill murder hurt destroy burn stab shoot beat töten umbringen verletzen zerstören tuer frapper détruire brûler matar herir destruir golpear",
 }
-_CUE = {w: symbol for symbol, words in CUES.items() for w in words.split()}
-#: Words that a negation reaches.
-NEGATION_SCOPE = 3
+#: A threat verb is one of the stems with one of the endings.
+THREAT_STEMS = "kill murder hurt destroy burn stab shoot beat strangl töt umbring verletz zerstör erschieß schlag tuer frapp détrui brûl étrangl matar mat golpe destru dispar".split()
+THREAT_ENDINGS = ["", *"s es ed d ing e en st t er ez ent rai erai ai ar aré arte arle é o a as an r re te".split()]
+_CUE = {stem + ending: VERB for stem in THREAT_STEMS for ending in THREAT_ENDINGS if len(stem + ending) > 3} | {w: symbol for symbol, words in CUES.items() for w in words.split()}
+#: Words that a target, an insult, a modal or a negation reaches.
+TARGET_SCOPE, BACK_SCOPE, MODAL_SCOPE, NEGATION_SCOPE = 3, 2, 3, 3
 
 _WORD = regex.compile(r"[\p{L}\p{M}']+|[.!?;:\n|]")
 _BREAKS = frozenset(".!?;:\n|")
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
+_KIND = {INSULT: 0, ADDRESSED: 1, BACK: 1, NEGATED: 2, REPORTED: 3, THREAT: 4}
 
 
 class Transducer:
-    """Deterministic: arcs (state, symbol) -> (state, symbol out); a symbol without an arc passes and follows default."""
+    """Deterministic and weighted: arcs (state, symbol) -> (state, symbol out, weight); other symbols pass with weight 1 and follow default, which runs down to 0 from scopes."""
+
+    def __init__(self, arcs: dict[tuple, tuple], default: dict):
+        self.arcs, self.default = arcs, default
+
+    def step(self, state, symbol: int) -> tuple:
+        return self.arcs.get((state, symbol)) or (self.default.get(state, 0), symbol, 1.0)
+
+
+def _scopes(*named: tuple[str, int]) -> dict:
+    """Defaults of states (name, n): the next word leaves n - 1, and then 0."""
+    return {(name, n): (name, n - 1) if n > 1 else 0 for name, most in named for n in range(1, most + 1)}
+
+
+def insults() -> Transducer:
+    return Transducer({(0, INSULT): (1, INSULT, 1.0), (1, INSULT): (1, INSULT, 0.5)}, {})
+
+
+def targets(ahead: int = TARGET_SCOPE, back: int = BACK_SCOPE) -> Transducer:
+    """States ("to", n) behind a target, ("of", n) behind an insult that nobody was addressed by."""
+    default = _scopes(("to", ahead), ("of", back))
+    arcs = {(s, TARGET): (("to", ahead), TARGET, 1.0) for s in (0, *default)}
+    arcs |= {(("of", n), TARGET): (("to", ahead), BACK, 0.5) for n in range(1, back + 1)}
+    arcs |= {(s, INSULT): (("of", back), INSULT, 1.0) for s in (0, *default)}
+    arcs |= {(("to", n), INSULT): (0, ADDRESSED, 1.0) for n in range(1, ahead + 1)}
+    arcs |= {(("to", n), COPULA): (("to", ahead), COPULA, 1.0) for n in range(1, ahead + 1)}
+    return Transducer(arcs, default)
+
+
+def threats(scope: int = MODAL_SCOPE) -> Transducer:
+    """States ("will", n) behind a modal, ("at", n) behind a modal and a target, ("do", n) behind a modal and a verb, ("bare", n) behind a verb alone."""
+    default = _scopes(("will", scope), ("at", scope), ("do", scope), ("bare", scope - 1))
+    every = (0, *default)
+    arcs = {(s, MODAL): (("will", scope), MODAL, 1.0) for s in every} | {(s, VERB): (("bare", scope - 1), VERB, 1.0) for s in every}
+    for n in range(1, scope + 1):
+        arcs |= {(("will", n), VERB): (("do", scope), VERB, 1.0), (("at", n), VERB): (0, THREAT, 1.0), (("do", n), VERB): (("do", scope), VERB, 1.0)}
+        for to in (TARGET, BACK):
+            arcs |= {(("will", n), to): (("at", scope), to, 1.0), (("do", n), to): (0, THREAT, 1.0)}
+    arcs |= {(("bare", n), to): (0, THREAT, 0.5) for n in range(1, scope) for to in (TARGET, BACK)}
+    return Transducer(arcs, default)
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int]], default: dict[int, int] | None = None):
-        self.arcs, self.default = arcs, default or {}
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol)) or (self.default.get(state, state), symbol)
+_MATCHES = (INSULT, ADDRESSED, BACK, THREAT)
 
 
 def negation(scope: int = NEGATION_SCOPE) -> Transducer:
-    """State n: the next n words are negated."""
-    arcs = {(n, NEGATION): (scope, NEGATION) for n in range(scope + 1)}
-    arcs |= {(n, s): (n - 1, NEGATED) for n in range(1, scope + 1) for s in (INSULT, THREAT)}
-    return Transducer(arcs, {n: max(0, n - 1) for n in range(scope + 1)})
+    """State ("no", n): the next n words are negated."""
+    default = _scopes(("no", scope))
+    arcs = {(s, NEGATION): (("no", scope), NEGATION, 1.0) for s in (0, *default)}
+    arcs |= {(s, m): (default[s], NEGATED, 1.0) for s in default for m in _MATCHES}
+    return Transducer(arcs, default)
 
 
 def reported() -> Transducer:
-    """State 1: after a reporting verb."""
-    return Transducer({(0, REPORT): (1, REPORT), (1, INSULT): (1, REPORTED), (1, THREAT): (1, REPORTED)})
+    """State 1: behind a reporting verb, as far as the clause goes."""
+    return Transducer({(0, REPORT): (1, REPORT, 1.0)} | {(1, m): (1, REPORTED, 1.0) for m in _MATCHES}, {1: 1})
 
 
 class Composition:
     """Transducers one behind the other, as one machine whose states and arcs are made when they are first met."""
 
     def __init__(self, *machines: Transducer):
-        self.machines, self.states, self.arcs = machines, {(0,) * len(machines): 0}, {}
+        self.machines, self.states, self.names, self.arcs = machines, {(0,) * len(machines): 0}, [(0,) * len(machines)], {}
 
-    def run(self, symbols: list[int]) -> list[int]:
-        names, at, out = list(self.states), 0, []
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """The last machine's symbols and the product of the weights on the way."""
+        at, out = 0, []
         for symbol in symbols:
             arc = self.arcs.get((at, symbol))
             if arc is None:
-                state, s = [], symbol
-                for machine, own in zip(self.machines, names[at], strict=True):
-                    new, s = machine.step(own, s)
+                state, s, weight = [], symbol, 1.0
+                for machine, own in zip(self.machines, self.names[at], strict=True):
+                    new, s, w = machine.step(own, s)
                     state.append(new)
-                if tuple(state) not in self.states:
-                    self.states[tuple(state)] = len(self.states)
-                    names.append(tuple(state))
-                arc = self.arcs[at, symbol] = self.states[tuple(state)], s
-            at, s = arc
-            out.append(s)
+                    weight *= w
+                key = tuple(state)
+                if key not in self.states:
+                    self.states[key] = len(self.names)
+                    self.names.append(key)
+                arc = self.arcs[at, symbol] = self.states[key], (s, weight)
+            at, made = arc
+            out.append(made)
         return out
 
 
-_GRAMMAR = Composition(negation(), reported())
+GRAMMAR = Composition(insults(), targets(), threats(), negation(), reported())
 
 
 def clause_weights(symbols: list[int], weights: list[float]) -> list[float]:
-    """The weights of a clause's matches by kind; weights are those of insults, 1 for threats."""
+    """The weights of a clause's matches by kind; weights are those of insults, 1 for other words."""
     sums = [0.0] * len(KINDS)
-    out = _GRAMMAR.run(symbols)
-    to = TARGET in symbols
-    for s, w in zip(out, weights, strict=True):
-        if s == INSULT:
-            sums[1 if to else 0] += w
-        elif s == NEGATED:
-            sums[2] += w
-        elif s == REPORTED:
-            sums[3] += w
-        elif s == THREAT and to:
-            sums[4] += 1.0
+    for (s, w), own in zip(GRAMMAR.run(symbols), weights, strict=True):
+        if s in _KIND:
+            sums[_KIND[s]] += w * own
     return sums
 
 
@@ -146,9 +191,9 @@ class Lexicon:
                 continue
             w = self.insult(word)
             symbol = INSULT if w else _CUE.get(word, OTHER)
-            hit = hit or symbol in (INSULT, THREAT)
+            hit = hit or symbol in (INSULT, VERB)
             symbols.append(symbol)
-            weights.append(w)
+            weights.append(w or 1.0)
         if hit:
             sums = [a + b for a, b in zip(sums, clause_weights(symbols, weights), strict=True)]
         return [math.log1p(x) for x in sums]
@@ -163,15 +208,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     chosen = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id", "toxic").limit(bound).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    return met.groupBy("text").agg(F.min("toxic").alias("toxic")).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(4)).cast("int").alias("fold"))
+    return met.groupBy("text").agg(F.min("toxic").alias("toxic")).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other documents have a form (context null), and toxic documents' forms with their contexts."""
+    """By fold, how many toxic and other documents have a form (context null), and toxic documents' forms with their contexts."""
     for b in batches:
-        documents: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        contexts: set[tuple[str, int]] = set()
-        for text, label in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+        documents: tuple[dict[tuple[str, int], int], dict[tuple[str, int], int]] = ({}, {})
+        contexts: set[tuple[str, int, int]] = set()
+        for text, label, fold in zip(*(b[c].to_pylist() for c in ("text", "toxic", "fold")), strict=True):
             words = [w for w in _WORD.findall(text.lower()) if w not in _BREAKS]
             own = set()
             for i, w in enumerate(words):
@@ -179,31 +224,43 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.update(forms)
                 if label:
                     around = crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
-                    contexts.update((f, around) for f in forms)
+                    contexts.update((f, fold, around) for f in forms)
             n = documents[1 if label else 0]
             for f in own:
-                n[f] = n.get(f, 0) + 1
+                n[f, fold] = n.get((f, fold), 0) + 1
         clean, toxic = documents
-        forms = [*clean, *toxic, *(f for f, _ in contexts)]
+        keys = [*clean, *toxic, *((f, fold) for f, fold, _ in contexts)]
         yield pa.RecordBatch.from_arrays([
-            pa.array(forms, pa.string()),
-            pa.array([None] * (len(clean) + len(toxic)) + [c for _, c in contexts], pa.int64()),
+            pa.array([f for f, _ in keys], pa.string()),
+            pa.array([fold for _, fold in keys], pa.int32()),
+            pa.array([None] * (len(clean) + len(toxic)) + [c for *_, c in contexts], pa.int64()),
             pa.array([0] * len(clean) + list(toxic.values()) + [0] * len(contexts), pa.int64()),
             pa.array(list(clean.values()) + [0] * (len(toxic) + len(contexts)), pa.int64()),
-        ], ["form", "context", "toxic", "clean"])
-
-
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    got = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    n_toxic, n_clean = max(1, got[0]), max(1, got[1])
-    least = max(MIN_CONTEXTS, MIN_SHARE * n_toxic)
-    pairs = rows.mapInArrow(_forms, "form string, context long, toxic long, clean long").groupBy("form", "context").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = pairs.groupBy("form").agg(F.count("context").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = F.col("toxic") / n_toxic
-    purity = share / (share + (F.col("clean") + 0.5) / n_clean)
-    best = counts.filter((F.col("contexts") >= least) & (F.col("toxic") >= MIN_CONTEXTS)).withColumn("purity", purity).filter(F.col("purity") >= PURITY).orderBy(F.desc("toxic"), "form").limit(LEXICON_BOUND).toArrow().to_pylist()
+        ], ["form", "fold", "context", "toxic", "clean"])
+
+
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """The lexicon of all rows(text, toxic, fold), and those without each fold, from one count."""
+    without = [None, *range(FOLDS)]
+    kept = [F.lit(True) if v is None else F.col("fold") != v for v in without]
+    some = lambda c, k: F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0))
+    got = rows.agg(*[F.count_if(k & (F.col("toxic") == t)) for k in kept for t in (1, 0)]).first()
+    pairs = rows.mapInArrow(_forms, "form string, fold int, context long, toxic long, clean long").groupBy("form", "context")
+    pairs = pairs.agg(*[x for v, k in enumerate(kept) for x in (some("toxic", k).alias(f"t{v}"), some("clean", k).alias(f"c{v}"), F.max(k).alias(f"k{v}"))])
+    own = [x for v in range(len(without)) for x in (F.count_if(F.col("context").isNotNull() & F.col(f"k{v}")).alias(f"n{v}"), F.sum(f"t{v}").alias(f"t{v}"), F.sum(f"c{v}").alias(f"c{v}"))]
+    counts = pairs.groupBy("form").agg(*own)
+    made, any_of = [], F.lit(False)
+    for v in range(len(without)):
+        n_toxic, n_clean = max(1, got[2 * v]), max(1, got[2 * v + 1])
+        share = F.col(f"t{v}") / n_toxic
+        purity = share / (share + (F.col(f"c{v}") + 0.5) / n_clean)
+        good = (F.col(f"n{v}") >= max(MIN_CONTEXTS, MIN_SHARE * n_toxic)) & (F.col(f"t{v}") >= MIN_CONTEXTS) & (purity >= PURITY)
+        made.append(F.when(good, purity).alias(f"p{v}"))
+        any_of = any_of | good
+    best = counts.filter(any_of).select("form", *made).toArrow().to_pylist()
     weight = lambda p: min(6.0, math.log(p / (1 - p)) / 2)
-    return Lexicon({r["form"][1:]: weight(r["purity"]) for r in best if r["form"][0] == "="}, {r["form"][1:]: weight(r["purity"]) for r in best if r["form"][0] == "^"})
+    pick = lambda v, mark: {r["form"][1:]: weight(r[f"p{v}"]) for r in best if r["form"][0] == mark and r[f"p{v}"] is not None}
+    return [Lexicon(pick(v, "="), pick(v, "^")) for v in range(len(without))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
@@ -223,13 +280,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30)
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     rows = stage(training_rows(docs, labels), "labelled")
-    lexicon = learn_lexicon(rows.filter("fold > 0"))
+    lexicon, *without = learn_lexicons(rows)
 
-    def features(text: pa.Array) -> pa.Array:
-        return pa.array([lexicon.features(t) for t in text.to_pylist()], pa.list_(pa.float64()))
+    def features(text: pa.Array, fold: pa.Array) -> pa.Array:
+        return pa.array([without[f].features(t) for t, f in zip(text.to_pylist(), fold.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
-    features.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    got = rows.filter("fold = 0").select(F.arrow_udf(features, T.ArrayType(T.DoubleType()))("text").alias("x"), "toxic").toArrow()
+    features.__annotations__ = {"text": pa.Array, "fold": pa.Array, "return": pa.Array}
+    got = rows.select(F.arrow_udf(features, T.ArrayType(T.DoubleType()))("text", "fold").alias("x"), "toxic").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(KINDS))
     return lexicon, logistic(x, got["toxic"].to_numpy().astype(float))
 

@@ -16,29 +16,59 @@ def test_grammar():
     plain, targeted, negated, reported, threat = range(5)
     hit = lambda t: [i for i, x in enumerate(symbols(t)) if x]
     assert hit("a fool here") == [plain]
-    assert hit("you are a fool") == [targeted]
-    assert hit("this is not a fool. well") == [negated]
+    assert hit("you are a fool") == [targeted] and hit("you fool") == [targeted]
+    assert hit("you went home and met a fool") == [plain]
+    assert hit("a fool, you") == [plain, targeted] and hit("a fool came home to you") == [plain]
+    assert hit("this is not a fool. well") == [negated] and hit("you are no fool") == [negated]
     assert hit("not that it would matter to a fool") == [plain]
-    assert hit("somebody said fool") == [reported]
+    assert hit("somebody said fool") == [reported] and hit("he said you are a fool") == [reported]
     assert hit("somebody said so. a fool") == [plain]
-    assert hit("I will kill you") == [threat]
-    assert hit("they kill time") == [threat] and hit("kill time") == []
+    assert hit("I will kill you") == [threat] and hit("ich werde dich töten") == [threat] and hit("we are going to destroy them") == [threat]
+    assert hit("they kill time") == [] and hit("kill time") == [] and hit("you will see") == []
+    assert hit("stabbing is bad. killing you") == [threat] and hit("I will not kill you") == [negated]
+    assert symbols("I will kill you")[threat] > symbols("kill you")[threat] > 0
+    assert symbols("fool")[plain] < symbols("fool fool")[plain] < symbols("fool and fool")[plain]
     assert hit("grumbling") == [plain] and hit("grum") == []
     assert hit("") == [] and hit(None) == []
 
 
 def test_composition_equals_the_machines_in_a_row():
-    rng = random.Random(1)
-    for _ in range(300):
-        word = [rng.randrange(6) for _ in range(rng.randrange(12))]
-        out = word
-        for machine in (toxicity.negation(), toxicity.reported()):
+    """Every machine over the whole output of the one before it, with the weights multiplied."""
+    rng, machines = random.Random(1), lambda: (toxicity.insults(), toxicity.targets(), toxicity.threats(), toxicity.negation(), toxicity.reported())
+    whole, seen = toxicity.Composition(*machines()), set()
+    for _ in range(3000):
+        word = [rng.randrange(8) for _ in range(rng.randrange(14))]
+        out, weights = word, [1.0] * len(word)
+        for machine in machines():
             state, new = 0, []
-            for s in out:
-                state, s = machine.step(state, s)
+            for i, s in enumerate(out):
+                state, s, w = machine.step(state, s)
                 new.append(s)
+                weights[i] *= w
             out = new
-        assert toxicity.Composition(toxicity.negation(), toxicity.reported()).run(word) == out
+        assert whole.run(word) == list(zip(out, weights, strict=True))
+        seen |= set(out)
+    assert seen == set(range(13))
+
+
+def test_machines_by_their_rules():
+    """Targets and negation, said by counting words instead of states."""
+    rng = random.Random(2)
+    t, plain = toxicity, lambda machine, word: [s for s, _ in toxicity.Composition(machine).run(word)]
+    for _ in range(2000):
+        word = [rng.choice([t.OTHER, t.OTHER, t.INSULT, t.NEGATION]) for _ in range(10)]
+        want = [t.NEGATED if s == t.INSULT and t.NEGATION in word[max(0, i - 3) : i] else s for i, s in enumerate(word)]
+        assert plain(t.negation(), word) == want
+        word = [rng.choice([t.OTHER, t.OTHER, t.INSULT, t.TARGET]) for _ in range(8)]
+        out = []
+        for i, s in enumerate(word):
+            last = max((j for j in range(i) if word[j] in (t.TARGET, t.INSULT)), default=None)
+            if s == t.INSULT and last is not None and word[last] == t.TARGET and i - last <= 3:
+                s = t.ADDRESSED
+            elif s == t.TARGET and last is not None and out[last] == t.INSULT and i - last <= 2:
+                s = t.BACK
+            out.append(s)
+        assert plain(t.targets(), word) == out
 
 
 def corpus(n=1500, seed=4):
