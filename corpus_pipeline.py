@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return docs' columns.
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return docs' columns, whatever their names.
+Null and empty texts count as empty; empty tables give empty results; decisions are by row, so that ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -17,42 +18,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """docs with _id, and _hash of the whole row; nulls count in it by their place."""
-    names = docs.columns
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(*names, *[F.col(c).isNull() for c in names])})
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, whatever their names), doc_id, text, id (doc_id as a number) and hash of the whole row; nulls count in it by their place."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("hash"))
 
 
-def _one_of_each(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row of docs for each _group of candidates(_group, _id, _hash): that with the smallest _id and _hash, and one of its repetitions."""
-    counts = candidates.groupBy("_group", "_id", "_hash").agg(F.count("*").alias("n"))
-    chosen = stage(counts.groupBy("_group").agg(F.min(F.struct("_id", "_hash", "n")).alias("b")).select("b.*"), "chosen")
-    rows = _hashed(docs)
+def _one_of_each(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of each group of candidates(group, id, hash): that with the smallest id and hash, and one of its repetitions."""
+    counts = candidates.groupBy("group", "id", "hash").agg(F.count("*").alias("n"))
+    chosen = stage(counts.groupBy("group").agg(F.min(F.struct("id", "hash", "n")).alias("b")).select("b.*"), "chosen")
 
     def met(of: DataFrame) -> DataFrame:
-        of = of.select(F.col("_id").alias("_kept"), F.col("_hash").alias("_kept_hash"))
-        return rows.join(of, (F.col("_hash") == F.col("_kept_hash")) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+        of = of.select(F.col("id").alias("kept_id"), F.col("hash").alias("kept_hash"))
+        return rows.join(of, (F.col("hash") == F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row")
 
     once, repeated = met(chosen.filter("n = 1")), chosen.filter("n > 1")
-    return once if repeated.isEmpty() else once.unionByName(met(repeated).distinct())
+    return (once if repeated.isEmpty() else once.unionByName(met(repeated).distinct())).select("row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row with the largest doc_id."""
-    kept = exact_dedup.dedup_corpus(docs).filter("kept").select(F.col("text_sha256").alias("_group"), F.col("doc_id").alias("_kept"))
-    rows = _hashed(docs).select(F.lower(F.hex(exact_dedup.text_digest("text"))).alias("_group"), "_id", "_hash")
-    return _one_of_each(docs, rows.join(kept, (rows["_group"] == kept["_group"]) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi"))
+    """Of equal texts, one row with the largest doc_id; of rows with that id the one with the smallest hash, repeated rows once, null ids last."""
+    rows = _rows(docs)
+    kept = exact_dedup.dedup_corpus(docs).filter("kept").select(F.col("text_sha256").alias("group"), F.col("doc_id").alias("kept"))
+    mine = rows.select(F.lower(F.hex(exact_dedup.text_digest("text"))).alias("group"), "id", "hash")
+    return _one_of_each(rows, mine.join(kept, (mine["group"] == kept["group"]) & F.col("id").eqNullSafe(F.col("kept")), "left_semi"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, one row with the smallest doc_id."""
-    rows = simhash.components(_hashed(docs), carry=["_hash"]).filter("doc_id <=> component_id")
-    return _one_of_each(docs, rows.select(F.col("root").alias("_group"), F.col("doc_id").alias("_id"), "_hash"))
+    """Of each near-duplicate component, one row with the smallest doc_id; of rows with that id the one with the smallest hash, repeated rows once, null ids last."""
+    rows = _rows(docs)
+    found = simhash.components(rows, carry=["hash"]).filter("doc_id <=> component_id")
+    return _one_of_each(rows, found.select(F.col("root").alias("group"), F.col("doc_id").alias("id"), "hash"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mixture has them."""
-    return mixing.realise(docs).drop("mix")
+    """Rows as often as the mixture has them; rows without words have no place in it."""
+    return mixing.realise(docs).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

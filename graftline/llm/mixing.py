@@ -10,12 +10,13 @@ source, so texts are not shuffled and a source that holds most rows stays spread
 
 Defined results: tokens are words between white space; null and empty texts have none; a null source
 is a source; a source without tokens gets weight 0 and no rows; rows that repeat id and text share their fate;
-an empty table gives an empty result; other columns are passed on untouched by realise().
+an empty table gives an empty result; other columns are passed on untouched by realise(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,24 +105,33 @@ def cuts(units: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     return full.join(doc_cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """name, with as many underscores behind it as make it differ from all columns, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def realise(docs: DataFrame, seed: int = SEED, **targets) -> DataFrame:
-    """Rows of docs as often as the mixture has them, with a struct column mix.
+    """Rows of docs as often as the mixture has them, with a struct column mix (free_name of it, where docs has one).
 
     mix: tokens, weight, epoch (0 for a document's first copy), block, and place, by which the
     mixture is in order: sources advance through their epochs side by side.
     """
-    keyed = docs.withColumn("mix", F.struct(tokens(F.col("text")).alias("tokens"), doc_key(F.col("doc_id"), F.col("text"), seed).alias("key")))
-    units = stage(keyed.select("source", "mix.tokens", "mix.key"), "units")
+    row, source = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source")
+    keyed = docs.select(row, source, tokens(F.col("text")).alias("tokens"), doc_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    units = stage(keyed.select("source", "tokens", "key"), "units")
     sources = stage(plan(units, **targets), "plan")
     limits = stage(cuts(units, sources, seed), "cuts").select(F.struct("*").alias("cut"))
-    m, c = (lambda name: F.col(f"mix.{name}")), (lambda name: F.col(f"cut.{name}"))
-    met = keyed.join(limits, F.col("source").eqNullSafe(c("source")))
-    block = _block(m("key"), c("blocks"))
+    c = lambda name: F.col(f"cut.{name}")
+    met = keyed.join(limits, source.eqNullSafe(c("source")))
+    key, block = F.col("key"), _block(F.col("key"), c("blocks"))
     last_key = _block_key(c("source"), block, c("whole"), seed)
-    in_last = F.coalesce((last_key < c("block_cut")) | ((last_key == c("block_cut")) & F.coalesce(m("key") <= c("doc_cut"), F.lit(False))), F.lit(False))
-    copies = c("whole") + in_last.cast("long")
-    epoch = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
-    shown = met.withColumn("copies", copies).filter("copies > 0").select(*[F.col(f"`{x}`") for x in docs.columns], "mix", "cut", epoch.alias("epoch"))
-    spread = F.col("epoch") + (_block_key(c("source"), block, F.col("epoch"), seed).cast("double") / 2.0**64 + 0.5)
+    in_last = F.coalesce((last_key < c("block_cut")) | ((last_key == c("block_cut")) & F.coalesce(key <= c("doc_cut"), F.lit(False))), F.lit(False))
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    shown = met.withColumns({"block": block, "copies": c("whole") + in_last.cast("long")}).filter("copies > 0").select("row", "tokens", "block", "cut", epochs.alias("epoch"))
+    spread = F.col("epoch") + (_block_key(c("source"), F.col("block"), F.col("epoch"), seed).cast("double") / 2.0**64 + 0.5)
     place = spread * c("total") / F.greatest(c("budget"), F.lit(1))
-    return shown.withColumn("mix", F.struct(m("tokens").alias("tokens"), c("weight").alias("weight"), F.col("epoch").alias("epoch"), block.alias("block"), place.alias("place"))).select(*[F.col(f"`{x}`") for x in docs.columns], "mix")
+    mix = F.struct("tokens", c("weight").alias("weight"), "epoch", "block", place.alias("place")).alias(free_name(docs.columns, "mix"))
+    return shown.select("row.*", mix)

@@ -109,3 +109,19 @@ def test_dedup_stages_keep_one_row_of_repeated_and_null_ids(spark):
     for step, plain in ((corpus_pipeline.exact_dedup_stage, plain_exact), (corpus_pipeline.near_dedup_stage, plain_near)):
         out = step(spark, docs, "")
         assert out.columns == docs.columns and key(out.collect()) == key(plain(spark, "", rows))
+
+
+CLASHES = ("mix", "cut", "epoch", "copies", "kept", "k", "h", "_id", "_hash", "id", "hash", "row", "group", "fp", "digest", "good", "block", "key", "tokens", "a.b")
+
+
+def test_stages_pass_columns_of_any_name_and_no_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(i))
+    none = docs.limit(0)
+    for _, step in corpus_pipeline.STAGES[:4]:
+        out = step(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(CLASHES)))}
+        assert step(spark, none, folder).count() == 0
+    assert corpus_pipeline.bpe_stage(spark, docs, folder).count() == docs.count() and corpus_pipeline.bpe_stage(spark, none, folder).count() == 0

@@ -86,7 +86,7 @@ def brute_weights(totals, share, repeats, budget):
 
 def test_weights_and_budgets(spark):
     rows = corpus() + [(400, None, None, 0, ""), (401, "one two three", None, 0, ""), (402, "", "empty", 0, "")]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("mix", "other")
+    docs = spark.createDataFrame(rows, SCHEMA)
     totals = {}
     for _, t, s, *_ in rows:
         totals[s] = totals.get(s, 0) + len((t or "").split())
@@ -99,7 +99,7 @@ def test_weights_and_budgets(spark):
     mixed = mixing.realise(docs).collect()
     longest = max(len((t or "").split()) for _, t, *_ in rows)
     for s, r in {r.source: r for r in mixing.plan(docs.select("source", mixing.tokens(F.col("text")).alias("tokens"))).collect()}.items():
-        spent = sum(m.mix.tokens for m in mixed if m.source == s)
+        spent = sum(m.mix_.tokens for m in mixed if m.source == s)
         assert r.budget - longest < spent <= r.budget
         copies = {}
         for m in mixed:
@@ -107,8 +107,55 @@ def test_weights_and_budgets(spark):
                 copies[m.doc_id] = copies.get(m.doc_id, 0) + 1
         assert set(copies.values()) <= {r.whole, r.whole + 1}
     assert not any(m.source == "empty" for m in mixed)
-    assert set(mixed[0].asDict()) == {"doc_id", "text", "source", "key", "other", "mix"}
+    assert set(mixed[0].asDict()) == {"doc_id", "text", "source", "key", "mix", "mix_"}
+
+
+def test_chosen_rows_equal_block_permutations(spark):
+    """Whole epochs, then blocks by their keys, then documents of the block in which the budget ends; by plain loops over the hashes."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "a", "a", "b", None]), 0, "") for i in range(1500)]
+    rows += [rows[5]] * 3 + [(None, None, "a", 0, ""), (9000, "w " * 20_000, "b", 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keyed = docs.select("doc_id", "source", mixing.tokens(F.col("text")).alias("tokens"), mixing.doc_key(F.col("doc_id"), F.col("text"), mixing.SEED).alias("key"))
+    plan = {r.source: r for r in mixing.plan(keyed).collect()}
+    want = {}
+    for source, p in plan.items():
+        own = [r for r in keyed.collect() if r.source == source]
+        block_of = {r.key: r.key % p.blocks for r in own}
+        blocks = spark.createDataFrame([(source, b) for b in sorted(set(block_of.values()))], "source string, block long")
+        order = [r.block for r in blocks.withColumn("o", mixing._block_key(F.col("source"), F.col("block"), F.lit(p.whole).cast("long"), mixing.SEED)).orderBy("o").collect()]
+        left, last = p.rest, set()
+        for b in order:
+            inside = sorted((r for r in own if block_of[r.key] == b), key=lambda r: r.key)
+            if sum(r.tokens for r in inside) <= left:
+                left -= sum(r.tokens for r in inside)
+                last |= {r.key for r in inside}
+                continue
+            for key in sorted({r.key for r in inside}):
+                need = sum(r.tokens for r in inside if r.key == key)
+                if need > left:
+                    break
+                left -= need
+                last.add(key)
+            break
+        for r in own:
+            n = p.whole + (r.key in last)
+            if n:
+                want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + n
+    got = {}
+    for r in mixing.realise(docs).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == want
+
+
+def test_columns_of_any_name_are_passed_on(spark):
+    docs = spark.createDataFrame([(i, "some words here", "s", i, "m") for i in range(9)], SCHEMA).drop("mix")
+    names = ["MIX", "cut", "epoch", "copies", "row", "block", "place", "a.b"]
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    got = mixing.realise(docs)
+    assert got.columns == [*docs.columns, "mix_"] and all(r["a.b"] == "a.b" and r["cut"] == "cut" and r.mix_.epoch >= 0 for r in got.collect()) and got.count() > 0
 
 
 def test_mixing_nothing(spark):
-    assert mixing.realise(spark.createDataFrame([], SCHEMA).drop("mix")).count() == 0
+    assert mixing.realise(spark.createDataFrame([], SCHEMA)).count() == 0
