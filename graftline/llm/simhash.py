@@ -4,9 +4,10 @@ Fingerprints are cut into bands such that two of them within the radius agree on
 ``agree`` bands.  For every choice of so many bands, the fingerprints that agree on them form a shard.  Each shard
 builds a BK-tree (a child hangs on its parent by their Hamming distance) and asks it for each of its
 fingerprints, following only the edges within the radius of the distance; subtrees whose members are all
-linked already are left out.  A shard beyond ``SHARD_MAX`` fingerprints is cut into blocks: the tree of a
-block is sent to every block of the shard, and each pair of blocks is a task's group of its own, so
-that no task holds an unbounded shard and no pair is lost.  The shard gives a spanning forest of its links, never all pairs;
+linked already are left out.  A shard beyond ``SHARD_MAX`` fingerprints is cut by the bits that it does not agree on yet, into
+radius + 1 further bands, of which near ones agree on one.  What is still beyond it is cut into blocks: each pair of blocks is
+a group of its own, so that no task holds an unbounded shard and no pair is lost.  Trees are built where their shard is dealt to and not
+broadcast: all of them together grow with the corpus.  The shard gives a spanning forest of its links, never all pairs;
 components are joined over all shards afterwards.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated
@@ -151,7 +152,7 @@ def _linker(radius: int):
             if not b.num_rows:
                 continue
             fps = b["fp"].to_numpy().view(np.uint64)
-            keys = np.stack([b[c].to_numpy() for c in ("band", "value", "i", "j")])
+            keys = np.stack([b[c].to_numpy() for c in ("band", "value", "sub", "rest", "i", "j")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             side = b["side"].to_numpy()
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -170,20 +171,37 @@ def _linker(radius: int):
     return link
 
 
+def further_bands(mask: int, radius: int) -> list[int]:
+    """Masks that part the other bits: two values within the radius that agree under mask agree under one of them too."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(1 << i for i in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int) -> F.Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
 def links_within(fps: DataFrame, n: int, radius: int = RADIUS, shard_max: int = SHARD_MAX, block: int = BLOCK) -> DataFrame:
     """(a, b) links that span every component of the distinct fingerprints fp within the radius; n: about how many there are."""
     spark = fps.sparkSession
     masks = band_plan(n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("band", "value"))
-    large = shards.groupBy("band", "value").count().filter(F.col("count") > shard_max)
-    cut = shards.join(large, ["band", "value"], "left").withColumn("blocks", F.when(F.col("count").isNull(), 1).otherwise(F.ceil(F.col("count") / block)).cast("int"))
+    shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(_signed(m)) for m in masks])).alias("band", "value"))
+    large = shards.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > shard_max)
+    marked = shards.join(large, ["band", "value"], "left")
+    inner = F.array(*[F.array(*[_signed(x) for x in further_bands(m, radius)]) for m in masks])
+    whole = marked.filter("n is null").select("band", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest"), "fp")
+    parts = marked.filter("n is not null").select("band", "value", "fp", F.posexplode(F.get(inner, F.col("band"))).alias("sub", "mask"))
+    parts = parts.select("band", "value", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    key = ["band", "value", "sub", "rest"]
+    crowded = parts.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > shard_max)
+    dealt = whole.withColumn("blocks", F.lit(1)).unionByName(parts.join(crowded, key, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")).drop("n"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # a block meets each block of its shard once: as the first side for those from it on, as the second for those before
-    met = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "fp", (F.col("own") > F.col("with")).cast("int").alias("side")
+    met = dealt.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *key, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "fp", (F.col("own") > F.col("with")).cast("int").alias("side")
     )
-    key = ["band", "value", "i", "j"]
+    key += ["i", "j"]
     return met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key, "side", "fp").mapInArrow(_linker(radius), "a long, b long")
 
 
