@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words; every distinct word is encoded once, and its ids become pieces by a join
-with the vocabulary's id-to-piece table.  The table's most frequent words, at most ``HEAD_WORDS`` of
-them, are sent to all executors; documents' other words are joined with the table by word and come back to their
-document, where ids and pieces are put together in the order of the words.
+Texts are split into words once, in chunks of about ``CHUNK_WORDS`` words; a chunk keeps each of its distinct words with the places where it
+stands.  The distinct words of all chunks are encoded once each, and their ids become pieces by a join with the vocabulary's id-to-piece
+table.  Chunks' words are joined with this table: frequent words, at most ``HEAD_WORDS`` of at most ``HEAD_BYTES``, without a
+shuffle, others by word.  Then every chunk's ids and pieces go back to their places, and documents are put together.  Texts themselves are not shuffled.
 
 The tokenizer's file gives NFC, white space and lower-casing, a pattern that cuts words, and byte-level
 BPE whose last piece ends in </w>.  Texts of characters below U+0250 (but the separators U+001C-001F) are
@@ -11,7 +11,7 @@ split here in the same way; all others go through the library's own normaliser a
 tokens that appear in a text stay whole, as the library has it.  Decoding joins pieces by one space, as
 the library does for a file that names no decoder.
 
-Defined results: null and empty texts have no tokens; rows that repeat id and text have equal results; a null doc_id
+Defined results: null and empty texts have no tokens; rows that repeat id and text are separate rows with equal results; a null doc_id
 is an id like any other; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,23 +19,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers
 
-from graftline.staging import stage
+from graftline.staging import shuffle_partitions, stage
 
-#: Words that executors hold, at most; the others are joined.
-HEAD_WORDS = 250_000
-#: Distinct words that a task counts before it passes them on.
-COUNT_AT_ONCE = 500_000
+#: Words whose ids all executors hold, at most, and bytes of their rows; the others are joined.
+HEAD_WORDS, HEAD_BYTES = 100_000, 8 << 20
+#: Words of a chunk, after which it ends with the document.
+CHUNK_WORDS = 2_000_000
 
 # The special tokens and the word pattern of the tokenizer's file.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -87,23 +88,73 @@ def split_words(text: str | None, path: str) -> list[str]:
     return [bytes(back[c] for c in w).decode() for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(text))]
 
 
-def _counter(path: str):
-    """A mapInArrow function: words and how often a task has met them."""
+def pack_places(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, and how many for each word: the places of words one behind the other, as steps within a word, seven bits a byte."""
+    steps = np.diff(places, prepend=0)
+    first = np.cumsum(counts) - counts
+    steps[first] = places[first]
+    width = 1 + (steps >= 1 << 7) + (steps >= 1 << 14) + (steps >= 1 << 21) + (steps >= 1 << 28)
+    end = np.cumsum(width)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for i in range(5):
+        has = width > i
+        out[(end - width)[has] + i] = (steps[has] >> 7 * i & 127) | np.where(width[has] > i + 1, 128, 0)
+    return out, np.add.reduceat(width, first) if len(first) else width
+
+
+def unpack_places(data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What pack_places packed."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.r_[0, ends[:-1] + 1][: len(ends)]
+    steps = np.zeros(len(ends), np.int64)
+    for i in range(5):
+        at = starts + i
+        has = at <= ends
+        steps[has] += (data[at[has]] & 127).astype(np.int64) << 7 * i
+    total = np.cumsum(steps)
+    first = np.cumsum(counts) - counts
+    return total - np.repeat(total[first] - steps[first], counts)
+
+
+_POSTINGS = "chunk long, word string, n int, places binary, ids array<long>, sizes array<int>"
+
+
+def _splitter(path: str, chunk_words: int):
+    """A mapInArrow function over (doc_id, text): for each chunk its words with their places, and a row without a word for its documents."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known, places, ids, sizes, n = TaskContext.get().partitionId() << 32, {}, [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            seq = np.concatenate(places) if places else np.zeros(0, np.int32)
+            order, counts = np.argsort(seq, kind="stable"), np.bincount(seq, minlength=len(known))
+            data, widths = pack_places(order, counts)
+            offsets = np.r_[0, np.cumsum(widths)].astype(np.int64)
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+            k = len(known)
+            lists = lambda x, t: pa.concat_arrays([pa.nulls(k, pa.list_(t)), pa.array([x], pa.list_(t))])
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(k + 1, number, np.int64)), pa.array([*known, None], pa.string()), pa.array([*counts.tolist(), None], pa.int32()),
+                pa.concat_arrays([packed, pa.nulls(1, pa.binary())]), lists(ids, pa.int64()), lists(sizes, pa.int32()),
+            ], ["chunk", "word", "n", "places", "ids", "sizes"])
 
-    def made(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
         for b in batches:
-            for text in b["text"].to_pylist():
-                n.update(split_words(text, path))
-                if len(n) > COUNT_AT_ONCE:
-                    yield made(n)
-                    n.clear()
-        yield made(n)
-
-    return count
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                words = split_words(text, path)
+                number_of = known.setdefault
+                places.append(np.array([number_of(w, len(known)) for w in words], np.int32))
+                ids.append(doc_id)
+                sizes.append(len(words))
+                n += len(words)
+                if n >= chunk_words or len(ids) >= chunk_words:
+                    yield made()
+                    number, n = number + 1, 0
+                    for x in (known, places, ids, sizes):
+                        x.clear()
+        if ids:
+            yield made()
+
+    return split
 
 
 def _encoder(path: str):
@@ -121,75 +172,97 @@ def pieces(path: str) -> list[str]:
     return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
 
 
-@cache
-def _piece_of(path: str) -> dict[str, str]:
-    return {str(i): piece for i, piece in enumerate(pieces(path))}
-
-
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n (occurrences), ids (joined by one space): a row for each distinct word."""
-    words = docs.select("text").mapInArrow(_counter(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage(words.select("word", "n", _encoder(path)(F.col("word")).alias("ids")), "words")
-
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece: as long as the vocabulary."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(p := pieces(path))), pa.int32()), "piece": pa.array(p, pa.string())}))
 
-def head_count(words: DataFrame, most: int) -> int:
-    """The least power of two such that at most so many words are as frequent."""
-    powers = range(48)
-    got = words.agg(*[F.count_if(F.col("n") >= (1 << p)) for p in powers]).first()
-    return next((1 << p for p in powers if got[p] <= most), 1 << 62)
 
+def postings(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """chunk, word, n, places of every chunk's words, and for each chunk a row with its documents' ids and sizes (words)."""
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(path, chunk_words), _POSTINGS), "postings")
 
-def _tail_words(head, path: str):
-    def tail(text: pa.Array) -> pa.Array:
-        known = head.value
-        return pa.array([list({w for w in split_words(t, path) if w not in known}) for t in text.to_pylist()], pa.list_(pa.string()))
 
-    tail.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(tail, T.ArrayType(T.StringType()))
+def word_table(met: DataFrame, path: str) -> DataFrame:
+    """word, n (occurrences), tokens (how many), ids and pieces (joined by one space): a row for each distinct word of postings."""
+    words = met.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    coded = words.select("word", "n", F.posexplode(F.split(_encoder(path)(F.col("word")), " ")).alias("at", "id"))
+    # one row for each id of the vocabulary, whatever the corpus
+    table = F.broadcast(piece_table(met.sparkSession, path).select(F.col("id").cast("string").alias("id"), "piece"))
+    row = F.sort_array(F.collect_list(F.struct("at", "id", "piece")))
+    whole = coded.join(table, "id").groupBy("word", "n").agg(row.alias("row"))
+    return stage(whole.select("word", "n", F.size("row").alias("tokens"), F.array_join("row.id", " ").alias("ids"), F.array_join("row.piece", " ").alias("pieces")), "words")
 
 
-@F.arrow_udf(T.BinaryType())
-def _pack(text: pa.Array) -> pa.Array:
-    """Texts compressed, for the way to their own words."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    return pa.array([squeeze(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+def head_count(words: DataFrame, most: int, most_bytes: int) -> int:
+    """The least power of two such that at most so many words, of at most so many bytes, are as frequent."""
+    powers, size = range(48), F.octet_length("word") + F.octet_length("ids") + F.octet_length("pieces")
+    often = [F.col("n") >= (1 << p) for p in powers]
+    got = words.agg(*[x for o in often for x in (F.count_if(o), F.coalesce(F.sum(F.when(o, size)), F.lit(0)))]).first()
+    return next((1 << p for p in powers if got[2 * p] <= most and got[2 * p + 1] <= most_bytes), 1 << 62)
 
 
-_RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
-_DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+_JOINED = ["chunk", "n", "places", "tokens", "ids", "pieces", "docs", "sizes"]
 
 
-def _assembler(head, path: str, digests: bool):
-    """Joins ids by word, from the head and from the document's own words in tail, and pieces by id."""
+def _assembler(digests: bool):
+    """A mapInArrow function over rows of chunks, one chunk behind the other: documents with their ids and pieces in place."""
 
-    def assemble(packed: pa.Array, tail: pa.Array) -> pa.Array:
-        known, piece, rows, unpack = head.value, _piece_of(path), [], zstandard.ZstdDecompressor().decompress
-        for p, own in zip(packed.to_pylist(), tail.to_pylist(), strict=True):
-            t = unpack(p).decode()
-            rest = {x["word"]: x["ids"] for x in own or ()}
-            ids = " ".join([known.get(w) or rest[w] for w in split_words(t, path)])
-            each = ids.split()
-            decoded, n = " ".join(map(piece.__getitem__, each)), len(each)
-            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) if digests else (n, ids, decoded))
-        names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names)
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, []
 
-    assemble.__annotations__ = {"packed": pa.Array, "tail": pa.Array, "return": pa.Array}
-    return F.arrow_udf(assemble, _DIGESTS if digests else _RESULT)
+        def made() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            heads = rows.filter(pc.is_valid(rows["sizes"]))
+            words = rows.filter(pc.is_null(rows["sizes"]))
+            docs, sizes = heads["docs"][0].as_py(), heads["sizes"][0].as_py()
+            counts = words["n"].to_numpy()
+            data = np.frombuffer(b"".join(words["places"].to_pylist()), np.uint8)
+            word_at = np.zeros(int(counts.sum()), np.int64)
+            if len(counts):
+                word_at[unpack_places(data, counts)] = np.repeat(np.arange(len(counts)), counts)
+            ids, texts, tokens = words["ids"].to_pylist(), words["pieces"].to_pylist(), words["tokens"].to_numpy()
+            out, at = [], 0
+            for size in sizes:
+                own = word_at[at : at + size]
+                seq, at = own.tolist(), at + size
+                a, b = " ".join([ids[w] for w in seq]), " ".join([texts[w] for w in seq])
+                out.append((int(tokens[own].sum()), hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()) if digests else (int(tokens[own].sum()), a, b))
+            names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+            columns = [pa.array(docs, pa.int64()), pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.string()) for i in (1, 2))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-
-def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head_words: int = HEAD_WORDS) -> DataFrame:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b["chunk"].to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if of[lo] != chunk:
+                    if held:
+                        yield made()
+                    chunk, held = of[lo], []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield made()
+
+    return assemble
+
+
+def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids and decoded (space-joined text), or with digests their SHA-256 instead."""
     path = path or default_path()
-    spark = docs.sparkSession
-    words = word_table(docs, path)
-    least = head_count(words, head_words)
-    held = words.filter(F.col("n") >= least).select("word", "ids").toArrow()
-    head = spark.sparkContext.broadcast(dict(zip(held["word"].to_pylist(), held["ids"].to_pylist(), strict=True)))
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
-    used = keyed.select("k", "h", F.explode(F.array_distinct(_tail_words(head, path)(F.col("text")))).alias("word"))
-    rest = words.filter(F.col("n") < least).select("word", "ids")
-    tails = stage(used.join(rest, "word").groupBy("k", "h").agg(F.collect_set(F.struct("word", "ids")).alias("tail")), "tails")
-    packed = keyed.select("doc_id", "k", "h", _pack("text").alias("packed"))
-    whole = packed.join(tails, ["k", "h"], "left").withColumn("out", _assembler(head, path, digests)(F.col("packed"), F.col("tail")))
-    return whole.select("doc_id", "out.*")
+    met = postings(docs, path, chunk_words)
+    words = word_table(met, path)
+    least = head_count(words, head_words, head_bytes)
+    known = words.select("word", "n", "tokens", "ids", "pieces").withColumnRenamed("n", "total")
+    # at most head_words rows of at most head_bytes
+    head = F.broadcast(known.filter(F.col("total") >= least).drop("total"))
+    own = met.filter("word is not null").select("chunk", "word", "n", "places")
+    shown = lambda df: df.select("chunk", "n", "places", "tokens", "ids", "pieces", F.lit(None).cast("array<long>").alias("docs"), F.lit(None).cast("array<int>").alias("sizes"))
+    often = shown(own.join(head, "word"))
+    rest = shown(own.join(head.select("word"), "word", "left_anti").join(known.filter(F.col("total") < least).drop("total"), "word"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("places", "binary"), ("tokens", "int"), ("ids", "string"), ("pieces", "string"))]
+    chunks = met.filter("word is null").select("chunk", *none, F.col("ids").alias("docs"), "sizes")
+    every = often.unionByName(rest).unionByName(chunks).select(_JOINED)
+    out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
+    return every.repartition(shuffle_partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(_assembler(digests), out)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -18,8 +19,8 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("head", [0, 20, 10**6])
-def test_results_equal_the_librarys(spark, head):
+@pytest.mark.parametrize("head, size, chunk", [(0, 1 << 23, 1000), (20, 1 << 23, 1), (10**6, 1 << 23, 2_000_000), (10**6, 200, 30_000)])
+def test_results_equal_the_librarys(spark, head, size, chunk):
     rows = [(i if i % 9 else None, t, "a", 1, "b") for i, t in enumerate(texts())]
     tok = Tokenizer.from_file(PATH)
     want = []
@@ -27,7 +28,7 @@ def test_results_equal_the_librarys(spark, head):
         e = tok.encode(t or "", add_special_tokens=False)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((str(i), len(e.ids), sha(" ".join(map(str, e.ids))), sha(tok.decode(e.ids, skip_special_tokens=False))))
-    got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(spark.createDataFrame(rows, SCHEMA), digests=True, head_words=head).collect()]
+    got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(spark.createDataFrame(rows, SCHEMA), digests=True, head_words=head, head_bytes=size, chunk_words=chunk).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -39,6 +40,21 @@ def test_texts_and_no_rows(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_an_id_makes_one_piece_and_distinct_words_one_row(spark):
-    docs = spark.createDataFrame([(1, "the the cat", "", 0, ""), (2, "The cat!", "", 0, "")], SCHEMA)
-    assert {r.word: r.n for r in bpe.word_table(docs, PATH).collect()} == {"the": 3, "cat": 2, "!": 1}
+def test_distinct_words_make_one_row_with_their_pieces(spark):
+    docs = spark.createDataFrame([(1, "the the cat", "", 0, ""), (2, "The cat! unthinkableness", "", 0, "")], SCHEMA)
+    tok = Tokenizer.from_file(PATH)
+    rows = {r.word: r for r in bpe.word_table(bpe.postings(docs, PATH), PATH).collect()}
+    assert {w: r.n for w, r in rows.items()} == {"the": 3, "cat": 2, "!": 1, "unthinkableness": 1}
+    for w, r in rows.items():
+        e = tok.encode(w, add_special_tokens=False)
+        assert (r.tokens, r.ids, r.pieces) == (len(e.ids), " ".join(map(str, e.ids)), tok.decode(e.ids))
+
+
+def test_places_are_kept(spark):
+    rng = np.random.default_rng(0)
+    for n, words in ((0, 0), (1, 1), (1000, 1), (5000, 700), (300_000, 40)):
+        seq = np.r_[np.arange(words), rng.integers(0, max(1, words), max(0, n - words))].astype(np.int32)
+        rng.shuffle(seq)
+        order, counts = np.argsort(seq, kind="stable"), np.bincount(seq, minlength=words)
+        data, widths = bpe.pack_places(order, counts)
+        assert widths.sum() == len(data) and (not len(counts) or (bpe.unpack_places(data, counts) == order).all())
