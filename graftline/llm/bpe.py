@@ -1,9 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words once, in chunks of about ``CHUNK_WORDS`` words; a chunk keeps each of its distinct words with the places where it
-stands.  The distinct words of all chunks are encoded once each, and their ids become pieces by a join with the vocabulary's id-to-piece
-table.  Chunks' words are joined with this table: frequent words, at most ``HEAD_WORDS`` of at most ``HEAD_BYTES``, without a
-shuffle, others by word.  Then every chunk's ids and pieces go back to their places, and documents are put together.  Texts themselves are not shuffled.
+Texts are split into words once, in chunks of about ``CHUNK_WORDS`` words; a chunk keeps its distinct words, the most frequent first, and for every
+position the number of the word there.  The distinct words of all chunks are encoded once each.  Chunks' words are joined with
+this table: frequent words, at most ``HEAD_WORDS`` of at most ``HEAD_BYTES``, without a shuffle, others by word.  Then every
+chunk's ids come back to their positions, are joined with the vocabulary's id-to-piece table, and documents are put together.
+Texts themselves are not shuffled.  The id-to-piece table is as long as the vocabulary and dense in its ids, so that every worker holds it
+and a probe is an access by id.
 
 The tokenizer's file gives NFC, white space and lower-casing, a pattern that cuts words, and byte-level
 BPE whose last piece ends in </w>.  Texts of characters below U+0250 (but the separators U+001C-001F) are
@@ -25,8 +27,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers
@@ -88,181 +91,208 @@ def split_words(text: str | None, path: str) -> list[str]:
     return [bytes(back[c] for c in w).decode() for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(text))]
 
 
-def pack_places(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes, and how many for each word: the places of words one behind the other, as steps within a word, seven bits a byte."""
-    steps = np.diff(places, prepend=0)
-    first = np.cumsum(counts) - counts
-    steps[first] = places[first]
-    width = 1 + (steps >= 1 << 7) + (steps >= 1 << 14) + (steps >= 1 << 21) + (steps >= 1 << 28)
-    end = np.cumsum(width)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    for i in range(5):
-        has = width > i
-        out[(end - width)[has] + i] = (steps[has] >> 7 * i & 127) | np.where(width[has] > i + 1, 128, 0)
-    return out, np.add.reduceat(width, first) if len(first) else width
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte in planes, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def unpack_places(data: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What pack_places packed."""
-    ends = np.flatnonzero(data < 128)
-    starts = np.r_[0, ends[:-1] + 1][: len(ends)]
-    steps = np.zeros(len(ends), np.int64)
-    for i in range(5):
-        at = starts + i
-        has = at <= ends
-        steps[has] += (data[at[has]] & 127).astype(np.int64) << 7 * i
-    total = np.cumsum(steps)
-    first = np.cumsum(counts) - counts
-    return total - np.repeat(total[first] - steps[first], counts)
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
 
 
-_POSTINGS = "chunk long, word string, n int, places binary, ids array<long>, sizes array<int>"
+_CHUNKS = "chunk long, number int, word string, n int, places binary, docs array<long>, sizes array<int>"
 
 
 def _splitter(path: str, chunk_words: int):
-    """A mapInArrow function over (doc_id, text): for each chunk its words with their places, and a row without a word for its documents."""
+    """A mapInArrow function over (doc_id, text): for each chunk its words, and a row without a word for its documents and positions."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known, places, ids, sizes, n = TaskContext.get().partitionId() << 32, {}, [], [], [], 0
+        chunk, words, docs, sizes = TaskContext.get().partitionId() << 32, [], [], []
 
         def made() -> pa.RecordBatch:
-            seq = np.concatenate(places) if places else np.zeros(0, np.int32)
-            order, counts = np.argsort(seq, kind="stable"), np.bincount(seq, minlength=len(known))
-            data, widths = pack_places(order, counts)
-            offsets = np.r_[0, np.cumsum(widths)].astype(np.int64)
-            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
-            k = len(known)
-            lists = lambda x, t: pa.concat_arrays([pa.nulls(k, pa.list_(t)), pa.array([x], pa.list_(t))])
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            met = coded.indices.to_numpy()
+            counts = np.bincount(met, minlength=len(coded.dictionary))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            k = len(order)
+            last = lambda x, t: pa.concat_arrays([pa.nulls(k, t), pa.array([x], t)])
+            first = lambda x, t: pa.concat_arrays([x.cast(t), pa.nulls(1, t)])
             return pa.RecordBatch.from_arrays([
-                pa.array(np.full(k + 1, number, np.int64)), pa.array([*known, None], pa.string()), pa.array([*counts.tolist(), None], pa.int32()),
-                pa.concat_arrays([packed, pa.nulls(1, pa.binary())]), lists(ids, pa.int64()), lists(sizes, pa.int32()),
-            ], ["chunk", "word", "n", "places", "ids", "sizes"])
+                pa.array(np.full(k + 1, chunk, np.int64)), first(pa.array(np.arange(k)), pa.int32()), first(coded.dictionary.take(pa.array(order)), pa.string()), first(pa.array(counts[order]), pa.int32()),
+                last(pack_numbers(rank[met]), pa.binary()), last(docs, pa.list_(pa.int64())), last(sizes, pa.list_(pa.int32())),
+            ], ["chunk", "number", "word", "n", "places", "docs", "sizes"])
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = split_words(text, path)
-                number_of = known.setdefault
-                places.append(np.array([number_of(w, len(known)) for w in words], np.int32))
-                ids.append(doc_id)
-                sizes.append(len(words))
-                n += len(words)
-                if n >= chunk_words or len(ids) >= chunk_words:
+                own = split_words(text, path)
+                words += own
+                docs.append(doc_id)
+                sizes.append(len(own))
+                if len(words) >= chunk_words or len(docs) >= chunk_words:
                     yield made()
-                    number, n = number + 1, 0
-                    for x in (known, places, ids, sizes):
-                        x.clear()
-        if ids:
+                    chunk, words, docs, sizes = chunk + 1, [], [], []
+        if docs:
             yield made()
 
     return split
 
 
+def _id_type(path: str) -> str:
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _encoder(path: str):
+    """Ids of a word as bytes."""
+
     def encode(word: pa.Array) -> pa.Array:
-        found = _word_tokenizer(path).encode_batch(word.to_pylist(), add_special_tokens=False)
-        return pa.array([" ".join(map(str, e.ids)) for e in found], pa.string())
+        kind = _id_type(path)
+        return pa.array([np.array(e.ids, kind).tobytes() for e in _word_tokenizer(path).encode_batch(word.to_pylist(), add_special_tokens=False)], pa.binary())
 
     encode.__annotations__ = {"word": pa.Array, "return": pa.Array}
-    return F.arrow_udf(encode, T.StringType())
+    return F.arrow_udf(encode, T.BinaryType())
 
 
+@cache
 def pieces(path: str) -> list[str]:
     """The id-to-piece table: as long as the vocabulary, so that every executor holds it."""
     tok = _tokenizer(path)
     return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, piece: as long as the vocabulary."""
-    return spark.createDataFrame(pa.table({"id": pa.array(range(len(p := pieces(path))), pa.int32()), "piece": pa.array(p, pa.string())}))
+@cache
+def _id_texts(path: str) -> list[str]:
+    return [str(i) for i in range(len(pieces(path)))]
 
 
-def postings(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """chunk, word, n, places of every chunk's words, and for each chunk a row with its documents' ids and sizes (words)."""
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(path, chunk_words), _POSTINGS), "postings")
+def split_corpus(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """chunk, number, word, n of every chunk's words, and for each chunk a row with its documents' ids, their sizes in words, and the word's number at each position."""
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(path, chunk_words), _CHUNKS), "chunks")
 
 
-def word_table(met: DataFrame, path: str) -> DataFrame:
-    """word, n (occurrences), tokens (how many), ids and pieces (joined by one space): a row for each distinct word of postings."""
-    words = met.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = words.select("word", "n", F.posexplode(F.split(_encoder(path)(F.col("word")), " ")).alias("at", "id"))
-    # one row for each id of the vocabulary, whatever the corpus
-    table = F.broadcast(piece_table(met.sparkSession, path).select(F.col("id").cast("string").alias("id"), "piece"))
-    row = F.sort_array(F.collect_list(F.struct("at", "id", "piece")))
-    whole = coded.join(table, "id").groupBy("word", "n").agg(row.alias("row"))
-    return stage(whole.select("word", "n", F.size("row").alias("tokens"), F.array_join("row.id", " ").alias("ids"), F.array_join("row.piece", " ").alias("pieces")), "words")
+def word_table(chunks: DataFrame, path: str) -> DataFrame:
+    """word, total (occurrences), ids (as bytes): a row for each distinct word of split_corpus."""
+    words = chunks.filter("word is not null").groupBy("word").agg(F.sum("n").alias("total"))
+    return stage(words.select("word", "total", _encoder(path)(F.col("word")).alias("ids")), "words")
 
 
 def head_count(words: DataFrame, most: int, most_bytes: int) -> int:
     """The least power of two such that at most so many words, of at most so many bytes, are as frequent."""
-    powers, size = range(48), F.octet_length("word") + F.octet_length("ids") + F.octet_length("pieces")
-    often = [F.col("n") >= (1 << p) for p in powers]
+    powers, size = range(48), F.octet_length("word") + F.octet_length("ids")
+    often = [F.col("total") >= (1 << p) for p in powers]
     got = words.agg(*[x for o in often for x in (F.count_if(o), F.coalesce(F.sum(F.when(o, size)), F.lit(0)))]).first()
     return next((1 << p for p in powers if got[2 * p] <= most and got[2 * p + 1] <= most_bytes), 1 << 62)
 
 
-_JOINED = ["chunk", "n", "places", "tokens", "ids", "pieces", "docs", "sizes"]
+_PACKED = "chunk long, numbers binary, widths binary, ids binary, places binary, docs array<long>, sizes array<int>"
+#: Rows that a task gathers by chunk before it passes them on.
+_AT_ONCE = 500_000
 
 
-def _assembler(digests: bool):
-    """A mapInArrow function over rows of chunks, one chunk behind the other: documents with their ids and pieces in place."""
+def _packer():
+    """A mapInArrow function over (chunk, number, ids): one row for each chunk that a task has words of."""
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = None, []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
         def made() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            heads = rows.filter(pc.is_valid(rows["sizes"]))
-            words = rows.filter(pc.is_null(rows["sizes"]))
-            docs, sizes = heads["docs"][0].as_py(), heads["sizes"][0].as_py()
-            counts = words["n"].to_numpy()
-            data = np.frombuffer(b"".join(words["places"].to_pylist()), np.uint8)
-            word_at = np.zeros(int(counts.sum()), np.int64)
-            if len(counts):
-                word_at[unpack_places(data, counts)] = np.repeat(np.arange(len(counts)), counts)
-            ids, texts, tokens = words["ids"].to_pylist(), words["pieces"].to_pylist(), words["tokens"].to_numpy()
-            out, at = [], 0
-            for size in sizes:
-                own = word_at[at : at + size]
-                seq, at = own.tolist(), at + size
-                a, b = " ".join([ids[w] for w in seq]), " ".join([texts[w] for w in seq])
-                out.append((int(tokens[own].sum()), hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()) if digests else (int(tokens[own].sum()), a, b))
-            names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-            columns = [pa.array(docs, pa.int64()), pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.string()) for i in (1, 2))]
-            return pa.RecordBatch.from_arrays(columns, names)
+            of = rows["chunk"].to_numpy()
+            order = np.argsort(of, kind="stable")
+            rows, of = rows.take(pa.array(order)).combine_chunks(), of[order]
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            numbers, widths = rows["number"].to_numpy(), pc.binary_length(rows["ids"]).to_numpy()
+            ids = rows["ids"].to_pylist()
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            k = len(spans)
+            return pa.RecordBatch.from_arrays([
+                pa.array(of[cuts[:-1]], pa.int64()), pa.array([pack_numbers(numbers[lo:hi]) for lo, hi in spans], pa.binary()), pa.array([pack_numbers(widths[lo:hi]) for lo, hi in spans], pa.binary()),
+                pa.array([zstandard.compress(b"".join(ids[lo:hi]), 3) for lo, hi in spans], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())),
+            ], ["chunk", "numbers", "widths", "ids", "places", "docs", "sizes"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            of = b["chunk"].to_numpy()
-            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if of[lo] != chunk:
-                    if held:
-                        yield made()
-                    chunk, held = of[lo], []
-                held.append(b.slice(lo, hi - lo))
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= _AT_ONCE:
+                yield made()
+                held, n = [], 0
         if held:
             yield made()
 
+    return pack
+
+
+#: Words whose ids are put in place at once.
+_WORDS_AT_ONCE = 1 << 18
+
+
+def _assembler(path: str, digests: bool):
+    """A mapInArrow function over packed rows, one chunk behind the other: documents with their ids and pieces."""
+
+    def documents(rows: list[dict]) -> Iterator[tuple[int | None, int, str, str]]:
+        head = next(r for r in rows if r["sizes"] is not None)
+        packed = [r for r in rows if r["sizes"] is None]
+        size = np.dtype(_id_type(path)).itemsize
+        numbers = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["numbers"]) for r in packed)])
+        width = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["widths"]) for r in packed)]) // size
+        ids = np.frombuffer(b"".join(zstandard.decompress(r["ids"]) for r in packed), _id_type(path))
+        starts, widths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        starts[numbers], widths[numbers] = np.cumsum(width) - width, width
+        word_at, texts, piece = unpack_numbers(head["places"]), _id_texts(path), pieces(path)
+        docs, sizes, at, done = head["docs"], head["sizes"], 0, 0
+        while done < len(docs):
+            end, n = done, 0
+            while end < len(docs) and (end == done or n + sizes[end] <= _WORDS_AT_ONCE):
+                n += sizes[end]
+                end += 1
+            own = word_at[at : at + n]
+            w = widths[own]
+            before = np.cumsum(w) - w
+            tokens = ids[np.repeat(starts[own] - before, w) + np.arange(int(w.sum()))].tolist()
+            cut = np.r_[before, len(tokens)][np.cumsum([0, *sizes[done:end]])].tolist()
+            for i in range(done, end):
+                mine = tokens[cut[i - done] : cut[i - done + 1]]
+                yield docs[i], len(mine), " ".join([texts[t] for t in mine]), " ".join([piece[t] for t in mine])
+            at, done = at + n, end
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        shown = (lambda t: hashlib.sha256(t.encode()).hexdigest()) if digests else (lambda t: t)
+
+        def made(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            out = [(i, n, shown(a), shown(b)) for i, n, a, b in documents(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
+
+        chunk, held = None, []
+        for b in batches:
+            for row in b.to_pylist():
+                if row["chunk"] != chunk:
+                    if held:
+                        yield from made(held)
+                    chunk, held = row["chunk"], []
+                held.append(row)
+        if held:
+            yield from made(held)
+
     return assemble
 
 
 def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids and decoded (space-joined text), or with digests their SHA-256 instead."""
     path = path or default_path()
-    met = postings(docs, path, chunk_words)
-    words = word_table(met, path)
+    chunks = split_corpus(docs, path, chunk_words)
+    words = word_table(chunks, path)
     least = head_count(words, head_words, head_bytes)
-    known = words.select("word", "n", "tokens", "ids", "pieces").withColumnRenamed("n", "total")
     # at most head_words rows of at most head_bytes
-    head = F.broadcast(known.filter(F.col("total") >= least).drop("total"))
-    own = met.filter("word is not null").select("chunk", "word", "n", "places")
-    shown = lambda df: df.select("chunk", "n", "places", "tokens", "ids", "pieces", F.lit(None).cast("array<long>").alias("docs"), F.lit(None).cast("array<int>").alias("sizes"))
-    often = shown(own.join(head, "word"))
-    rest = shown(own.join(head.select("word"), "word", "left_anti").join(known.filter(F.col("total") < least).drop("total"), "word"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("places", "binary"), ("tokens", "int"), ("ids", "string"), ("pieces", "string"))]
-    chunks = met.filter("word is null").select("chunk", *none, F.col("ids").alias("docs"), "sizes")
-    every = often.unionByName(rest).unionByName(chunks).select(_JOINED)
+    head = F.broadcast(words.filter(F.col("total") >= least).select("word", "ids"))
+    tail = words.filter(F.col("total") < least).select("word", "ids")
+    own = chunks.filter("word is not null").select("chunk", "number", "word")
+    often = own.join(head, "word").select("chunk", "number", "ids")
+    rest = own.join(head.select("word"), "word", "left_anti").join(tail, "word").select("chunk", "number", "ids")
+    packed = often.unionByName(rest).mapInArrow(_packer(), _PACKED)
+    none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "widths", "ids")]
+    every = packed.unionByName(chunks.filter("word is null").select("chunk", *none, "places", "docs", "sizes"))
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return every.repartition(shuffle_partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(_assembler(digests), out)
+    return every.repartition(shuffle_partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(_assembler(path, digests), out)
