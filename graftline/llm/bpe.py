@@ -37,7 +37,7 @@ from tokenizers import Tokenizer, normalizers
 from graftline.staging import shuffle_partitions, stage
 
 #: Words whose ids all executors hold, at most, and bytes of their rows; the others are joined.
-HEAD_WORDS, HEAD_BYTES = 100_000, 8 << 20
+HEAD_WORDS, HEAD_BYTES = 250_000, 8 << 20
 #: Words of a chunk, after which it ends with the document.
 CHUNK_WORDS = 2_000_000
 
@@ -190,8 +190,9 @@ _PACKED = "chunk long, numbers binary, widths binary, ids binary, places binary,
 _AT_ONCE = 500_000
 
 
-def _packer():
-    """A mapInArrow function over (chunk, number, ids): one row for each chunk that a task has words of."""
+def _packer(path: str):
+    """A mapInArrow function over (chunk, number, ids): one row for each chunk that a task has words of, numbers as steps."""
+    kind = _id_type(path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -199,16 +200,18 @@ def _packer():
         def made() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             of = rows["chunk"].to_numpy()
-            order = np.argsort(of, kind="stable")
+            order = np.lexsort((rows["number"].to_numpy(), of))
             rows, of = rows.take(pa.array(order)).combine_chunks(), of[order]
             cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
             numbers, widths = rows["number"].to_numpy(), pc.binary_length(rows["ids"]).to_numpy()
             ids = rows["ids"].to_pylist()
+            packed_ids = lambda lo, hi: pack_numbers(np.frombuffer(b"".join(ids[lo:hi]), kind))
+            steps = lambda lo, hi: np.diff(numbers[lo:hi], prepend=0)
             spans = list(zip(cuts, cuts[1:], strict=False))
             k = len(spans)
             return pa.RecordBatch.from_arrays([
-                pa.array(of[cuts[:-1]], pa.int64()), pa.array([pack_numbers(numbers[lo:hi]) for lo, hi in spans], pa.binary()), pa.array([pack_numbers(widths[lo:hi]) for lo, hi in spans], pa.binary()),
-                pa.array([zstandard.compress(b"".join(ids[lo:hi]), 3) for lo, hi in spans], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())),
+                pa.array(of[cuts[:-1]], pa.int64()), pa.array([pack_numbers(steps(lo, hi)) for lo, hi in spans], pa.binary()), pa.array([pack_numbers(widths[lo:hi]) for lo, hi in spans], pa.binary()),
+                pa.array([packed_ids(lo, hi) for lo, hi in spans], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())),
             ], ["chunk", "numbers", "widths", "ids", "places", "docs", "sizes"])
 
         for b in batches:
@@ -235,9 +238,9 @@ def _assembler(path: str, digests: bool):
         head = next(r for r in rows if r["sizes"] is not None)
         packed = [r for r in rows if r["sizes"] is None]
         size = np.dtype(_id_type(path)).itemsize
-        numbers = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["numbers"]) for r in packed)])
+        numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack_numbers(r["numbers"])) for r in packed)])
         width = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["widths"]) for r in packed)]) // size
-        ids = np.frombuffer(b"".join(zstandard.decompress(r["ids"]) for r in packed), _id_type(path))
+        ids = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["ids"]) for r in packed)])
         starts, widths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         starts[numbers], widths[numbers] = np.cumsum(width) - width, width
         word_at, texts, piece = unpack_numbers(head["places"]), _id_texts(path), pieces(path)
@@ -291,7 +294,9 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head
     own = chunks.filter("word is not null").select("chunk", "number", "word")
     often = own.join(head, "word").select("chunk", "number", "ids")
     rest = own.join(head.select("word"), "word", "left_anti").join(tail, "word").select("chunk", "number", "ids")
-    packed = often.unionByName(rest).mapInArrow(_packer(), _PACKED)
+    # written first, so that the words' shuffle is gone before the chunks' begins
+    rest = stage(rest.mapInArrow(_packer(path), _PACKED), "tails")
+    packed = often.mapInArrow(_packer(path), _PACKED).unionByName(rest)
     none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "widths", "ids")]
     every = packed.unionByName(chunks.filter("word is null").select("chunk", *none, "places", "docs", "sizes"))
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
