@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -100,6 +101,22 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
 
 
+def pack_places(rank: np.ndarray, often: int) -> bytes:
+    """A word's number at each position.  Words from number often on stand once, in the order of their numbers: 0 is the next of them.  Others are a byte, or 255 and planes."""
+    coded = np.where(rank >= often, 0, rank + 1)
+    small = np.minimum(coded, 255).astype(np.uint8)
+    return struct.pack("<QQ", often, len(rank)) + zstandard.compress(small.tobytes() + (coded[coded >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    often, n = struct.unpack_from("<QQ", data)
+    plain = np.frombuffer(zstandard.decompress(data[16:]), np.uint8)
+    out = plain[:n].astype(np.int64)
+    out[out == 255] = 255 + plain[n:].reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+    once = out == 0
+    return np.where(once, often + np.cumsum(once) - 1, out - 1)
+
+
 _CHUNKS = "chunk long, number int, word string, n int, places binary, docs array<long>, sizes array<int>"
 
 
@@ -121,7 +138,7 @@ def _splitter(path: str, chunk_words: int):
             first = lambda x, t: pa.concat_arrays([x.cast(t), pa.nulls(1, t)])
             return pa.RecordBatch.from_arrays([
                 pa.array(np.full(k + 1, chunk, np.int64)), first(pa.array(np.arange(k)), pa.int32()), first(coded.dictionary.take(pa.array(order)), pa.string()), first(pa.array(counts[order]), pa.int32()),
-                last(pack_numbers(rank[met]), pa.binary()), last(docs, pa.list_(pa.int64())), last(sizes, pa.list_(pa.int32())),
+                last(pack_places(rank[met], int((counts > 1).sum())), pa.binary()), last(docs, pa.list_(pa.int64())), last(sizes, pa.list_(pa.int32())),
             ], ["chunk", "number", "word", "n", "places", "docs", "sizes"])
 
         for b in batches:
@@ -243,7 +260,7 @@ def _assembler(path: str, digests: bool):
         ids = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["ids"]) for r in packed)])
         starts, widths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         starts[numbers], widths[numbers] = np.cumsum(width) - width, width
-        word_at, texts, piece = unpack_numbers(head["places"]), _id_texts(path), pieces(path)
+        word_at, texts, piece = unpack_places(head["places"]), _id_texts(path), pieces(path)
         docs, sizes, at, done = head["docs"], head["sizes"], 0, 0
         while done < len(docs):
             end, n = done, 0

@@ -55,3 +55,12 @@ def test_numbers_are_kept():
     for n in (0, 1, 300_000):
         x = rng.integers(0, 1 << 32, n)
         assert (bpe.unpack_numbers(bpe.pack_numbers(x)) == x).all()
+
+
+def test_places_are_kept():
+    rng = np.random.default_rng(1)
+    for often, once, n in ((0, 0, 0), (0, 5, 0), (1, 0, 9), (300, 70, 5000), (70_000, 1000, 200_000)):
+        x = np.r_[rng.integers(0, often, n) if often else np.zeros(0, np.int64), np.full(once, -1)]
+        rng.shuffle(x)
+        x[x < 0] = often + np.arange(once)
+        assert (bpe.unpack_places(bpe.pack_places(x, often)) == x).all()
