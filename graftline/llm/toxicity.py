@@ -43,6 +43,7 @@ LABEL_BOUND = 20_000
 MIN_SHARE, MIN_CONTEXTS, PURITY = 0.004, 4, 0.97
 STEMS = range(4, 8)
 FOLDS = 4
+COUNTED_AT_ONCE = 512
 
 #: Symbols of words, and those that the grammar makes of them.
 OTHER, INSULT, VERB, MODAL, COPULA, TARGET, NEGATION, REPORT = range(8)
@@ -212,8 +213,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By fold, how many toxic and other documents have a form (context null), and toxic documents' forms with their contexts."""
-    for b in batches:
+    """By fold, how many toxic and other documents have a form (context null), and toxic documents' forms with their contexts; ``COUNTED_AT_ONCE`` documents at a time."""
+    for b in (batch.slice(at, COUNTED_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, COUNTED_AT_ONCE)):
         documents: tuple[dict[tuple[str, int], int], dict[tuple[str, int], int]] = ({}, {})
         contexts: set[tuple[str, int, int]] = set()
         for text, label, fold in zip(*(b[c].to_pylist() for c in ("text", "toxic", "fold")), strict=True):
