@@ -41,6 +41,8 @@ from graftline.staging import shuffle_partitions, stage
 HEAD_WORDS, HEAD_BYTES = 250_000, 8 << 20
 #: Words of a chunk, after which it ends with the document.
 CHUNK_WORDS = 2_000_000
+#: Documents that are taken from a batch, and words that are kept as Python texts or put in place, at once.
+_DOCS_AT_ONCE, _WORDS_AT_ONCE = 512, 1 << 17
 
 # The special tokens and the word pattern of the tokenizer's file.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -124,10 +126,10 @@ def _splitter(path: str, chunk_words: int):
     """A mapInArrow function over (doc_id, text): for each chunk its words, and a row without a word for its documents and positions."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, words, docs, sizes = TaskContext.get().partitionId() << 32, [], [], []
+        chunk, words, parts, n, docs, sizes = TaskContext.get().partitionId() << 32, [], [], 0, [], []
 
         def made() -> pa.RecordBatch:
-            coded = pa.array(words, pa.string()).dictionary_encode()
+            coded = pa.chunked_array([*parts, pa.array(words, pa.string())]).combine_chunks().dictionary_encode()
             met = coded.indices.to_numpy()
             counts = np.bincount(met, minlength=len(coded.dictionary))
             order = np.argsort(-counts, kind="stable")
@@ -141,15 +143,18 @@ def _splitter(path: str, chunk_words: int):
                 last(pack_places(rank[met], int((counts > 1).sum())), pa.binary()), last(docs, pa.list_(pa.int64())), last(sizes, pa.list_(pa.int32())),
             ], ["chunk", "number", "word", "n", "places", "docs", "sizes"])
 
-        for b in batches:
+        for b in (batch.slice(at, _DOCS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, _DOCS_AT_ONCE)):
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 own = split_words(text, path)
                 words += own
                 docs.append(doc_id)
                 sizes.append(len(own))
-                if len(words) >= chunk_words or len(docs) >= chunk_words:
+                if n + len(words) >= chunk_words or len(docs) >= chunk_words:
                     yield made()
-                    chunk, words, docs, sizes = chunk + 1, [], [], []
+                    chunk, words, parts, n, docs, sizes = chunk + 1, [], [], 0, [], []
+                elif len(words) >= _WORDS_AT_ONCE:  # as Arrow they take a fifth
+                    parts.append(pa.array(words, pa.string()))
+                    n, words = n + len(words), []
         if docs:
             yield made()
 
@@ -204,7 +209,7 @@ def head_count(words: DataFrame, most: int, most_bytes: int) -> int:
 
 _PACKED = "chunk long, numbers binary, widths binary, ids binary, places binary, docs array<long>, sizes array<int>"
 #: Rows that a task gathers by chunk before it passes them on.
-_AT_ONCE = 500_000
+_ROWS_AT_ONCE = 300_000
 
 
 def _packer(path: str):
@@ -235,7 +240,7 @@ def _packer(path: str):
             if b.num_rows:
                 held.append(b)
                 n += b.num_rows
-            if n >= _AT_ONCE:
+            if n >= _ROWS_AT_ONCE:
                 yield made()
                 held, n = [], 0
         if held:
@@ -244,10 +249,6 @@ def _packer(path: str):
     return pack
 
 
-#: Words whose ids are put in place at once.
-_WORDS_AT_ONCE = 1 << 18
-
-
 def _assembler(path: str, digests: bool):
     """A mapInArrow function over packed rows, one chunk behind the other: documents with their ids and pieces."""
 
