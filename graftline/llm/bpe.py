@@ -42,7 +42,7 @@ HEAD_WORDS, HEAD_BYTES = 250_000, 8 << 20
 #: Words of a chunk, after which it ends with the document.
 CHUNK_WORDS = 2_000_000
 #: Documents that are taken from a batch, and words that are kept as Python texts or put in place, at once.
-_DOCS_AT_ONCE, _WORDS_AT_ONCE = 512, 1 << 17
+_DOCS_AT_ONCE, _WORDS_AT_ONCE = 512, 1 << 16
 
 # The special tokens and the word pattern of the tokenizer's file.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -104,19 +104,24 @@ def unpack_numbers(data: bytes) -> np.ndarray:
 
 
 def pack_places(rank: np.ndarray, often: int) -> bytes:
-    """A word's number at each position.  Words from number often on stand once, in the order of their numbers: 0 is the next of them.  Others are a byte, or 255 and planes."""
-    coded = np.where(rank >= often, 0, rank + 1)
-    small = np.minimum(coded, 255).astype(np.uint8)
-    return struct.pack("<QQ", often, len(rank)) + zstandard.compress(small.tobytes() + (coded[coded >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    """A word's number at each position, which is used up.  Words from number often on stand once, in the order of their numbers: 0 is the next of them.  Others are a byte, or 255 and planes."""
+    rank += 1
+    rank[rank > often] = 0
+    large = rank >= 255
+    rest = (rank[large] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    np.minimum(rank, 255, out=rank)
+    return struct.pack("<QQ", often, len(rank)) + zstandard.compress(rank.astype(np.uint8).tobytes() + rest.tobytes(), 3)
 
 
 def unpack_places(data: bytes) -> np.ndarray:
     often, n = struct.unpack_from("<QQ", data)
     plain = np.frombuffer(zstandard.decompress(data[16:]), np.uint8)
-    out = plain[:n].astype(np.int64)
-    out[out == 255] = 255 + plain[n:].reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
-    once = out == 0
-    return np.where(once, often + np.cumsum(once) - 1, out - 1)
+    out = plain[:n].astype(np.int32)
+    out[out == 255] = 255 + plain[n:].reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int32)
+    once = np.flatnonzero(out == 0)
+    out -= 1
+    out[once] = often + np.arange(len(once))
+    return out
 
 
 _CHUNKS = "chunk long, number int, word string, n int, places binary, docs array<long>, sizes array<int>"
@@ -130,16 +135,18 @@ def _splitter(path: str, chunk_words: int):
 
         def made() -> pa.RecordBatch:
             coded = pa.chunked_array([*parts, pa.array(words, pa.string())]).combine_chunks().dictionary_encode()
-            met = coded.indices.to_numpy()
-            counts = np.bincount(met, minlength=len(coded.dictionary))
+            parts.clear()
+            words.clear()
+            met, known = coded.indices.to_numpy(), coded.dictionary
+            counts = np.bincount(met, minlength=len(known))
             order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             k = len(order)
             last = lambda x, t: pa.concat_arrays([pa.nulls(k, t), pa.array([x], t)])
             first = lambda x, t: pa.concat_arrays([x.cast(t), pa.nulls(1, t)])
             return pa.RecordBatch.from_arrays([
-                pa.array(np.full(k + 1, chunk, np.int64)), first(pa.array(np.arange(k)), pa.int32()), first(coded.dictionary.take(pa.array(order)), pa.string()), first(pa.array(counts[order]), pa.int32()),
+                pa.array(np.full(k + 1, chunk, np.int64)), first(pa.array(np.arange(k)), pa.int32()), first(known.take(pa.array(order)), pa.string()), first(pa.array(counts[order]), pa.int32()),
                 last(pack_places(rank[met], int((counts > 1).sum())), pa.binary()), last(docs, pa.list_(pa.int64())), last(sizes, pa.list_(pa.int32())),
             ], ["chunk", "number", "word", "n", "places", "docs", "sizes"])
 
@@ -151,7 +158,8 @@ def _splitter(path: str, chunk_words: int):
                 sizes.append(len(own))
                 if n + len(words) >= chunk_words or len(docs) >= chunk_words:
                     yield made()
-                    chunk, words, parts, n, docs, sizes = chunk + 1, [], [], 0, [], []
+                    pa.default_memory_pool().release_unused()
+                    chunk, n, docs, sizes = chunk + 1, 0, [], []
                 elif len(words) >= _WORDS_AT_ONCE:  # as Arrow they take a fifth
                     parts.append(pa.array(words, pa.string()))
                     n, words = n + len(words), []
@@ -184,8 +192,8 @@ def pieces(path: str) -> list[str]:
 
 
 @cache
-def _id_texts(path: str) -> list[str]:
-    return [str(i) for i in range(len(pieces(path)))]
+def _id_texts(n: int) -> list[str]:
+    return [str(i) for i in range(n)]
 
 
 def split_corpus(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -212,9 +220,8 @@ _PACKED = "chunk long, numbers binary, widths binary, ids binary, places binary,
 _ROWS_AT_ONCE = 300_000
 
 
-def _packer(path: str):
+def _packer(kind: str):
     """A mapInArrow function over (chunk, number, ids): one row for each chunk that a task has words of, numbers as steps."""
-    kind = _id_type(path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -251,17 +258,17 @@ def _packer(path: str):
 
 def _assembler(path: str, digests: bool):
     """A mapInArrow function over packed rows, one chunk behind the other: documents with their ids and pieces."""
+    table, size = pieces(path), np.dtype(_id_type(path)).itemsize
 
     def documents(rows: list[dict]) -> Iterator[tuple[int | None, int, str, str]]:
         head = next(r for r in rows if r["sizes"] is not None)
         packed = [r for r in rows if r["sizes"] is None]
-        size = np.dtype(_id_type(path)).itemsize
         numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack_numbers(r["numbers"])) for r in packed)])
         width = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["widths"]) for r in packed)]) // size
         ids = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(r["ids"]) for r in packed)])
         starts, widths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         starts[numbers], widths[numbers] = np.cumsum(width) - width, width
-        word_at, texts, piece = unpack_places(head["places"]), _id_texts(path), pieces(path)
+        word_at, texts, piece = unpack_places(head["places"]), _id_texts(len(table)), table
         docs, sizes, at, done = head["docs"], head["sizes"], 0, 0
         while done < len(docs):
             end, n = done, 0
@@ -313,8 +320,8 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head
     often = own.join(head, "word").select("chunk", "number", "ids")
     rest = own.join(head.select("word"), "word", "left_anti").join(tail, "word").select("chunk", "number", "ids")
     # written first, so that the words' shuffle is gone before the chunks' begins
-    rest = stage(rest.mapInArrow(_packer(path), _PACKED), "tails")
-    packed = often.mapInArrow(_packer(path), _PACKED).unionByName(rest)
+    rest = stage(rest.mapInArrow(_packer(_id_type(path)), _PACKED), "tails")
+    packed = often.mapInArrow(_packer(_id_type(path)), _PACKED).unionByName(rest)
     none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "widths", "ids")]
     every = packed.unionByName(chunks.filter("word is null").select("chunk", *none, "places", "docs", "sizes"))
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
