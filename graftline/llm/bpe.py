@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers
 
+from graftline.llm.memory import lean
 from graftline.staging import shuffle_partitions, stage
 
 #: Words whose ids all executors hold, at most, and bytes of their rows; the others are joined.
@@ -158,7 +159,6 @@ def _splitter(path: str, chunk_words: int):
                 sizes.append(len(own))
                 if n + len(words) >= chunk_words or len(docs) >= chunk_words:
                     yield made()
-                    pa.default_memory_pool().release_unused()
                     chunk, n, docs, sizes = chunk + 1, 0, [], []
                 elif len(words) >= _WORDS_AT_ONCE:  # as Arrow they take a fifth
                     parts.append(pa.array(words, pa.string()))
@@ -198,7 +198,7 @@ def _id_texts(n: int) -> list[str]:
 
 def split_corpus(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """chunk, number, word, n of every chunk's words, and for each chunk a row with its documents' ids, their sizes in words, and the word's number at each position."""
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(path, chunk_words), _CHUNKS), "chunks")
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_splitter(path, chunk_words)), _CHUNKS), "chunks")
 
 
 def word_table(chunks: DataFrame, path: str) -> DataFrame:
@@ -320,9 +320,9 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, head
     often = own.join(head, "word").select("chunk", "number", "ids")
     rest = own.join(head.select("word"), "word", "left_anti").join(tail, "word").select("chunk", "number", "ids")
     # written first, so that the words' shuffle is gone before the chunks' begins
-    rest = stage(rest.mapInArrow(_packer(_id_type(path)), _PACKED), "tails")
-    packed = often.mapInArrow(_packer(_id_type(path)), _PACKED).unionByName(rest)
+    rest = stage(rest.mapInArrow(lean(_packer(_id_type(path))), _PACKED), "tails")
+    packed = often.mapInArrow(lean(_packer(_id_type(path))), _PACKED).unionByName(rest)
     none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "widths", "ids")]
     every = packed.unionByName(chunks.filter("word is null").select("chunk", *none, "places", "docs", "sizes"))
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return every.repartition(shuffle_partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(_assembler(path, digests), out)
+    return every.repartition(shuffle_partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_assembler(path, digests)), out)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graftline.llm.memory import lean
 from graftline.staging import stage
 
 BINS = 1 << 16
@@ -71,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target / p_raw for each bin."""
     chosen = _bounded_labels(labels).filter("quality = 1 and fold = 0").select("doc_id", F.lit(True).alias("good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = marked.mapInArrow(_count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    counts = marked.mapInArrow(lean(_count), "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.full(BINS, SMOOTHING), np.zeros(BINS)
     at = counts["bin"].to_numpy()
     raw[at] += counts["raw"].to_numpy()

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from graftline.llm.components import connected_components
 from graftline.llm.exact_dedup import A_TO_Z
+from graftline.llm.memory import lean
 from graftline.staging import shuffle_partitions, stage
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -202,7 +203,7 @@ def links_within(fps: DataFrame, n: int, radius: int = RADIUS, shard_max: int =
         *key, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "fp", (F.col("own") > F.col("with")).cast("int").alias("side")
     )
     key += ["i", "j"]
-    return met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key, "side", "fp").mapInArrow(_linker(radius), "a long, b long")
+    return met.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key, "side", "fp").mapInArrow(lean(_linker(radius)), "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, carry: Sequence[str] = ()) -> DataFrame:

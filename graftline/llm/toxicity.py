@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graftline.llm.memory import lean
 from graftline.staging import stage
 
 LABEL_BOUND = 20_000
@@ -246,7 +247,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     kept = [F.lit(True) if v is None else F.col("fold") != v for v in without]
     some = lambda c, k: F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0))
     got = rows.agg(*[F.count_if(k & (F.col("toxic") == t)) for k in kept for t in (1, 0)]).first()
-    pairs = rows.mapInArrow(_forms, "form string, fold int, context long, toxic long, clean long").groupBy("form", "context")
+    pairs = rows.mapInArrow(lean(_forms), "form string, fold int, context long, toxic long, clean long").groupBy("form", "context")
     pairs = pairs.agg(*[x for v, k in enumerate(kept) for x in (some("toxic", k).alias(f"t{v}"), some("clean", k).alias(f"c{v}"), F.max(k).alias(f"k{v}"))])
     own = [x for v in range(len(without)) for x in (F.count_if(F.col("context").isNotNull() & F.col(f"k{v}")).alias(f"n{v}"), F.sum(f"t{v}").alias(f"t{v}"), F.sum(f"c{v}").alias(f"c{v}"))]
     counts = pairs.groupBy("form").agg(*own)
