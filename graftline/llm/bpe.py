@@ -20,6 +20,7 @@ is an id like any other; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -67,6 +68,15 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@cache
+def _cutter(path: str) -> Tokenizer:
+    """The file's normaliser and splitter without its vocabulary, which splitting does not need."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["model"] |= {"vocab": {}, "merges": []}
+    return Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None}))
+
+
 @cache
 def _word_tokenizer(path: str) -> Tokenizer:
     """For words, which are normalised already."""
@@ -91,7 +101,7 @@ def split_words(text: str | None, path: str) -> list[str]:
         return [w for p in parts for w in ([p] if p in SPECIALS else split_words(p, path))]
     if _PLAIN.fullmatch(text):
         return _WORDS.findall(text.lower())
-    tok, (back, _) = _tokenizer(path), _byte_chars()
+    tok, (back, _) = _cutter(path), _byte_chars()
     return [bytes(back[c] for c in w).decode() for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(text))]
 
 
@@ -128,6 +138,11 @@ def unpack_places(data: bytes) -> np.ndarray:
 _CHUNKS = "chunk long, number int, word string, n int, places binary, docs array<long>, sizes array<int>"
 
 
+def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that the JVM takes one by one."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _splitter(path: str, chunk_words: int):
     """A mapInArrow function over (doc_id, text): for each chunk its words, and a row without a word for its documents and positions."""
 
@@ -158,13 +173,13 @@ def _splitter(path: str, chunk_words: int):
                 docs.append(doc_id)
                 sizes.append(len(own))
                 if n + len(words) >= chunk_words or len(docs) >= chunk_words:
-                    yield made()
+                    yield from _sliced(made())
                     chunk, n, docs, sizes = chunk + 1, 0, [], []
                 elif len(words) >= _WORDS_AT_ONCE:  # as Arrow they take a fifth
                     parts.append(pa.array(words, pa.string()))
                     n, words = n + len(words), []
         if docs:
-            yield made()
+            yield from _sliced(made())
 
     return split
 
@@ -217,7 +232,7 @@ def head_count(words: DataFrame, most: int, most_bytes: int) -> int:
 
 _PACKED = "chunk long, numbers binary, widths binary, ids binary, places binary, docs array<long>, sizes array<int>"
 #: Rows that a task gathers by chunk before it passes them on.
-_ROWS_AT_ONCE = 300_000
+_ROWS_AT_ONCE = 200_000
 
 
 def _packer(kind: str):
