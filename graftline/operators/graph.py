@@ -17,7 +17,7 @@ from graftline.staging import Rounds, release, stage
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
 def undirected(edges: DataFrame) -> DataFrame:

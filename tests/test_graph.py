@@ -114,3 +114,9 @@ def test_loose_matches_need_no_first_characters(spark):
     left = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, "f"), (4, "xyz")], "id int, g string")
     right = spark.createDataFrame([("--abcdefg", 1, "one"), ("f", 2, "two")], "g string, ord int, v string")
     assert {r.id: r.v for r in matching.match_loose(left, right, [("g", "g")], "ord", "v", ["id"]).collect()} == {1: "one", 2: "one", 3: "one", 4: None}
+
+
+def test_undirected_and_reversed(spark):
+    e = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (2, 3, "z")], "src long, dst long, kind string")
+    assert {tuple(r) for r in graph.reversed_edges(e).collect()} == {(2, 1, "x"), (1, 2, "y"), (3, 2, "z")}
+    assert {tuple(r) for r in graph.undirected(e).collect()} == {(a, b, 1.0) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))}
