@@ -46,6 +46,10 @@ class Inputs:
     incompatibilities: DataFrame
     semantic: DataFrame
 
+    def between(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """checks, incompatibilities and semantic for at least the pairs(base, next)."""
+        return self.checks, self.incompatibilities, self.semantic
+
 
 def is_compile(scopes: Column, artifact: Column, scope: str = "compile", test_mark: str = "junit") -> Column:
     return F.coalesce(F.array_contains(scopes, scope), F.lit(False)) & ~F.coalesce(F.contains(artifact, F.lit(test_mark)), F.lit(False))
@@ -66,6 +70,7 @@ def validated(tasks: DataFrame, x: Inputs) -> DataFrame:
     INVALID_TARGET: the target has no version; UNKNOWN_LIBRARY: no artifact of the project has the GAV; WRONG_SCOPE: no compile dependency.
     """
     known = x.artifacts.withColumn("org_gav", _gav()).withColumn("ok", is_compile(F.col("scopes"), F.col("artifact")))
+    known = known.join(tasks.select("project", "org_gav").distinct(), ["project", "org_gav"], "left_semi")
     lib = known.groupBy("project", "org_gav").agg(F.min_by(F.struct(F.col("node").alias("lib"), "ok"), "ord").alias("l"))
     target = F.get(F.split("target_gav", ":", -1), F.lit(2))
     problem = F.when(F.coalesce(target, F.lit("")) == "", "INVALID_TARGET").when(F.col("l").isNull(), "UNKNOWN_LIBRARY").when(~F.col("l.ok"), "WRONG_SCOPE")
@@ -125,10 +130,11 @@ def violated(decided: DataFrame, unupdated: DataFrame, x: Inputs, skip_family: b
     risky = stage(risky.select("run", "old", "new", "base", "next", kind.alias("kind"), "tgt_class", "name", "return_type", "params", "signature"), "risky")
     key, kinds = ["run", "old", "new"], ["base", "next", "kind"]
     asked = risky.select(*key, *kinds).distinct()
-    status = compat.lookup(asked.select(*kinds).distinct(), x.docs, x.checks, ["kind"])
+    checks, incompatibilities, semantic = x.between(risky.select("base", "next").distinct())
+    status = compat.lookup(asked.select(*kinds).distinct(), x.docs, checks, ["kind"])
     rows = asked.join(status, kinds).groupBy(*key).agg(F.max(F.when(F.col("status") != "SUCCESS", F.col("status"))).alias("problem"))
-    broken = compat.broken_calls(risky.withColumn("call_id", F.struct(*key)), x.incompatibilities, kinds).select("call_id.*")
-    bodies = compat.semantic_calls(risky.withColumn("call_id", F.struct(*key)), x.semantic, ["base", "next"]).select("call_id.*")
+    broken = compat.broken_calls(risky.withColumn("call_id", F.struct(*key)), incompatibilities, kinds).select("call_id.*")
+    bodies = compat.semantic_calls(risky.withColumn("call_id", F.struct(*key)), semantic, ["base", "next"]).select("call_id.*")
     n = broken.unionByName(bodies).groupBy(*key).agg(F.count("*").alias("calls"))
     checked = rows.join(n, key, "left").select(*key, "problem", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
     # a kept old version stands for one call that has to be forward compatible
