@@ -2,15 +2,21 @@
 
 Traversals advance a frontier by joins; each round's new rows are written once into one growing table, which is both what
 is visited (left out by an anti-join) and the result.  Shortest paths carry the path of the parent, so that no paths are
-enumerated for them; ``bounded_paths`` enumerates, for every path is its result.
+enumerated for them; ``bounded_paths`` enumerates, for every path is its result.  Of many graphs those of at most ``SMALL`` edges and
+starts are searched one by one by the workers, in one pass, and only larger ones by rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import groupby
+from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graftline.functions.names import cleared_group
 from graftline.staging import Rounds, release, stage
@@ -62,35 +68,151 @@ def _kept(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     return stage(edges.select(*by, "src", "dst").distinct(), "edges")
 
 
+#: Edges and starts of a graph that a worker holds; results leave it in batches.
+SMALL, _BATCH = 20_000, 20_000
+
+
+def _each_graph(edges: DataFrame, starts: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], depth: int | None, rounds: Callable) -> DataFrame:
+    """by and the columns result (start, node, a number, path) of walk(starts, next nodes of each node, depth) for each graph; rounds(edges, starts) for graphs that are too large."""
+    by = list(by)
+    if not by:
+        return rounds(edges, starts)
+    kind = starts.schema["start"].dataType
+    rows = edges.select(*by, "src", "dst", F.lit(False).alias("_top")).unionByName(starts.select(*by, F.col("start").alias("src"), F.col("start").alias("dst"), F.lit(True).alias("_top")))
+    rows = stage(rows, "graphs")
+    # a null is no node like others: it is left to the joins of the rounds
+    odd = F.max(F.col("src").isNull() | F.col("dst").isNull())
+    large = stage(rows.groupBy(*by).agg(F.count("*").alias("n"), odd.alias("odd")).filter(F.col("odd") | (F.col("n") > SMALL) | reduce(or_, [F.col(c).isNull() for c in by])).select(*by), "large")
+    some = not large.isEmpty()
+    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by])
+    small = rows.alias("r").join(large.alias("l"), same, "left_anti") if some else rows
+    types = {"start": rows.schema["src"].dataType, "node": rows.schema["src"].dataType, "path": T.ArrayType(rows.schema["src"].dataType)}
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in by] + [T.StructField(c, types.get(c, T.IntegerType())) for c in result])
+    arrow = _arrow_schema(schema)
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out = []
+        for key, group in groupby(lines, lambda r: r[:n]):
+            nexts, tops = {}, set()
+            for *_, src, dst, top in group:
+                if top:
+                    tops.add(src)
+                elif src in nexts:
+                    nexts[src].add(dst)
+                else:
+                    nexts[src] = {dst}
+            for found in walk(tops, nexts, depth):
+                out.append(key + found)
+                if len(out) >= _BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+                    out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    dealt = small.select(*by, "src", "dst", "_top").repartition(*by).sortWithinPartitions(*by)
+    found = stage(dealt.mapInArrow(run, schema).select(*by, *[F.col(c).cast(T.ArrayType(kind) if c == "path" else kind).alias(c) if c in types else F.col(c) for c in result]), "found")
+    if some:
+        rest = stage(rows.alias("r").join(large.alias("l"), same, "left_semi"), "rest")
+        searched = rounds(rest.filter("not _top").select(*by, "src", "dst"), rest.filter("_top").select(*by, F.col("src").cast(kind).alias("start")))
+        found = found.unionByName(searched.select(found.columns))
+        release(rest)
+    release(rows, large)
+    return found
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def _walk_distances(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+    """(start, node, dist)."""
+    for start in tops:
+        seen, level, dist = {start}, [start], 0
+        yield start, start, 0
+        while level and dist != depth:
+            dist += 1
+            level = {y for x in level for y in nexts.get(x, ())} - seen
+            seen |= level
+            for y in level:
+                yield start, y, dist
+
+
+def _walk_nearest(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+    """(node, start, len)."""
+    seen, level, dist = set(tops), {x: x for x in tops}, 0
+    while level:
+        for x, start in level.items():
+            yield x, start, dist
+        if dist == depth:
+            return
+        dist, ahead = dist + 1, {}
+        for x, start in level.items():
+            for y in nexts.get(x, ()):
+                if y not in seen and (y not in ahead or start < ahead[y]):
+                    ahead[y] = start
+        seen.update(ahead)
+        level = ahead
+
+
+def _walk_paths(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+    """(start, node, len, path)."""
+    for start in tops:
+        seen, level, dist = {start}, {start: [start]}, 0
+        while level:
+            for x, path in level.items():
+                yield start, x, dist, path
+            if dist == depth:
+                break
+            dist, ahead = dist + 1, {}
+            for x, path in level.items():
+                for y in nexts.get(x, ()):
+                    if y not in seen and (y not in ahead or path < ahead[y]):
+                        ahead[y] = path
+            seen.update(ahead)
+            level = {y: [*path, y] for y, path in ahead.items()}
+
+
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, start, node, dist: the least number of edges from each start(by, start) to every node that it reaches, itself included.
 
     The result has a row for each pair of a start and a node: use ``nearest`` or ``reachable`` where starts need not be told apart.
     """
-    kept = _kept(edges, by)
-    first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
 
-    def advance(frontier: DataFrame, depth: int) -> DataFrame:
-        step = frontier.select(*by, "start", F.col("node").alias("src")).join(kept, [*by, "src"])
-        return step.select(*by, "start", F.col("dst").alias("node")).distinct().withColumn("dist", F.lit(depth))
+    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
+        kept = _kept(edges, by)
+        first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
 
-    found = _search(first, [*by, "start", "node"], advance, max_depth)
-    release(kept)
-    return found
+        def advance(frontier: DataFrame, depth: int) -> DataFrame:
+            step = frontier.select(*by, "start", F.col("node").alias("src")).join(kept, [*by, "src"])
+            return step.select(*by, "start", F.col("dst").alias("node")).distinct().withColumn("dist", F.lit(depth))
+
+        found = _search(first, [*by, "start", "node"], advance, max_depth)
+        release(kept)
+        return found
+
+    return _each_graph(edges, starts, by, _walk_distances, ("start", "node", "dist"), max_depth, rounds)
 
 
 def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, node, start, len: for each node that is reached the nearest start, the first one on ties; one row for each node."""
-    kept = _kept(edges, by)
-    first = starts.select(*by, F.col("start").alias("node"), "start", F.lit(0).alias("len")).distinct()
 
-    def advance(frontier: DataFrame, depth: int) -> DataFrame:
-        step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
-        return step.groupBy(*by, F.col("dst").alias("node")).agg(F.min("start").alias("start")).withColumn("len", F.lit(depth))
+    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
+        kept = _kept(edges, by)
+        first = starts.select(*by, F.col("start").alias("node"), "start", F.lit(0).alias("len")).distinct()
 
-    found = _search(first, [*by, "node"], advance, max_depth)
-    release(kept)
-    return found
+        def advance(frontier: DataFrame, depth: int) -> DataFrame:
+            step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
+            return step.groupBy(*by, F.col("dst").alias("node")).agg(F.min("start").alias("start")).withColumn("len", F.lit(depth))
+
+        found = _search(first, [*by, "node"], advance, max_depth)
+        release(kept)
+        return found
+
+    return _each_graph(edges, starts, by, _walk_nearest, ("node", "start", "len"), max_depth, rounds)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -118,17 +240,21 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int, by: Seque
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, start, node, len, path: of each pair the shortest path, ties by the nodes; each round keeps a node's least path alone."""
-    kept = _kept(edges, by)
-    first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
 
-    def advance(frontier: DataFrame, depth: int) -> DataFrame:
-        step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
-        best = step.groupBy(*by, "start", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        return best.select(*by, "start", "node", F.lit(depth).alias("len"), F.concat("path", F.array("node")).alias("path"))
+    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
+        kept = _kept(edges, by)
+        first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
 
-    found = _search(first, [*by, "start", "node"], advance, max_depth)
-    release(kept)
-    return found
+        def advance(frontier: DataFrame, depth: int) -> DataFrame:
+            step = frontier.withColumnRenamed("node", "src").join(kept, [*by, "src"])
+            best = step.groupBy(*by, "start", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+            return best.select(*by, "start", "node", F.lit(depth).alias("len"), F.concat("path", F.array("node")).alias("path"))
+
+        found = _search(first, [*by, "start", "node"], advance, max_depth)
+        release(kept)
+        return found
+
+    return _each_graph(edges, starts, by, _walk_paths, ("start", "node", "len", "path"), max_depth, rounds)
 
 
 def contract(edges: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

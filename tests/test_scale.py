@@ -33,3 +33,22 @@ def test_checks_between_asked_pairs_are_those_of_the_whole_tables(spark):
         columns = [c for c in whole.columns if c != "inc_id"]
         want = whole.join(asked, ["base", "next"], "left_semi").select(columns).collect()
         assert sorted(map(str, part.select(columns).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+def test_small_graphs_are_searched_without_rounds(spark, monkeypatch, depth):
+    rng = random.Random(5)
+    pairs = [(g, *(rng.randint(0, 8) for _ in "ab")) for g in range(30) for _ in range(12)] + [(30, i, i + 1) for i in range(12)] + [(31, None, 2), (31, 1, None), (None, 1, 2)]
+    tops = [(g, rng.randint(0, 9)) for g in range(31) for _ in range(2)] + [(31, 1), (None, 1), (40, 7)]
+    e, s = spark.createDataFrame(pairs, "g int, src long, dst long"), spark.createDataFrame(tops, "g int, start long")
+    for search in (graph.distances, graph.nearest, graph.shortest_paths):
+        clean = e.filter("g < 31"), s.filter("g is not null")
+        with monkeypatch.context() as m:
+            m.setattr(graph, "Rounds", None)  # a chain would take a round for each edge
+            quick = search(*clean, max_depth=depth, by=["g"]).collect()
+        both = search(e, s, max_depth=depth, by=["g"]).collect() if depth else quick
+        with monkeypatch.context() as m:
+            m.setattr(graph, "SMALL", -1)
+            assert sorted(map(str, search(*clean, max_depth=depth, by=["g"]).collect())) == sorted(map(str, quick)) and quick
+            if depth:
+                assert sorted(map(str, search(e, s, max_depth=depth, by=["g"]).collect())) == sorted(map(str, both))
