@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graftline.functions.names import gav, rounded_weight, same_family
 from graftline.functions.versions import version_key
@@ -86,10 +87,21 @@ def candidates(tasks: DataFrame, x: Inputs) -> DataFrame:
 
 
 def pick_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
-    """task_id, project, lib, cand, cand_version: the first candidate, in response order, that the ecosystem has; null where there is none."""
+    """task_id, project, lib, cand, cand_version: the first candidate, in response order, that the ecosystem has; null where there is none.
+
+    The first version that is at least some target is newer than all before it, so that tasks meet these alone: few of an artifact's many versions.
+    """
     eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
-    best = candidates(tasks, x).join(eco, ["grp", "artifact", "version"]).groupBy("task_id").agg(F.min(F.struct("pos", "cand", "version")).alias("b"))
-    return tasks.select("task_id", "project", "lib").join(best, "task_id", "left").select("task_id", "project", "lib", "b.cand", F.col("b.version").alias("cand_version"))
+    have = x.versions.select("grp", "artifact", "pos", "version").join(eco, ["grp", "artifact", "version"]).withColumn("key", version_key(F.col("version"))).filter("key is not null")
+    before = Window.partitionBy("grp", "artifact").orderBy("pos", "cand", "version").rowsBetween(Window.unboundedPreceding, -1)
+    newer = have.withColumn("newest", F.max("key").over(before)).filter("newest is null or key > newest").drop("newest")
+    lib = x.artifacts.select("project", F.col("node").alias("lib"), "grp", "artifact")
+    wanted = tasks.join(lib, ["project", "lib"])
+    # a target's answer is looked up once for each artifact, however many tasks have it
+    asked = wanted.select("grp", "artifact", "target").distinct().withColumn("least", version_key(F.col("target")))
+    best = asked.join(newer, ["grp", "artifact"]).filter(F.col("key") >= F.col("least")).groupBy("grp", "artifact", "target").agg(F.min(F.struct("pos", "cand", "version")).alias("b"))
+    found = wanted.join(best, ["grp", "artifact", "target"]).groupBy("task_id").agg(F.min("b").alias("b"))
+    return tasks.select("task_id", "project", "lib").join(found, "task_id", "left").select("task_id", "project", "lib", "b.cand", F.col("b.version").alias("cand_version"))
 
 
 def changed_nodes(sub_nodes: DataFrame, x: Inputs) -> DataFrame:

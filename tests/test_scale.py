@@ -52,3 +52,25 @@ def test_small_graphs_are_searched_without_rounds(spark, monkeypatch, depth):
             assert sorted(map(str, search(*clean, max_depth=depth, by=["g"]).collect())) == sorted(map(str, quick)) and quick
             if depth:
                 assert sorted(map(str, search(e, s, max_depth=depth, by=["g"]).collect())) == sorted(map(str, both))
+
+
+def test_first_versions_are_found_without_all_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    versions = [("g", f"a{a}", rng.choice(["", "v"]) * (rng.random() < 0.1) + f"{rng.randint(1, 9)}.{rng.randint(0, 4)}", rng.randint(0, 20)) for a in range(4) for _ in range(25)] + [("g", "a0", None, 0)]
+    eco = [(i, g, a, v) for i, (g, a, v, _) in enumerate(versions) if i % 3]
+    tasks = [(i, i, 1, rng.choice(["1.0", "3", "5.2", "9.9", "10", "4-rc"])) for i in range(60)]
+    part = lambda rows, schema: spark.createDataFrame(rows, schema)
+    none = spark.range(0)
+    arts = part([(i, 1, "g", f"a{i % 5}", "1", ["compile"], 1) for i in range(60)], "project long, node long, grp string, artifact string, version string, scopes array<string>, ord long")
+    x = recommend.Inputs(none, arts, none, part(versions, "grp string, artifact string, version string, pos long"), part(eco, "node long, grp string, artifact string, version string"), none, none, none, none, none, none)
+    t = part(tasks, "task_id long, project long, lib long, target string")
+    least = {}
+    for n, g, a, v in eco:
+        least[g, a, v] = min(n, least.get((g, a, v), n))
+    want = {i: None for i, *_ in tasks}
+    for r in recommend.candidates(t, x).collect():
+        if (c := least.get((r.grp, r.artifact, r.version))) is not None:
+            want[r.task_id] = min(want[r.task_id] or (r.pos, c, r.version), (r.pos, c, r.version))
+    monkeypatch.setattr(recommend, "candidates", None)
+    got = {r.task_id: (r.cand, r.cand_version) for r in recommend.pick_versions(t, x).collect()}
+    assert got == {k: (w[1:] if w else (None, None)) for k, w in want.items()} and any(want.values()) and not all(want.values())
