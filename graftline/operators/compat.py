@@ -68,23 +68,35 @@ def violation_counts(violations: DataFrame, key: str) -> DataFrame:
     return violations.groupBy(key).agg(F.count_if(n > 0).alias("nr_violations"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("nr_calls"))
 
 
-def lookup(pairs: DataFrame, docs: DataFrame, checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """pairs(base, next, by) with status: FAILED_SIGTEST unless both are known documents(gav) and the pair has a check(base, next, by); by: the kind of check."""
+def _found(pairs: DataFrame, docs: DataFrame, checks: DataFrame, by: Sequence[str], flags: Sequence[str] = ("kb", "kn", "kc")) -> DataFrame:
+    """pairs with the flags, true or null: base is among docs, next is, the pair has a check."""
+    # a partition's documents are held as they are: keys are distinct, and the many pairs need no sort
     known = docs.select("gav").distinct().withColumn("k", F.lit(True))
-    a, b = known.select(F.col("gav").alias("base"), F.col("k").alias("kb")), known.select(F.col("gav").alias("next"), F.col("k").alias("kn"))
+    a, b = (known.select(F.col("gav").alias(end), F.col("k").alias(f)).hint("shuffle_hash") for end, f in zip(("base", "next"), flags, strict=False))
     key = ["base", "next", *by]
-    c = checks.select(*key).distinct().withColumn("kc", F.lit(True))
-    met = pairs.join(a, "base", "left").join(b, "next", "left").join(c, key, "left")
-    return met.select(*key, F.when(F.col("kb") & F.col("kn") & F.col("kc"), "SUCCESS").otherwise("FAILED_SIGTEST").alias("status"))
+    c = checks.select(*key).distinct().withColumn(flags[2], F.lit(True))
+    return pairs.join(a, "base", "left").join(b, "next", "left").join(c, key, "left")
+
+
+def lookup(pairs: DataFrame, docs: DataFrame, checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """pairs(base, next, by) with status: FAILED_SIGTEST unless both are known documents(gav) and the pair has a check(base, next, by); by: the kind of check."""
+    met = _found(pairs, docs, checks, by)
+    return met.select("base", "next", *by, F.when(F.col("kb") & F.col("kn") & F.col("kc"), "SUCCESS").otherwise("FAILED_SIGTEST").alias("status"))
 
 
 def lookup_again(pairs: DataFrame, docs: DataFrame, checks: DataFrame, generate: Callable[[DataFrame], tuple[DataFrame, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
-    """lookup, and for what it misses a second one, after generate(missing pairs) has given more docs and checks."""
-    first = lookup(pairs, docs, checks, by)
-    missing = stage(missing_pairs(first, by), "missing")
-    more_docs, more_checks = generate(missing)
-    second = lookup(missing, docs.select("gav").unionByName(more_docs.select("gav")), checks.select("base", "next", *by).unionByName(more_checks.select("base", "next", *by)), by)
-    return first.filter("status = 'SUCCESS'").unionByName(second)
+    """lookup, and for what it misses a second one, after generate(missing pairs) has given more docs and checks.
+
+    What the first one has found is kept, so that the second asks for what is new alone.
+    """
+    key, old, new = ["base", "next", *by], ("kb", "kn", "kc"), ("nb", "nn", "nc")
+    first = stage(_found(pairs, docs, checks, by).select(*key, *old), "first")
+    whole = F.coalesce(F.col("kb") & F.col("kn") & F.col("kc"), F.lit(False))
+    missing = first.filter(~whole)
+    more = generate(missing.select(*key))
+    second = _found(missing, *more, by, new)
+    status = F.when((F.coalesce("kb", "nb") & F.coalesce("kn", "nn") & F.coalesce("kc", "nc")), "SUCCESS").otherwise("FAILED_SIGTEST")
+    return first.filter(whole).select(*key, F.lit("SUCCESS").alias("status")).unionByName(second.select(*key, status.alias("status")))
 
 
 def missing_pairs(looked_up: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from graftline.operators import graph, recommend
+from graftline.operators import compat, graph, recommend
 from graftline.plans import derived
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,3 +74,22 @@ def test_first_versions_are_found_without_all_candidates(spark, monkeypatch):
     monkeypatch.setattr(recommend, "candidates", None)
     got = {r.task_id: (r.cand, r.cand_version) for r in recommend.pick_versions(t, x).collect()}
     assert got == {k: (w[1:] if w else (None, None)) for k, w in want.items()} and any(want.values()) and not all(want.values())
+
+
+def test_a_second_lookup_asks_for_what_is_new_alone(spark, monkeypatch):
+    made, write = [], compat.stage
+    monkeypatch.setattr(compat, "stage", lambda df, name: made.append(name) or write(df, name))
+    rows = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split()))
+    pairs = [(a, b) for a in range(12) for b in range(12)] + [(3, 4), (None, 4)]
+    docs, more_docs = {*range(0, 8)}, {8, 9, 9}
+    checks, more_checks = {p for p in pairs[:144] if sum(p) % 3}, {p for p in pairs[:144] if sum(p) % 6 == 0}
+    asked = []
+
+    def generate(missing):
+        asked.extend(tuple(r) for r in missing.collect())
+        return rows([(d,) for d in more_docs], "gav"), rows(sorted(more_checks) * 2, "base next")
+
+    good = lambda p, d, c: "SUCCESS" if p[0] in d and p[1] in d and p in c else "FAILED_SIGTEST"
+    got = compat.lookup_again(rows(pairs, "base next"), rows([(d,) for d in docs] * 2, "gav"), rows(sorted(checks), "base next"), generate).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((*p, good(p, docs | more_docs, checks | more_checks))) for p in pairs)
+    assert sorted(map(str, asked)) == sorted(str(p) for p in pairs if good(p, docs, checks) != "SUCCESS") and made == ["first"]
