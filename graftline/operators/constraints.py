@@ -7,6 +7,8 @@ first by length, shared node and roots is taken.  Texts of queries are never mad
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,7 +93,7 @@ def solve(tries: DataFrame, planned: DataFrame, nodes: DataFrame, eco_nodes: Dat
     eco = eco_nodes.select("grp", "artifact", F.col("version").alias("eco_version"), F.col("node").alias("eco"))
     lib = facts.select("project", F.col("node").alias("lib"), F.col("cleared").alias("lib_cleared"))
     alive = stage(tries.join(lib, ["project", "lib"]).select("try", "run", "project", "lib", "lib_cleared", F.col("version").alias("target"), "cand"), "alive")
-    steps = stage(planned, "planned")
+    steps = stage(planned.join(alive.select("run").distinct(), "run", "left_semi"), "planned")
     roots = steps.select("run", "project", "place", F.posexplode("roots").alias("i", "r")).select("run", "project", "place", "i", F.col("r.root").alias("root"), F.col("r.bound").alias("bound"))
     last, deepest = steps.agg(F.max("place")).first()[0] or 0, roots.agg(F.max("bound")).first()[0] or 0
 
@@ -123,10 +125,14 @@ def solve(tries: DataFrame, planned: DataFrame, nodes: DataFrame, eco_nodes: Dat
             joint = _joint_paths(met.select("from", "to", "most"), eco_edges, reach)
             options = stage(met.join(joint, ["from", "to", "most"]).select("try", "shared", "to", "n", "i", F.struct("root", F.col("from").alias("eco")).alias("pick"), "path", "hops"), "options")
             state = options.filter("i = 0").select("try", "shared", "to", "n", F.array("pick").alias("picks"), F.array("path").alias("ways"), "hops")
+            full = [state.filter("n <= 1")]
             for i in range(1, options.agg(F.max("n")).first()[0]):
                 nxt = options.filter(F.col("i") == i).select("try", "to", "pick", F.col("path").alias("way"), F.col("hops").alias("more"))
                 longer = state.filter(F.col("n") > i).join(nxt, ["try", "to"]).filter(~F.arrays_overlap("hops", "more"))
-                state = state.filter(F.col("n") <= i).unionByName(longer.select("try", "shared", "to", "n", F.concat("picks", F.array("pick")).alias("picks"), F.concat("ways", F.array("way")).alias("ways"), F.concat("hops", "more").alias("hops")))
+                # written, as it is read twice: else the plan doubles with each root
+                state = stage(longer.select("try", "shared", "to", "n", F.concat("picks", F.array("pick")).alias("picks"), F.concat("ways", F.array("way")).alias("ways"), F.concat("hops", "more").alias("hops")), "state")
+                full.append(state.filter(F.col("n") == i + 1))
+            state = reduce(DataFrame.unionByName, full)
             best = stage(state.groupBy("try", "shared").agg(F.min(F.struct(F.size("hops").alias("len"), "to", "picks", "ways")).alias("b")), "best")
             new = best.select("try", F.explode(F.concat(F.array(F.struct(F.col("shared").alias("root"), F.col("b.to").alias("eco"))), "b.picks")).alias("x")).select("try", F.col("x.root").alias("node"), F.col("x.eco").alias("eco"))
             fresh = stage(new.distinct().join(bound.all().select("try", "node"), ["try", "node"], "left_anti"), "fresh")

@@ -7,6 +7,7 @@ task that fails becomes a row with a status or an error, never a failed job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from graftline.operators.compat import override_decision, status_of
 from graftline.operators.constraints import NEIGHBOUR_DEPTH
 from graftline.operators.graph import contract, distances, expand, families, induced, nearest, shortest_paths, sink_roots
 from graftline.operators.matching import first_by, match_first, match_loose
-from graftline.staging import stage
+from graftline.staging import release, stage
 
 PROJECT = ["project"]
 
@@ -225,14 +226,12 @@ def min_cut_updates(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None)
     family = roots.join(cuts.select(*run_key), "run").select("project", F.col("root").alias("node")).distinct().join(members.select("project", "node", "family"), ["project", "node"], "left")
     starts = family.select("project", F.col("node").alias("start")).unionByName(family.select("project", "family").join(members.select("project", "family", "node"), ["project", "family"]).select("project", F.col("node").alias("start"))).distinct()
     lengths = distances(deps, starts, by=PROJECT)
-    planned = constraints.plan(cuts.select("run", "project", "lib"), roots, x.artifacts, members, paths.select("project", "node", F.col("len").alias("dist")), lengths)
+    planned = stage(constraints.plan(cuts.select("run", "project", "lib"), roots, x.artifacts, members, paths.select("project", "node", F.col("len").alias("dist")), lengths), "planned")
     eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
     options = candidates(tasks, x).join(eco, ["grp", "artifact", "version"]).join(cuts.select("run", "task_id"), "task_id")
-    tries = stage(options.select(F.concat_ws("/", "run", "pos").alias("try"), "run", "project", "lib", "pos", "version", "cand"), "tries")
-    solved, nodes, edges = constraints.solve(tries, planned, x.artifacts, x.eco_nodes, x.eco_edges)
-    first = stage(first_by(tries.join(solved, "try", "left_semi"), ["run"], "pos", "cand"), "first")
-    sub = first.select("try", "run", "project").join(nodes, "try").select("run", "project", "node")
-    sub_edges = first.select("try", "run").join(edges, "try").select("run", "src", "dst")
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("pos", "cand"))
+    tries = stage(options.select(F.concat_ws("/", "run", "pos").alias("try"), "run", "project", "lib", "pos", "version", "cand", rank.alias("rank")), "tries")
+    first, sub, sub_edges = first_solved(tries, planned, x)
     named = x.artifacts.select("project", "node", "grp", "artifact")
     ours = sub.join(x.eco_nodes, "node").groupBy("run", "grp", "artifact").agg(F.min("node").alias("start"))
     init = cut_nodes.join(named, ["project", "node"]).join(ours, ["run", "grp", "artifact"]).select("run", "start").distinct()
@@ -249,6 +248,28 @@ def min_cut_updates(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None)
     return kept.join(steps, "run", "left").select("task_id", "cut_ix", "cut_weight", "cand_version", "update_steps", "status", "nr_violations", calls.alias("nr_calls"), "is_perfect")
 
 
+def first_solved(tries: DataFrame, planned: DataFrame, x: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each run the first of tries(try, run, project, lib, pos, version, cand, rank) that can be solved, its sub-graph nodes(run, project, node) and edges(run, src, dst).
+
+    Tries go in waves, each four times as long as the one before, for the runs that no earlier one has solved.
+    """
+    done, subs, lines, begin, size = [], [], [], 0, 1
+    most = tries.agg(F.max("rank")).first()[0] or 0
+    while begin < max(most, 1):
+        wave = tries.filter(F.col("rank").between(begin + 1, begin + size))
+        for d in done:
+            wave = wave.join(d.select("run"), "run", "left_anti")
+        wave = stage(wave, "wave")
+        solved, nodes, edges = constraints.solve(wave, planned, x.artifacts, x.eco_nodes, x.eco_edges)
+        first = stage(first_by(wave.join(solved, "try", "left_semi"), ["run"], "pos", "cand"), "first")
+        done.append(first)
+        subs.append(stage(first.select("try", "run", "project").join(nodes, "try").select("run", "project", "node"), "sub"))
+        lines.append(stage(first.select("try", "run").join(edges, "try").select("run", "src", "dst"), "sub-edges"))
+        release(wave, nodes, edges)
+        begin, size = begin + size, size * 4
+    return tuple(reduce(DataFrame.unionByName, parts) for parts in (done, subs, lines))
+
+
 def cut_steps(sub: DataFrame, sub_edges: DataFrame, cut_nodes: DataFrame, x: Inputs) -> DataFrame:
     """run, old_gav, new_gav: roots of the sub-graphs and the cut nodes, as update_steps has it."""
     eco = x.eco_nodes.select("node", "grp", "artifact", "version")

@@ -7,6 +7,7 @@ import pytest
 
 from graftline.operators import compat, graph, recommend
 from graftline.plans import derived
+from graftline.staging import stage
 
 SMALL = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
@@ -93,3 +94,22 @@ def test_a_second_lookup_asks_for_what_is_new_alone(spark, monkeypatch):
     got = compat.lookup_again(rows(pairs, "base next"), rows([(d,) for d in docs] * 2, "gav"), rows(sorted(checks), "base next"), generate).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((*p, good(p, docs | more_docs, checks | more_checks))) for p in pairs)
     assert sorted(map(str, asked)) == sorted(str(p) for p in pairs if good(p, docs, checks) != "SUCCESS") and made == ["first"]
+
+
+def test_tries_are_solved_in_waves_up_to_the_first(spark, monkeypatch):
+    rows = [(f"{r}/{p}", r, 1, 1, p, str(p), 100 + p, p) for r in "abc" for p in range(1, 8)]
+    tries = spark.createDataFrame(rows, "try string, run string, project long, lib long, pos long, version string, cand long, rank int")
+    good, waves = {"a": {1, 2}, "b": {4, 6}, "c": set()}, []
+
+    def solve(wave, *_):
+        have = wave.select("try", "run", "pos").collect()
+        waves.append({(r.run, r.pos) for r in have})
+        hit = wave.filter(" or ".join(f"run = '{k}' and pos in (0, {', '.join(map(str, v)) or 0})" for k, v in good.items()))
+        return hit.select("try"), stage(hit.selectExpr("try", "cand as node"), "nodes"), stage(hit.selectExpr("try", "cand as src", "cand + 1 as dst"), "edges")
+
+    monkeypatch.setattr(recommend.constraints, "solve", solve)
+    x = recommend.Inputs(*[None] * 11)
+    first, sub, lines = recommend.first_solved(tries, None, x)
+    assert sorted((r.run, r.pos) for r in first.collect()) == [("a", 1), ("b", 4)]
+    assert sorted((r.run, r.node) for r in sub.collect()) == [("a", 101), ("b", 104)] and sorted((r.run, r.dst) for r in lines.collect()) == [("a", 102), ("b", 105)]
+    assert waves == [{(r, 1) for r in "abc"}, {(r, p) for r in "bc" for p in range(2, 6)}, {("c", 6), ("c", 7)}]
