@@ -3,17 +3,18 @@
 Traversals advance a frontier by joins; each round's new rows are written once into one growing table, which is both what
 is visited (left out by an anti-join) and the result.  Shortest paths carry the path of the parent, so that no paths are
 enumerated for them; ``bounded_paths`` enumerates, for every path is its result.  Of many graphs those of at most ``SMALL`` edges and
-starts are searched one by one by the workers, in one pass, and only larger ones by rounds.
+starts are searched side by side by the workers, in one pass, and only larger ones by rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import groupby
-from operator import and_, or_
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,112 +69,272 @@ def _kept(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     return stage(edges.select(*by, "src", "dst").distinct(), "edges")
 
 
-#: Edges and starts of a graph that a worker holds; results leave it in batches.
-SMALL, _BATCH = 20_000, 20_000
+#: Edges and starts of a graph that a worker holds.
+SMALL = 20_000
+#: Rows of many graphs that a worker searches together, pairs of starts and what they may reach that it walks at once, and values of a batch that leaves it.
+_ROWS_AT_ONCE, _PAIRS_AT_ONCE, _VALUES_AT_ONCE = 100_000, 1 << 19, 1 << 20
 
+_EDGE, _TOP, _SINK, _CUT = 0, 1, 2, 3
 
-def _each_graph(edges: DataFrame, starts: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], depth: int | None, rounds: Callable) -> DataFrame:
-    """by and the columns result (start, node, a number, path) of walk(starts, next nodes of each node, depth) for each graph; rounds(edges, starts) for graphs that are too large."""
-    by = list(by)
-    if not by:
-        return rounds(edges, starts)
-    kind = starts.schema["start"].dataType
-    rows = edges.select(*by, "src", "dst", F.lit(False).alias("_top")).unionByName(starts.select(*by, F.col("start").alias("src"), F.col("start").alias("dst"), F.lit(True).alias("_top")))
-    rows = stage(rows, "graphs")
-    # a null is no node like others: it is left to the joins of the rounds
-    odd = F.max(F.col("src").isNull() | F.col("dst").isNull())
-    large = stage(rows.groupBy(*by).agg(F.count("*").alias("n"), odd.alias("odd")).filter(F.col("odd") | (F.col("n") > SMALL) | reduce(or_, [F.col(c).isNull() for c in by])).select(*by), "large")
-    some = not large.isEmpty()
-    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by])
-    small = rows.alias("r").join(large.alias("l"), same, "left_anti") if some else rows
-    types = {"start": rows.schema["src"].dataType, "node": rows.schema["src"].dataType, "path": T.ArrayType(rows.schema["src"].dataType)}
-    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in by] + [T.StructField(c, types.get(c, T.IntegerType())) for c in result])
+
+def _each_graph(rows: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], kind: T.DataType, rounds: Callable) -> DataFrame:
+    """by and the columns result (start, node, a number, path) of walk over rows(by, src, dst, _kind), which tell edges, starts and the like apart, for each graph; rounds(rows) for graphs that are too large.
+
+    The rows are dealt once.  A worker searches many graphs side by side, and of a graph that is too large gives the key alone.
+    """
+    by, most = list(by), SMALL
+    of = rows.schema["src"].dataType
+    types = {"start": of, "node": of, "path": T.ArrayType(of)}
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in by] + [T.StructField(c, types.get(c, T.IntegerType())) for c in result] + [T.StructField("_large", T.BooleanType())])
     arrow = _arrow_schema(schema)
     n = len(by)
 
+    def searched(held: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Results of the graphs that begin at the rows first."""
+        sizes = np.diff(first, append=held.num_rows)
+        of_row = np.repeat(np.arange(len(first)), sizes)
+        keys = [held.column(i).take(pa.array(first)) for i in range(n)]
+        # a null is no node like others: it is left to the joins of the rounds
+        odd = reduce(np.logical_or, [_nulls(held.column(i)) for i in range(n + 2)])
+        large = (sizes > most) | (np.bincount(of_row, weights=odd, minlength=len(first)) > 0)
+        if large.any():
+            at = pa.array(np.flatnonzero(large))
+            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), *(pa.nulls(len(at), t) for t in arrow.types[n:-1]), pa.array(np.ones(len(at), bool))], schema=arrow)
+        fits = ~large[of_row]
+        if not fits.any():
+            return
+        part = held.filter(pa.array(fits))
+        for graphs, columns in walk(_Graphs(of_row[fits], part.column(n), part.column(n + 1), part.column(n + 2).to_numpy())):
+            at = pa.array(graphs)
+            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), *(c if c.type == t else c.cast(t) for c, t in zip(columns, arrow.types[n:-1], strict=True)), pa.array(np.zeros(len(at), bool))], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out = []
-        for key, group in groupby(lines, lambda r: r[:n]):
-            nexts, tops = {}, set()
-            for *_, src, dst, top in group:
-                if top:
-                    tops.add(src)
-                elif src in nexts:
-                    nexts[src].add(dst)
-                else:
-                    nexts[src] = {dst}
-            for found in walk(tops, nexts, depth):
-                out.append(key + found)
-                if len(out) >= _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-                    out.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-
-    dealt = small.select(*by, "src", "dst", "_top").repartition(*by).sortWithinPartitions(*by)
-    found = stage(dealt.mapInArrow(run, schema).select(*by, *[F.col(c).cast(T.ArrayType(kind) if c == "path" else kind).alias(c) if c in types else F.col(c) for c in result]), "found")
-    if some:
+        parts, count = [], 0
+        for batch in batches:
+            parts.append(batch)
+            count += batch.num_rows
+            if count >= _ROWS_AT_ONCE:
+                held = pa.concat_batches(parts)
+                first = _begins(held, n)
+                if first[-1]:
+                    yield from searched(held.slice(0, int(first[-1])), first[:-1])
+                # of a graph that goes on, no more is kept than tells that it is too large
+                rest = held.slice(int(first[-1]), most + 1 if most >= 0 else 1)
+                parts, count = [rest], rest.num_rows
+        if count:
+            held = pa.concat_batches(parts)
+            yield from searched(held, _begins(held, n))
+
+    dealt = rows.select(*by, "src", "dst", "_kind").repartition(*by).sortWithinPartitions(*by)
+    every = stage(dealt.mapInArrow(run, schema), "found")
+    shown = [F.col(c).cast(T.ArrayType(kind) if c == "path" else kind).alias(c) if c in types else F.col(c) for c in result]
+    found = every.filter("not _large").select(*by, *shown)
+    large = every.filter("_large").select(*by).distinct()
+    if not large.isEmpty():
+        same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by])
         rest = stage(rows.alias("r").join(large.alias("l"), same, "left_semi"), "rest")
-        searched = rounds(rest.filter("not _top").select(*by, "src", "dst"), rest.filter("_top").select(*by, F.col("src").cast(kind).alias("start")))
-        found = found.unionByName(searched.select(found.columns))
+        found = found.unionByName(rounds(rest).select(found.columns))
         release(rest)
-    release(rows, large)
     return found
 
 
+def _searched(edges: DataFrame, starts: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], rounds: Callable) -> DataFrame:
+    """The results of walk from starts, or of rounds(edges, starts) for one graph."""
+    if not by:
+        return rounds(edges, starts)
+    kind = starts.schema["start"].dataType
+    return _each_graph(_rows(by, edges, starts), by, walk, result, kind, _in_rounds(rounds, by, kind))
+
+
+def _rows(by: Sequence[str], edges: DataFrame, starts: DataFrame) -> DataFrame:
+    one = starts.select(*by, F.col("start").alias("src"), F.col("start").alias("dst"), _mark(_TOP))
+    return edges.select(*by, "src", "dst", _mark(_EDGE)).unionByName(one)
+
+
+def _mark(kind: int) -> Column:
+    return F.lit(kind).cast("byte").alias("_kind")
+
+
+def _in_rounds(rounds: Callable, by: Sequence[str], kind: T.DataType) -> Callable:
+    """rounds(edges, starts) over rows."""
+    return lambda rest: rounds(rest.filter(F.col("_kind") == _EDGE).select(*by, "src", "dst"), rest.filter(F.col("_kind") == _TOP).select(*by, F.col("src").cast(kind).alias("start")))
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def _walk_distances(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+def _nulls(c: pa.Array) -> np.ndarray:
+    return c.is_null().to_numpy(zero_copy_only=False) if c.null_count else np.zeros(len(c), bool)
+
+
+def _begins(rows: pa.RecordBatch, n: int) -> np.ndarray:
+    """Where a row's first n columns differ from those of the row before; nulls are equal."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for c in rows.columns[:n]:
+        gone = _nulls(c)
+        new[1:] |= (gone[1:] != gone[:-1]) | pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+class _Graphs:
+    """Many graphs as arrays: nodes are numbered by graph and value, edges are in the order of their ends."""
+
+    def __init__(self, of: np.ndarray, src: pa.Array, dst: pa.Array, kind: np.ndarray):
+        self.values = pa.concat_arrays([src, dst])
+        if pa.types.is_integer(self.values.type):
+            code = self.values.to_numpy().astype(np.int64)
+        else:
+            coded = self.values.dictionary_encode()
+            rank = np.empty(len(coded.dictionary), np.int64)
+            rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+            code = rank[coded.indices.to_numpy()]
+        low, high = int(code.min()), int(code.max())
+        if high - low >= (1 << 62) // (int(of[-1]) + 1):
+            _, code = np.unique(code, return_inverse=True)
+            low, high = 0, len(code)
+        spread = high - low + 1
+        met, self.at, number = np.unique(np.concatenate([of, of]) * spread + (code - low), return_index=True, return_inverse=True)
+        self.n, self.graph = len(met), met // spread
+        a, b = number[: len(of)], number[len(of) :]
+        self.a, self.b, self.kind = a, b, kind
+        own = kind == _EDGE
+        self._link(a[own], b[own])
+        #: Where the numbers of each node's graph begin, and how many nodes and edges it has.
+        count = np.bincount(self.graph, minlength=int(of[-1]) + 1)
+        self.base = (np.cumsum(count) - count)[self.graph]
+        self.nodes = count[self.graph]
+
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        links = np.unique(a * self.n + b)
+        self.ends = links % max(self.n, 1)
+        self.begin = np.searchsorted(links, np.arange(self.n + 1) * self.n)
+
+    def marked(self, kind: int) -> np.ndarray:
+        return np.unique(self.a[self.kind == kind])
+
+    def inside(self, keep: np.ndarray) -> None:
+        """Only edges between nodes for which keep is true stay."""
+        a, b = np.repeat(np.arange(self.n), np.diff(self.begin)), self.ends
+        own = keep[a] & keep[b]
+        self._link(a[own], b[own])
+
+    def named(self, numbers: np.ndarray) -> pa.Array:
+        return self.values.take(pa.array(self.at[numbers]))
+
+    def onward(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each edge that leaves one of nodes the place of its start there, and its end; in this order."""
+        low, n = self.begin[nodes], self.begin[nodes + 1] - self.begin[nodes]
+        place = np.repeat(np.arange(len(nodes)), n)
+        return place, self.ends[np.arange(len(place)) + np.repeat(low - (np.cumsum(n) - n), n)]
+
+    def shares(self, tops: np.ndarray) -> Iterator[np.ndarray]:
+        """tops in parts whose graphs have about as many nodes and edges as may be walked at once."""
+        links = np.bincount(self.graph, weights=np.diff(self.begin)).astype(np.int64)
+        whole = np.cumsum(self.nodes[tops] + links[self.graph[tops]]) // _PAIRS_AT_ONCE
+        return (part for part in np.split(tops, np.flatnonzero(np.diff(whole)) + 1) if len(part))
+
+
+def _parts(n: int, width: int = 1) -> Iterator[slice]:
+    step = max(1, _VALUES_AT_ONCE // 4 // width)
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _levels(g: _Graphs, tops: np.ndarray, depth: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """dist, starts, nodes, and the place of each one's parent on the level before; of a start's nodes on a level those with the least paths first."""
+    offset = np.cumsum(g.nodes[tops]) - g.nodes[tops] - g.base[tops]
+    seen = np.zeros(int(g.nodes[tops].sum()), bool)
+    slot, node, dist, parent = np.arange(len(tops)), tops, 0, np.arange(len(tops))
+    seen[offset + tops] = True
+    while len(node):
+        yield dist, tops[slot], node, parent
+        if dist == depth:
+            return
+        dist += 1
+        place, end = g.onward(node)
+        where = offset[slot[place]] + end
+        fresh = np.flatnonzero(~seen[where])
+        # paths of one length are in the order of their parents' paths, then of their last nodes
+        _, first = np.unique(where[fresh], return_index=True)
+        first = fresh[np.sort(first)]
+        seen[where[first]] = True
+        slot, node, parent = slot[place[first]], end[first], place[first]
+
+
+def _walk_distances(depth: int | None) -> Callable:
     """(start, node, dist)."""
-    for start in tops:
-        seen, level, dist = {start}, [start], 0
-        yield start, start, 0
-        while level and dist != depth:
-            dist += 1
-            level = {y for x in level for y in nexts.get(x, ())} - seen
-            seen |= level
-            for y in level:
-                yield start, y, dist
+
+    def walk(g: _Graphs) -> Iterator[tuple]:
+        for tops in g.shares(g.marked(_TOP)):
+            for dist, start, node, _ in _levels(g, tops, depth):
+                for s in _parts(len(node)):
+                    yield g.graph[node[s]], (g.named(start[s]), g.named(node[s]), pa.array(np.full(len(node[s]), dist, np.int32)))
+
+    return walk
 
 
-def _walk_nearest(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+def _walk_nearest(depth: int | None) -> Callable:
     """(node, start, len)."""
-    seen, level, dist = set(tops), {x: x for x in tops}, 0
-    while level:
-        for x, start in level.items():
-            yield x, start, dist
-        if dist == depth:
-            return
-        dist, ahead = dist + 1, {}
-        for x, start in level.items():
-            for y in nexts.get(x, ()):
-                if y not in seen and (y not in ahead or start < ahead[y]):
-                    ahead[y] = start
-        seen.update(ahead)
-        level = ahead
+
+    def walk(g: _Graphs) -> Iterator[tuple]:
+        node = start = g.marked(_TOP)
+        seen, dist = np.zeros(g.n, bool), 0
+        seen[node] = True
+        while len(node):
+            for s in _parts(len(node)):
+                yield g.graph[node[s]], (g.named(node[s]), g.named(start[s]), pa.array(np.full(len(node[s]), dist, np.int32)))
+            if dist == depth:
+                return
+            dist += 1
+            place, end = g.onward(node)
+            fresh = ~seen[end]
+            both = np.unique(end[fresh] * g.n + start[place[fresh]])
+            node, start = both // g.n, both % g.n
+            least = np.r_[True, node[1:] != node[:-1]][: len(node)]
+            node, start = node[least], start[least]
+            seen[node] = True
+
+    return walk
 
 
-def _walk_paths(tops: set, nexts: dict, depth: int | None) -> Iterator[tuple]:
+def _walk_paths(depth: int | None) -> Callable:
     """(start, node, len, path)."""
-    for start in tops:
-        seen, level, dist = {start}, {start: [start]}, 0
-        while level:
-            for x, path in level.items():
-                yield start, x, dist, path
-            if dist == depth:
-                break
-            dist, ahead = dist + 1, {}
-            for x, path in level.items():
-                for y in nexts.get(x, ()):
-                    if y not in seen and (y not in ahead or path < ahead[y]):
-                        ahead[y] = path
-            seen.update(ahead)
-            level = {y: [*path, y] for y, path in ahead.items()}
+
+    def walk(g: _Graphs) -> Iterator[tuple]:
+        for tops in g.shares(g.marked(_TOP)):
+            above = []
+            for dist, start, node, parent in _levels(g, tops, depth):
+                above.append((node, parent))
+                for s in _parts(len(node), dist + 1):
+                    path, place = np.empty((len(node[s]), dist + 1), np.int64), np.arange(len(node))[s]
+                    for level in range(dist, -1, -1):
+                        path[:, level] = above[level][0][place]
+                        place = above[level][1][place]
+                    cuts = pa.array(np.arange(len(path) + 1, dtype=np.int32) * (dist + 1))
+                    yield g.graph[node[s]], (g.named(start[s]), g.named(node[s]), pa.array(np.full(len(path), dist, np.int32)), pa.ListArray.from_arrays(cuts, g.named(path.reshape(-1))))
+
+    return walk
+
+
+def _walk_sinks(depth: int | None) -> Callable:
+    """(node, start) inside the sink, from the cut's nodes that no edge inside it enters."""
+
+    def walk(g: _Graphs) -> Iterator[tuple]:
+        sink, top = np.zeros(g.n, bool), np.zeros(g.n, bool)
+        sink[g.marked(_SINK)] = True
+        top[g.marked(_CUT)] = True
+        g.inside(sink)
+        top &= sink
+        top[g.ends] = False
+        for tops in g.shares(np.flatnonzero(top)):
+            for _, start, node, _ in _levels(g, tops, depth):
+                for s in _parts(len(node)):
+                    yield g.graph[node[s]], (g.named(node[s]), g.named(start[s]))
+
+    return walk
 
 
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -194,7 +355,7 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
         release(kept)
         return found
 
-    return _each_graph(edges, starts, by, _walk_distances, ("start", "node", "dist"), max_depth, rounds)
+    return _searched(edges, starts, by, _walk_distances(max_depth), ("start", "node", "dist"), rounds)
 
 
 def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -212,7 +373,7 @@ def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, b
         release(kept)
         return found
 
-    return _each_graph(edges, starts, by, _walk_nearest, ("node", "start", "len"), max_depth, rounds)
+    return _searched(edges, starts, by, _walk_nearest(max_depth), ("node", "start", "len"), rounds)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -254,7 +415,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None =
         release(kept)
         return found
 
-    return _each_graph(edges, starts, by, _walk_paths, ("start", "node", "len", "path"), max_depth, rounds)
+    return _searched(edges, starts, by, _walk_paths(max_depth), ("start", "node", "len", "path"), rounds)
 
 
 def contract(edges: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -288,9 +449,24 @@ def expand(nodes: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> Data
 
 def sink_roots(edges: DataFrame, sink: DataFrame, cut: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, node, root: for each sink node the cut nodes without parents in the sink from which it is reached inside the sink."""
-    inside = induced(edges.select(*by, "src", "dst"), sink, by)
-    tops = sink.select(*by, "node").join(inside.select(*by, F.col("dst").alias("node")), [*by, "node"], "left_anti").join(cut.select(*by, "node"), [*by, "node"], "left_semi")
-    return distances(inside, tops.withColumnRenamed("node", "start"), max_depth, by).select(*by, "node", F.col("start").alias("root"))
+
+    def joined(edges: DataFrame, sink: DataFrame, cut: DataFrame) -> DataFrame:
+        inside = induced(edges, sink, by)
+        tops = sink.join(inside.select(*by, F.col("dst").alias("node")), [*by, "node"], "left_anti").join(cut, [*by, "node"], "left_semi")
+        return distances(inside, tops.withColumnRenamed("node", "start"), max_depth, by).select(*by, "node", F.col("start").alias("root"))
+
+    edges, sink, cut = edges.select(*by, "src", "dst"), sink.select(*by, "node"), cut.select(*by, "node")
+    if not by:
+        return joined(edges, sink, cut)
+    kind = sink.schema["node"].dataType
+    ends = lambda df, mark: df.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), _mark(mark))
+    rows = edges.select(*by, "src", "dst", _mark(_EDGE)).unionByName(ends(sink, _SINK)).unionByName(ends(cut, _CUT))
+
+    def rest(rows: DataFrame) -> DataFrame:
+        nodes = lambda mark: rows.filter(F.col("_kind") == mark).select(*by, F.col("src").cast(kind).alias("node"))
+        return joined(rows.filter(F.col("_kind") == _EDGE).select(*by, "src", "dst"), nodes(_SINK), nodes(_CUT)).withColumnRenamed("root", "start")
+
+    return _each_graph(rows, by, _walk_sinks(max_depth), ("node", "start"), kind, rest).select(*by, "node", F.col("start").alias("root"))
 
 
 def degrees(calls: DataFrame) -> DataFrame:

@@ -48,6 +48,14 @@ class Inputs:
     incompatibilities: DataFrame
     semantic: DataFrame
 
+    def links(self) -> DataFrame:
+        """project, src, dst of deps, for who needs no more; rows may repeat."""
+        return self.deps.select("project", "src", "dst")
+
+    def nodes(self) -> DataFrame:
+        """project, node of artifacts; rows may repeat."""
+        return self.artifacts.select("project", "node")
+
     def between(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """checks, incompatibilities and semantic for at least the pairs(base, next)."""
         return self.checks, self.incompatibilities, self.semantic
@@ -170,7 +178,7 @@ def outcome(runs: DataFrame, found: DataFrame) -> DataFrame:
 def root_paths(x: Inputs, of: DataFrame) -> DataFrame:
     """project, node, len, path from the project's root, for the projects of of."""
     starts = x.projects.join(of.select("project").distinct(), "project", "left_semi").select("project", F.col("root").alias("start"))
-    return shortest_paths(x.deps, starts, by=PROJECT).drop("start")
+    return shortest_paths(x.links(), starts, by=PROJECT).drop("start")
 
 
 def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -> DataFrame:

@@ -113,3 +113,61 @@ def test_tries_are_solved_in_waves_up_to_the_first(spark, monkeypatch):
     assert sorted((r.run, r.pos) for r in first.collect()) == [("a", 1), ("b", 4)]
     assert sorted((r.run, r.node) for r in sub.collect()) == [("a", 101), ("b", 104)] and sorted((r.run, r.dst) for r in lines.collect()) == [("a", 102), ("b", 105)]
     assert waves == [{(r, 1) for r in "abc"}, {(r, p) for r in "bc" for p in range(2, 6)}, {("c", 6), ("c", 7)}]
+
+
+def _plain_sinks(pairs, sink, cut):
+    """graph, node, root by plain walks."""
+    out = set()
+    for g in {g for g, _ in sink}:
+        side = {n for h, n in sink if h == g}
+        inside = {(a, b) for h, a, b in pairs if h == g and {a, b} <= side}
+        for top in side & {n for h, n in cut if h == g} - {b for _, b in inside}:
+            todo, seen = [top], {top}
+            for x in todo:
+                todo += (more := {b for a, b in inside if a == x} - seen)
+                seen |= more
+            out |= {(g, n, top) for n in seen}
+    return out
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_graphs_are_dealt_once(spark, monkeypatch, text):
+    """Many graphs are written once, when they are searched; what is too large among them goes by rounds, and sinks need no joins."""
+    rng = random.Random(9)
+    name = (lambda i: f"n{i}") if text else int
+    pairs = [(g, name(rng.randint(0, 9)), name(rng.randint(0, 9))) for g in range(20) for _ in range(11)] + [(20, name(i), name(i + 1)) for i in range(30)] + [(21, name(3), name(4))]
+    tops = [(g, name(rng.randint(0, 9))) for g in range(21) for _ in range(2)] + [(22, name(1))]
+    kind = "string" if text else "long"
+    e, s = spark.createDataFrame(pairs, f"g int, src {kind}, dst {kind}"), spark.createDataFrame(tops, f"g int, start {kind}")
+    sink, cut = ([(g, name(i)) for g in range(23) for i in range(12) if rng.random() < p and (g != 20 or i < 4)] for p in (0.8, 0.7))
+    sides = [spark.createDataFrame(x, f"g int, node {kind}") for x in (sink, cut)]
+    made, write = [], graph.stage
+    searches = graph.distances, graph.nearest, graph.shortest_paths
+    for at_once, depth in ((100_000, None), (7, 3)):
+        with monkeypatch.context() as m:
+            m.setattr(graph, "Rounds", None)
+            m.setattr(graph, "induced", None)
+            m.setattr(graph, "stage", lambda df, n: made.append(n) or write(df, n))
+            m.setattr(graph, "_ROWS_AT_ONCE", at_once)
+            m.setattr(graph, "_PAIRS_AT_ONCE", at_once)
+            quick = {f: sorted(map(str, f(e, s, by=["g"], max_depth=depth).collect())) for f in searches}
+            assert {tuple(r) for r in graph.sink_roots(e, *sides, by=["g"]).collect()} == _plain_sinks(pairs, sink, cut)
+    assert set(made) == {"found"} and len(made) == 8
+    with monkeypatch.context() as m:
+        m.setattr(graph, "SMALL", 29)  # the chain is too large
+        for f, want in quick.items():
+            assert sorted(map(str, f(e, s, by=["g"], max_depth=3).collect())) == want
+        assert {tuple(r) for r in graph.sink_roots(e, *sides, by=["g"]).collect()} == _plain_sinks(pairs, sink, cut)
+
+
+@tables
+def test_paths_from_roots_need_no_table_of_dependencies(spark, monkeypatch):
+    made, write = [], derived.stage
+    monkeypatch.setattr(derived, "stage", lambda df, name: made.append(name) or write(df, name))
+    x = derived.batch_inputs(spark, SMALL)
+    paths = recommend.root_paths(x, x.projects).select("project", "node").collect()
+    assert made == ["items"]
+    nodes = x.nodes().distinct().collect()
+    assert made == ["items", "nodes"]
+    links, deps, artifacts = x.links().distinct().collect(), x.deps.select("project", "src", "dst").collect(), x.artifacts.select("project", "node").collect()
+    assert sorted(paths) == sorted(nodes) == sorted(artifacts) and sorted(links) == sorted(deps)
