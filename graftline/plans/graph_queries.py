@@ -151,16 +151,15 @@ _SINK = """sink AS (SELECT project, node FROM art WHERE node % 3 <> 0 AND node >
     r(project, node, root) AS (SELECT project, node, node FROM tops UNION SELECT i.project, i.dst, r.root FROM r JOIN i ON i.project = r.project AND i.src = r.node)"""
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[recommend.Inputs, DataFrame]:
-    """A side and a cut in every project, and the roots of the side's nodes."""
-    x = batch_inputs(spark, d)
-    a = x.artifacts.select("project", "node")
-    return x, graph.sink_roots(x.deps, a.filter("node % 3 <> 0 and node >= 0"), a.filter("node % 5 < 3"), by=["project"])
+def _side_roots(x: recommend.Inputs) -> DataFrame:
+    """A side and a cut in every project: the roots of the side's nodes."""
+    a = x.nodes()
+    return graph.sink_roots(x.links(), a.filter("node % 3 <> 0 and node >= 0"), a.filter("node % 5 < 3"), by=["project"])
 
 
 @query("sink_roots", f"WITH RECURSIVE {BATCH}, {_SINK} SELECT project, node, root FROM r")
 def sink_roots(spark: SparkSession, d: str) -> DataFrame:
-    return _sides(spark, d)[1]
+    return _side_roots(batch_inputs(spark, d))
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -443,11 +442,12 @@ def min_cut_all(spark: SparkSession, d: str) -> DataFrame:
     grp AS (SELECT project, node, kind, is_lib, d, CASE WHEN kind = 'AROUND' THEN '' ELSE string_agg(member || '<=' || greatest(5, CASE WHEN len IS NULL OR (kind = 'FROM_ROOT' AND NOT isf) THEN 3 ELSE len END), ' ' ORDER BY member) END AS roots FROM best WHERE b = 1 GROUP BY project, node, kind, is_lib, d)
     SELECT project, node, kind, row_number() OVER (PARTITION BY project ORDER BY is_lib, d, node)::INTEGER AS place, roots FROM grp""")
 def plan_constraints(spark: SparkSession, d: str) -> DataFrame:
-    x, tops = _sides(spark, d)
-    tops = stage(tops, "tops")
-    runs = x.artifacts.filter("node % 3 <> 0 and node >= 0").groupBy("project").agg(F.max("node").alias("lib")).select(F.col("project").alias("run"), "project", "lib")
-    members = graph.families(x.artifacts.filter(F.col("node") != ROOT), by=["project"])
+    x = batch_inputs(spark, d)
+    artifacts = x.artifacts
+    tops = stage(_side_roots(x), "tops")
+    runs = artifacts.filter("node % 3 <> 0 and node >= 0").groupBy("project").agg(F.max("node").alias("lib")).select(F.col("project").alias("run"), "project", "lib")
+    members = graph.families(artifacts.filter(F.col("node") != ROOT), by=["project"])
     dist = graph.nearest(x.deps, x.projects.select("project", F.col("root").alias("start")), by=["project"]).select("project", "node", F.col("len").alias("dist"))
     lengths = graph.distances(x.deps, tops.select("project", F.col("root").alias("start")).unionByName(members.select("project", F.col("node").alias("start"))).distinct(), by=["project"])
-    planned = constraints.plan(runs, tops.withColumnRenamed("project", "run"), x.artifacts, members, dist, lengths)
+    planned = constraints.plan(runs, tops.withColumnRenamed("project", "run"), artifacts, members, dist, lengths)
     return planned.select("project", "node", "kind", "place", F.concat_ws(" ", F.transform("roots", lambda r: F.concat_ws("<=", r["root"], r["bound"]))).alias("roots"))
