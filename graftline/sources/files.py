@@ -21,6 +21,8 @@ WORKER_NOT_INPUT = ("_graph-analysis", "_options-analysis.csv")
 GRAPH_SUFFIX = "_dependency-graph.json"
 RESPONSE = "response struct<docs: array<struct<v: string>>>"
 MESSAGE_SCHEMA = "projectNameFolder string"
+#: Entries of a batch, and their bytes, after which it is passed on.
+ENTRIES_AT_ONCE, BYTES_AT_ONCE = 5_000, 16 << 20
 
 
 def graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +114,12 @@ def unpacked(archives: DataFrame, content: bool = True) -> DataFrame:
 
     import pyarrow as pa
 
+    def made(rows: list) -> pa.RecordBatch:
+        columns = zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["path", "entry", "content", "error"])
+
     def unpack(batches):
+        held, size = [], 0
         for batch in batches:
             for p, blob in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 rows, error = [], None
@@ -121,7 +128,13 @@ def unpacked(archives: DataFrame, content: bool = True) -> DataFrame:
                         rows = [(n, z.read(n) if content else None) for n in z.namelist() if not n.endswith("/")]
                 except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, ValueError) as x:
                     rows, error = [(None, None)], f"{type(x).__name__}: {x}"
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows)), pa.array([n for n, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary()), pa.array([error] * len(rows), pa.string())], ["path", "entry", "content", "error"])
+                held += [(p, n, c, error) for n, c in rows]
+                size += sum(len(c) for _, c in rows if c is not None)
+                if len(held) >= ENTRIES_AT_ONCE or size >= BYTES_AT_ONCE:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
 
     return archives.select("path", "content").mapInArrow(unpack, "path string, entry string, content binary, error string")
 

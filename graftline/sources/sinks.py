@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DONE = "DONE"
+#: Archives of a batch, and their bytes, after which it is passed on.
+ARCHIVES_AT_ONCE, BYTES_AT_ONCE = 5_000, 16 << 20
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -75,17 +77,31 @@ def packed(files: DataFrame, stamp: str) -> DataFrame:
     """archive, content: files(project, name, content) of each project as one zip archive, named by project and stamp."""
     import io
     import zipfile
+    from itertools import groupby
 
     import pyarrow as pa
 
-    def pack(group: pa.Table) -> pa.Table:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in sorted(zip(group["name"].to_pylist(), group["content"].to_pylist(), strict=True)):
-                z.writestr(zipfile.ZipInfo(name), content)
-        return pa.table({"archive": [f"{group['project'][0].as_py()}_{stamp}.zip"], "content": [out.getvalue()]})
-
-    return files.select("project", "name", "content").groupBy("project").applyInArrow(pack, "archive string, content binary")
+    def pack(batches):
+        lines = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        names, contents, size = [], [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["archive", "content"])
+        for project, group in groupby(lines, lambda r: r[0]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, name, content in sorted(group, key=lambda r: r[1:]):
+                    z.writestr(zipfile.ZipInfo(name), content)
+            names.append(f"{project}_{stamp}.zip")
+            contents.append(out.getvalue())
+            size += len(contents[-1])
+            if len(names) >= ARCHIVES_AT_ONCE or size >= BYTES_AT_ONCE:
+                yield batch()
+                names, contents, size = [], [], 0
+        if names:
+            yield batch()
+
+    # dealt and sorted by project, many of which a worker packs in turn
+    dealt = files.select("project", "name", "content").repartition("project").sortWithinPartitions("project")
+    return dealt.mapInArrow(pack, "archive string, content binary")
 
 
 def put(df: DataFrame, folder: str) -> None:

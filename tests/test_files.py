@@ -89,3 +89,26 @@ def test_queue_is_drained_once(spark, tmp_path):
         queue.drain(spark, str(tmp_path / "q"), files.MESSAGE_SCHEMA, work, str(tmp_path / "c"))
     queue.drain(spark, str(tmp_path / "q"), files.MESSAGE_SCHEMA, work, str(tmp_path / "c"))
     assert seen == ["a", "b"] * 2
+
+
+def test_archives_of_many_projects_are_packed_in_turn(spark, monkeypatch):
+    """A worker packs and unpacks many small archives in one batch."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", None)  # one call for each project
+    n = 400
+    rows = spark.range(n).selectExpr("id as project", "explode(array('b', 'a', 'c/d')) as name").selectExpr("project", "name", "cast(concat(name, project) as binary) as content")
+    zips = sinks.packed(rows, "1").coalesce(1)
+    inside = files.unpacked(zips.withColumnRenamed("archive", "path"))
+
+    def batches(it):
+        import pyarrow as pa
+
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    assert zips.count() == n
+    sizes = [r.n for r in inside.mapInArrow(batches, "n long").collect()]
+    assert sum(sizes) == 3 * n and len(sizes) == 1
+    got = sorted((r.path, r.entry, bytes(r.content)) for r in inside.filter("error is null").collect())
+    assert got == sorted((f"{p}_1.zip", e, f"{e}{p}".encode()) for p in range(n) for e in ("a", "b", "c/d"))
