@@ -40,21 +40,23 @@ def plan(runs: DataFrame, sink_roots: DataFrame, nodes: DataFrame, members: Data
     """
     text = nodes.select("project", F.col("node").cast("string").alias("name"), F.col("node").alias("id"), cleared_group(F.col("grp")).alias("cleared"), "grp", gav(F.col("grp"), F.col("artifact"), F.col("version")).alias("gav"))
     fam = members.select("project", F.col("node").alias("id"), "family")
-    known = text.join(fam, ["project", "id"], "left").select("project", "id", F.coalesce("family", "name").alias("own"), F.col("family").isNotNull().alias("is_family"), "cleared", F.when(F.col("family").isNull(), F.col("grp")).otherwise(F.col("cleared")).alias("grp"), "gav")
+    # all of these grow with the projects, and are far larger than their files: never broadcast
+    many_rows = lambda df: df.hint("merge")
+    known = text.join(many_rows(fam), ["project", "id"], "left").select("project", "id", F.coalesce("family", "name").alias("own"), F.col("family").isNotNull().alias("is_family"), "cleared", F.when(F.col("family").isNull(), F.col("grp")).otherwise(F.col("cleared")).alias("grp"), "gav")
     by = lambda c: known.select("project", F.col("id").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("own", "is_family", "cleared", "grp", "gav")])
-    pairs = sink_roots.join(runs.select("run", "project", "lib"), "run").join(by("node"), ["project", "node"]).join(by("root"), ["project", "root"])
+    pairs = sink_roots.join(many_rows(runs.select("run", "project", "lib")), "run").join(many_rows(by("node")), ["project", "node"]).join(many_rows(by("root")), ["project", "root"])
     rows = pairs.groupBy("run", "project", "lib", "node", "node_own", "node_cleared", "root_own", "root_is_family", "root_cleared", "root_grp").agg(F.min("root_gav").alias("gav"), F.min("root").alias("root"))
-    rows = rows.join(dist.select("project", "node", F.col("dist").alias("node_dist")), ["project", "node"], "left").withColumn("is_lib", F.col("node") == F.col("lib"))
+    rows = rows.join(many_rows(dist.select("project", "node", F.col("dist").alias("node_dist"))), ["project", "node"], "left").withColumn("is_lib", F.col("node") == F.col("lib"))
     order = [F.col("node_dist").asc_nulls_last(), "node"]
     rows = stage(dedupe(rows.filter("not is_lib"), ["run"], "node_own", "root_own", order).unionByName(rows.filter("is_lib")), "constraints")
-    rows = rows.join(rows.groupBy("run", "node").agg(F.count("*").alias("n")), ["run", "node"])
+    rows = rows.join(many_rows(rows.groupBy("run", "node").agg(F.count("*").alias("n"))), ["run", "node"])
     near = F.col("root_cleared").eqNullSafe(F.col("node_cleared"))
     one = rows.filter("n = 1 and is_lib").withColumn("kind", F.when(near | (F.col("root") == F.col("lib")), "AROUND").otherwise("FROM_ROOT"))
     many = first_by(rows.filter("n > 1"), ["run", "node", "root_grp"], "gav", "root").filter(~near).withColumn("kind", F.lit("SHARED"))
     every = one.unionByName(many)
     stands = members.select("project", F.col("family").alias("root_own"), F.col("node").alias("member"))
     length = lengths.select("project", F.col("start").alias("member"), "node", F.col("dist").alias("length"))
-    chosen = every.join(stands, ["project", "root_own"], "left").withColumn("member", F.coalesce("member", "root")).join(length, ["project", "member", "node"], "left")
+    chosen = every.join(many_rows(stands), ["project", "root_own"], "left").withColumn("member", F.coalesce("member", "root")).join(many_rows(length), ["project", "member", "node"], "left")
     chosen = first_by(chosen, ["run", "node", "root_own"], F.col("length").asc_nulls_last(), "member")
     default = F.col("length").isNull() | ((F.col("kind") == "FROM_ROOT") & ~F.col("root_is_family"))
     bound = F.greatest(F.when(default, DEFAULT_LENGTH).otherwise(F.col("length")), F.lit(MIN_PATH_LENGTH)).cast("int")

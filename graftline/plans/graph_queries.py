@@ -446,7 +446,7 @@ def plan_constraints(spark: SparkSession, d: str) -> DataFrame:
     artifacts = x.artifacts
     tops = stage(_side_roots(x), "tops")
     runs = artifacts.filter("node % 3 <> 0 and node >= 0").groupBy("project").agg(F.max("node").alias("lib")).select(F.col("project").alias("run"), "project", "lib")
-    members = graph.families(artifacts.filter(F.col("node") != ROOT), by=["project"])
+    members = stage(graph.families(artifacts.filter(F.col("node") != ROOT), by=["project"]), "members")
     dist = graph.nearest(x.links(), x.projects.select("project", F.col("root").alias("start")), by=["project"]).select("project", "node", F.col("len").alias("dist"))
     lengths = graph.distances(x.links(), tops.select("project", F.col("root").alias("start")).unionByName(members.select("project", F.col("node").alias("start"))).distinct(), by=["project"])
     planned = constraints.plan(runs, tops.withColumnRenamed("project", "run"), artifacts, members, dist, lengths)

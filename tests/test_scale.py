@@ -5,8 +5,8 @@ import random
 
 import pytest
 
-from graftline.operators import compat, graph, recommend
-from graftline.plans import derived
+from graftline.operators import compat, constraints, graph, recommend
+from graftline.plans import derived, graph_queries
 from graftline.staging import stage
 
 SMALL = "/root/testdata/sf0.001"
@@ -171,3 +171,12 @@ def test_paths_from_roots_need_no_table_of_dependencies(spark, monkeypatch):
     assert made == ["items", "nodes"]
     links, deps, artifacts = x.links().distinct().collect(), x.deps.select("project", "src", "dst").collect(), x.artifacts.select("project", "node").collect()
     assert sorted(paths) == sorted(nodes) == sorted(artifacts) and sorted(links) == sorted(deps)
+
+
+@tables
+def test_constraints_broadcast_no_table_of_all_projects(spark, monkeypatch):
+    plans, write = [], constraints.stage
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(constraints, "stage", lambda df, name: plans.append(shown(df)) or write(df, name))
+    planned = graph_queries.plan_constraints(spark, SMALL)
+    assert len(plans) == 1 and "Broadcast" not in plans[0] + shown(planned) and planned.count() > 0
