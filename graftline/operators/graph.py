@@ -74,7 +74,7 @@ SMALL = 20_000
 #: Rows of many graphs that a worker searches together, pairs of starts and what they may reach that it walks at once, and values of a batch that leaves it.
 _ROWS_AT_ONCE, _PAIRS_AT_ONCE, _VALUES_AT_ONCE = 100_000, 1 << 19, 1 << 20
 
-_EDGE, _TOP, _SINK, _CUT = 0, 1, 2, 3
+_EDGE, _TOP, _SINK, _CUT, _ASKED = 0, 1, 2, 3, 4
 
 
 def _each_graph(rows: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], kind: T.DataType, rounds: Callable) -> DataFrame:
@@ -138,12 +138,14 @@ def _each_graph(rows: DataFrame, by: Sequence[str], walk: Callable, result: Sequ
     return found
 
 
-def _searched(edges: DataFrame, starts: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], rounds: Callable) -> DataFrame:
-    """The results of walk from starts, or of rounds(edges, starts) for one graph."""
+def _searched(edges: DataFrame, starts: DataFrame, by: Sequence[str], walk: Callable, result: Sequence[str], rounds: Callable, nodes: DataFrame | None = None, mark: int | None = None) -> DataFrame:
+    """The results of walk from starts, or of rounds(edges, starts, nodes) for one graph; the walk finds nodes(by, node) by their mark."""
     if not by:
-        return rounds(edges, starts)
-    kind = starts.schema["start"].dataType
-    return _each_graph(_rows(by, edges, starts), by, walk, result, kind, _in_rounds(rounds, by, kind))
+        return rounds(edges, starts, nodes)
+    kind, rows = starts.schema["start"].dataType, _rows(by, edges, starts)
+    if nodes is not None:
+        rows = rows.unionByName(_ends(by, nodes, mark))
+    return _each_graph(rows, by, walk, result, kind, _in_rounds(rounds, by, kind, None if nodes is None else mark))
 
 
 def _rows(by: Sequence[str], edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -155,9 +157,14 @@ def _mark(kind: int) -> Column:
     return F.lit(kind).cast("byte").alias("_kind")
 
 
-def _in_rounds(rounds: Callable, by: Sequence[str], kind: T.DataType) -> Callable:
-    """rounds(edges, starts) over rows."""
-    return lambda rest: rounds(rest.filter(F.col("_kind") == _EDGE).select(*by, "src", "dst"), rest.filter(F.col("_kind") == _TOP).select(*by, F.col("src").cast(kind).alias("start")))
+def _ends(by: Sequence[str], nodes: DataFrame, mark: int) -> DataFrame:
+    return nodes.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), _mark(mark))
+
+
+def _in_rounds(rounds: Callable, by: Sequence[str], kind: T.DataType, mark: int | None = None) -> Callable:
+    """rounds(edges, starts, nodes) over rows; without a mark nodes are None."""
+    of = lambda rest, m, name: rest.filter(F.col("_kind") == m).select(*by, F.col("src").cast(kind).alias(name))
+    return lambda rest: rounds(rest.filter(F.col("_kind") == _EDGE).select(*by, "src", "dst"), of(rest, _TOP, "start"), None if mark is None else of(rest, mark, "node"))
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -216,6 +223,12 @@ class _Graphs:
     def marked(self, kind: int) -> np.ndarray:
         return np.unique(self.a[self.kind == kind])
 
+    def among(self, kind: int) -> np.ndarray:
+        """Of each node whether it is marked."""
+        is_marked = np.zeros(self.n, bool)
+        is_marked[self.marked(kind)] = True
+        return is_marked
+
     def inside(self, keep: np.ndarray) -> None:
         """Only edges between nodes for which keep is true stay."""
         a, b = np.repeat(np.arange(self.n), np.diff(self.begin)), self.ends
@@ -264,10 +277,12 @@ def _levels(g: _Graphs, tops: np.ndarray, depth: int | None) -> Iterator[tuple[i
         slot, node, parent = slot[place[first]], end[first], place[first]
 
 
-def _walk_distances(depth: int | None) -> Callable:
-    """(start, node, dist)."""
+def _walk_distances(depth: int | None, within: bool) -> Callable:
+    """(start, node, dist); within: by edges inside the sink alone."""
 
     def walk(g: _Graphs) -> Iterator[tuple]:
+        if within:
+            g.inside(g.among(_SINK))
         for tops in g.shares(g.marked(_TOP)):
             for dist, start, node, _ in _levels(g, tops, depth):
                 for s in _parts(len(node)):
@@ -300,21 +315,24 @@ def _walk_nearest(depth: int | None) -> Callable:
     return walk
 
 
-def _walk_paths(depth: int | None) -> Callable:
-    """(start, node, len, path)."""
+def _walk_paths(depth: int | None, asked: bool) -> Callable:
+    """(start, node, len, path); asked: to the nodes that are asked for alone."""
 
     def walk(g: _Graphs) -> Iterator[tuple]:
+        shown = g.among(_ASKED) if asked else np.ones(g.n, bool)
         for tops in g.shares(g.marked(_TOP)):
             above = []
             for dist, start, node, parent in _levels(g, tops, depth):
                 above.append((node, parent))
-                for s in _parts(len(node), dist + 1):
-                    path, place = np.empty((len(node[s]), dist + 1), np.int64), np.arange(len(node))[s]
+                ends = np.flatnonzero(shown[node])
+                for s in _parts(len(ends), dist + 1):
+                    end = place = ends[s]
+                    path = np.empty((len(end), dist + 1), np.int64)
                     for level in range(dist, -1, -1):
                         path[:, level] = above[level][0][place]
                         place = above[level][1][place]
                     cuts = pa.array(np.arange(len(path) + 1, dtype=np.int32) * (dist + 1))
-                    yield g.graph[node[s]], (g.named(start[s]), g.named(node[s]), pa.array(np.full(len(path), dist, np.int32)), pa.ListArray.from_arrays(cuts, g.named(path.reshape(-1))))
+                    yield g.graph[node[end]], (g.named(start[end]), g.named(node[end]), pa.array(np.full(len(path), dist, np.int32)), pa.ListArray.from_arrays(cuts, g.named(path.reshape(-1))))
 
     return walk
 
@@ -323,9 +341,7 @@ def _walk_sinks(depth: int | None) -> Callable:
     """(node, start) inside the sink, from the cut's nodes that no edge inside it enters."""
 
     def walk(g: _Graphs) -> Iterator[tuple]:
-        sink, top = np.zeros(g.n, bool), np.zeros(g.n, bool)
-        sink[g.marked(_SINK)] = True
-        top[g.marked(_CUT)] = True
+        sink, top = g.among(_SINK), g.among(_CUT)
         g.inside(sink)
         top &= sink
         top[g.ends] = False
@@ -337,14 +353,30 @@ def _walk_sinks(depth: int | None) -> Callable:
     return walk
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """by, start, node, dist: the least number of edges from each start(by, start) to every node that it reaches, itself included.
+def _walk_missed(g: _Graphs) -> Iterator[tuple]:
+    """(start, node) of what is asked for in the sink and not reached by edges inside it."""
+    sink = g.among(_SINK)
+    asked = np.flatnonzero(sink & g.among(_ASKED))
+    g.inside(sink)
+    for tops in g.shares(g.marked(_TOP)):
+        low, high = (np.searchsorted(g.graph[asked], g.graph[tops], side) for side in ("left", "right"))
+        n = high - low
+        start, node = np.repeat(tops, n), asked[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
+        met = np.concatenate([top * g.n + end for _, top, end, _ in _levels(g, tops, None)])
+        missed = ~np.isin(start * g.n + node, met)
+        start, node = start[missed], node[missed]
+        for s in _parts(len(node)):
+            yield g.graph[node[s]], (g.named(start[s]), g.named(node[s]))
+
+
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = (), within: DataFrame | None = None) -> DataFrame:
+    """by, start, node, dist: the least number of edges from each start(by, start) to every node that it reaches, itself included; only edges between nodes of within(by, node) count, where that is given.
 
     The result has a row for each pair of a start and a node: use ``nearest`` or ``reachable`` where starts need not be told apart.
     """
 
-    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
-        kept = _kept(edges, by)
+    def rounds(edges: DataFrame, starts: DataFrame, within: DataFrame | None) -> DataFrame:
+        kept = _kept(edges if within is None else induced(edges, within, by), by)
         first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct()
 
         def advance(frontier: DataFrame, depth: int) -> DataFrame:
@@ -355,13 +387,13 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
         release(kept)
         return found
 
-    return _searched(edges, starts, by, _walk_distances(max_depth), ("start", "node", "dist"), rounds)
+    return _searched(edges, starts, by, _walk_distances(max_depth, within is not None), ("start", "node", "dist"), rounds, within, _SINK)
 
 
 def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, node, start, len: for each node that is reached the nearest start, the first one on ties; one row for each node."""
 
-    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    def rounds(edges: DataFrame, starts: DataFrame, _: None) -> DataFrame:
         kept = _kept(edges, by)
         first = starts.select(*by, F.col("start").alias("node"), "start", F.lit(0).alias("len")).distinct()
 
@@ -386,6 +418,21 @@ def unreached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: Sequenc
     return nodes.join(reachable(edges, starts, by=by), [*by, "node"], "left_anti")
 
 
+def missed(asked: DataFrame, edges: DataFrame, starts: DataFrame, within: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, start, node: of asked(by, node) those of within(by, node) that the start(by, start) does not reach by edges between nodes of within."""
+    kind = starts.schema["start"].dataType
+    rows = _rows(by, edges, starts).unionByName(_ends(by, within, _SINK)).unionByName(_ends(by, asked, _ASKED))
+
+    def rest(rows: DataFrame) -> DataFrame:
+        of = lambda m, name: rows.filter(F.col("_kind") == m).select(*by, F.col("src").cast(kind).alias(name)).distinct()
+        own, starts = of(_SINK, "node"), of(_TOP, "start")
+        met = distances(rows.filter(F.col("_kind") == _EDGE).select(*by, "src", "dst"), starts, by=by, within=own)
+        pairs = starts.join(of(_ASKED, "node").join(own, [*by, "node"], "left_semi"), list(by))
+        return stage(pairs.join(met, [*by, "start", "node"], "left_anti").select(*by, "start", "node"), "missed")
+
+    return _each_graph(rows, by, _walk_missed, ("start", "node"), kind, rest)
+
+
 def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int, by: Sequence[str] = ()) -> DataFrame:
     """by, start, node, len, path (nodes): every path of at most max_depth edges that repeats no edge, length zero included."""
     kept, found = _kept(edges, by), Rounds(edges.sparkSession, "paths")
@@ -399,10 +446,10 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, max_depth: int, by: Seque
     return found.all()
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """by, start, node, len, path: of each pair the shortest path, ties by the nodes; each round keeps a node's least path alone."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: Sequence[str] = (), to: DataFrame | None = None) -> DataFrame:
+    """by, start, node, len, path: of each pair the shortest path, ties by the nodes; each round keeps a node's least path alone.  With to(by, node) only paths that end there."""
 
-    def rounds(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    def rounds(edges: DataFrame, starts: DataFrame, to: DataFrame | None) -> DataFrame:
         kept = _kept(edges, by)
         first = starts.select(*by, "start", F.col("start").alias("node"), F.lit(0).alias("len"), F.array("start").alias("path")).distinct()
 
@@ -413,9 +460,10 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None =
 
         found = _search(first, [*by, "start", "node"], advance, max_depth)
         release(kept)
-        return found
+        # what is asked for may be deleted before the paths are read
+        return found if to is None else stage(found.join(to, [*by, "node"], "left_semi"), "asked")
 
-    return _searched(edges, starts, by, _walk_paths(max_depth), ("start", "node", "len", "path"), rounds)
+    return _searched(edges, starts, by, _walk_paths(max_depth, to is not None), ("start", "node", "len", "path"), rounds, to, _ASKED)
 
 
 def contract(edges: DataFrame, members: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -459,8 +507,7 @@ def sink_roots(edges: DataFrame, sink: DataFrame, cut: DataFrame, max_depth: int
     if not by:
         return joined(edges, sink, cut)
     kind = sink.schema["node"].dataType
-    ends = lambda df, mark: df.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), _mark(mark))
-    rows = edges.select(*by, "src", "dst", _mark(_EDGE)).unionByName(ends(sink, _SINK)).unionByName(ends(cut, _CUT))
+    rows = edges.select(*by, "src", "dst", _mark(_EDGE)).unionByName(_ends(by, sink, _SINK)).unionByName(_ends(by, cut, _CUT))
 
     def rest(rows: DataFrame) -> DataFrame:
         nodes = lambda mark: rows.filter(F.col("_kind") == mark).select(*by, F.col("src").cast(kind).alias("node"))

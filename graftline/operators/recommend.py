@@ -6,6 +6,7 @@ task that fails becomes a row with a status or an error, never a failed job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ from graftline.functions.versions import version_key
 from graftline.operators import compat, constraints, mincut
 from graftline.operators.compat import override_decision, status_of
 from graftline.operators.constraints import NEIGHBOUR_DEPTH
-from graftline.operators.graph import contract, distances, expand, families, induced, nearest, shortest_paths, sink_roots
+from graftline.operators.graph import contract, distances, expand, families, induced, missed, nearest, shortest_paths, sink_roots
 from graftline.operators.matching import first_by, match_first, match_loose
 from graftline.staging import release, stage
 
@@ -56,6 +57,32 @@ class Inputs:
         """project, node of artifacts; rows may repeat."""
         return self.artifacts.select("project", "node")
 
+    def included(self) -> DataFrame:
+        """project, src, dst of the dependencies that are included; rows may repeat."""
+        return self.deps.filter("included").select("project", "src", "dst")
+
+    def compiled(self) -> DataFrame:
+        """project, node of the compile artifacts; rows may repeat."""
+        return compile_only(self.artifacts).select("project", "node")
+
+    def called(self, tasks: DataFrame) -> DataFrame:
+        """project, org_gav, node, ord, ok (in the compile scope): the artifacts that tasks(project, org_gav) name."""
+        known = self.artifacts.select("project", _gav().alias("org_gav"), "node", "ord", is_compile(F.col("scopes"), F.col("artifact")).alias("ok"))
+        return known.join(tasks.select("project", "org_gav").distinct(), ["project", "org_gav"], "left_semi")
+
+    def named(self, nodes: DataFrame) -> DataFrame:
+        """nodes(project, node, ...), which are artifacts of their projects, with grp, artifact and version."""
+        return nodes.join(self.artifacts.select("project", "node", "grp", "artifact", "version"), ["project", "node"])
+
+    def first_named(self, names: DataFrame) -> DataFrame:
+        """project, grp, artifact, old, old_version: of at least the names(project, grp, artifact) the project's first artifact."""
+        first = self.artifacts.groupBy("project", "grp", "artifact").agg(F.min_by(F.struct(F.col("node").alias("old"), F.col("version").alias("old_version")), "ord").alias("o"))
+        return first.select("project", "grp", "artifact", "o.*")
+
+    def calls_into(self, ends: DataFrame) -> DataFrame:
+        """calls into at least the ends(project, dst)."""
+        return self.calls
+
     def between(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """checks, incompatibilities and semantic for at least the pairs(base, next)."""
         return self.checks, self.incompatibilities, self.semantic
@@ -79,9 +106,7 @@ def validated(tasks: DataFrame, x: Inputs) -> DataFrame:
 
     INVALID_TARGET: the target has no version; UNKNOWN_LIBRARY: no artifact of the project has the GAV; WRONG_SCOPE: no compile dependency.
     """
-    known = x.artifacts.withColumn("org_gav", _gav()).withColumn("ok", is_compile(F.col("scopes"), F.col("artifact")))
-    known = known.join(tasks.select("project", "org_gav").distinct(), ["project", "org_gav"], "left_semi")
-    lib = known.groupBy("project", "org_gav").agg(F.min_by(F.struct(F.col("node").alias("lib"), "ok"), "ord").alias("l"))
+    lib = x.called(tasks).groupBy("project", "org_gav").agg(F.min_by(F.struct(F.col("node").alias("lib"), "ok"), "ord").alias("l"))
     target = F.get(F.split("target_gav", ":", -1), F.lit(2))
     problem = F.when(F.coalesce(target, F.lit("")) == "", "INVALID_TARGET").when(F.col("l").isNull(), "UNKNOWN_LIBRARY").when(~F.col("l.ok"), "WRONG_SCOPE")
     return tasks.join(lib, ["project", "org_gav"], "left").select("task_id", "project", "org_gav", "target_gav", F.col("l.lib").alias("lib"), target.alias("target"), problem.alias("problem"))
@@ -95,19 +120,25 @@ def candidates(tasks: DataFrame, x: Inputs) -> DataFrame:
     return met.select("task_id", "project", "lib", "grp", "artifact", "pos", "version")
 
 
+def _keys(df: DataFrame, version: str, key: str) -> DataFrame:
+    """The distinct versions of df with their keys, written once: a key costs more than a join, and many artifacts have the same version."""
+    return stage(df.filter(F.col(version).isNotNull()).select(version).distinct().withColumn(key, version_key(F.col(version))), "keys")
+
+
 def pick_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
     """task_id, project, lib, cand, cand_version: the first candidate, in response order, that the ecosystem has; null where there is none.
 
     The first version that is at least some target is newer than all before it, so that tasks meet these alone: few of an artifact's many versions.
     """
     eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
-    have = x.versions.select("grp", "artifact", "pos", "version").join(eco, ["grp", "artifact", "version"]).withColumn("key", version_key(F.col("version"))).filter("key is not null")
+    have = x.versions.select("grp", "artifact", "pos", "version").join(eco, ["grp", "artifact", "version"])
+    have = have.join(_keys(x.versions, "version", "key"), "version")
     before = Window.partitionBy("grp", "artifact").orderBy("pos", "cand", "version").rowsBetween(Window.unboundedPreceding, -1)
     newer = have.withColumn("newest", F.max("key").over(before)).filter("newest is null or key > newest").drop("newest")
-    lib = x.artifacts.select("project", F.col("node").alias("lib"), "grp", "artifact")
-    wanted = tasks.join(lib, ["project", "lib"])
+    wanted = x.named(tasks.withColumn("node", F.col("lib"))).select("task_id", "grp", "artifact", "target")
     # a target's answer is looked up once for each artifact, however many tasks have it
-    asked = wanted.select("grp", "artifact", "target").distinct().withColumn("least", version_key(F.col("target")))
+    asked = wanted.select("grp", "artifact", "target").distinct()
+    asked = asked.join(_keys(tasks, "target", "least"), "target")
     best = asked.join(newer, ["grp", "artifact"]).filter(F.col("key") >= F.col("least")).groupBy("grp", "artifact", "target").agg(F.min(F.struct("pos", "cand", "version")).alias("b"))
     found = wanted.join(best, ["grp", "artifact", "target"]).groupBy("task_id").agg(F.min("b").alias("b"))
     return tasks.select("task_id", "project", "lib").join(found, "task_id", "left").select("task_id", "project", "lib", "b.cand", F.col("b.version").alias("cand_version"))
@@ -116,11 +147,11 @@ def pick_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
 def changed_nodes(sub_nodes: DataFrame, x: Inputs) -> DataFrame:
     """run, project, new, old, old_version: nodes(run, project, node) of sub-graphs whose artifact the project has in another version."""
     eco = x.eco_nodes.select(F.col("node").alias("new"), "grp", "artifact", F.col("version").alias("new_version"))
-    old = x.artifacts.groupBy("project", "grp", "artifact").agg(F.min_by(F.struct(F.col("node").alias("old"), F.col("version").alias("old_version")), "ord").alias("o"))
     met = sub_nodes.select("run", "project", F.col("node").alias("new")).join(eco, "new")
+    old = x.first_named(met.select("project", "grp", "artifact"))
     same = met["project"].eqNullSafe(old["project"]) & met["grp"].eqNullSafe(old["grp"]) & met["artifact"].eqNullSafe(old["artifact"])
-    both = met.join(old, same).filter(~F.col("o.old_version").eqNullSafe(F.col("new_version")))
-    return both.select("run", met["project"], "new", "o.old", gav(met["grp"], met["artifact"], F.col("o.old_version")).alias("base"), gav(met["grp"], met["artifact"], F.col("new_version")).alias("next"))
+    both = met.join(old, same).filter(~F.col("old_version").eqNullSafe(F.col("new_version")))
+    return both.select("run", met["project"], "new", "old", gav(met["grp"], met["artifact"], F.col("old_version")).alias("base"), gav(met["grp"], met["artifact"], F.col("new_version")).alias("next"))
 
 
 def decisions(changed: DataFrame, root_paths: DataFrame, init: DataFrame, new_len: DataFrame) -> DataFrame:
@@ -131,20 +162,20 @@ def decisions(changed: DataFrame, root_paths: DataFrame, init: DataFrame, new_le
     return met.select(*changed.columns, override_decision(F.col("old_len"), through, F.col("new_len")).alias("decision"))
 
 
-def violated(decided: DataFrame, unupdated: DataFrame, x: Inputs, skip_family: bool) -> DataFrame:
+def violated(decided: DataFrame, unupdated: Callable[[DataFrame], DataFrame], x: Inputs, skip_family: bool) -> DataFrame:
     """run, old, new, problem, calls (number): a row for every change that is a violation, maybe without calls.
 
-    Calls into a changed library come from unupdated(run, node), with skip_family not from its own family.  Calls of the
+    Calls into a changed library count where unupdated(calls with run, project, src) keeps them, with skip_family not from its own family.  Calls of the
     project's root are checked for source, others for binary compatibility, all of them for changed bodies where that is known; problem is
     EMPTY_CG without calls of the project, FAILED_SIGTEST where the pair of versions has no check of a kind that is needed.
     """
     root = x.projects.select("project", "root", "has_calls")
-    group = x.artifacts.select("project", "node", "grp")
     check = decided.filter("decision = 'CHECK'").join(root, "project").select("run", "project", "old", "new", "base", "next", "root", "has_calls")
     empty = check.filter("not has_calls").select("run", "old", "new", F.lit("EMPTY_CG").alias("problem"), F.lit(0).cast("long").alias("calls"))
-    into = check.filter("has_calls").join(x.calls.withColumnRenamed("dst", "old"), ["project", "old"])
-    risky = into.join(unupdated.select("run", F.col("node").alias("src")), ["run", "src"], "left_semi")
+    calls = x.calls_into(check.filter("has_calls").select("project", F.col("old").alias("dst")).distinct())
+    risky = unupdated(check.filter("has_calls").join(calls.withColumnRenamed("dst", "old"), ["project", "old"]))
     if skip_family:
+        group = x.artifacts.select("project", "node", "grp")
         groups = group.select("project", F.col("node").alias("src"), F.col("grp").alias("src_group")), group.select("project", F.col("node").alias("old"), F.col("grp").alias("tgt_group"))
         risky = risky.join(groups[0], ["project", "src"]).join(groups[1], ["project", "old"]).filter(~same_family(F.col("src_group"), F.col("tgt_group")))
     kind = F.when(F.col("src") == F.col("root"), "SRC").otherwise("BINARY")
@@ -175,26 +206,33 @@ def outcome(runs: DataFrame, found: DataFrame) -> DataFrame:
     return met.select(*runs.columns, "status", count("v").alias("nr_violations"), count("c").alias("nr_calls"), perfect.alias("is_perfect"))
 
 
-def root_paths(x: Inputs, of: DataFrame) -> DataFrame:
-    """project, node, len, path from the project's root, for the projects of of."""
+def root_paths(x: Inputs, of: DataFrame, to: DataFrame | None = None) -> DataFrame:
+    """project, node, len, path from the project's root, for the projects of of; with to(project, node) only the paths to these."""
     starts = x.projects.join(of.select("project").distinct(), "project", "left_semi").select("project", F.col("root").alias("start"))
-    return shortest_paths(x.links(), starts, by=PROJECT).drop("start")
+    return shortest_paths(x.links(), starts, by=PROJECT, to=to).drop("start")
 
 
 def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -> DataFrame:
-    """Suggestions that update the library alone, for tasks(task_id, project, lib, target)."""
-    paths = root_paths(x, tasks) if paths is None else paths
+    """Suggestions that update the library alone, for tasks(task_id, project, lib, target).
+
+    What changes is found first; paths and calls are then asked for by it, as it is little of the projects' graphs.
+    """
     picked = stage(pick_versions(tasks, x), "picked")
     hood = distances(x.eco_edges, picked.filter("cand is not null").select(F.col("cand").alias("start")).distinct(), NEIGHBOUR_DEPTH)
     sub = picked.select(F.col("task_id").alias("run"), "project", F.col("cand").alias("start")).join(hood, "start")
-    own = compile_only(x.artifacts).select("project", "node")
-    included = induced(x.deps.filter("included").select("project", "src", "dst"), own, PROJECT)
-    reach = distances(included, tasks.select("project", F.col("lib").alias("start")).distinct(), by=PROJECT)
-    updated = tasks.select(F.col("task_id").alias("run"), "project", F.col("lib").alias("start")).join(reach, ["project", "start"]).select("run", "node")
-    rest = tasks.select(F.col("task_id").alias("run"), "project").join(own, "project").join(updated, ["run", "node"], "left_anti").select("run", "node")
-    changed = changed_nodes(sub, x)
+    changed = stage(changed_nodes(sub, x), "changed")
+    if paths is None:
+        paths = root_paths(x, changed, changed.select("project", F.col("old").alias("node")).distinct())
+    libs = tasks.select(F.col("task_id").alias("run"), "project", F.col("lib").alias("start"))
+
+    def unupdated(calls: DataFrame) -> DataFrame:
+        calls = stage(calls, "into")
+        asked = calls.select("project", F.col("src").alias("node")).distinct()
+        rest = missed(asked, x.included(), libs.select("project", "start").distinct(), x.compiled(), PROJECT)
+        return calls.join(libs.join(rest, ["project", "start"]).select("run", F.col("node").alias("src")), ["run", "src"], "left_semi")
+
     decided = stage(decisions(changed, paths, tasks.select(F.col("task_id").alias("run"), F.col("lib").alias("node")), sub.select("run", F.col("node").alias("new"), F.col("dist").alias("new_len"))), "decided")
-    done = outcome(picked.withColumnRenamed("task_id", "run"), violated(decided, rest, x, skip_family=False))
+    done = outcome(picked.withColumnRenamed("task_id", "run"), violated(decided, unupdated, x, skip_family=False))
     return done.withColumnRenamed("run", "task_id").withColumn("is_simple", F.lit(True))
 
 
@@ -245,7 +283,8 @@ def min_cut_updates(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None)
     init = cut_nodes.join(named, ["project", "node"]).join(ours, ["run", "grp", "artifact"]).select("run", "start").distinct()
     lens = nearest(sub_edges, init, by=["run"]).select("run", F.col("node").alias("new"), F.col("len").alias("new_len"))
     decided = stage(decisions(changed_nodes(sub, x), paths, cut_nodes.select("run", "node"), lens), "decided")
-    found = violated(decided, source.select("run", "node"), x, skip_family=True)
+    kept_back = source.select("run", F.col("node").alias("src"))
+    found = violated(decided, lambda calls: calls.join(kept_back, ["run", "src"], "left_semi"), x, skip_family=True)
     runs = cuts.select("run", "task_id", "cut_ix", rounded_weight(F.col("weight")).alias("cut_weight")).join(first.select("run", "cand", F.col("version").alias("cand_version")), "run", "left")
     done = stage(outcome(runs, found), "outcome")
     stop = done.filter("is_perfect").groupBy("task_id").agg(F.min("cut_ix").alias("stop"))

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _valid(x: recommend.Inputs) -> DataFrame:
-    return recommend.validated(batch_tasks(x), x).filter("problem is null").select("task_id", "project", "lib", "target")
+    return recommend.validated(stage(batch_tasks(x), "asked"), x).filter("problem is null").select("task_id", "project", "lib", "target")
 
 
 @query("task_errors", f"""

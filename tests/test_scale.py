@@ -1,9 +1,11 @@
 """What makes the project-wide queries fit large tables: each is held against the plain way."""
 
+import dataclasses
 import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graftline.operators import compat, constraints, graph, recommend
 from graftline.plans import derived, graph_queries
@@ -180,3 +182,63 @@ def test_constraints_broadcast_no_table_of_all_projects(spark, monkeypatch):
     monkeypatch.setattr(constraints, "stage", lambda df, name: plans.append(shown(df)) or write(df, name))
     planned = graph_queries.plan_constraints(spark, SMALL)
     assert len(plans) == 1 and "Broadcast" not in plans[0] + shown(planned) and planned.count() > 0
+
+
+@tables
+@pytest.mark.parametrize("odd", [False, True])
+def test_simple_updates_ask_for_little_of_the_graphs(spark, monkeypatch, tmp_path, odd):
+    """Neither texts of all artifacts nor tables of all dependencies and calls are written, and the results are those of the whole tables."""
+    folder = SMALL
+    if odd:
+        folder = str(tmp_path)
+        for t in ("lineitem", "orders"):
+            spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        name = "case when p_partkey % 5 = 0 then 'junit' when p_partkey % 6 = 0 then 'p7' when p_partkey % 11 <> 0 then concat('n', p_partkey % 3) end"
+        p = spark.read.parquet(f"{SMALL}/part.parquet").filter("p_partkey % 13 <> 3").withColumns({"p_name": F.expr(name), "p_brand": F.expr("if(p_partkey % 6 = 0, 'project', p_brand)"), "p_size": F.expr("cast(p_partkey % 3 as int)")})
+        p.write.parquet(f"{folder}/part.parquet")
+    x, made, write = derived.batch_inputs(spark, folder), [], derived.stage
+    monkeypatch.setattr(derived, "stage", lambda df, name: made.append(name) or write(df, name))
+    monkeypatch.setattr(recommend, "induced", None)
+
+    def run(x, asked):
+        every = recommend.validated(asked, x).collect()
+        tasks = stage(recommend.validated(asked, x).filter("problem is null").select("task_id", "project", "lib", "target"), "tasks")
+        return [sorted(map(str, rows)) for rows in (every, recommend.simple_update(tasks, x).collect())]
+
+    asked = stage(derived.batch_tasks(x), "asked")
+    roots = asked.filter("project % 7 = 0").selectExpr("-1 - task_id as task_id", "project", "concat('project:p', project, ':1') as org_gav", "target_gav")
+    asked = asked.unionByName(roots)
+    got = run(x, asked)
+    assert made == ["items", "artifacts", "eco-edges", "pairs"]
+    whole = recommend.Inputs(**{f.name: getattr(x, f.name) for f in dataclasses.fields(recommend.Inputs)})
+    assert run(whole, asked) == got and len(got[1]) > 20 and any("SUCCESS" in r for r in got[1])
+
+
+def test_asked_nodes_of_many_graphs_are_found_in_the_search(spark, monkeypatch):
+    """Paths to what is asked for, distances inside a side and what is missed there, without joins; the same by rounds and by plain walks."""
+    rng = random.Random(4)
+    pairs = [(g, rng.randint(0, 9), rng.randint(0, 9)) for g in range(20) for _ in range(13)] + [(20, i, i + 1) for i in range(30)] + [(21, 3, 4)]
+    tops = [(g, rng.randint(0, 9)) for g in range(21) for _ in range(2)] + [(22, 1)]
+    side, asked = ([(g, i) for g in range(23) for i in range(12) if rng.random() < p] for p in (0.8, 0.4))
+    e, s = spark.createDataFrame(pairs, "g int, src long, dst long"), spark.createDataFrame(tops, "g int, start long")
+    own, to = (spark.createDataFrame(rows * 2, "g int, node long") for rows in (side, asked))
+    every = [r for r in graph.shortest_paths(e, s, by=["g"]).collect() if (r.g, r.node) in set(asked)]
+    inside = graph.distances(graph.induced(e, own, ["g"]), s, by=["g"]).collect()
+    met = {(r.g, r.start, r.node) for r in inside}
+    left = {(g, t, n) for g, t in tops for h, n in set(asked) & set(side) if g == h} - met
+
+    def check():
+        paths, near, rest = graph.shortest_paths(e, s, by=["g"], to=to), graph.distances(e, s, by=["g"], within=own), graph.missed(to, e, s, own, ["g"])
+        assert sorted(map(str, paths.collect())) == sorted(map(str, every)) and sorted(map(str, near.collect())) == sorted(map(str, inside))
+        assert sorted(map(tuple, rest.collect())) == sorted(left) and left and every
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "Rounds", None)
+        m.setattr(graph, "induced", None)
+        check()
+        m.setattr(graph, "_ROWS_AT_ONCE", 7)
+        m.setattr(graph, "_PAIRS_AT_ONCE", 7)
+        check()
+    with monkeypatch.context() as m:
+        m.setattr(graph, "SMALL", 45)  # the chain and others are too large
+        check()
