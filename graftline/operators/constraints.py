@@ -65,7 +65,7 @@ def plan(runs: DataFrame, sink_roots: DataFrame, nodes: DataFrame, members: Data
     return grouped.select("run", "project", "node", "kind", place.alias("place"), F.when(F.col("kind") == "AROUND", F.array().cast(grouped.schema["roots"].dataType)).otherwise(F.col("roots")).alias("roots"))
 
 
-def _joint_paths(pairs: DataFrame, eco_edges: DataFrame, reach: DataFrame) -> DataFrame:
+def joint_paths(pairs: DataFrame, eco_edges: DataFrame, reach: DataFrame) -> DataFrame:
     """from, to, most, path, hops: for pairs(from, to, most) all paths of at most most edges that repeat no edge.
 
     Paths grow backwards, and only over nodes that the start reaches within what is left, reach(start, node, dist).
@@ -113,7 +113,8 @@ def solve(tries: DataFrame, planned: DataFrame, nodes: DataFrame, eco_nodes: Dat
     paths.add(alive.select("try", F.array("cand").alias("path")))
     starts = candidates(alive.join(roots.withColumnRenamed("root", "node"), ["run", "project"]).select("try", "project", "node", "target", "lib_cleared"), root_rule).select(F.col("eco").alias("start")).distinct()
     reach = distances(eco_edges, starts, int(deepest)) if deepest else None
-    for place in range(1, last + 1):
+    # without roots there are only surroundings, which any version meets
+    for place in range(1, last + 1 if deepest else 1):
         here = alive.select("try", "run", "project", "target", "lib_cleared").join(steps.filter(F.col("place") == place).select("run", "node", "kind", "roots"), "run")
         asked = here.filter("kind <> 'AROUND'").withColumn("n", F.size("roots"))
         to = candidates(asked.select("try", "project", "node", "n", "target", "lib_cleared"), node_rule).select("try", F.col("node").alias("shared"), "n", F.col("eco").alias("to"))
@@ -124,7 +125,7 @@ def solve(tries: DataFrame, planned: DataFrame, nodes: DataFrame, eco_nodes: Dat
         # a single root needs a shortest path only
         met = stage(met.join(whole, ["try", "to"]).withColumn("most", F.when(F.col("n") == 1, F.col("dist")).otherwise(F.col("bound"))).select("try", "shared", "to", "n", "i", "root", "from", "most"), "pairs")
         if not met.isEmpty():
-            joint = _joint_paths(met.select("from", "to", "most"), eco_edges, reach)
+            joint = joint_paths(met.select("from", "to", "most"), eco_edges, reach)
             options = stage(met.join(joint, ["from", "to", "most"]).select("try", "shared", "to", "n", "i", F.struct("root", F.col("from").alias("eco")).alias("pick"), "path", "hops"), "options")
             state = options.filter("i = 0").select("try", "shared", "to", "n", F.array("pick").alias("picks"), F.array("path").alias("ways"), "hops")
             full = [state.filter("n <= 1")]

@@ -62,6 +62,17 @@ def match_loose(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]],
     return keys.join(best.alias("r"), same, "left").select(*[F.col(f"l._k{i}").alias(c) for i, c in enumerate(key)], found)
 
 
+def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """grp, artifact, to_grp, to_artifact, exact: the distinct names of right(grp, artifact) that are, null-safely, or contain those of left."""
+    own, other = left.select("grp", "artifact").distinct(), right.select(F.col("grp").alias("to_grp"), F.col("artifact").alias("to_artifact")).distinct()
+    exact = own.join(other, F.col("grp").eqNullSafe(F.col("to_grp")) & F.col("artifact").eqNullSafe(F.col("to_artifact"))).withColumn("exact", F.lit(True))
+    at = F.sequence(F.lit(1), F.length("to_grp") + 1)
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring("to_grp", i, n)))))
+    met = own.withColumn("_gram", F.substring("grp", 1, GRAM)).join(other.filter("to_grp is not null").withColumn("_gram", F.explode(grams)), "_gram").drop("_gram")
+    loose = met.filter(F.contains(F.col("to_grp"), F.col("grp")) & F.contains(F.col("to_artifact"), F.col("artifact"))).filter("not (grp = to_grp and artifact = to_artifact)")
+    return exact.unionByName(loose.withColumn("exact", F.lit(False)))
+
+
 def lateral_first(left: DataFrame, right: DataFrame, on: list[str], order: list[Column | str], take: list[str]) -> DataFrame:
     """left with the columns take of the first right row of its key; rows without one go, as with a sub-query that is limited to one row."""
     order = [F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)]

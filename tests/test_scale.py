@@ -242,3 +242,15 @@ def test_asked_nodes_of_many_graphs_are_found_in_the_search(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(graph, "SMALL", 45)  # the chain and others are too large
         check()
+
+
+@tables
+def test_cuts_are_solved_without_rounds_of_tries(spark, monkeypatch):
+    """No wave of tries and no joint of all tasks is written: a project is dealt once, and a run's ways are met in its worker."""
+    x, made, write = derived.batch_inputs(spark, SMALL), [], recommend.stage
+    tasks = stage(recommend.validated(derived.batch_tasks(x), x).filter("problem is null and project % 6 = 0").select("task_id", "project", "lib", "target"), "tasks")
+    monkeypatch.setattr(recommend, "stage", lambda df, name: made.append(name) or write(df, name))
+    monkeypatch.setattr(recommend, "first_solved", None)
+    monkeypatch.setattr(constraints, "solve", None)
+    assert recommend.min_cut_updates(tasks, x).count() > 0
+    assert "wave" not in made and made.count("cuts") == 1 and "artifacts" not in x.__dict__
