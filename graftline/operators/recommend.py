@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +77,13 @@ class Inputs:
         own = self.artifacts.select("project", "node", "grp", "artifact", _gav().alias("gav"), "version", is_compile(F.col("scopes"), F.col("artifact")).alias("ok"), scoped.alias("scoped"))
         return own.join(kinds(self), ["grp", "artifact"], "left").drop("artifact")
 
+    @cached_property
+    def tried(self) -> DataFrame:
+        """grp, artifact, version, pos, cand, key: the versions that the ecosystem has, with its first node of each; a key is made once for each version."""
+        eco = self.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
+        have = self.versions.select("grp", "artifact", "pos", "version").join(eco, ["grp", "artifact", "version"])
+        return stage(have.join(_keys(self.versions, "version", "key"), "version"), "tried")
+
     def named(self, nodes: DataFrame) -> DataFrame:
         """nodes(project, node, ...), which are artifacts of their projects, with grp, artifact and version."""
         return nodes.join(self.artifacts.select("project", "node", "grp", "artifact", "version"), ["project", "node"])
@@ -137,14 +144,21 @@ def _keys(df: DataFrame, version: str, key: str) -> DataFrame:
     return stage(df.filter(F.col(version).isNotNull()).select(version).distinct().withColumn(key, version_key(F.col(version))), "keys")
 
 
+def listed_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
+    """task_id, tries (pos, cand, version): all candidates that the ecosystem has, in response order; they are looked up once for each artifact and target."""
+    wanted = stage(x.named(tasks.withColumn("node", F.col("lib"))).select("task_id", "grp", "artifact", "target"), "wanted")
+    asked = wanted.select("grp", "artifact", "target").distinct().join(_keys(wanted, "target", "least"), "target")
+    met = asked.join(x.tried, ["grp", "artifact"]).filter(F.col("key") >= F.col("least"))
+    each = met.groupBy("grp", "artifact", "target").agg(F.sort_array(F.collect_list(F.struct("pos", "cand", "version"))).alias("tries"))
+    return wanted.join(each, ["grp", "artifact", "target"]).select("task_id", "tries")
+
+
 def pick_versions(tasks: DataFrame, x: Inputs) -> DataFrame:
     """task_id, project, lib, cand, cand_version: the first candidate, in response order, that the ecosystem has; null where there is none.
 
     The first version that is at least some target is newer than all before it, so that tasks meet these alone: few of an artifact's many versions.
     """
-    eco = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
-    have = x.versions.select("grp", "artifact", "pos", "version").join(eco, ["grp", "artifact", "version"])
-    have = have.join(_keys(x.versions, "version", "key"), "version")
+    have = x.tried
     before = Window.partitionBy("grp", "artifact").orderBy("pos", "cand", "version").rowsBetween(Window.unboundedPreceding, -1)
     newer = have.withColumn("newest", F.max("key").over(before)).filter("newest is null or key > newest").drop("newest")
     wanted = x.named(tasks.withColumn("node", F.col("lib"))).select("task_id", "grp", "artifact", "target")
@@ -229,12 +243,12 @@ def root_paths(x: Inputs, of: DataFrame, to: DataFrame | None = None) -> DataFra
     return shortest_paths(x.links(), starts, by=PROJECT, to=to).drop("start")
 
 
-def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -> DataFrame:
+def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None, picked: DataFrame | None = None) -> DataFrame:
     """Suggestions that update the library alone, for tasks(task_id, project, lib, target).
 
     What changes is found first; paths and calls are then asked for by it, as it is little of the projects' graphs.
     """
-    picked = stage(pick_versions(tasks, x), "picked")
+    picked = stage(pick_versions(tasks, x), "picked") if picked is None else picked
     hood = distances(x.eco_edges, picked.filter("cand is not null").select(F.col("cand").alias("start")).distinct(), NEIGHBOUR_DEPTH)
     sub = picked.select(F.col("task_id").alias("run"), "project", F.col("cand").alias("start")).join(hood, "start")
     changed = stage(changed_nodes(sub, x), "changed")
@@ -253,30 +267,30 @@ def simple_update(tasks: DataFrame, x: Inputs, paths: DataFrame | None = None) -
     return done.withColumnRenamed("run", "task_id").withColumn("is_simple", F.lit(True))
 
 
-def min_cut_updates(tasks: DataFrame, x: Inputs) -> DataFrame:
-    """Suggestions that update all libraries behind a minimum cut, in the order of the cuts up to the first perfect one, for tasks(task_id, project, lib, target).
+def min_cut_updates(tasks: DataFrame, x: Inputs, picked: DataFrame | None = None) -> DataFrame:
+    """Suggestions that update all libraries behind a minimum cut, in the order of the cuts up to the first perfect one, for tasks(task_id, project, lib, target); picked as of ``pick_versions``, where that is known.
 
     task_id, cut_ix, cut_weight, cand_version, update_steps, status, nr_violations, nr_calls.
     """
+    return _cut_updates(*_solved_cuts(tasks, pick_versions(tasks, x) if picked is None else picked, x), x)
+
+
+def _solved_cuts(tasks: DataFrame, picked: DataFrame, x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The cuts of ``cutplan.planned_cuts`` with run, and those of ``solved_cuts``, written."""
     run = F.concat_ws("/", F.col("task_id").cast("string"), F.col("cut_ix").cast("string"))
     cuts = stage(cutplan.planned_cuts(tasks, x.projects, x.described(), x.links()).withColumn("run", run), "cuts")
-    first = stage(solved_cuts(cuts, tasks, x), "first")
+    return cuts, stage(solved_cuts(cuts, tasks, picked, x), "first")
+
+
+def _cut_updates(cuts: DataFrame, first: DataFrame, x: Inputs) -> DataFrame:
+    """The suggestions of cuts and their solutions."""
     around = first.filter("around").select("run", "project", F.col("cand").alias("start"))
     hood = stage(around.join(distances(x.eco_edges, around.select("start").distinct(), NEIGHBOUR_DEPTH), "start").select("run", "project", "node", "dist"), "hood")
     fresh = first.select("run", "project", F.explode("fresh").alias("start")).distinct()
     near = fresh.join(constraints.neighbourhood(x.eco_edges, fresh.select("start").distinct()).select("start", "path"), "start").select("run", "project", "path")
     ways = stage(first.select("run", "project", F.explode("ways").alias("path")).unionByName(near), "ways")
     sub = stage(ways.select("run", "project", F.explode("path").alias("node")).unionByName(hood.select("run", "project", "node")).distinct(), "sub")
-    i = F.sequence(F.lit(1), F.size("path") - 1)
-    walked = ways.filter("size(path) > 1").select("run", F.explode(F.transform(i, lambda n: F.struct(F.get(F.col("path"), n - 1).alias("src"), F.get(F.col("path"), n).alias("dst")))).alias("e")).select("run", "e.*")
-    outward = hood.filter(F.col("dist") < NEIGHBOUR_DEPTH).select("run", F.col("node").alias("src")).join(x.eco_edges.select("src", "dst"), "src").select("run", "src", "dst")
-    sub_edges = stage(walked.unionByName(outward).distinct(), "sub-edges")
-    cut_nodes = stage(x.named(cuts.select("run", "project", F.explode("cut_nodes").alias("node")).join(first.select("run"), "run", "left_semi")).select("run", "project", "grp", "artifact", _gav().alias("old_gav")), "cut-nodes")
-    updates = stage(sub.join(x.eco_nodes.select("node", "grp", "artifact", _gav().alias("new_gav")), "node"), "updates")
-    pairs = stage(name_pairs(cut_nodes, updates), "names")
-    met = stage(updates.join(pairs, F.col("to_grp").eqNullSafe(updates["grp"]) & F.col("to_artifact").eqNullSafe(updates["artifact"])).select("run", pairs["grp"], pairs["artifact"], "node", "new_gav", "exact").alias("u").join(cut_nodes.alias("c"), reduce(and_, [F.col(f"u.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("run", "grp", "artifact")])).select("u.run", "node", "new_gav", "exact", "old_gav"), "met")
-    init = met.filter("exact").groupBy("run", "old_gav").agg(F.min("node").alias("start")).select("run", "start").distinct()
-    lens = nearest(sub_edges.join(init.select("run").distinct(), "run", "left_semi"), init, by=["run"]).select("run", F.col("node").alias("new"), F.col("len").alias("new_len"))
+    sub_edges, met, lens = _cut_matches(cuts, first, ways, hood, sub, x)
     known = stage(known_nodes(sub, x), "known")
     of = lambda column, node: F.get(column, F.array_position("nodes", F.col(node)) - 1)
     changed = known.filter("changed").drop("changed")
@@ -297,7 +311,22 @@ def min_cut_updates(tasks: DataFrame, x: Inputs) -> DataFrame:
     return shown.join(steps, "run", "left").select("task_id", "cut_ix", "cut_weight", "cand_version", "update_steps", "status", "nr_violations", calls.alias("nr_calls"), "is_perfect")
 
 
-def solved_cuts(cuts: DataFrame, tasks: DataFrame, x: Inputs) -> DataFrame:
+def _cut_matches(cuts: DataFrame, first: DataFrame, ways: DataFrame, hood: DataFrame, sub: DataFrame, x: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges(run, src, dst) of the sub-graphs, their nodes that match cut nodes (run, node, new_gav, exact, old_gav), and lengths(run, new, new_len) from those that match exactly."""
+    i = F.sequence(F.lit(1), F.size("path") - 1)
+    walked = ways.filter("size(path) > 1").select("run", F.explode(F.transform(i, lambda n: F.struct(F.get(F.col("path"), n - 1).alias("src"), F.get(F.col("path"), n).alias("dst")))).alias("e")).select("run", "e.*")
+    outward = hood.filter(F.col("dist") < NEIGHBOUR_DEPTH).select("run", F.col("node").alias("src")).join(x.eco_edges.select("src", "dst"), "src").select("run", "src", "dst")
+    sub_edges = stage(walked.unionByName(outward).distinct(), "sub-edges")
+    cut_nodes = stage(x.named(cuts.select("run", "project", F.explode("cut_nodes").alias("node")).join(first.select("run"), "run", "left_semi")).select("run", "project", "grp", "artifact", _gav().alias("old_gav")), "cut-nodes")
+    updates = stage(sub.join(x.eco_nodes.select("node", "grp", "artifact", _gav().alias("new_gav")), "node"), "updates")
+    pairs = stage(name_pairs(cut_nodes, updates), "names")
+    met = stage(updates.join(pairs, F.col("to_grp").eqNullSafe(updates["grp"]) & F.col("to_artifact").eqNullSafe(updates["artifact"])).select("run", pairs["grp"], pairs["artifact"], "node", "new_gav", "exact").alias("u").join(cut_nodes.alias("c"), reduce(and_, [F.col(f"u.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("run", "grp", "artifact")])).select("u.run", "node", "new_gav", "exact", "old_gav"), "met")
+    init = met.filter("exact").groupBy("run", "old_gav").agg(F.min("node").alias("start")).select("run", "start").distinct()
+    lens = nearest(sub_edges.join(init.select("run").distinct(), "run", "left_semi"), init, by=["run"]).select("run", F.col("node").alias("new"), F.col("len").alias("new_len"))
+    return sub_edges, met, lens
+
+
+def solved_cuts(cuts: DataFrame, tasks: DataFrame, picked: DataFrame, x: Inputs) -> DataFrame:
     """run, project, around, cand, version, ways, fresh: of the cuts of ``cutplan.planned_cuts`` with run those that a candidate solves, with the first that does.
 
     A cut without constraints is solved by the first candidate.  Of the others only those are tried whose every constraint has an end that ways of all its roots reach,
@@ -305,7 +334,7 @@ def solved_cuts(cuts: DataFrame, tasks: DataFrame, x: Inputs) -> DataFrame:
     """
     keep = ["run", "task_id", "project", "lib", "around", "wants"]
     free = cuts.filter(F.size("wants") == 0).select(*keep)
-    picked = pick_versions(tasks, x).filter("cand is not null").select("task_id", "cand", F.col("cand_version").alias("version"))
+    picked = picked.filter("cand is not null").select("task_id", "cand", F.col("cand_version").alias("version"))
     alone = free.join(picked, "task_id").select("run", "project", "around", "cand", "version", F.array(F.array("cand")).alias("ways"), F.array().cast("array<bigint>").alias("fresh"))
     rows = cuts.filter(F.size("wants") > 0).select("run", F.posexplode("wants").alias("place", "w")).select("run", "place", F.col("w.kin").alias("dst_kin"), F.size("w.roots").alias("n"), F.posexplode("w.roots").alias("i", "r"))
     asked = stage(rows.select("run", "place", "i", "n", "dst_kin", F.col("r.kin").alias("src_kin"), F.col("r.bound").alias("bound")), "asked")
@@ -329,9 +358,7 @@ def solved_cuts(cuts: DataFrame, tasks: DataFrame, x: Inputs) -> DataFrame:
     ways = stage(ways.select("run", "place", "i", "src", "src_version", "dst", "dst_version", F.when(F.col("n") == 1, F.col("dist")).otherwise(F.col("bound")).alias("most")), "pairs")
     joint = constraints.joint_paths(ways.select(F.col("src").alias("from"), F.col("dst").alias("to"), "most"), x.eco_edges, reach).select(F.col("from").alias("src"), F.col("to").alias("dst"), "most", "path")
     ways = ways.join(joint, ["src", "dst", "most"]).groupBy("run").agg(F.collect_list(F.struct("place", "i", "src", "src_version", "dst", "dst_version", "path")).alias("ways"))
-    first = x.eco_nodes.groupBy("grp", "artifact", "version").agg(F.min("node").alias("cand"))
-    options = candidates(tasks.join(open_.select("task_id").distinct(), "task_id", "left_semi"), x).join(first, ["grp", "artifact", "version"])
-    tries = options.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cand", "version"))).alias("tries"))
+    tries = listed_versions(stage(open_.select("task_id").distinct().join(tasks, "task_id"), "open-tasks"), x)
     found = cutplan.solutions(open_.join(tries, "task_id").join(ways, "run"))
     return alone.unionByName(open_.select("run", "project", "around").join(found, "run").select(alone.columns))
 
@@ -365,9 +392,10 @@ def recommend(tasks: DataFrame, x: Inputs) -> DataFrame:
     """
     every = stage(validated(tasks, x), "tasks")
     valid = every.filter("problem is null").select("task_id", "project", "lib", "target")
-    simple = stage(simple_update(valid, x), "simple")
+    picked = stage(pick_versions(valid, x), "picked")
+    simple = stage(simple_update(valid, x, picked=picked), "simple")
     solved = simple.filter("status = 'SUCCESS' and is_perfect").select("task_id")
-    cut = min_cut_updates(stage(valid.join(solved, "task_id", "left_anti"), "unsolved"), x)
+    cut = min_cut_updates(stage(valid.join(solved, "task_id", "left_anti"), "unsolved"), x, picked)
     a = simple.select("task_id", F.lit("simple").alias("kind"), F.lit(None).cast("int").alias("cut_ix"), F.lit(1).alias("cut_weight"), "cand_version", "status", "nr_violations", "nr_calls")
     b = cut.select("task_id", F.lit("min-cut").alias("kind"), "cut_ix", "cut_weight", "cand_version", "status", "nr_violations", "nr_calls")
     none = F.lit(-1).cast("long")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graftline.operators import compat, constraints, graph, recommend
+from graftline.operators import compat, constraints, graph, mincut, recommend
 from graftline.plans import derived, graph_queries
 from graftline.staging import stage
 
@@ -254,3 +254,48 @@ def test_cuts_are_solved_without_rounds_of_tries(spark, monkeypatch):
     monkeypatch.setattr(constraints, "solve", None)
     assert recommend.min_cut_updates(tasks, x).count() > 0
     assert "wave" not in made and made.count("cuts") == 1 and "artifacts" not in x.__dict__
+
+
+def test_surroundings_alone_are_met(spark):
+    """Plans without roots, as all of a batch's may be: any version meets them."""
+    df = spark.createDataFrame
+    tries = df([("r/0", "r", 1, 5, "2", 9)], "try string, run string, project long, lib long, version string, cand long")
+    plan = df([("r", 1, 5, "AROUND", 1, [])], "run string, project long, node long, kind string, place int, roots array<struct<root: long, bound: int>>")
+    nodes = df([(1, 5, "g", "a", "1")], "project long, node long, grp string, artifact string, version string")
+    eco = df([(9, "g", "a", "2"), (8, "h", "b", "1")], "node long, grp string, artifact string, version string")
+    solved, sub, lines = constraints.solve(tries, plan, nodes, eco, df([(9, 8)], "src long, dst long"))
+    assert [r[0] for r in solved.collect()] == ["r/0"] and {r.node for r in sub.collect()} == {8, 9} and {(r.src, r.dst) for r in lines.collect()} == {(9, 8)}
+
+
+def test_cuts_go_on_from_a_kept_flow(monkeypatch):
+    """The same cuts as from the beginning each time, which asks ``min_cut`` for every edge of the work list."""
+    rng, many = random.Random(7), 0
+
+    def again(edges, s, t):
+        weights, todo, best, found, seen = [1.0] * len(edges), [None], float("inf"), [], set()
+        for e in todo:
+            if e is not None:
+                weights[e] += 1
+            cut = mincut.min_cut(edges, weights, s, t)
+            if cut[0] > best:
+                weights[e] = 1.0
+                continue
+            best = cut[0]
+            if tuple(cut[1]) not in seen:
+                seen.add(tuple(cut[1]))
+                found.append(cut)
+                todo += cut[1]
+        return found
+
+    cases = []
+    for _ in range(2000):
+        names = [f"n{i}" for i in range(rng.randint(2, 9))]
+        edges = [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(1, 16))]
+        s, t = rng.choice(names), rng.choice([*names, "far"])
+        if s != t:
+            cases.append(((edges, s, t), again(edges, s, t)))
+    monkeypatch.setattr(mincut, "min_cut", None)
+    for case, want in cases:
+        assert mincut.all_cuts(*case) == want
+        many += len(want) > 2
+    assert many
